@@ -178,7 +178,7 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     mask = (1 << FILTER_BITS) - 1
     slot = F.col("d").bitwiseXOR(F.col("first")).bitwiseAND(F.lit(mask))
-    bits = classes.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+    bits = classes.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
     table = np.zeros((mask + 1) // 32, np.int64)
     got = bits.toArrow()  # 2^18 numbers at most
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()

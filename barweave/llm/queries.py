@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngram_join, quality, secret_scan, token_counts, topk, url_rules, wrapper
+from . import media, mixing, ngram_join, pieces, quality, secret_scan, token_counts, topk, url_rules, wrapper
 from .common import read_table
 
 #: Vocabulary files of public tokenizers; a parameter, never copied.
@@ -27,6 +27,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    return pieces.encode(read_table(spark, sf_dir, "documents"), pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest integer inner products of each query vector."""
     return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, 5)
@@ -67,7 +72,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html, op4_topk, op5_token_counts, op6_ngram_join, op7_secrets, op8_media, op9_mixing, op10_url_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_html, op3_pieces, op4_topk, op5_token_counts, op6_ngram_join, op7_secrets, op8_media, op9_mixing, op10_url_rules)}
 
 
 #: Integer inner products of every query with every other row.
