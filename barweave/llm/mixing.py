@@ -8,7 +8,7 @@ its parent's other children only when all its own are exhausted. Each leaf then
 whole epochs and, of the last, the prefix of its documents in a seeded order that fits.
 
 The prefix is found without sorting a leaf: tokens are added up by the leading hex digits
-of the order key, and only the group in which the budget ends is split further, twice.
+of the order key, and only the group in which the budget ends is split further, step by step.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import stored
 
 LEAF = ("domain", "lang", "source")
 #: Hex digits of the order key by which tokens are added up, per refinement.
-DIGITS = (3, 3)
+DIGITS = (2, 2, 2)
 #: Leaf tables of at most so many rows are broadcast; larger ones are joined over salted keys.
 BROADCAST_LEAVES = 20_000
 SALTS = 64
@@ -85,13 +85,17 @@ def _fill(nodes: DataFrame, parent: list[str], child: str, budgets: DataFrame |
     return held.select(*parent, child, part.alias("budget"))
 
 
-def _with_leaf(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``docs`` joined to its leaf's row; hot leaves are dealt over salts when the leaf table isn't small."""
+def _joined(docs: DataFrame, leaves: DataFrame, on: list[str], key: str) -> DataFrame:
+    """``docs`` joined to its leaf's row: broadcast within the bound, else over salted leaves."""
     if leaves.count() <= BROADCAST_LEAVES:
-        return docs.join(F.broadcast(leaves), list(LEAF))
+        return docs.join(F.broadcast(leaves), on)
     dealt = leaves.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, [*LEAF, "__salt"]).drop("__salt")
+    salted = docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, [*on, "__salt"]).drop("__salt")
+
+
+def _with_leaf(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    return _joined(docs, leaves, list(LEAF), "doc_id")
 
 
 def leaf_columns(docs: DataFrame, domain: Column | None = None) -> list[Column]:
@@ -121,23 +125,43 @@ def _cuts(sized: DataFrame, leaves: DataFrame, plan: Plan) -> DataFrame:
     """(leaf, full, cut): of epoch ``full``, documents with order keys up to ``cut`` are in; null: none are."""
     some = leaves.filter((F.col("rest") > 0) & (F.col("full") < plan.max_epochs)).select(*LEAF, "full", "rest")
     keyed = _with_leaf(sized, some).select(*LEAF, "full", "rest", order_key(plan.seed, F.col("full"), F.col("doc_id")).alias("key"), "tokens")
-    keyed = stored(keyed.groupBy(*LEAF, "full", "key").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest")))
+    keyed = stored(keyed.groupBy(*LEAF, "full", "key").agg(F.sum("tokens").alias("tokens")))
     cuts, at = some.withColumn("prefix", F.lit("")).withColumn("room", F.col("rest")), 0
     for digits in DIGITS:
         at += digits
-        inside = _with_leaf(keyed.drop("rest", "full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key").startswith(F.col("prefix")))
-        sums = inside.groupBy(*LEAF, F.substring("key", 1, at).alias("group")).agg(F.sum("tokens").alias("n"), F.first("room").alias("room"))
+        inside = _with_leaf(keyed.drop("full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key").startswith(F.col("prefix")))
+        # Written first, so that the window below reads one row a group: at most 16^digits a leaf.
+        sums = stored(inside.groupBy(*LEAF, F.substring("key", 1, at).alias("group")).agg(F.sum("tokens").alias("n"), F.max("room").alias("room")))
         order = Window.partitionBy(*LEAF).orderBy("group")
         ends = sums.withColumn("upto", F.sum("n").over(order)).filter((F.col("upto") > F.col("room")) & (F.col("upto") - F.col("n") <= F.col("room")) & (F.col("n") > 0))
-        hit = ends.groupBy(*LEAF).agg(F.min("group").alias("prefix"), F.min_by(F.col("room") - F.col("upto") + F.col("n"), "group").alias("room"))
+        hit = ends.select(*LEAF, F.col("group").alias("prefix"), (F.col("room") - F.col("upto") + F.col("n")).alias("room"))
         cuts = stored(cuts.select(*LEAF, "full", "rest").join(hit, list(LEAF)))
     # What is left lies in groups of one in 16^6 keys: taken one by one.
-    inside = _with_leaf(keyed.drop("rest", "full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key").startswith(F.col("prefix")))
+    inside = _with_leaf(keyed.drop("full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key").startswith(F.col("prefix")))
     order = Window.partitionBy(*LEAF).orderBy("key")
     first_out = inside.withColumn("upto", F.sum("tokens").over(order)).filter(F.col("upto") > F.col("room")).groupBy(*LEAF).agg(F.min("key").alias("out"))
     return stored(some.select(*LEAF, "full").join(first_out, list(LEAF)))
 
 
+def take(docs: DataFrame, plan: Plan, domain: Column | None = None) -> DataFrame:
+    """The selected documents with all columns of ``docs`` and __domain, __epoch (from 0) and __tokens; see ``mix``."""
+    named = dict(zip(LEAF, leaf_columns(docs, domain)))
+    sized = stored(docs.select(*named.values(), docs["doc_id"].cast("long").alias("doc_id"), n_words(docs["text"]).alias("tokens")))
+    leaves = leaf_budgets(sized, plan)
+    cuts = _cuts(sized, leaves, plan)
+    leaf = {n: f"__{n}" for n in LEAF}
+    rules = leaves.select(*LEAF, "full", "rest").join(cuts.drop("full"), list(LEAF), "left")
+    rules = stored(rules.select(*(F.col(n).alias(leaf[n]) for n in LEAF), *(F.col(c).alias(f"__{c}") for c in ("full", "rest", "out"))))
+    kept = [c for c in docs.columns if not c.startswith("__")]
+    marked = docs.select(*kept, *(named[n].alias(leaf[n]) for n in LEAF), n_words(docs["text"]).alias("__tokens"), docs["doc_id"].cast("long").alias("__id"))
+    joined = _joined(marked, rules, list(leaf.values()), "__id")
+    key = order_key(plan.seed, F.col("__full"), F.col("__id"))
+    last = (F.col("__full") < plan.max_epochs) & (F.col("__rest") > 0) & (F.col("__out").isNull() | (key < F.col("__out")))
+    n = F.col("__full") + F.when(last, 1).otherwise(0)
+    taken = joined.withColumn("__n", n.cast("int")).filter(F.col("__n") > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return taken.select(*kept, "__domain", "__epoch", "__tokens")
+
+
 def mix(docs: DataFrame, plan: Plan, domain: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """The selected documents: ``columns`` of ``docs`` (all unless given), and ``domain``, ``epoch`` (from 0) and ``tokens``.
 
@@ -146,22 +170,5 @@ def mix(docs: DataFrame, plan: Plan, domain: Column | None = None, columns: list
     id come or stay together; an empty table gives an empty result. Columns of ``docs`` that
     are named like a new one are replaced.
     """
-    named = dict(zip(LEAF, leaf_columns(docs, domain)))
-    sized = stored(docs.select(*named.values(), docs["doc_id"].cast("long").alias("doc_id"), n_words(docs["text"]).alias("tokens")))
-    leaves = leaf_budgets(sized, plan)
-    cuts = _cuts(sized, leaves, plan)
-    rules = leaves.select(*LEAF, "full", "rest").join(cuts.drop("full"), list(LEAF), "left")
     kept = [c for c in (columns or docs.columns) if c not in ("domain", "epoch", "tokens")]
-    leaf = {n: f"__{n}" for n in LEAF}
-    marked = docs.select(*(F.col(c) for c in kept), *(named[n].alias(leaf[n]) for n in LEAF), n_words(docs["text"]).alias("tokens"), docs["doc_id"].cast("long").alias("__id"))
-    rules = rules.select(*(F.col(n).alias(leaf[n]) for n in LEAF), *(F.col(c).alias(f"__{c}") for c in ("full", "rest", "out")))
-    if rules.count() <= BROADCAST_LEAVES:
-        joined = marked.join(F.broadcast(rules), list(leaf.values()))
-    else:
-        dealt = rules.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = marked.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(dealt, [*leaf.values(), "__salt"]).drop("__salt")
-    key = order_key(plan.seed, F.col("__full"), F.col("__id"))
-    last = (F.col("__full") < plan.max_epochs) & (F.col("__rest") > 0) & (F.col("__out").isNull() | (key < F.col("__out")))
-    n = F.col("__full") + F.when(last, 1).otherwise(0)
-    taken = joined.withColumn("__n", n).filter(F.col("__n") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)))
-    return taken.select(*kept, F.col("__domain").alias("domain"), "epoch", "tokens")
+    return take(docs, plan, domain).select(*kept, F.col("__domain").alias("domain"), F.col("__epoch").alias("epoch"), F.col("__tokens").alias("tokens"))

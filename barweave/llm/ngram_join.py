@@ -8,8 +8,9 @@
    one; if it is rare, it is a key of both. If it is frequent, so are all common ones, and
    within prefixes extended to 2p there are two common ones that are at most ``GAP``
    places apart in both: pairs of frequent shingles that close are keys.
-4. Sets that share keys, directly or through others, form clusters. Clusters are verified in
-   tiles of bounded size, by products of incidence matrices; the links' components follow.
+4. Sets that share keys, directly or through others, form clusters; large ones are split by
+   sketches that never count too few common shingles. Clusters are verified in tiles of
+   bounded size, by products of incidence matrices; the links' components follow.
 
 Why GAP is 5: with p(n) = n - ceil(0.8 n) + 1, linked sets share at least K of their first
 p + K - 1 shingles. Take K = 1 + min(p, q) for prefixes p and q, p <= 2q. The K - 1 steps
@@ -36,6 +37,8 @@ PERCENT = 80
 GAP = 5
 #: Shingles of a bucket that is checked for occurrence in several sets.
 BUCKET = 4_000_000
+#: Classes whose counts are added up in one task.
+GROUP = 50_000
 #: A shingle is of the frequent class if it was counted more often than this; doubled until at most MAX_FREQUENT are.
 FREQUENT = 32
 MAX_FREQUENT = 1 << 20
@@ -45,6 +48,9 @@ CHUNK = 2_000_000
 FILTER_BITS = 23
 #: Sets of a tile: a 32nd of its cluster, within these.
 TILE = (128, 4096)
+#: Clusters of more sets than this are split by sketches first, which have so many counters.
+LARGE = 64
+COUNTERS = 256
 #: Cells of an incidence matrix held at once.
 CELLS = 1 << 23
 
@@ -124,7 +130,7 @@ def _sized(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n long, d long, e long")
 
 
-def _shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _shared_counts(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
     """(d, shared): of each class, how many of its shingles another class has too (in a bucket's 32 bits; rarely more)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +171,20 @@ def _shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
         if len(pairs):
             pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]]
         found, counts = np.unique(pairs[:, 0], return_counts=True)
-        return pa.table({"d": pa.array(found, pa.int64()), "shared": pa.array(counts, pa.int64())})
+        group = (found.view(np.uint64) % np.uint64(n_groups)).astype(np.int64)
+        used = np.unique(group)
+        blobs = [(found[group == g].tobytes(), counts[group == g].astype(np.uint32).tobytes()) for g in used]
+        return pa.table({"part": pa.array(used, pa.int64()), "marks": pa.array([b[0] for b in blobs], pa.binary()), "counts": pa.array([b[1] for b in blobs], pa.binary())})
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.int64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        found, place = np.unique(marks, return_inverse=True)
+        return pa.table({"d": pa.array(found, pa.int64()), "shared": pa.array(np.bincount(place, counts).astype(np.int64), pa.int64())})
 
     packed = map_batches(docs, pack, "bucket long, marks binary, counts binary, tokens binary")
-    return packed.groupBy("bucket").applyInArrow(check, "d long, shared long").groupBy("d").agg(F.sum("shared").alias("shared"))
+    parts = packed.groupBy("bucket").applyInArrow(check, "part long, marks binary, counts binary")
+    return parts.groupBy("part").applyInArrow(add, "d long, shared long")
 
 
 def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -200,6 +216,11 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.join(classes.select("d", "e", "first"), ["d", "e", "first"]).groupBy("d").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by hash. Two sets share at most the sum of the smaller counts."""
+    return np.bincount(((tokens >> np.uint64(20)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint16 if len(tokens) < 65536 else np.uint32)
+
+
 def _frequent(sets: DataFrame) -> np.ndarray:
     """Shingles of the frequent class, the most frequent last; at most MAX_FREQUENT."""
 
@@ -296,15 +317,64 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _verified(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(node, root, links): for each tile pair of a node's cluster, the least node it is linked to there and how many documents."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
+def _tile_pairs(items: DataFrame, clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``items`` (with node) dealt over the pairs of tiles (i, j) of their cluster (root); tile tells which one an item is in."""
     side = F.least(F.greatest(F.ceil(F.col("m") / 32), F.lit(TILE[0])), F.lit(TILE[1]))
     tiled = clusters.join(stored(sizes.withColumn("tiles", F.ceil(F.col("m") / side).cast("int")).select("root", "tiles")), "root")
     placed = tiled.select("node", "root", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-    full = sets.withColumnRenamed("d", "node").join(placed, "node")
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = dealt.select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "copies", "tokens")
+    dealt = items.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", *items.columns)
+
+
+def _least_labels(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The least node that each node reaches over the links between the rows ``a`` and ``b``."""
+    root, big = nodes.copy(), np.iinfo(np.int64).max
+    while True:
+        old = root.copy()
+        root[a] = np.minimum(root[a], np.where(linked, root[b][None, :], big).min(1))
+        root[b] = np.minimum(root[b], np.where(linked, root[a][:, None], big).min(0))
+        if (old == root).all():
+            return root
+
+
+def _split(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Clusters again, the large ones split where sketches show that sets can't link: no link is lost, as sketches never count too little."""
+    sizes = stored(clusters.groupBy("root").agg(F.count("*").alias("m")))
+    large = sizes.filter(F.col("m") > LARGE)
+    if not large.limit(1).count():
+        return clusters
+    inside = stored(clusters.join(large.select("root"), "root").select("node", "root"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(np.frombuffer(t, np.uint64)).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["node", "n", "sketch"])
+
+    def check(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        tile, nodes, n = (table.column(c).to_numpy() for c in ("tile", "node", "n"))
+        drawn = np.stack([np.frombuffer(b, np.uint16 if len(b) == 2 * COUNTERS else np.uint32).astype(np.int32) for b in table.column("sketch").to_pylist()], 1)
+        a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        if not len(a) or not len(b):
+            return pa.table({"node": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        common = np.zeros((len(a), len(b)), np.int32)
+        for row in drawn:
+            common += np.minimum(row[a][:, None], row[b][None, :])
+        linked = 100 * common >= PERCENT * (n[a][:, None] + n[b][None, :] - common)
+        if i == j:
+            np.fill_diagonal(linked, False)
+        root = _least_labels(nodes, a, b, linked)
+        return pa.table({"node": pa.array(nodes[root < nodes], pa.int64()), "root": pa.array(root[root < nodes], pa.int64())})
+
+    drawn = map_batches(sets.join(inside.select(F.col("node").alias("d")), "d").select("d", "n", "tokens"), draw, "node long, n long, sketch binary")
+    pairs = _tile_pairs(drawn, inside, large)
+    split = components(pairs.groupBy("root", "i", "j").applyInArrow(check, "node long, root long"))
+    return stored(clusters.join(sizes.filter(F.col("m") <= LARGE).select("root"), "root").select("node", "root").unionByName(split))
+
+
+def _verified(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(node, root, links): for each tile pair of a node's cluster, the least node it is linked to there and how many documents."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
+    pairs = _tile_pairs(sets.select(F.col("d").alias("node"), "copies", "tokens"), clusters, sizes)
 
     def check(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
@@ -321,14 +391,7 @@ def _verified(sets: DataFrame, clusters: DataFrame) -> DataFrame:
                 links[a] = linked @ copies[a]
             else:
                 links[a], links[b] = linked @ copies[b], copies[a] @ linked
-            # Least labels spread until they settle; few rounds, as tiles are small.
-            while True:
-                old = root.copy()
-                big = np.iinfo(np.int64).max
-                root[a] = np.minimum(root[a], np.where(linked, root[b][None, :], big).min(1))
-                root[b] = np.minimum(root[b], np.where(linked, root[a][:, None], big).min(0))
-                if (old == root).all():
-                    break
+            root = _least_labels(nodes, a, b, linked)
         return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(root, pa.int64()), "links": pa.array(links, pa.int64())})
 
     return pairs.groupBy("root", "i", "j").applyInArrow(check, "node long, root long, links long")
@@ -347,12 +410,12 @@ def join(docs: DataFrame) -> DataFrame:
     sized = stored(_sized(texts))
     named = sized.filter(F.col("doc_id").isNotNull() & F.col("d").isNotNull())
     classes = stored(named.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")))
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     keyed = texts.filter(F.col("doc_id").isNotNull())
-    shared = _shared_counts(keyed, max(1, -(-total // BUCKET)))
+    shared = _shared_counts(keyed, max(1, -(-total // BUCKET)), max(1, -(-n_classes // GROUP)))
     able = stored(classes.join(shared, "d").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("d", "e", "first", "copies"))
     sets = stored(_needed_sets(keyed, able).join(able.select("d", "copies"), "d"))
-    checked = stored(_verified(sets, _clusters(sets, _frequent(sets))))
+    checked = stored(_verified(sets, _split(sets, _clusters(sets, _frequent(sets)))))
     roots = components(checked.filter(F.col("node") != F.col("root")).select("node", "root"))
     linked = checked.groupBy(F.col("node").alias("d")).agg(F.sum("links").alias("links"))
     grouped = roots.join(classes.select(F.col("d").alias("node"), "first"), "node")
