@@ -15,6 +15,8 @@ are ranks of merges, and their sums mean nothing, so Viterbi would not give its
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,8 @@ SPACE = "▁"
 #: Chunks of the relational dictionary at most, and their longest length; with these it is small enough to broadcast.
 HOT_CHUNKS = 1 << 18
 HOT_LENGTH = 32
+#: Distinct chunks that a worker counts before it passes the counts on.
+PARTIAL_COUNTS = 1 << 19
 #: Chunks a worker remembers beside the dictionary.
 CACHED_CHUNKS = 1 << 18
 #: Taken off the lowest score for a character without a piece.
@@ -158,14 +162,20 @@ def _with(value: Column, body) -> Column:
 def merged(edges: Column, n: Column) -> Column:
     """The path that merging makes: of all edges that join two neighbours, the highest score first, then the leftmost."""
 
-    def step(bounds: Column, _: Column) -> Column:
+    def step(bounds: Column, _: Column, joinable: Column) -> Column:
         # Neighbours' outer bounds are two places apart.
         at = lambda x: F.array_position(bounds, x["s"])
         joins = lambda x: (at(x) > 0) & (F.array_position(bounds, x["e"]) == at(x) + 2)
-        best = F.array_max(F.transform(F.filter(edges, joins), lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), x["e"].alias("e"))))
+        best = F.array_max(F.transform(F.filter(joinable, joins), lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), x["e"].alias("e"))))
         return _with(best, lambda top: F.when(top.isNull(), bounds).otherwise(F.filter(bounds, lambda b: (b <= -top["left"]) | (b >= top["e"]))))
 
-    bounds = F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    several = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
+    bounds = _with(several, lambda j: F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), lambda acc, i: step(acc, i, j)))
+    return _with(bounds, lambda b: _spans_of(b, edges))
+
+
+def _spans_of(bounds: Column, edges: Column) -> Column:
+    """(s, e, id) between neighbouring bounds."""
     spans = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(F.filter(edges, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])), F.lit(0))["id"].alias("id")))
 
@@ -176,16 +186,50 @@ def segmented(chunks: DataFrame, model: Model) -> DataFrame:
     return edges_of(chunks, model).select("chunk", fold(F.col("edges"), F.col("n")).alias("path"))
 
 
+def plain(text: str) -> bool:
+    """Is the text cut at single spaces and line breaks alone? Then no pattern is needed."""
+    return bool(text) and not (text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or SPACE in text)
+
+
 def hot_chunks(docs: DataFrame) -> DataFrame:
     """The most frequent chunks of the whole corpus, at most HOT_CHUNKS of them.
 
-    Counts cover every text. Where they end is found from counts of counts in fine steps, so
-    nothing is sorted and at most a thousand numbers reach the driver.
+    Counts cover every text; workers pass on partial counts, of bounded number at a time. Where
+    the hot ones end is found from counts of counts in fine steps, so nothing is sorted and at
+    most a thousand numbers reach the driver.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    form = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)))
-    chunks = docs.select(F.explode(F.regexp_extract_all(form, F.lit(CHUNK_PATTERN), F.lit(0))).alias("chunk")).filter(F.length("chunk") <= HOT_LENGTH)
-    counts = stored(chunks.groupBy("chunk").agg(F.count("*").alias("n")).filter(F.col("n") > 1).withColumn("step", F.floor(F.log(F.col("n").cast("double")) * 32).cast("int")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(CHUNK_PATTERN).findall
+        inner: Counter[str] = Counter()
+        other: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            rows = [(SPACE + w, n) for w, n in inner.items() if len(w) < HOT_LENGTH] + [(c, n) for c, n in other.items() if len(c) <= HOT_LENGTH]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["chunk", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                if not plain(text):
+                    other.update(cut(marked(text)))
+                    continue
+                first, *lines = text.split("\n")
+                inner.update(first.split(" "))
+                for line in lines:
+                    if line:
+                        words = line.split(" ")
+                        other[words[0]] += 1
+                        inner.update(words[1:])
+            if len(inner) + len(other) > PARTIAL_COUNTS:
+                yield counted()
+                inner.clear()
+                other.clear()
+        yield counted()
+
+    partial = map_batches(docs.select("text"), run, "chunk string, n long")
+    counts = stored(partial.groupBy("chunk").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).withColumn("step", F.floor(F.log(F.col("n").cast("double")) * 32).cast("int")))
     least, held = None, 0
     for step, n in sorted(((r["step"], r["n"]) for r in counts.groupBy("step").agg(F.count("*").alias("n")).collect()), reverse=True):
         held += n
@@ -199,9 +243,26 @@ class Encoder:
     """The lattice and fold inside a worker, with a dictionary of chunks that are already folded."""
 
     def __init__(self, model: Model, known: dict[str, bytes] | None = None):
-        self.model, self.known, self.cache = model, known or {}, {}
+        self.model, self.known = model, known or {}
         self.cut = re.compile(CHUNK_PATTERN).findall
         self.bytes_of = np.array(model.by_id, dtype=object)
+        self.scores = {p: s for p, (_, s) in model.table.items()}
+        self.ids = {p: i for p, (i, _) in model.table.items()}
+        self.line_break = self.packed("\n", self.path("\n"))
+        self._restart()
+
+    def _restart(self) -> None:
+        """Words after a space, without their mark, and all other chunks; beyond the dictionary they grow up to a bound."""
+        self.inner = {c[1:]: ids for c, ids in self.known.items() if c[0] == SPACE}
+        self.other = {c: ids for c, ids in self.known.items() if c[0] != SPACE}
+        self.added = 0
+
+    def _missing(self, held: dict[str, bytes], key: str, chunk: str) -> bytes:
+        got = self._folded(chunk)
+        if len(chunk) <= 64:
+            held[key] = got
+            self.added += 1
+        return got
 
     def path(self, chunk: str) -> list[tuple[int, int, int]]:
         """(s, e, id) of the chunk's pieces; id -1 for a character without one."""
@@ -229,25 +290,38 @@ class Encoder:
             at = s
         return out[::-1]
 
-    def _merged(self, chunk: str) -> list[tuple[int, int, int]]:
-        table = self.model.table
+    def _folded(self, chunk: str) -> bytes:
+        """The packed ids of a chunk."""
+        if self.model.kind == "bpe":
+            try:
+                return array("i", [self.ids[p] for p in self._parts(chunk)]).tobytes()
+            except KeyError:  # a character without a piece
+                pass
+        return self.packed(chunk, self.path(chunk))
+
+    def _parts(self, chunk: str) -> list[str]:
+        """The strings that merging leaves."""
+        get, none = self.scores.get, float("-inf")
         parts = list(chunk)
-        none = float("-inf")
-        score = [table.get(a + b, (0, none))[1] for a, b in zip(parts, parts[1:])]
+        score = [get(a + b, none) for a, b in zip(parts, parts[1:])]
         while score:
             top = max(score)
             if top == none:
                 break
             i = score.index(top)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del score[i]
+            joined = parts[i] + parts[i + 1]
+            parts[i] = joined
+            del parts[i + 1], score[i]
             if i:
-                score[i - 1] = table.get(parts[i - 1] + parts[i], (0, none))[1]
+                score[i - 1] = get(parts[i - 1] + joined, none)
             if i < len(score):
-                score[i] = table.get(parts[i] + parts[i + 1], (0, none))[1]
+                score[i] = get(joined + parts[i + 1], none)
+        return parts
+
+    def _merged(self, chunk: str) -> list[tuple[int, int, int]]:
         out, at = [], 0
-        for p in parts:
-            out.append((at, at + len(p), table[p][0] if p in table else -1))
+        for p in self._parts(chunk):
+            out.append((at, at + len(p), self.ids.get(p, -1)))
             at += len(p)
         return out
 
@@ -259,20 +333,31 @@ class Encoder:
                 ids.append(i)
             else:
                 ids.extend(self.model.byte_ids[b] for b in chunk[s:e].encode("utf-8", "surrogatepass"))
-        return np.asarray(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
-        known, cache, out = self.known, self.cache, []
-        for chunk in self.cut(marked(text or "")):
-            got = known.get(chunk) or cache.get(chunk)
-            if got is None:
-                got = self.packed(chunk, self.path(chunk))
-                if len(chunk) <= 64:
-                    if len(cache) >= CACHED_CHUNKS:
-                        cache.clear()
-                    cache[chunk] = got
-            out.append(got)
+        if self.added > CACHED_CHUNKS:
+            self._restart()
+        inner, other, missing = self.inner, self.other, self._missing
+        out: list[bytes] = []
+        if not text or not plain(text):
+            for chunk in self.cut(marked(text or "")):
+                held, key = (inner, chunk[1:]) if chunk[0] == SPACE else (other, chunk)
+                out.append(held.get(key) or missing(held, key, chunk))
+        else:
+            for k, line in enumerate(text.split("\n")):
+                words = line.split(" ")
+                if k:
+                    out.append(self.line_break)
+                    if not line:
+                        continue
+                    first = words.pop(0)
+                    out.append(other.get(first) or missing(other, first, first))
+                got = list(map(inner.get, words))
+                if None in got:
+                    got = [ids or missing(inner, w, SPACE + w) for w, ids in zip(words, got)]
+                out += got
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
