@@ -67,8 +67,8 @@ def _overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end), sorted; an earlier column of that name is replaced.
+def with_spans(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """``docs`` with columns ``base`` and ``spans``: arrays of (start, kind, end), sorted; earlier columns of those names are replaced.
 
     A null or empty text has none. Rules for weak candidates, none of which may overlap a
     base finding: a secret-like string needs an identifier (access or named) in its scope; a
@@ -78,11 +78,11 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(_SPAN)
     df = docs.withColumn("__assign", _spans(whole, ASSIGN, 0, 2)).withColumn("__access", _spans(whole, ACCESS_LONG, 1)).withColumn("__hex", _spans(whole, HEX_LONG, 2))
-    df = df.withColumn("base", F.array_sort(F.concat("__assign", "__access", "__hex")))
+    df = df.withColumn(base, F.array_sort(F.concat("__assign", "__access", "__hex")))
     # No weak part is reported without an identifier near it, so texts without one are not searched further.
     named = whole.rlike(WEAK_ID)
     linked = (F.size("__access") > 0) | named
-    fresh = lambda found: F.filter(found, lambda w: ~F.exists("base", lambda b: _overlap(w, b)))
+    fresh = lambda found: F.filter(found, lambda w: ~F.exists(base, lambda b: _overlap(w, b)))
     df = df.withColumn("__id", F.when(named, fresh(_spans(whole, WEAK_ID, 3))).otherwise(none))
     df = df.withColumn("__secret", F.when(linked, fresh(_spans(whole, WEAK_SECRET, 4))).otherwise(none))
     df = df.withColumn("__end", F.when(linked, fresh(_spans(whole, WEAK_ENDPOINT, 5))).otherwise(none))
@@ -91,7 +91,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     secrets = F.concat("__assign", "__hex", "__secret")
     df = df.withColumn("__end", F.filter("__end", lambda w: F.exists(ids, lambda i: _near(w, i)) & F.exists(secrets, lambda s: _near(w, s))))
     df = df.withColumn("__id", F.filter("__id", lambda w: F.exists(secrets, lambda s: _near(w, s))))
-    df = df.withColumn("spans", F.array_sort(F.concat("base", "__id", "__secret", "__end")))
+    df = df.withColumn(spans, F.array_sort(F.concat(base, "__id", "__secret", "__end")))
     return df.drop("__assign", "__access", "__hex", "__id", "__secret", "__end")
 
 
@@ -136,7 +136,6 @@ def redact(docs: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     new = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(text)
-    found = with_spans(docs.select(*(F.col(c) for c in docs.columns if c not in ("base", "spans")))).withColumnRenamed("spans", "__spans")
-    found = found.withColumn("__new", new).withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars")))
-    kept = found.withColumn("text", F.col("__new")).drop("base", "__spans", "__new")
-    return kept.select(*(c for c in docs.columns if c in kept.columns))
+    found = with_spans(docs, base="__base", spans="__spans").withColumn("__new", new)
+    found = found.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("__new").cast("long")).otherwise(F.col("n_chars")))
+    return found.withColumn("text", F.col("__new")).select(*docs.columns)
