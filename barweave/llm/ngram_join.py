@@ -36,7 +36,7 @@ WIDTH = 5
 PERCENT = 80
 GAP = 5
 #: Shingles of a bucket that is checked for occurrence in several sets.
-BUCKET = 4_000_000
+BUCKET = 1_500_000
 #: Classes whose counts are added up in one task.
 GROUP = 50_000
 #: A shingle is of the frequent class if it was counted more often than this; doubled until at most MAX_FREQUENT are.
