@@ -141,5 +141,9 @@ def pearson(x: str | Column, y: str | Column) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Double columns rounded, for results that are compared across engines; -0.0 becomes 0.0."""
-    return df.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Double columns rounded, for results that are compared across engines; -0.0 becomes 0.0.
+
+    A thousandth of a step is added first, as engines differ on exact halves.
+    """
+    nudge = 3 * 10.0 ** -(digits + 3)
+    return df.select(*((F.round(F.col(c) + nudge, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

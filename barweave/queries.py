@@ -94,7 +94,7 @@ def query(sql: str | None = None, panel: bool = False, digits: int = 6, bars: bo
 
 def _r(*columns: str, digits: int = 6) -> str:
     parts = [c.rsplit(" AS ", 1) if " AS " in c else [c, c] for c in columns]
-    return ", ".join(f"round({value}, {digits}) + 0.0::DOUBLE AS {name}" for value, name in parts)
+    return ", ".join(f"round(({value}) + 3e-{digits + 3}::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}" for value, name in parts)
 
 
 W = "(PARTITION BY security_id ORDER BY date)"
@@ -272,7 +272,7 @@ def dataset_snapshot(spark, d):
     return lake.snapshot(_twice(spark, d), lake.DATASETS["prices_daily"])
 
 
-@query("SELECT security_id, date AS effective_date, 'DIVIDEND' AS action_type, round(dividend, 6) AS value FROM bars WHERE dividend <> 0 UNION ALL SELECT security_id, date, 'SPLIT', stock_split FROM bars WHERE stock_split <> 0")
+@query("SELECT security_id, date AS effective_date, 'DIVIDEND' AS action_type, dividend AS value FROM bars WHERE dividend <> 0 UNION ALL SELECT security_id, date, 'SPLIT', stock_split FROM bars WHERE stock_split <> 0")
 def corporate_actions_explode(spark, d):
     """Dividends and splits as rows."""
     return providers.corporate_actions(_bars(spark, d))
@@ -366,7 +366,7 @@ def research_panel(spark, d):
     return _light(spark, d).drop("raw_close")
 
 
-@query(f"""SELECT t AS target, y AS year, count(v) AS n, {_r('avg(v) AS mean', 'median(v) AS median', 'stddev_samp(v) AS std', 'avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio', 'avg(v) / (stddev_samp(v) / sqrt(count(v))) AS t_stat')}, count(DISTINCT date) AS n_dates,
+@query(f"""SELECT t AS target, y AS year, count(v) AS n, {_r('avg(v) AS mean', 'median(v) AS median', 'stddev_samp(v) AS std', 'avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio', 'avg(v) / (stddev_samp(v) / sqrt(count(v))) AS t_stat', digits=5)}, count(DISTINCT date) AS n_dates,
 CASE WHEN count(v) >= 1000 OR count(DISTINCT date) >= 100 THEN 'ok' ELSE 'insufficient' END AS status
 FROM (SELECT unnest(['forward_return_5d', 'forward_return_20d']) AS t, unnest([forward_return_5d, forward_return_20d]) AS v, date, year(date) AS y FROM panel) WHERE v IS NOT NULL GROUP BY GROUPING SETS ((t), (t, y))""", panel=True, digits=5)
 def baseline_grouping_sets(spark, d):
@@ -374,7 +374,6 @@ def baseline_grouping_sets(spark, d):
     return research.baseline(_light(spark, d), TARGETS)
 
 
-_SQL["baseline_grouping_sets"] = _SQL["baseline_grouping_sets"].replace(", 6)", ", 5)")
 
 NEAREST = "list_sort(list(v))[CAST(floor((count(v) - 1) * {q}::DOUBLE + 0.5) AS BIGINT) + 1]"
 
@@ -719,7 +718,7 @@ def validation_eval(spark, d):
     return mining.evaluate(found, val, made, "forward_return_5d", lag=5)
 
 
-@query("""SELECT pattern, p, round(min(x) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0::DOUBLE AS q FROM (SELECT pattern, p, r, least(p * count(*) OVER () / r, 1.0) AS x FROM (SELECT CAST(n_nationkey AS VARCHAR) AS pattern, (n_nationkey * 7 % 25 + 1) / 30.0::DOUBLE AS p, row_number() OVER (ORDER BY n_nationkey * 7 % 25) AS r FROM nation))""".replace("pattern, p, round", "pattern, round(p, 6) + 0.0::DOUBLE AS p, round"), bars=False)
+@query("""SELECT pattern, p, round(min(x) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 3e-9::DOUBLE, 6) + 0.0::DOUBLE AS q FROM (SELECT pattern, p, r, least(p * count(*) OVER () / r, 1.0) AS x FROM (SELECT CAST(n_nationkey AS VARCHAR) AS pattern, (n_nationkey * 7 % 25 + 1) / 30.0::DOUBLE AS p, row_number() OVER (ORDER BY n_nationkey * 7 % 25) AS r FROM nation))""".replace("pattern, p, round", "pattern, round(p + 3e-9::DOUBLE, 6) + 0.0::DOUBLE AS p, round"), bars=False)
 def bh_fdr(spark, d):
     """Benjamini-Hochberg q values."""
     n = fixture.table(spark, d, "nation")
