@@ -32,9 +32,9 @@ SPACE = "▁"
 HOT_CHUNKS = 1 << 18
 HOT_LENGTH = 32
 #: Distinct chunks that a worker counts before it passes the counts on.
-PARTIAL_COUNTS = 1 << 19
-#: Chunks a worker remembers beside the dictionary.
-CACHED_CHUNKS = 1 << 18
+PARTIAL_COUNTS = 1 << 18
+#: Chunks a worker remembers beside the dictionary; others are folded again each time.
+CACHED_CHUNKS = 1 << 16
 #: Taken off the lowest score for a character without a piece.
 UNKNOWN_PENALTY = 10.0
 CHUNK_PATTERN = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+"
@@ -243,23 +243,20 @@ class Encoder:
     """The lattice and fold inside a worker, with a dictionary of chunks that are already folded."""
 
     def __init__(self, model: Model, known: dict[str, bytes] | None = None):
-        self.model, self.known = model, known or {}
+        self.model = model
         self.cut = re.compile(CHUNK_PATTERN).findall
         self.bytes_of = np.array(model.by_id, dtype=object)
         self.scores = {p: s for p, (_, s) in model.table.items()}
         self.ids = {p: i for p, (i, _) in model.table.items()}
         self.line_break = self.packed("\n", self.path("\n"))
-        self._restart()
-
-    def _restart(self) -> None:
-        """Words after a space, without their mark, and all other chunks; beyond the dictionary they grow up to a bound."""
-        self.inner = {c[1:]: ids for c, ids in self.known.items() if c[0] == SPACE}
-        self.other = {c: ids for c, ids in self.known.items() if c[0] != SPACE}
+        # Words after a space, without their mark, and all other chunks.
+        self.inner = {c[1:]: ids for c, ids in (known or {}).items() if c[0] == SPACE}
+        self.other = {c: ids for c, ids in (known or {}).items() if c[0] != SPACE}
         self.added = 0
 
     def _missing(self, held: dict[str, bytes], key: str, chunk: str) -> bytes:
         got = self._folded(chunk)
-        if len(chunk) <= 64:
+        if len(chunk) <= 64 and self.added < CACHED_CHUNKS:
             held[key] = got
             self.added += 1
         return got
@@ -337,8 +334,6 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
-        if self.added > CACHED_CHUNKS:
-            self._restart()
         inner, other, missing = self.inner, self.other, self._missing
         out: list[bytes] = []
         if not text or not plain(text):
@@ -384,6 +379,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, known)
+        known.clear()  # the task's own copy; the encoder has what it needs
         for batch in batches:
             ids, same = [], []
             for text in batch.column(1).to_pylist():
