@@ -15,7 +15,8 @@ def bars(events: DataFrame, width: str = "1 day", late: str = "3 days", key: str
     Events later than ``late`` are left out of a stream's bars; corrections come as new rows
     that win by retrieved_at.
     """
-    df = events.withWatermark("ts", late) if events.isStreaming else events
+    df = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withWatermark("ts", late) if events.isStreaming else df
     out = df.groupBy(F.window("ts", width).alias("w"), F.col(key).alias("security_id")).agg(
         F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.count("*").cast("double").alias("volume"), F.max("ts").alias("retrieved_at")
     )
