@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,15 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch sent to a Python worker; bounds its memory whatever the texts' lengths.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes as well as in rows.
+def _released() -> None:
+    """Give a worker's free memory back, as workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
 
-    The two settings are read when the plan is built, so they are put back to what the
-    session had right after.
-    """
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes as well as in rows."""
     conf = df.sparkSession.conf
     wanted = {
         "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
@@ -25,7 +33,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     }
     for key, value in wanted.items():
         conf.set(key, value)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _released()
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -30,7 +30,6 @@ WORD_SLOTS = 1 << 16
 RANK = 8
 #: Most labelled rows learnt from: those of the smallest hash of their id. Bounds what reaches the driver.
 TRAIN_ROWS = 8000
-#: A learnt-from text gives at most so many of its word slots (those of the highest counts). Scored texts give all.
 EPOCHS = 12
 BATCH = 64
 RATE = 0.05
@@ -38,7 +37,7 @@ DECAY = 1e-4
 SEED = 17
 #: A document is kept from this score on.
 THRESHOLD = 0.3
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 16
 _ROW = "doc_id long, held_out boolean, score double, predicted int"
 
 _CLASS = np.zeros(256, dtype=np.int64)
