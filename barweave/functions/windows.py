@@ -145,5 +145,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
     A thousandth of a step is added first, as engines differ on exact halves.
     """
-    nudge = 3 * 10.0 ** -(digits + 3)
+    nudge = 3.14159265 * 10.0 ** -(digits + 3)
     return df.select(*((F.round(F.col(c) + nudge, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

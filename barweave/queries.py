@@ -94,7 +94,7 @@ def query(sql: str | None = None, panel: bool = False, digits: int = 6, bars: bo
 
 def _r(*columns: str, digits: int = 6) -> str:
     parts = [c.rsplit(" AS ", 1) if " AS " in c else [c, c] for c in columns]
-    return ", ".join(f"round(({value}) + 3e-{digits + 3}::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}" for value, name in parts)
+    return ", ".join(f"round(({value}) + 3.14159265e-{digits + 3}::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}" for value, name in parts)
 
 
 W = "(PARTITION BY security_id ORDER BY date)"
@@ -718,7 +718,7 @@ def validation_eval(spark, d):
     return mining.evaluate(found, val, made, "forward_return_5d", lag=5)
 
 
-@query("""SELECT pattern, p, round(min(x) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 3e-9::DOUBLE, 6) + 0.0::DOUBLE AS q FROM (SELECT pattern, p, r, least(p * count(*) OVER () / r, 1.0) AS x FROM (SELECT CAST(n_nationkey AS VARCHAR) AS pattern, (n_nationkey * 7 % 25 + 1) / 30.0::DOUBLE AS p, row_number() OVER (ORDER BY n_nationkey * 7 % 25) AS r FROM nation))""".replace("pattern, p, round", "pattern, round(p + 3e-9::DOUBLE, 6) + 0.0::DOUBLE AS p, round"), bars=False)
+@query("""SELECT pattern, p, round(min(x) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 3.14159265e-9::DOUBLE, 6) + 0.0::DOUBLE AS q FROM (SELECT pattern, p, r, least(p * count(*) OVER () / r, 1.0) AS x FROM (SELECT CAST(n_nationkey AS VARCHAR) AS pattern, (n_nationkey * 7 % 25 + 1) / 30.0::DOUBLE AS p, row_number() OVER (ORDER BY n_nationkey * 7 % 25) AS r FROM nation))""".replace("pattern, p, round", "pattern, round(p + 3.14159265e-9::DOUBLE, 6) + 0.0::DOUBLE AS p, round"), bars=False)
 def bh_fdr(spark, d):
     """Benjamini-Hochberg q values."""
     n = fixture.table(spark, d, "nation")
