@@ -365,7 +365,11 @@ def _dictionary(docs: DataFrame, model: Model) -> dict[str, bytes]:
     """Ids of the hot chunks, by the relational lattice; of bounded size."""
     got = segmented(hot_chunks(docs), model).toArrow()
     pack = Encoder(model).packed
-    return {c: pack(c, [(x["s"], x["e"], x["id"]) for x in path]) for c, path in zip(got.column("chunk").to_pylist(), got.column("path").to_pylist())}
+    out: dict[str, bytes] = {}
+    for batch in got.to_batches(max_chunksize=4096):  # as Python objects, only some paths at a time
+        for c, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out[c] = pack(c, [(x["s"], x["e"], x["id"]) for x in path])
+    return out
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
