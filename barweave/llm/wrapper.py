@@ -1,15 +1,19 @@
 """HTML extraction by wrapper induction.
 
-A few pages of each host are aligned with one of them by simple tree matching. Slots whose
-text is the same in all of them become the host's template; slots that vary are content.
-A page's text is then read from its whole tree: boilerplate elements (by tag, role, class
-or id) and template slots are left out, and of what is left the article.
+All pages of a host take part. Simple tree matching aligns their shapes, and pages whose
+shapes match well are one layout. Slots (path and text) are counted over all pages of
+different content of a layout: those that nearly all of them have become the host's template,
+slots that vary are content. Matched elements have the same path of signatures, so counting
+by path counts aligned slots. A page's text is then read from its whole tree: boilerplate
+elements (by tag, role, class or id) and template slots are left out, and of what is left the
+article.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,17 +26,16 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored
 from .url_rules import host_of
 
-#: Pages of a host that are aligned at most; those of the smallest seeded hashes.
-SAMPLES = 6
-#: A slot is template only if it is the same in at least so many pages of different content.
+#: A slot is template only if at least so many pages of different content, and this share of those of its layout, have it.
 MIN_PAGES = 3
+MIN_SHARE = 0.8
+#: Shapes are one layout if tree matching aligns this share of their elements.
+LAYOUT_SHARE = 0.7
 #: Template slots inside an article may hold at most this share of its text: near copies aren't templates.
 MAX_TEMPLATE_SHARE = 0.3
 #: Wrappers of at most so many bytes in all are broadcast; more are joined over salted hosts.
 BROADCAST_BYTES = 16 << 20
 SALTS = 32
-#: Nodes of a sampled page that take part in an alignment; the wrapper is fitted on these, every page is read whole.
-MAX_NODES = 3000
 #: Elements nested deeper have their content taken into the one at this depth.
 MAX_DEPTH = 256
 
@@ -197,36 +200,79 @@ def _slots(node: Node, path: str, main: bool, out: list[tuple[Node, str, bool]])
         _slots(x, path, main, out)
 
 
-def induce(pages: list[str]) -> list[int]:
-    """Template slots of pages of one host, as keys of (path, text).
+def _shape(nodes: list[Node], main: bool = False) -> list:
+    """Elements below some of one signature, siblings of the same signature taken as one; an article's plain content has none."""
+    held: dict[str, list[Node]] = defaultdict(list)
+    for node in nodes:
+        for x in _children(node):
+            if x.tag not in _INLINE and (not main or "." in x.sign):
+                held[x.sign].append(x)
+    return [[sign, _shape(xs, main or xs[0].tag in _MAIN)] for sign, xs in sorted(held.items())]
+
+
+def _tree(sign: str, shape: list) -> Node:
+    node = Node(sign, sign, False)
+    node.items = [_tree(*x) for x in shape]
+    return node
+
 
-    The pages are told apart by their text first, so copies count once. The first one is
-    aligned with each of the others; a slot is template if all of them match it with the same
-    text. Slots of an article are only taken when they hold a small share of it.
+def facts(page: str) -> tuple[str, int, int, dict[int, int]]:
+    """What the count needs of a page: shape, 64 bits of its text, length of its articles and its slots.
+
+    Slots are keys with the length of their text inside an article, and 0 outside.
     """
-    trees: dict[str, Node] = {}
-    for page in sorted(pages):
-        tree = parse(page)
-        if _size(tree) <= MAX_NODES:
-            trees.setdefault(read(tree, frozenset()), tree)
-    if len(trees) < MIN_PAGES:
-        return []
-    reference, *others = trees.values()
-    same: dict[int, list[str]] = defaultdict(list)
-    for other in others:
-        for x, y in tree_match(reference, other)[1]:
-            same[id(x)].append(_own_text(y))
+    tree = parse(page)
     slots: list[tuple[Node, str, bool]] = []
-    _slots(reference, "", False, slots)
-    found, inside, whole = [], [], 0
+    _slots(tree, "", False, slots)
+    found, whole = {}, 0
     for node, path, main in slots:
         text = _own_text(node)
-        whole += len(text) if main else 0
-        if text and len(same[id(node)]) == len(others) and all(t == text for t in same[id(node)]):
-            (inside if main else found).append((path, text))
-    if sum(len(t) for _, t in inside) <= MAX_TEMPLATE_SHARE * whole:
-        found += inside
-    return sorted({_key(*x) for x in found})
+        if text:
+            found[_key(path, text)] = len(text) if main else 0
+            whole += len(text) if main else 0
+    return json.dumps(_shape([tree])), _key("", read(tree, frozenset())), whole, found
+
+
+def layouts(shapes: dict[str, int]) -> dict[str, int]:
+    """The layout of each shape of a host, given its number of pages: shapes join the first of the more frequent ones that they match."""
+    leaders: list[tuple[Node, int]] = []
+    found = {}
+    for shape in sorted(shapes, key=lambda x: (-shapes[x], x)):
+        tree = _tree("#root", json.loads(shape))
+        size = _size(tree)
+        fits = (i for i, (other, n) in enumerate(leaders) if 2 * min(size, n) >= LAYOUT_SHARE * (size + n) and 2 * tree_match(tree, other)[0] >= LAYOUT_SHARE * (size + n))
+        found[shape] = next(fits, len(leaders))
+        if found[shape] == len(leaders):
+            leaders.append((tree, size))
+    return found
+
+
+def induce(pages: list[str]) -> list[int]:
+    """Template slots of pages of one host, as keys of (path, text); ``induce_wrappers`` does the same for a table.
+
+    Pages of a layout are told apart by their text first, so copies count once. Slots of an
+    article are only taken when they hold a small share of it over all pages of the layout.
+    """
+    every = [facts(p) for p in pages]
+    shapes: dict[str, int] = defaultdict(int)
+    for shape, *_ in every:
+        shapes[shape] += 1
+    of = layouts(shapes)
+    distinct: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    for shape, content, whole, slots in every:
+        row = (whole, sorted(slots.items()))
+        distinct[of[shape], content] = min(distinct.get((of[shape], content), row), row)
+    template: set[int] = set()
+    for layout in set(of.values()):
+        held = [x for (n, _), x in distinct.items() if n == layout]
+        count: dict[tuple[int, int], int] = defaultdict(int)
+        for _, slots in held:
+            for slot in slots:
+                count[slot] += 1
+        taken = {x: n for x, n in count.items() if n >= MIN_PAGES and n >= MIN_SHARE * len(held)}
+        small = sum(n * size for (_, size), n in taken.items()) <= MAX_TEMPLATE_SHARE * sum(whole for whole, _ in held)
+        template |= {key for key, size in taken if small or not size}
+    return sorted(template)
 
 
 def read(tree: Node, template: frozenset[int]) -> str:
@@ -282,34 +328,47 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     return read(parse(page), template) if page else ""
 
 
-def _seeded(i: int) -> Column:
-    return F.xxhash64(F.lit(i), "url", "html")
-
-
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>) for hosts with a template, from SAMPLES pages of each.
+    """(host, template array<long>) for hosts with a template, from all pages of each.
 
-    The samples are those of the smallest seeded hashes, found by a minimum that is combined
-    before the shuffle, so a host with a third of all pages sends a few numbers a task.
+    Every page is parsed once into its slots. Copies are folded and slots counted by
+    aggregations that combine before the shuffle, so a host with a third of all pages is dealt
+    out by content and by slot; only shapes and template slots of a host meet in one task.
     """
-    hosted = pages.filter((F.col("host") != "") & F.col("html").isNotNull())
-    least = stored(hosted.groupBy("host").agg(*(F.min(_seeded(i)).alias(f"s{i}") for i in range(SAMPLES))))
-    chosen = F.array(*(F.col(f"s{i}") for i in range(SAMPLES)))
-    keyed = hosted.withColumn("seeds", F.array(*(_seeded(i) for i in range(SAMPLES))))
-    sample = _by_host(keyed, least, least.count() * 8 * (SAMPLES + 4)).filter(F.exists(F.zip_with("seeds", chosen, lambda a, b: a == b), lambda x: x)).select("host", "html").distinct()
+    hosted = pages.filter((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [induce(list(pdf["html"]))]})
-
-    return stored(sample.groupBy("host").applyInPandas(fit, "host string, template array<long>").filter(F.size("template") > 0))
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = pa.list_(pa.struct([("key", pa.int64()), ("size", pa.int32())]))
+        for batch in batches:
+            shapes, contents, wholes, slots = zip(*(facts(h) for h in batch.column(1).to_pylist())) if batch.num_rows else ((),) * 4
+            slots = [[{"key": k, "size": n} for k, n in sorted(x.items())] for x in slots]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(contents, pa.int64()), pa.array(wholes, pa.int64()), pa.array(slots, slot)], names=["host", "shape", "content", "whole", "slots"])
 
+    seen = stored(map_batches(hosted, look, "host string, shape string, content long, whole long, slots array<struct<key:long,size:int>>"))
 
-def _by_host(pages: DataFrame, small: DataFrame, n_bytes: int, how: str = "inner") -> DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = layouts(dict(zip(pdf["shape"], pdf["n"])))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "shapes": [list(of)], "numbers": [list(of.values())]})
+
+    shapes = stored(seen.groupBy("host", "shape").agg(F.count("*").alias("n")).groupBy("host").applyInPandas(fit, "host string, shapes array<string>, numbers array<int>"))
+    n_bytes = shapes.agg(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("shapes", "")) + F.size("shapes") * 16 + 32), F.lit(0))).first()[0]
+    placed = _by_host(seen, shapes, n_bytes, salt=("content", "shape")).select("host", F.element_at("numbers", F.array_position("shapes", F.col("shape")).cast("int")).alias("layout"), "content", "whole", "slots")
+    distinct = stored(placed.groupBy("host", "layout", "content").agg(F.min(F.struct("whole", "slots")).alias("row")).select("host", "layout", "row.*"))
+    whole = distinct.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.sum("whole").alias("whole"))
+    counted = distinct.select("host", "layout", F.explode("slots").alias("slot")).groupBy("host", "layout", "slot.key", "slot.size").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    taken = counted.join(whole, ["host", "layout"]).filter(F.col("n") >= MIN_SHARE * F.col("pages"))
+    slots = F.collect_list(F.struct("key", "size"))
+    layout = taken.groupBy("host", "layout").agg(slots.alias("slots"), (F.sum(F.col("n") * F.col("size")) <= MAX_TEMPLATE_SHARE * F.first("whole")).alias("small"))
+    keys = layout.select("host", F.explode(F.filter("slots", lambda x: F.col("small") | (x["size"] == 0))).alias("slot"))
+    return stored(keys.groupBy("host").agg(F.sort_array(F.collect_set("slot.key")).alias("template")))
+
+
+def _by_host(pages: DataFrame, small: DataFrame, n_bytes: int, how: str = "inner", salt: tuple[str, ...] = ("url", "page_id")) -> DataFrame:
     """Pages joined to a table of one row a host: broadcast within the bound, else over salted hosts."""
     if n_bytes <= BROADCAST_BYTES:
         return pages.join(F.broadcast(small), "host", how)
     dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("__salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "__salt"], how).drop("__salt")
+    return pages.withColumn("__salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).join(dealt, ["host", "__salt"], how).drop("__salt")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

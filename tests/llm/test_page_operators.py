@@ -60,6 +60,25 @@ def test_constant_slots_become_template(spark):
     assert "long shared" in wrapper.extract(copies[0], frozenset(wrapper.induce(copies)))
 
 
+@pytest.mark.parametrize("bound", [1 << 24, 0])
+def test_wrapper_counts_all_pages(spark, monkeypatch, bound):
+    """Hosts of two layouts, hosts of copies under many urls, and hosts of three pages each have their template."""
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", bound)
+    first = host_pages(12)
+    second = [page(f"<main><section class=list><h2>Name {i}</h2><p>{'entry' + str(i)} {'more ' * 40}{i}</p></section><section class=foot><p>Call us any day</p></section></main>") for i in range(6)]
+    rows = [(f"http://two.example/{i}", p) for i, p in enumerate(first + second)]
+    rows += [(f"http://copies.example/{i}", p) for i, p in enumerate(host_pages(3) + host_pages(1) * 60)]
+    rows += [(f"http://h{h}.example/{i}", p) for h in range(20) for i, p in enumerate(host_pages(3))]
+    df = spark.createDataFrame(rows, "url string, html string").select("url", "html", url_rules.host_of(queries.F.col("url")).alias("host"))
+    got = {r.host: r.template for r in wrapper.induce_wrappers(df).collect()}
+    assert len(got) == 22
+    for host, template in got.items():
+        assert template == wrapper.induce([p for u, p in rows if u.startswith(f"http://{host}/")]), host
+        assert "same desk" not in wrapper.extract(first[1], frozenset(template)), host
+    both = frozenset(got["two.example"])
+    assert "Call us" not in wrapper.extract(second[1], both) and "entry1 more" in wrapper.extract(second[1], both)
+
+
 @pytest.mark.parametrize("bound", [1 << 24, 0])
 def test_extract_pages(spark, sf, monkeypatch, bound):
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", bound)
