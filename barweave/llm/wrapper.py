@@ -48,42 +48,79 @@ _DROPPED_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies respond responses form search toolbar pagination pager skip".split()
 )
 _MAIN = frozenset(("article", "main"))
+#: A class or id with such a first word says what an element has or lacks; such a word as a whole class or id says that it is content.
+_ABOUT = frozenset("no not non without with has have hide show is".split())
+_CONTENT = frozenset("content post entry story article".split())
 #: Opening one of these closes an open one of the second kind, up to a boundary.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead")}
 _BOUNDS = frozenset(("ul", "ol", "dl", "table", "select", "body", "html", "article", "main", "section", "div", "nav"))
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An element: its signature (tag and first class), children (nodes and texts in order) and whether it is boilerplate."""
+    """An element: its signature (tag and first class), children (nodes and texts in order) and whether it is boilerplate, or only named like it."""
 
-    __slots__ = ("tag", "sign", "items", "dropped")
+    __slots__ = ("tag", "sign", "items", "dropped", "named")
 
-    def __init__(self, tag: str, sign: str, dropped: bool):
-        self.tag, self.sign, self.items, self.dropped = tag, sign, [], dropped
+    def __init__(self, tag: str, sign: str, dropped: bool, named: bool = False):
+        self.tag, self.sign, self.items, self.dropped, self.named = tag, sign, [], dropped or named, named and not dropped
+
+
+def _names(value: str) -> bool:
+    """Whether a class or id names boilerplate."""
+    words = [[w for w in _SPLIT.split(x) if w] for x in value.split()]
+    if any(len(x) == 1 and x[0] in _CONTENT for x in words):
+        return False
+    return any(x and x[0] not in _ABOUT and not _DROPPED_NAMES.isdisjoint(x) for x in words)
 
 
 def _element(tag: str, attributes: str) -> Node:
-    dropped, sign = tag in _DROPPED, tag
+    dropped, named, sign = tag in _DROPPED, False, tag
     if attributes and tag not in ("html", "body"):
+        found: dict[str, str] = {}
         for name, a, b, c in _ATTR.findall(attributes):
-            value = (a or b or c).lower()
-            name = name.lower()
-            if name in ("class", "id"):
-                words = [w for w in _SPLIT.split(value) if w]
-                if name == "class" and words:
-                    sign = f"{tag}.{words[0]}"
-                if tag not in _MAIN and not _DROPPED_NAMES.isdisjoint(words):
-                    dropped = True
-            elif name == "role":
-                dropped = dropped or value in _DROPPED_ROLES
-            elif name == "hidden" or value == "true":
-                dropped = True
-    return Node(tag, sign, dropped)
+            found.setdefault(name.lower(), (a or b or c).strip().lower())
+        words = [w for w in _SPLIT.split(found.get("class", "")) if w]
+        if words:
+            sign = f"{tag}.{words[0]}"
+        named = tag not in _MAIN and (_names(found.get("class", "")) or _names(found.get("id", "")))
+        dropped = dropped or "hidden" in found or found.get("aria-hidden") == "true" or not _DROPPED_ROLES.isdisjoint(found.get("role", "").split()[:1])
+    return Node(tag, sign, dropped, named)
+
+
+def _named_kept(root: Node) -> None:
+    """Keep elements that are only named like boilerplate where they hold the page's article, or all of its text."""
+
+    def over(tag: str | None) -> list[Node] | None:
+        """Named elements above elements of a tag (above texts without one); None if one lies in no named element."""
+        found: dict[int, Node] = {}
+        todo: list[tuple[Node, tuple]] = [(root, ())]
+        while todo:
+            node, above = todo.pop()
+            if node.dropped and not node.named:
+                continue
+            above = (node, above) if node.named and node.dropped else above
+            if node.tag == tag or tag is None and any(isinstance(x, str) and x.strip() for x in node.items):
+                if not above:
+                    return None
+                rest = above
+                while rest and id(rest[0]) not in found:
+                    found[id(rest[0])] = rest[0]
+                    rest = rest[1]
+            todo.extend((x, above) for x in node.items if not isinstance(x, str))
+        return list(found.values())
+
+    held = over("article")
+    if held == []:
+        held = over("main")
+    for node in held or ():
+        node.dropped = False
+    for node in over(None) or ():
+        node.dropped = False
 
 
 def parse(page: str | None) -> Node:
@@ -138,6 +175,7 @@ def parse(page: str | None) -> Node:
             at = n if not end else (text.find(">", end.start()) + 1 or n)
         elif tag not in _VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
+    _named_kept(root)
     return root
 
 

@@ -31,6 +31,20 @@ def test_extract(html, text):
     assert wrapper.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        *((f"<div {x}>a</div><p>b", "a b") for x in ("style='overflow:hidden'", 'title="hidden gems"', 'href="/hidden/x"', "href=/hidden/x", 'data-id="form"', 'href="/page?id=search"', "data-hidden=1", "class=no-sidebar", "class='content has-sidebar'", "class='post share'", "aria-hidden=false")),
+        *((f"<div {x}>a</div><p>b", "b") for x in ("hidden", "title='a' HIDDEN=''", "class='box share'", "class=post-share", 'id = "search"', "role=form", "aria-hidden=true")),
+        ("<div class=sidebar><p>x</p><article>a</article></div><p>b", "a"), ("<div class='page-sidebar'><div id=form><main>a</main></div></div>b", "a"),
+        ("<main><h1>t</h1><div class=widget><article>a</article></div><div class=ad>b</div></main>", "t a"), ("<article>a</article><div class=related><article>b</article></div>", "a"),
+        ("<div class=comments><p>a</p></div>", "a"), ("<div hidden><article>a</article></div>b", "b"), ("<div hidden class=ad>a</div>", ""),
+    ],
+)
+def test_attributes_are_parsed_and_names_drop_no_article(html, text):
+    assert wrapper.extract(html) == text
+
+
 def test_deep_and_odd_markup():
     assert wrapper.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert wrapper.extract("<" * 5000) == "<" * 5000
