@@ -129,6 +129,17 @@ def parse(page: str | None) -> Node:
     stack = [root]
     text = page or ""
     at, n = 0, len(text)
+    opened: dict[str, int] = defaultdict(int)
+
+    def close(i: int) -> None:
+        """Close the elements from the i-th on; the end of a block below MAX_DEPTH still parts words."""
+        ends = any(x.tag not in _INLINE for x in stack[max(i, MAX_DEPTH) :])
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
+        if ends:
+            stack[-1].items.append(Node("div", "div", False))
+
     while at < n:
         m = _TOKEN.match(text, at)
         at = m.end()
@@ -142,39 +153,46 @@ def parse(page: str | None) -> Node:
             continue
         tag = tag.lower()
         if m.group().startswith("</"):
-            if tag == "p" and all(x.tag != "p" for x in stack):
+            if not opened[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _MAIN and tag in _INLINE:
                     break
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag not in _INLINE:
                     break
         closes = _CLOSES.get(tag)
-        if closes:
+        if closes and any(opened[x] for x in closes):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _BOUNDS:
                     break
         node = _element(tag, m.group(2))
-        stack[-1].items.append(node)
+        below = len(stack) >= MAX_DEPTH and tag not in _RAW and tag not in _VOID
+        within = len(stack) > MAX_DEPTH and stack[-1].named
+        # Below the depth, content goes to the element at it, or to the boilerplate it lies in; end tags match as ever.
+        shared = below and (not node.dropped or node.named and within)
+        stack[-1].items.append(Node(tag, tag, False) if shared else node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(text, at)
             if not node.dropped:
                 node.items.append(html.unescape(text[at : end.start() if end else n]))
             at = n if not end else (text.find(">", end.start()) + 1 or n)
-        elif tag not in _VOID and len(stack) < MAX_DEPTH:
+        elif tag not in _VOID:
+            if shared:
+                node.items, node.named = stack[-1].items, within
             stack.append(node)
+            opened[tag] += 1
     _named_kept(root)
     return root
 

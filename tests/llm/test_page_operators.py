@@ -51,6 +51,13 @@ def test_deep_and_odd_markup():
     assert wrapper.extract("<b><i>" * 2000 + "x").endswith("x")
 
 
+def test_end_tags_below_the_depth_match():
+    deep, end = "<div>" * 300, "</div>" * 300
+    assert wrapper.extract("<div class=ad>" * 5000 + "x") == "x" and wrapper.extract("<nav>" * 5000 + "x") == ""
+    assert wrapper.extract(f"<div><article>{deep}{end}<p>rest</p></article></div>") == "rest"
+    assert wrapper.extract(f"<div><article>{deep}<nav><p>no</p></nav><div>a</div>b<i>c</i><div class=ad>no</div>{end}<p>rest</p></article></div>no") == "a bc rest"
+
+
 def test_simple_tree_matching():
     a = wrapper.parse("<div><p>1</p><ul><li>a<li>b</ul><p>2</p></div>")
     b = wrapper.parse("<div><p>1</p><p>2</p></div>")
