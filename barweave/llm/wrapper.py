@@ -5,8 +5,11 @@ shapes match well are one layout. Slots (path and text) are counted over all pag
 different content of a layout: those that nearly all of them have become the host's template,
 slots that vary are content. Matched elements have the same path of signatures, so counting
 by path counts aligned slots. A page's text is then read from its whole tree: boilerplate
-elements (by tag, role, class or id) and template slots are left out, and of what is left the
-article.
+elements (by tag, role, class or id) and template slots are left out. Where the rest is read
+is learnt too: the deepest slot that holds most of the varying text over all pages of a
+layout, and its titles, is its content slot. Tags are a prior in that: text of an article weighs more, text of
+links outside of one nothing. Pages of hosts with too few pages to learn from, and pages
+without their layout's content slot, are read by the prior alone.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ MIN_SHARE = 0.8
 LAYOUT_SHARE = 0.7
 #: Template slots inside an article may hold at most this share of its text: near copies aren't templates.
 MAX_TEMPLATE_SHARE = 0.3
+#: The content slot holds this share of its layout's weighed text; text of an article weighs so many times that of other elements.
+CONTENT_SHARE = 0.6
+MAIN_WEIGHT = 4
 #: Wrappers of at most so many bytes in all are broadcast; more are joined over salted hosts.
 BROADCAST_BYTES = 16 << 20
 SALTS = 32
@@ -48,6 +54,8 @@ _DROPPED_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies respond responses form search toolbar pagination pager skip".split()
 )
 _MAIN = frozenset(("article", "main"))
+#: Elements that can be content slots.
+_CONTAINERS = frozenset("#root html body center div section article main td".split())
 #: A class or id with such a first word says what an element has or lacks; such a word as a whole class or id says that it is content.
 _ABOUT = frozenset("no not non without with has have hide show is".split())
 _CONTENT = frozenset("content post entry story article".split())
@@ -56,7 +64,13 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _BOUNDS = frozenset(("ul", "ol", "dl", "table", "select", "body", "html", "article", "main", "section", "div", "nav"))
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S)
+#: Comments, declarations, tags, tags with a quote that is never closed (they end at the next >), text.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    r"|</?([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<",
+    re.S,
+)
 _ATTR = re.compile(r"""([^\s"'<>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -143,7 +157,7 @@ def parse(page: str | None) -> Node:
     while at < n:
         m = _TOKEN.match(text, at)
         at = m.end()
-        tag = m.group(1)
+        tag = m.group(1) or m.group(3)
         if tag is None:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
@@ -177,7 +191,7 @@ def parse(page: str | None) -> Node:
                     break
                 if stack[i].tag in _BOUNDS:
                     break
-        node = _element(tag, m.group(2))
+        node = _element(tag, m.group(2) or m.group(4) or "")
         below = len(stack) >= MAX_DEPTH and tag not in _RAW and tag not in _VOID
         within = len(stack) > MAX_DEPTH and stack[-1].named
         # Below the depth, content goes to the element at it, or to the boilerplate it lies in; end tags match as ever.
@@ -205,6 +219,11 @@ def _children(node: Node) -> list[Node]:
     return [x for x in node.items if not isinstance(x, str) and not x.dropped]
 
 
+def _place(path: str) -> int:
+    """64 bits of a slot."""
+    return _key(path, "\0")
+
+
 def _key(path: str, text: str) -> int:
     """64 bits of a slot and its text."""
     return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
@@ -272,8 +291,41 @@ def _tree(sign: str, shape: list) -> Node:
     return node
 
 
-def facts(page: str) -> tuple[str, int, int, dict[int, int]]:
-    """What the count needs of a page: shape, 64 bits of its text, length of its articles and its slots.
+def masses(tree: Node) -> list[tuple[int, int, int, int]]:
+    """(slot, depth, mass, titles) of the containers of a tree, down to its articles.
+
+    The mass is the weighed length of the text below, titles that of its first two levels of
+    headings. Boilerplate elements weigh nothing, nor do links outside of an article.
+    """
+    total: dict[str, list[int]] = {}
+    todo: list[tuple[Node, str, tuple[str, ...], bool, bool]] = [(tree, "", (), False, False)]
+    while todo:
+        node, path, held, main, linked = todo.pop()
+        linked = linked or node.tag == "a"
+        if not main and node.tag not in _INLINE:
+            path = f"{path}/{node.sign}"
+            if node.tag in _CONTAINERS:
+                held = (*held, path)
+        main = main or node.tag in _MAIN
+        own = len(_own_text(node))
+        if own and (main or not linked):
+            for depth, x in enumerate(held):
+                row = total.setdefault(x, [depth, 0, 0])
+                row[1] += own * (MAIN_WEIGHT if main else 1)
+                row[2] += own if node.tag in ("h1", "h2") else 0
+        todo.extend((x, path, held, main, linked) for x in _children(node))
+    return [(_place(x), *row) for x, row in total.items()]
+
+
+def content_slot(rows: list[tuple[int, int, int, int]]) -> int | None:
+    """The content slot of a layout, from (slot, depth, mass, titles) summed over its pages: the deepest with most of text and titles."""
+    mass, titles = (max((r[i] for r in rows), default=0) * CONTENT_SHARE for i in (2, 3))
+    fit = [(r[1], r[2], r[0]) for r in rows if r[2] >= mass and r[3] >= titles]
+    return max(fit)[2] if fit else None
+
+
+def facts(page: str) -> tuple[str, int, int, dict[int, int], list[tuple[int, int, int, int]]]:
+    """What the count needs of a page: shape, 64 bits of its text, length of its articles, its slots and its masses.
 
     Slots are keys with the length of their text inside an article, and 0 outside.
     """
@@ -286,7 +338,7 @@ def facts(page: str) -> tuple[str, int, int, dict[int, int]]:
         if text:
             found[_key(path, text)] = len(text) if main else 0
             whole += len(text) if main else 0
-    return json.dumps(_shape([tree])), _key("", read(tree, frozenset())), whole, found
+    return json.dumps(_shape([tree])), _key("", read(tree, frozenset())), whole, found, masses(tree)
 
 
 def layouts(shapes: dict[str, int]) -> dict[str, int]:
@@ -303,8 +355,8 @@ def layouts(shapes: dict[str, int]) -> dict[str, int]:
     return found
 
 
-def induce(pages: list[str]) -> list[int]:
-    """Template slots of pages of one host, as keys of (path, text); ``induce_wrappers`` does the same for a table.
+def induce(pages: list[str]) -> tuple[list[int], list[int]]:
+    """Template slots (keys of path and text) and content slots of pages of one host; ``induce_wrappers`` does the same for a table.
 
     Pages of a layout are told apart by their text first, so copies count once. Slots of an
     article are only taken when they hold a small share of it over all pages of the layout.
@@ -314,36 +366,47 @@ def induce(pages: list[str]) -> list[int]:
     for shape, *_ in every:
         shapes[shape] += 1
     of = layouts(shapes)
-    distinct: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-    for shape, content, whole, slots in every:
-        row = (whole, sorted(slots.items()))
+    distinct: dict[tuple[int, int], tuple] = {}
+    for shape, content, whole, slots, weighed in every:
+        row = (whole, sorted(slots.items()), sorted(weighed))
         distinct[of[shape], content] = min(distinct.get((of[shape], content), row), row)
     template: set[int] = set()
+    content_slots: set[int] = set()
     for layout in set(of.values()):
         held = [x for (n, _), x in distinct.items() if n == layout]
         count: dict[tuple[int, int], int] = defaultdict(int)
-        for _, slots in held:
+        weight: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+        for _, slots, weighed in held:
             for slot in slots:
                 count[slot] += 1
+            for slot, depth, mass, titles in weighed:
+                row = weight[slot, depth]
+                row[0], row[1] = row[0] + mass, row[1] + titles
         taken = {x: n for x, n in count.items() if n >= MIN_PAGES and n >= MIN_SHARE * len(held)}
-        small = sum(n * size for (_, size), n in taken.items()) <= MAX_TEMPLATE_SHARE * sum(whole for whole, _ in held)
+        small = sum(n * size for (_, size), n in taken.items()) <= MAX_TEMPLATE_SHARE * sum(whole for whole, *_ in held)
         template |= {key for key, size in taken if small or not size}
-    return sorted(template)
+        best = content_slot([(*x, *n) for x, n in weight.items()]) if len(held) >= MIN_PAGES else None
+        content_slots |= {best} - {None}
+    return sorted(template), sorted(content_slots)
 
 
-def read(tree: Node, template: frozenset[int]) -> str:
-    """The main text of a tree: of its articles where there are any, else of the whole page."""
+def read(tree: Node, template: frozenset[int], content: frozenset[int] = frozenset()) -> str:
+    """The main text of a tree: of its content slots where it has any, else of the whole page; and of its articles where there are any."""
     blocks: list[str] = []
     words: list[str] = []
-    articles: list[tuple[Node, str]] = []
 
-    def seek(node: Node, path: str) -> None:
-        path = f"{path}/{node.sign}"
-        for x in _children(node):
-            if x.tag in _MAIN:
-                articles.append((x, path))
+    def seek(top: Node, above: str, wanted) -> list[tuple[Node, str]]:
+        """(element, path above it) of the outermost wanted elements, in page order."""
+        found: list[tuple[Node, str]] = []
+        todo = [(top, above)]
+        while todo:
+            node, path = todo.pop()
+            inner = f"{path}/{node.sign}" if node.tag not in _INLINE else path
+            if wanted(node, inner):
+                found.append((node, path))
             else:
-                seek(x, path)
+                todo.extend((x, inner) for x in reversed(_children(node)))
+        return found
 
     def end() -> None:
         line = " ".join("".join(words).split())
@@ -369,23 +432,25 @@ def read(tree: Node, template: frozenset[int]) -> str:
                     todo.append((None, path, skip))
                 todo.extend((x, path, skip) for x in reversed(item.items))
 
-    seek(tree, "")
-    for top, path in articles or [(tree, "")]:
-        walk(top, path)
-        end()
-    if articles and not blocks:
-        walk(tree, "")
-        end()
+    # Slots of texts have the inline elements in their paths, content slots don't: those lie above any text.
+    tops = seek(tree, "", lambda node, path: node.tag not in _INLINE and _place(path) in content) if content else []
+    articles = [x for node, path in tops or [(tree, "")] for x in seek(node, path, lambda node, _: node.tag in _MAIN)]
+    for chosen in (articles, tops, [(tree, "")]):
+        for top, path in chosen:
+            walk(top, path)
+            end()
+        if blocks:
+            break
     return " ".join(blocks)
 
 
-def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The main text of one page under its host's template; empty for a null or empty page."""
-    return read(parse(page), template) if page else ""
+def extract(page: str | None, template: frozenset[int] = frozenset(), content: frozenset[int] = frozenset()) -> str:
+    """The main text of one page under its host's wrapper; empty for a null or empty page."""
+    return read(parse(page), template, content) if page else ""
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>) for hosts with a template, from all pages of each.
+    """(host, template array<long>, content array<long>) for hosts with a wrapper, from all pages of each.
 
     Every page is parsed once into its slots. Copies are folded and slots counted by
     aggregations that combine before the shuffle, so a host with a third of all pages is dealt
@@ -395,12 +460,17 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = pa.list_(pa.struct([("key", pa.int64()), ("size", pa.int32())]))
+        mass = pa.list_(pa.struct([("slot", pa.int64()), ("depth", pa.int32()), ("mass", pa.int64()), ("titles", pa.int64())]))
         for batch in batches:
-            shapes, contents, wholes, slots = zip(*(facts(h) for h in batch.column(1).to_pylist())) if batch.num_rows else ((),) * 4
-            slots = [[{"key": k, "size": n} for k, n in sorted(x.items())] for x in slots]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(contents, pa.int64()), pa.array(wholes, pa.int64()), pa.array(slots, slot)], names=["host", "shape", "content", "whole", "slots"])
+            found = [facts(h) for h in batch.column(1).to_pylist()]
+            slots = [[{"key": k, "size": n} for k, n in sorted(x[3].items())] for x in found]
+            weighed = [[dict(zip(("slot", "depth", "mass", "titles"), y)) for y in sorted(x[4])] for x in found]
+            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            names = ["host", "shape", "content", "whole", "slots", "masses"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(slots, slot), pa.array(weighed, mass)], names=names)
 
-    seen = stored(map_batches(hosted, look, "host string, shape string, content long, whole long, slots array<struct<key:long,size:int>>"))
+    row = "slots array<struct<key:long,size:int>>, masses array<struct<slot:long,depth:int,mass:long,titles:long>>"
+    seen = stored(map_batches(hosted, look, f"host string, shape string, content long, whole long, {row}"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         of = layouts(dict(zip(pdf["shape"], pdf["n"])))
@@ -408,15 +478,25 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
 
     shapes = stored(seen.groupBy("host", "shape").agg(F.count("*").alias("n")).groupBy("host").applyInPandas(fit, "host string, shapes array<string>, numbers array<int>"))
     n_bytes = shapes.agg(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("shapes", "")) + F.size("shapes") * 16 + 32), F.lit(0))).first()[0]
-    placed = _by_host(seen, shapes, n_bytes, salt=("content", "shape")).select("host", F.element_at("numbers", F.array_position("shapes", F.col("shape")).cast("int")).alias("layout"), "content", "whole", "slots")
-    distinct = stored(placed.groupBy("host", "layout", "content").agg(F.min(F.struct("whole", "slots")).alias("row")).select("host", "layout", "row.*"))
+    placed = _by_host(seen, shapes, n_bytes, salt=("content", "shape")).select("host", F.element_at("numbers", F.array_position("shapes", F.col("shape")).cast("int")).alias("layout"), "content", "whole", "slots", "masses")
+    distinct = stored(placed.groupBy("host", "layout", "content").agg(F.min(F.struct("whole", "slots", "masses")).alias("row")).select("host", "layout", "row.*"))
     whole = distinct.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.sum("whole").alias("whole"))
     counted = distinct.select("host", "layout", F.explode("slots").alias("slot")).groupBy("host", "layout", "slot.key", "slot.size").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
     taken = counted.join(whole, ["host", "layout"]).filter(F.col("n") >= MIN_SHARE * F.col("pages"))
     slots = F.collect_list(F.struct("key", "size"))
     layout = taken.groupBy("host", "layout").agg(slots.alias("slots"), (F.sum(F.col("n") * F.col("size")) <= MAX_TEMPLATE_SHARE * F.first("whole")).alias("small"))
     keys = layout.select("host", F.explode(F.filter("slots", lambda x: F.col("small") | (x["size"] == 0))).alias("slot"))
-    return stored(keys.groupBy("host").agg(F.sort_array(F.collect_set("slot.key")).alias("template")))
+    template = keys.groupBy("host").agg(F.sort_array(F.collect_set("slot.key")).alias("template"))
+    # The content slot of each layout: summed by slot before anything meets, a few slots a layout.
+    weighed = distinct.select("host", "layout", F.explode("masses").alias("m")).groupBy("host", "layout", "m.slot", "m.depth").agg(F.sum("m.mass").alias("mass"), F.sum("m.titles").alias("titles"))
+    enough = whole.filter(F.col("pages") >= MIN_PAGES).select("host", "layout")
+    most = weighed.groupBy("host", "layout").agg(F.max("mass").alias("most"), F.max("titles").alias("heads"))
+    held = (F.col("mass") >= CONTENT_SHARE * F.col("most")) & (F.col("titles") >= CONTENT_SHARE * F.col("heads"))
+    fit = weighed.join(most, ["host", "layout"]).filter(held).join(enough, ["host", "layout"])
+    best = fit.groupBy("host", "layout").agg(F.max(F.struct("depth", "mass", "slot"))["slot"].alias("slot"))
+    content = best.groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("content"))
+    none = F.array().cast("array<long>")
+    return stored(template.join(content, "host", "full_outer").select("host", F.coalesce("template", none).alias("template"), F.coalesce("content", none).alias("content")))
 
 
 def _by_host(pages: DataFrame, small: DataFrame, n_bytes: int, how: str = "inner", salt: tuple[str, ...] = ("url", "page_id")) -> DataFrame:
@@ -435,12 +515,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     wrappers = induce_wrappers(rows)
-    n_bytes = wrappers.agg(F.coalesce(F.sum(F.size("template") * 8 + F.length("host") + 32), F.lit(0))).first()[0]
-    joined = _by_host(rows, wrappers, n_bytes, "left").select("page_id", "url", "html", "template")
+    n_bytes = wrappers.agg(F.coalesce(F.sum(F.size("template") * 8 + F.size("content") * 8 + F.length("host") + 32), F.lit(0))).first()[0]
+    joined = _by_host(rows, wrappers, n_bytes, "left").select("page_id", "url", "html", "template", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h, frozenset(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            texts = [extract(h, frozenset(t or ()), frozenset(c or ())) for h, t, c in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return map_batches(joined, run, "page_id long, url string, text string, n_chars long")

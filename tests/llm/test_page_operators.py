@@ -23,7 +23,7 @@ def page(article, extra="", nav="<a href=/x>One</a>"):
         (page("<article><p>a</p><section id='comments'><p>no</p></section><form><input value=x>no</form></article>"), "a"),
         (page("<div><p>a</p></div>", "<div role=navigation>no</div><div hidden>no</div><div class='cookie-notice'>no</div>"), "a"),
         ("<article><p>cut off &am", "cut off &am"), ("<article><p>a</p", "a"), ("<ul><li>a<li>b</ul>", "a b"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
-        ("<p>a < b & c</p>", "a < b & c"), ("<textarea>no</textarea><noscript>no</noscript>yes", "yes"), ("<p title='a>b'>x</p>", "x"), ('<p title="broken>x</p> y', '<p title="broken>x y'),
+        ("<p>a < b & c</p>", "a < b & c"), ("<textarea>no</textarea><noscript>no</noscript>yes", "yes"), ("<p title='a>b'>x</p>", "x"), ('<p title="broken>x</p> y', "x y"), ('Read <a title="he said>link</a> more.', "Read link more."),
         ("<article></article><p>outside</p>", "outside"), ("<main><p>m</p></main><p>o</p>", "m"),
     ],
 )
@@ -72,13 +72,13 @@ def host_pages(n):
 
 def test_constant_slots_become_template(spark):
     pages = host_pages(6)
-    template = frozenset(wrapper.induce(pages))
+    template = frozenset(wrapper.induce(pages)[0])
     assert template
     got = wrapper.extract(pages[2], template)
     assert "same desk" not in got and got.startswith("Title 2 word2") and "text text" in got
-    assert wrapper.induce(pages[:2]) == [] and wrapper.induce(pages[:1] * 5) == []
+    assert wrapper.induce(pages[:2]) == ([], []) and wrapper.induce(pages[:1] * 5) == ([], [])
     copies = [page(f"<article><p>{'long shared text ' * 30}</p><p>{i}</p></article>") for i in range(5)]
-    assert "long shared" in wrapper.extract(copies[0], frozenset(wrapper.induce(copies)))
+    assert "long shared" in wrapper.extract(copies[0], frozenset(wrapper.induce(copies)[0]))
 
 
 @pytest.mark.parametrize("bound", [1 << 24, 0])
@@ -91,13 +91,68 @@ def test_wrapper_counts_all_pages(spark, monkeypatch, bound):
     rows += [(f"http://copies.example/{i}", p) for i, p in enumerate(host_pages(3) + host_pages(1) * 60)]
     rows += [(f"http://h{h}.example/{i}", p) for h in range(20) for i, p in enumerate(host_pages(3))]
     df = spark.createDataFrame(rows, "url string, html string").select("url", "html", url_rules.host_of(queries.F.col("url")).alias("host"))
-    got = {r.host: r.template for r in wrapper.induce_wrappers(df).collect()}
+    got = {r.host: (r.template, r.content) for r in wrapper.induce_wrappers(df).collect()}
     assert len(got) == 22
-    for host, template in got.items():
-        assert template == wrapper.induce([p for u, p in rows if u.startswith(f"http://{host}/")]), host
-        assert "same desk" not in wrapper.extract(first[1], frozenset(template)), host
-    both = frozenset(got["two.example"])
-    assert "Call us" not in wrapper.extract(second[1], both) and "entry1 more" in wrapper.extract(second[1], both)
+    for host, (template, content) in got.items():
+        assert (template, content) == wrapper.induce([p for u, p in rows if u.startswith(f"http://{host}/")]) and content, host
+        assert "same desk" not in wrapper.extract(first[1], frozenset(template), frozenset(content)), host
+    both = tuple(map(frozenset, got["two.example"]))
+    assert "Call us" not in wrapper.extract(second[1], *both) and "entry1 more" in wrapper.extract(second[1], *both)
+
+
+def plain_page(i):
+    """A page without an article or a name that says what an element is: a title, a text, teasers, terms."""
+    teasers = "".join(f"<li><a href=/{i}{k}>Teaser {i} {k} of some length to read</a></li>" for k in range(8))
+    text = "".join(f"<p>{'word%d' % (i * 7 + k)} {'text ' * 30}{k}</p>" for k in range(2 + i % 3))
+    return f"<body><div class=x1><b>Shop</b></div><div class=x2><h1>Title {i}</h1><div class=x3>{text}</div></div><div class=x4><ul>{teasers}</ul><span>Seen {i * 13} times</span></div><div class=x5>All rights of this site</div></body>"
+
+
+def test_content_slot_is_learnt_without_articles(spark):
+    """The wrapper decides where the text is: no tag or class of these pages says it."""
+    pages = [plain_page(i) for i in range(8)]
+    alone = wrapper.extract(pages[3])
+    assert "Teaser" in alone and "All rights" in alone and "Shop" in alone
+    template, content = map(frozenset, wrapper.induce(pages))
+    assert len(content) == 1
+    for i, p in enumerate(pages):
+        got = wrapper.extract(p, template, content)
+        assert got.startswith(f"Title {i} word{i * 7} text") and not any(x in got for x in ("Teaser", "All rights", "Shop", "Seen"))
+        assert got.count("word") == 2 + i % 3
+    df = spark.createDataFrame([(i, f"http://plain.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrapper.extract_pages(df).collect()} == {i: wrapper.extract(p, template, content) for i, p in enumerate(pages)}
+    odd = "<body><section><p>another layout</p></section></body>"
+    assert wrapper.extract(odd, template, content) == "another layout"
+
+
+def brute_match(a, b):
+    """The largest match of two trees over all order-preserving choices of children."""
+    if a.sign != b.sign:
+        return 0
+    left, right = wrapper._children(a), wrapper._children(b)
+
+    def best(i, j):
+        if i == len(left) or j == len(right):
+            return 0
+        w = brute_match(left[i], right[j])
+        return max(best(i + 1, j), best(i, j + 1), best(i + 1, j + 1) + w)
+
+    return 1 + best(0, 0)
+
+
+def test_tree_matching_is_the_best_one():
+    import random
+
+    rng = random.Random(8)
+
+    def tree(depth):
+        node = wrapper.Node("x", rng.choice("ab") if depth else "r", False)
+        node.items = [tree(depth + 1) for _ in range(rng.randrange(4))] if depth < 3 else []
+        return node
+
+    for _ in range(150):
+        a, b = tree(0), tree(0)
+        size, pairs = wrapper.tree_match(a, b)
+        assert size == brute_match(a, b) == len(pairs) and all(x.sign == y.sign for x, y in pairs)
 
 
 @pytest.mark.parametrize("bound", [1 << 24, 0])
@@ -202,17 +257,20 @@ def test_urls(spark, sf):
     assert {r.verdict for r in url_rules.judge(df.filter("url is null")).collect()} == {"allow"}
 
 
-def test_mined_rules_match_counts(spark):
+@pytest.mark.parametrize("grown", [12, 0])
+def test_mined_rules_match_counts(spark, monkeypatch, grown):
+    monkeypatch.setattr(url_rules, "MAX_GROWN", grown)
     import itertools
     import random
 
     rng = random.Random(5)
     rows = [(sorted(rng.sample("abcdef", rng.randrange(1, 5))), rng.random()) for _ in range(300)]
     rows = [(t, "block" if ("a" in t and "b" in t) or ("c" in t and x < 0.3) else "allow") for t, x in rows]
+    rows += [(t + ["s"], "block") for t, v in rows[:20] if v == "block"]  # a token that always blocks
     got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8)
     want = {}
     for n in range(1, url_rules.MAX_TOKENS + 1):
-        for tokens in itertools.combinations("abcdef", n):
+        for tokens in itertools.combinations("abcdefs", n):
             hits = sum(set(tokens) <= set(t) and v == "block" for t, v in rows)
             of = sum(set(tokens) <= set(t) for t, _ in rows)
             if hits >= 0.02 * len(rows) and of and hits / of >= 0.8:
@@ -224,3 +282,15 @@ def test_mined_rules_match_counts(spark):
     for t, _ in rows:
         best = max((c for x, c in want.items() if set(x) <= set(t)), default=None)
         assert (index.best(t) or (None,))[0] == best
+
+
+def test_urls_of_many_tokens(spark):
+    """Twenty tokens a row have a million sets; those of up to four are counted."""
+    rows = [([f"t{i:02d}" for i in range(20)], "block")] * 30 + [([f"t{i:02d}" for i in range(20) if i != k], "allow") for k in range(4)]
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
+    want = {(f"t{i:02d}",): 30 / (33 if i < 4 else 34) for i in range(20)}
+    want |= {(f"t{i:02d}", f"t{j:02d}"): 30 / 32 for i in range(4) for j in range(i + 1, 4)}
+    want |= {tuple(f"t{i:02d}" for i in range(4) if i != k): 30 / 31 for k in range(4)}
+    want[tuple(f"t{i:02d}" for i in range(4))] = 1.0
+    assert {t: c for t, c, _ in got} == pytest.approx(want)
+    assert url_rules.mine(spark.createDataFrame(rows[30:], "tokens array<string>, verdict string")) == []

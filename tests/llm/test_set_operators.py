@@ -11,15 +11,19 @@ from barweave.llm import components, mixing, ngram_join, queries, topk
 
 
 def brute_top_k(rows, k, every=50):
-    clean = {}
+    """Every row is a candidate; of rows that repeat a query's id the smallest vector asks."""
+    clean = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            clean[i] = [int(np.floor(256.0 * float(np.float32(x)))) for x in v]
+            clean.append((i, [int(np.floor(256.0 * float(np.float32(x)))) for x in v]))
+    asks = {}
+    for i, v in clean:
+        if i % every == 0 and v:
+            asks[i] = min(v, asks.get(i, v))
     out = []
-    for q in sorted(clean):
-        if q % every == 0 and clean[q]:
-            scores = sorted((-sum(a * b for a, b in zip(clean[q], v)), i) for i, v in clean.items() if i != q and len(v) == len(clean[q]))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    for q, u in sorted(asks.items()):
+        scores = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in clean if i != q and len(v) == len(u))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return out
 
 
@@ -32,7 +36,9 @@ def test_top_k(spark, seed, monkeypatch):
     rows += [(1000 + i, [0.5, 0.5, 0.5]) for i in range(30)]  # ties
     rows += [(2000, None), (2050, [1.0, None, 2.0]), (2100, [float("nan"), 1.0, 1.0]), (2150, [float("inf"), 1.0, 1.0]), (2200, []), (None, [1.0, 2.0, 3.0]), (2250, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit("x"))
-    got = [tuple(r) for r in topk.search(df.unionByName(df.limit(7)), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    rows += rows[:7] + [(100, [9.0, 9.0, 9.0])]  # repeated rows, and a query of two vectors
+    df = df.unionByName(df.limit(7)).unionByName(df.sparkSession.createDataFrame(rows[-1:], "vec_id long, embedding array<float>"), allowMissingColumns=True)
+    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == brute_top_k(rows, 5)
 
 
@@ -103,6 +109,16 @@ def test_join_loses_no_link(spark, seed, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_multiplicities_never_count_too_little():
+    """Classes with several shingles on one place, met in several rows."""
+    rng = np.random.default_rng(4)
+    marks, places, rows = rng.integers(0, 6, 400), rng.integers(0, 9, 400), rng.integers(0, 5, 400)
+    found, counts = ngram_join._multiplicities(marks, places, rows)
+    for m, n in zip(found, counts):
+        assert n == sum(max(((marks == m) & (places == p) & (rows == r)).sum() for r in range(5)) for p in range(9))
+    assert len(ngram_join._multiplicities(marks[:0], places[:0], rows[:0])[0]) == 0
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([(1, "one text without a partner here"), (2, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in ngram_join.join(df).collect()) == [(1, 2, 1, 0), (2, 0, 2, 0)]
@@ -184,11 +200,14 @@ def test_mixing(spark, seed, monkeypatch):
     rows = [(i, " ".join("w" * 3 for _ in range(rng.randrange(30))), rng.choice(["en", "en", "de", None]), rng.choice(sources + ["x1"] * 6)) for i in range(160)]
     rows += [(None, "a b c", "en", "x1"), (None, "d e", "en", "x1"), (3, "again a b", rows[3][2], rows[3][3]), (900, None, "en", "x2"), (901, "  ", "fr", "q")]
     domain = lambda s: "(none)" if s is None else s[0]
-    df = spark.createDataFrame([(*r, "old", 5) for r in rows], "doc_id long, text string, lang string, source string, domain string, epoch int")
+    named = "doc_id long, text string, lang string, source string, domain string, epoch int, __epoch int, _id string, __salt int"
+    df = spark.createDataFrame([(*r, "old", 5, 6, "i", 7) for r in rows], named)
     got = mixing.mix(df, plan, F.substring("source", 1, 1))
     assert sorted(got.columns) == sorted([*df.columns, "tokens"])
     assert sorted(((r.doc_id, r.epoch) for r in got.collect()), key=str) == brute_mix(rows, plan, domain)
     assert mixing.mix(df.filter("false"), plan).count() == 0
+    whole = mixing.take(df, plan, F.substring("source", 1, 1))
+    assert whole.columns == df.columns and {(r["__epoch"], r["_id"], r["__salt"], r.epoch) for r in whole.collect()} == {(6, "i", 7, 5)}
 
 
 def test_word_counts(spark):

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barweave.llm import pieces, quality, queries, secret_scan, token_counts
 
@@ -53,6 +54,12 @@ def test_quality_edges(spark):
     got = quality.score(docs, quality.train(docs, labels)).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert [r.held_out for r in got if r.doc_id is None] == [True]
+    many = spark.createDataFrame([(i, t) for t in ("one", "two") for i in (1, 2) for _ in range(500)], "doc_id long, text string").withColumn("n_chars", F.lit(3))
+    trained = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "fit", lambda rows, labels: trained.append((len(rows), len(labels))))
+        quality.train(many, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert trained == [(2, 2)]  # one row an id, however often it is repeated
     none = quality.train(docs, labels.filter("false"))
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(docs.filter("false"), none).count() == 0
@@ -174,6 +181,52 @@ def test_folds_match_the_library(spark, sf, kind):
     assert got == {c: encoder.path(c) for c in chunks}
 
 
+def test_long_words_merge_by_heap():
+    import random
+    import time
+
+    encoder, sp = pieces.Encoder(pieces.load(MODEL)), library()
+    rng = random.Random(6)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "aé漢字x1=/+") for n in (65, 300, 2000)]
+    for w in [*words, "aaaa" * 40, "ing" * 50]:
+        assert encoder.encode(w).tolist() == sp.encode(w)
+    whole, began = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), time.process_time()
+    assert encoder.decode(encoder.encode(whole)) == whole and time.process_time() - began < 10
+
+
+def interval_brute(text):
+    """All spans of a text by the rules of ``with_spans``, pair by pair."""
+    text = text or ""
+    base = base_spans(text)
+    find = lambda p, k: [(m.start(), k, m.end()) for m in re.finditer(p, text, re.A)]
+    over = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    near = lambda a, b: a[0] < b[2] + secret_scan.SCOPE and b[0] < a[2] + secret_scan.SCOPE
+    fresh = lambda xs: [x for x in xs if not any(over(x, b) for b in base)]
+    of = lambda k: [b for b in base if b[1] == k]
+    ids, secrets, ends = (fresh(find(p, k)) for p, k in ((secret_scan.WEAK_ID, 3), (secret_scan.WEAK_SECRET, 4), (secret_scan.WEAK_ENDPOINT, 5)))
+    secrets = [w for w in secrets if any(near(w, i) for i in of(1) + ids) and not any(over(w, i) for i in ids)]
+    told = of(0) + of(2) + secrets
+    ends = [w for w in ends if any(near(w, i) for i in of(1) + ids) and any(near(w, x) for x in told)]
+    ids = [w for w in ids if any(near(w, x) for x in told)]
+    return sorted(base + ids + secrets + ends)
+
+
+def test_linked_spans_match_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    parts = ["AKIA" + "Q" * 16, "client_id=app-17", "user-id: 'bob@x'", "aB3" + "xY9/" * 8, "Zz9" * 9 + "==", "https://a.example/b?c", "postgres://h:1/d", "token = abcdefgh", "secret:xy", "0123456789abcdef" * 2, "é" * 30, "plain words here"]
+    texts = ["".join(rng.choice(parts) + " " * rng.choice((1, 2, 40, 150, 260)) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    texts.append("AKIA" + "Z" * 16 + " " + "aB3xY9/aB3xY9/aB3xY9/aB3x https://h/x " * 400)  # very many matches in one text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = 0
+    for r in secret_scan.report(docs).collect():
+        want = interval_brute(texts[r.doc_id])
+        assert r.spans == listed(want), texts[r.doc_id]
+        n += r.n_linked
+    assert n > 100
+
+
 def test_pieces_round_trip(spark, sf, monkeypatch):
     model, sp = pieces.load(MODEL), library()
     docs = odd_docs(spark).unionByName(spark.read.parquet(f"{sf}/documents.parquet").limit(50), allowMissingColumns=True)
