@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, stored
 
 #: The explicit rules, (verdict, host, path).
 RULES = (
@@ -27,10 +27,10 @@ RULES = (
 )
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-#: Longest antecedent.
+#: Longest antecedent: a parameter of the model.
 MAX_TOKENS = 4
-#: The model holds at most so many rules, those of the highest confidence, then support.
-MAX_RULES = 5000
+#: FP-growth builds the sets of all lengths of a row's tokens: up to so many it does.
+MAX_GROWN = 12
 BLOCK, ALLOW = "=block", "=allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ROW = "page_id long, host string, path string, rule string, verdict string, mined string, confidence double"
@@ -73,34 +73,79 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], float, float]]:
-    """Rules (tokens, confidence, support) for blocking from rows (tokens, verdict), by Spark's FP-growth.
+def _useful(labelled: DataFrame, least: float) -> DataFrame:
+    """(token, alone) of the tokens that a rule can have: those of enough blocked rows; ``alone``: it blocks by itself, always.
 
-    A rule is left out if a shorter one within it is as confident. No rows, or no blocked
-    rows, give no rules.
+    A rule's tokens are all in its blocked rows, so none is lost. A token that blocks always
+    is a rule, and any longer one with it would only repeat it.
     """
+    counts = labelled.select(F.explode("tokens").alias("token"), (F.col("verdict") == "block").cast("int").alias("hit"))
+    counts = counts.groupBy("token").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).filter(F.col("hits") >= least)
+    return counts.select("token", (F.col("hits") == F.col("n")).alias("alone"))
+
+
+def _grown(rows: DataFrame, least: float) -> DataFrame:
+    """(tokens, freq, hits) of the token sets of up to MAX_TOKENS with enough blocked rows, by Spark's FP-growth."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.select(F.array_union("tokens", F.array(F.when(F.col("verdict") == "block", BLOCK).otherwise(ALLOW))).alias("items"))
     total = rows.count()
-    if not total:
+    items = rows.select(F.array_union("tokens", F.array(F.when(F.col("hit") == 1, BLOCK).otherwise(ALLOW))).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least - 0.5, 0.5) / total), minConfidence=1.0).fit(items).freqItemsets
+    sets = sets.filter((F.size("items") <= MAX_TOKENS + 1) & ~F.array_contains("items", ALLOW))
+    hits = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("hits"))
+    plain = sets.filter(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("tokens"), "freq")
+    return hits.join(plain, "tokens").filter(F.col("hits") >= least)
+
+
+def _levelled(rows: DataFrame, least: float) -> DataFrame:
+    """The same sets, one length after the other: a row's sets of a length are its shorter frequent ones, each with a later token."""
+    at = rows.select(F.monotonically_increasing_id().alias("row"), F.array_sort("tokens").alias("all"), "hit")
+    at = stored(at)
+    found = None
+    now = at.select("row", "all", "hit", F.explode("all").alias("t")).select("row", "all", "hit", F.array("t").alias("tokens"))
+    for size in range(1, MAX_TOKENS + 1):
+        counted = stored(now.groupBy("tokens").agg(F.count("*").alias("freq"), F.sum("hit").alias("hits")).filter(F.col("hits") >= least))
+        found = counted if found is None else found.unionByName(counted)
+        if size < MAX_TOKENS:
+            kept = stored(now.join(counted.select("tokens"), "tokens", "left_semi"))
+            later = F.explode(F.filter("all", lambda t: t > F.element_at("tokens", -1)))
+            now = kept.select("row", "all", "hit", "tokens", later.alias("t")).select("row", "all", "hit", F.concat("tokens", F.array("t")).alias("tokens"))
+    return found
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], float, float]]:
+    """Rules (tokens, confidence, support) for blocking from rows (tokens, verdict), by Spark's FP-growth.
+
+    Rules have up to MAX_TOKENS tokens. One is left out if a shorter one within it is as
+    confident. Tokens that no rule can have are cut first; where a row still has more than
+    MAX_GROWN, whose sets of all lengths FP-growth would build, the sets are counted length by
+    length instead, with the same result. No rows, or no blocked rows, give no rules. What
+    comes to the driver is the model: rules that don't repeat each other, each in
+    ``min_support`` of the rows.
+    """
+    total = labelled.count()
+    least = max(1.0, min_support * total)
+    useful = stored(_useful(labelled, least))
+    if not useful.limit(1).count():
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    sets = model.freqItemsets.filter(F.size("items") <= MAX_TOKENS + 1)
-    # Confidence from the itemsets themselves: count with the verdict over count without.
-    with_block = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("hits"))
-    plain = sets.filter(~F.array_contains("items", BLOCK) & ~F.array_contains("items", ALLOW)).select(F.array_sort("items").alias("tokens"), "freq")
-    rules = with_block.join(plain, "tokens").withColumn("confidence", F.col("hits") / F.col("freq")).filter(F.col("confidence") >= min_confidence)
-    best = rules.orderBy(F.col("confidence").desc(), F.col("hits").desc(), F.size("tokens"), "tokens").limit(MAX_RULES).collect()
-    kept: dict[tuple[str, ...], float] = {}
-    out = []
-    for r in sorted(best, key=lambda r: (len(r["tokens"]), r["tokens"])):
-        tokens = tuple(r["tokens"])
-        inner = [tuple(t for i, t in enumerate(tokens) if mask >> i & 1) for mask in range(1, (1 << len(tokens)) - 1)]
-        if not any(kept.get(x, -1.0) >= r["confidence"] for x in inner):
-            kept[tokens] = r["confidence"]
-            out.append((tokens, float(r["confidence"]), r["hits"] / total))
-    return out
+    tokens = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("verdict") == "block").cast("int").alias("hit"))
+    told = tokens.select("row", "hit", F.explode("tokens").alias("token")).join(useful, "token")
+    single = told.filter("alone").groupBy(F.array("token").alias("tokens")).agg(F.count("*").alias("freq"), F.sum("hit").alias("hits"))
+    rows = stored(told.filter(~F.col("alone")).groupBy("row", "hit").agg(F.collect_set("token").alias("tokens")).select("tokens", "hit"))
+    widest = rows.agg(F.max(F.size("tokens"))).first()[0] or 0
+    sets = single
+    if widest:
+        made = _grown(rows, least) if widest <= MAX_GROWN else _levelled(rows, least)
+        sets = single.unionByName(made.select("tokens", "freq", "hits"))
+    rules = stored(sets.withColumn("confidence", F.col("hits") / F.col("freq")).filter(F.col("confidence") >= min_confidence).select("tokens", "hits", "confidence"))
+    # A rule's proper subsets, by the bits of a mask over its tokens.
+    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("tokens")) - 2).cast("int"))
+    inner = F.transform(masks, lambda m: F.filter(F.col("tokens"), lambda t, i: F.getbit(m, i) == 1))
+    parts = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode(inner).alias("part"))
+    shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("known"))
+    repeats = parts.join(shorter, "part").filter(F.col("known") >= F.col("confidence")).select("tokens").distinct()
+    kept = rules.join(repeats, "tokens", "left_anti").collect()
+    return sorted(((tuple(r["tokens"]), float(r["confidence"]), r["hits"] / total) for r in kept), key=lambda r: (len(r[0]), r[0]))
 
 
 class RuleIndex:
