@@ -1,8 +1,10 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Equal sets are one class, by digest; all that follows works on classes.
-2. A set can only link if 80 % of its shingles occur in another set. Shingles, packed by
-   hash bucket, are checked for that; the rest of the classes is done.
+2. A set can only link if 80 % of its shingles occur in another set. Of the shingles with a
+   small hash, the same ones for all sets, at most the fifth that may differ can then be
+   without another set. These, packed by hash bucket, are checked for that; the rest of the
+   classes is done.
 3. Candidates, by token-combination prefixes. Shingles are ordered rare class first, frequent
    class last. Two linked sets share, within their first p shingles, their first common
    one; if it is rare, it is a key of both. If it is frequent, so are all common ones, and
@@ -35,6 +37,8 @@ from .components import components
 WIDTH = 5
 PERCENT = 80
 GAP = 5
+#: Share of the hash range whose shingles are checked for occurrence in several sets.
+CHECKED = 0.45
 #: Shingles of a bucket that is checked for occurrence in several sets.
 BUCKET = 1_500_000
 #: Classes whose counts are added up in one task.
@@ -47,7 +51,7 @@ CHUNK = 2_000_000
 #: Bits of the filter by which a task skips texts that no class needs.
 FILTER_BITS = 23
 #: Sets of a tile: a 32nd of its cluster, within these.
-TILE = (128, 4096)
+TILE = (64, 4096)
 #: Clusters of more sets than this are split by sketches first, which have so many counters.
 LARGE = 64
 COUNTERS = 256
@@ -117,21 +121,47 @@ def need(n):
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, d, e): set size and digest of every row; nulls for the digest of an empty set."""
+    """(doc_id, n, c, d, e): size, checked shingles and digest of every row's set; nulls for the digest of an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             marks = [digest(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["doc_id", "n", "d", "e"]
-            )
+            columns = [[len(s) for s in sets], [len(checked(s)) for s in sets], [m[0] for m in marks], [m[1] for m in marks]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n", "c", "d", "e"])
 
-    return map_batches(docs, run, "doc_id long, n long, d long, e long")
+    return map_batches(docs, run, "doc_id long, n long, c long, d long, e long")
+
+
+def checked(tokens: np.ndarray) -> np.ndarray:
+    """The shingles that are checked for other sets: those with the highest bits below a bound, alike for all sets."""
+    return tokens[: np.searchsorted(tokens, np.uint64(int(CHECKED * 2.0**32) << 32))]
+
+
+def _multiplicities(marks: np.ndarray, places: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, shingles): for each class, its shingles at all places.
+
+    Different shingles of a class can fall on one place, and a class comes in several rows; it
+    has as many there as its fullest row, so none is counted too little.
+    """
+    order = np.lexsort((rows, places, marks))
+    marks, places, rows = marks[order], places[order], rows[order]
+    if not len(marks):
+        return marks, np.zeros(0, np.int64)
+    new_place = np.r_[True, (marks[1:] != marks[:-1]) | (places[1:] != places[:-1])]
+    starts = np.flatnonzero(new_place | np.r_[True, rows[1:] != rows[:-1]])
+    counts = np.diff(np.r_[starts, len(marks)])
+    most = np.maximum.reduceat(counts, np.flatnonzero(new_place[starts]))
+    found, place = np.unique(marks[new_place], return_inverse=True)
+    return found, np.bincount(place, most).astype(np.int64)
 
 
 def _shared_counts(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
-    """(d, shared): of each class, how many of its shingles another class has too (in a bucket's 32 bits; rarely more)."""
+    """(d, shared): of each class, how many of its checked shingles another class has too.
+
+    Shingles are compared by bucket and 32 bits: ``shared`` may be too large, never too small. A
+    class none of whose shingles was checked, or shared, is missing.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +169,12 @@ def _shared_counts(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text)
                 if len(tokens):
-                    seen[digest(tokens)[0]] = tokens
+                    seen[digest(tokens)[0]] = checked(tokens)
             if not seen:
                 continue
             tokens = np.concatenate(list(seen.values()))
             owner = np.repeat(np.arange(len(seen), dtype=np.int64), [len(t) for t in seen.values()])
-            bucket = ((tokens >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+            bucket = (_mixed(tokens) >> np.uint64(32)).astype(np.int64) * n_buckets >> 32
             order = np.argsort(bucket, kind="stable")
             tokens, owner, bucket = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order], bucket[order]
             marks = np.array(list(seen), np.int64)
@@ -153,24 +183,22 @@ def _shared_counts(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
             for b, at, to in zip(used, start, np.r_[start[1:], len(bucket)]):
                 who, counts = np.unique(owner[at:to], return_counts=True)
                 rows.append((int(b), marks[who].tobytes(), counts.astype(np.uint32).tobytes(), tokens[at:to].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "marks", "counts", "tokens"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "marks", "counts", "tokens"])
 
     def check(key: tuple, table: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         marks = np.repeat(joined("marks", np.int64), joined("counts", np.uint32))
         tokens = joined("tokens", np.uint32)
+        sizes = [len(t) // 4 for t in table.column("tokens").to_pylist()]
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(tokens, kind="stable")
-        tokens, marks = tokens[order], marks[order]
+        tokens, marks, rows = tokens[order], marks[order], rows[order]
         start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         low, high = np.minimum.reduceat(marks, start), np.maximum.reduceat(marks, start)
         size = np.diff(np.r_[start, len(tokens)])
         several = np.repeat(low != high, size)
-        # A class met in several batches comes several times; it counts its shingle once.
-        pairs = np.stack([marks[several], np.repeat(np.arange(len(start)), size)[several]], 1)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        if len(pairs):
-            pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]]
-        found, counts = np.unique(pairs[:, 0], return_counts=True)
+        found, counts = _multiplicities(marks[several], np.repeat(np.arange(len(start)), size)[several], rows[several])
         group = (found.view(np.uint64) % np.uint64(n_groups)).astype(np.int64)
         used = np.unique(group)
         blobs = [(found[group == g].tobytes(), counts[group == g].astype(np.uint32).tobytes()) for g in used]
@@ -409,11 +437,13 @@ def join(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = stored(_sized(texts))
     named = sized.filter(F.col("doc_id").isNotNull() & F.col("d").isNotNull())
-    classes = stored(named.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")))
-    total, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    classes = stored(named.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("c").alias("c"), F.count("*").alias("copies")))
+    total, n_classes = classes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     keyed = texts.filter(F.col("doc_id").isNotNull())
     shared = _shared_counts(keyed, max(1, -(-total // BUCKET)), max(1, -(-n_classes // GROUP)))
-    able = stored(classes.join(shared, "d").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("d", "e", "first", "copies"))
+    alone = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)  # so many shingles of a set that links may be without another set
+    able = classes.join(shared, "d", "left").filter(F.col("c") - F.coalesce("shared", F.lit(0)) <= alone)
+    able = stored(able.select("d", "e", "first", "copies"))
     sets = stored(_needed_sets(keyed, able).join(able.select("d", "copies"), "d"))
     checked = stored(_verified(sets, _split(sets, _clusters(sets, _frequent(sets)))))
     roots = components(checked.filter(F.col("node") != F.col("root")).select("node", "root"))
