@@ -115,10 +115,13 @@ def kama(x: np.ndarray, n: int, fast: int = 2, slow: int = 30) -> np.ndarray:
 
 
 def directional(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(+DI, -DI, DX, ADX) with Wilder sums of directional movement over Wilder's mean true range."""
+    """(+DI, -DI, DX, ADX) with Wilder sums of directional movement over Wilder's mean true range.
+
+    Without any movement there is no DX, and after a bar without one no ADX.
+    """
     size = len(c)
     out = [np.full(size, np.nan) for _ in range(4)]
-    if size < n + 1:
+    if size < n:
         return tuple(out)
     up, down = np.r_[0.0, np.diff(h)], np.r_[0.0, -np.diff(l)]
     plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
@@ -130,9 +133,10 @@ def directional(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int) -> tuple[np
         if t > 0:
             out[0][i], out[1][i] = 100 * p / t, 100 * m / t
             both = out[0][i] + out[1][i]
-            out[2][i] = 100 * abs(out[0][i] - out[1][i]) / both if both > 0 else 0.0
+            out[2][i] = 100 * abs(out[0][i] - out[1][i]) / both if both > 0 else np.nan
     if size >= 2 * n:
-        a = float(np.nanmean(out[2][n - 1 : 2 * n]))
+        known = out[2][n - 1 : 2 * n]
+        a = float(np.nanmean(known)) if np.isfinite(known).any() else np.nan
         out[3][2 * n - 1] = a
         for i in range(2 * n, size):
             a = (a * (n - 1) + out[2][i]) / n
@@ -195,14 +199,13 @@ def parabolic(h: np.ndarray, l: np.ndarray, step: float = 0.02, top: float = 0.2
 
 
 def fisher(h: np.ndarray, l: np.ndarray, n: int) -> np.ndarray:
-    """Fisher transform of the mid price's place in its n bar range; a flat range holds the state."""
+    """Fisher transform of the mid price's place between the last n highs and lows; a flat range holds the state."""
     mid = (h + l) / 2
     out = np.full(len(mid), np.nan)
     v = f = 0.0
     for i in range(n - 1, len(mid)):
-        w = mid[i - n + 1 : i + 1]
-        lo, hi = w.min(), w.max()
-        if not hi > lo:
+        lo, hi = np.fmin.reduce(l[i - n + 1 : i + 1]), np.fmax.reduce(h[i - n + 1 : i + 1])
+        if not hi > lo or mid[i] != mid[i]:
             continue
         v = min(0.999, max(-0.999, 0.66 * ((mid[i] - lo) / (hi - lo) - 0.5) + 0.67 * v))
         f = 0.5 * np.log((1 + v) / (1 - v)) + 0.5 * f

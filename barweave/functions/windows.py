@@ -143,7 +143,14 @@ def pearson(x: str | Column, y: str | Column) -> Column:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Double columns rounded, for results that are compared across engines; -0.0 becomes 0.0.
 
-    A thousandth of a step is added first, as engines differ on exact halves.
+    A thousandth of a step is added first, as engines differ on exact halves. Negative
+    ``digits`` are significant ones.
     """
     nudge = 3.14159265 * 10.0 ** -(digits + 3)
-    return df.select(*((F.round(F.col(c) + nudge, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+    def shown(c: str) -> Column:
+        if digits < 0:
+            return F.format_string(f"%.{-digits - 1}e", c).cast("double")
+        return F.round(F.col(c) + nudge, digits) + F.lit(0.0)
+
+    return df.select(*(F.when(F.col(c).isNotNull(), shown(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

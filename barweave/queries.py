@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import kernels
 from .functions.windows import change, lag, mean, nearest_quantiles, quintile, rounded, series
 from .operators import calendar, classify, features, indicators, labels, mining, quality, research
+from .oracles import indicator_sql
 from .sources import catalog, fixture, lake, providers
 from .streaming import bars as event_bars
 
@@ -612,47 +613,21 @@ def issue_resolve(spark, d):
     return quality.resolve_missing(first, found.filter(F.year("date") >= 1997), "prices_daily", _bars(spark, d)).select("issue_id", "resolved")
 
 
-# ---- indicators: each family's outputs, recomputed for the group it belongs to
+# ---- indicators: each family by itself
 
 
-def _family(group: str, ids: tuple[str, ...]):
+def _family(id: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return rounded(indicators.compute(_bars(spark, d), [group], list(ids)).drop(*indicators.BASE[2:]), _EXACT.get(ids[0], 6))
+        made = indicators.compute(_bars(spark, d), ids=[id]).drop(*indicators.BASE[2:])
+        return rounded(made, indicator_sql.digits(id))
 
-    run.__doc__ = f"Indicators {', '.join(ids)}."
+    run.__doc__ = f"The {id} indicators."
     return run
 
 
-#: Families whose values are single differences of prices: more digits, as halves are common at six.
-_EXACT = {"momentum": 8, "visual_chikou": 8}
-_GROUP_OF = {"linreg": "geometry", "zscore_percentile": "geometry"}
 for _spec in indicators.specs():
-    _QUERIES[f"ind_{_spec.id}"] = _family(_GROUP_OF.get(_spec.id, _spec.category), (_spec.id,))
-
-
-def _frame_sql(name: str, *columns: str, ns=(), extra: str = "", source: str = "adj") -> None:
-    windows = ", ".join([f"w AS {W}", *(f"w{n} AS (PARTITION BY security_id ORDER BY date ROWS {n - 1} PRECEDING)" for n in ns), *(f"p{n} AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in ns)])
-    _SQL[f"ind_{name}"] = f"WITH {BARS_SQL}{extra} SELECT security_id, date, {', '.join(columns)} FROM {source} WINDOW {windows}"
-
-
-def _g(f: str, c: str, n: int, w: str = "w") -> str:
-    return f"(CASE WHEN count({c}) OVER {w}{n} = {n} THEN {f}({c}) OVER {w}{n} END)"
-
-
-_frame_sql("roc", *(_r(f"ac / lag(ac, {n}) OVER w - 1 AS roc_{n}") for n in (5, 10, 20, 60, 120)))
-_frame_sql("momentum", *(_r(f"ac - lag(ac, {n}) OVER w AS mom_{n}", digits=8) for n in (5, 10, 20)))
-_frame_sql("close_vs_close", _r("ac / lag(ac, 26) OVER w - 1 AS close_vs_close_26"))
-_frame_sql("vwma", *(_r(f"(CASE WHEN count(ac * volume) OVER w{n} = {n} THEN sum(ac * volume) OVER w{n} END) / sum(volume) OVER w{n} AS vwma_{n}") for n in (10, 20, 50)), ns=(10, 20, 50))
-_frame_sql("williams_r", *(_r(f"-100 * ({_g('max', 'ah', n)} - ac) / ({_g('max', 'ah', n)} - {_g('min', 'al', n)}) AS williams_r_{n}") for n in (14, 28)), ns=(14, 28))
-_frame_sql("awesome_oscillator", _r(f"{_g('avg', '((ah + al) / 2)', 5)} - {_g('avg', '((ah + al) / 2)', 34)} AS awesome_oscillator"), ns=(5, 34))
-_frame_sql("dpo", _r(f"lag(ac, 11) OVER w - {_g('avg', 'ac', 20)} AS dpo_20"), ns=(20,))
-_frame_sql("volume_roc", *(_r(f"volume / lag(volume, {n}) OVER w - 1 AS volume_roc_{n}") for n in (10, 20)))
-_frame_sql("volume_sma", *(_r(f"{_g('avg', 'volume', n)} AS volume_sma_{n}") for n in (5, 10, 20, 60)), *(_r(f"volume / {_g('avg', 'volume', n, 'p')} AS volume_ratio_{n}") for n in (5, 20, 60)), ns=(5, 10, 20, 60))
-_frame_sql("donchian", *(x for n in (20, 55) for x in (
-    _r(f"{_g('max', 'ah', n)} AS donchian_{n}_upper", f"{_g('min', 'al', n)} AS donchian_{n}_lower", f"({_g('max', 'ah', n)} + {_g('min', 'al', n)}) / 2 AS donchian_{n}_mid", f"(ac - {_g('min', 'al', n)}) / ({_g('max', 'ah', n)} - {_g('min', 'al', n)}) AS donchian_{n}_pos"),
-    f"ac > {_g('max', 'ah', n, 'p')} AS donchian_{n}_breakout_up", f"ac < {_g('min', 'al', n, 'p')} AS donchian_{n}_breakout_down")), ns=(20, 55))
-_frame_sql("visual_chikou", _r("lead(ac, 26) OVER w AS visual_chikou_shifted", digits=8))
-_frame_sql("rolling_vwap", *(_r(f"sum((ah + al + ac) / 3 * volume) OVER w{n} / {_g('sum', 'volume', n)} AS rolling_vwap_{n}") for n in (20, 60)), ns=(20, 60))
+    _QUERIES[f"ind_{_spec.id}"] = _family(_spec.id)
+_SQL |= {f"ind_{name}": text for name, text in indicator_sql.sql(BARS_SQL).items()}
 
 # ---- mining
 
