@@ -209,6 +209,13 @@ def price_bucket(c: str = "raw_close") -> Column:
     return F.when(x < 1, "lt_1").when(x < 5, "1_to_5").when(x < 20, "5_to_20").when(x.isNotNull(), "ge_20")
 
 
+def price_bucket_floor(c: str = "raw_close") -> Column:
+    """The floors that a price reaches: all, raw_close_ge_1, _5 and _20."""
+    x = F.col(c)
+    names = [F.lit("all"), *(F.when(x >= k, F.lit(f"raw_close_ge_{k}")) for k in (1, 5, 20))]
+    return F.filter(F.array(*names), lambda n: n.isNotNull())
+
+
 def price_sensitivity(df: DataFrame, target: str) -> DataFrame:
     rows = df.filter(F.col(target).isNotNull()).withColumn("bucket", price_bucket()).filter(F.col("bucket").isNotNull())
     return rows.groupBy("bucket").agg(*summary(target), F.avg((F.abs(F.col(target)) > 0.5).cast("double")).alias("extreme_share"))

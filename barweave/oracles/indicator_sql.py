@@ -376,13 +376,21 @@ def _recursive() -> dict[str, Family]:
     return f
 
 
+def _families() -> dict[str, Family]:
+    return _windows() | _recursive()
+
+
+def table(name: str) -> str:
+    """A family's values as a select over the bars' tables, not rounded."""
+    chain, doubles, flags = _families()[name]
+    values = ", ".join(f"{e} AS {c}" for c, e in (doubles | flags).items())
+    return f"WITH {', '.join([BASE, *chain.ctes])} SELECT security_id, date, {values} FROM {chain.at}"
+
+
 def sql(bars: str) -> dict[str, str]:
     """The SQL of each family, given that of the bars."""
     out = {}
-    for name, (chain, doubles, flags) in (_windows() | _recursive()).items():
-        n = digits(name)
-        # Windows may not stand inside the rounding's argument together with plain columns of a later select: one select makes the values.
-        values = ", ".join(f"{e} AS {c}" for c, e in (doubles | flags).items())
-        shown = ", ".join([*(f"{_round(c, n)} AS {c}" for c in doubles), *flags])
-        out[name] = f"WITH {bars}, {', '.join([BASE, *chain.ctes])}, made AS (SELECT security_id, date, {values} FROM {chain.at}) SELECT security_id, date, {shown} FROM made"
+    for name, (_, doubles, flags) in _families().items():
+        shown = ", ".join([*(f"{_round(c, digits(name))} AS {c}" for c in doubles), *flags])
+        out[name] = f"WITH {bars}, made AS ({table(name)}) SELECT security_id, date, {shown} FROM made"
     return out

@@ -629,68 +629,7 @@ for _spec in indicators.specs():
     _QUERIES[f"ind_{_spec.id}"] = _family(_spec.id)
 _SQL |= {f"ind_{name}": text for name, text in indicator_sql.sql(BARS_SQL).items()}
 
-# ---- mining
-
-
-def _mining_frame(spark, d):
-    p = _light(spark, d)
-    made = [mining.State("ret_up", "T", "a", "ret_20d", "gt", 0.1), mining.State("ret_down", "T", "b", "ret_20d", "lt", -0.1), mining.State("above_ma", "T", "c", "ma_20_distance", "gt", 0.0), mining.State("busy", "V", "d", "volume_ratio_20d", "gt", 1.5)]
-    return p, made
-
-
-STATES_SQL = """+ st AS (SELECT security_id, date, forward_return_5d AS y, coalesce(ret_20d > 0.1, false) AS ret_up, coalesce(ret_20d < -0.1, false) AS ret_down, coalesce(ma_20_distance > 0, false) AS above_ma, coalesce(volume_ratio_20d > 1.5, false) AS busy FROM panel)"""
-
-
-@query(STATES_SQL + " SELECT security_id, date, ret_up, ret_down, above_ma, busy FROM st", panel=True)
-def states(spark, d):
-    """Named states of each bar."""
-    p, made = _mining_frame(spark, d)
-    return mining.apply_states(p, made).select("security_id", "date", *(s.name for s in made))
-
-
-@query(STATES_SQL + ", e AS (SELECT *, ret_up AND NOT coalesce(lag(ret_up) OVER (PARTITION BY security_id ORDER BY date), false) AS entry FROM st) SELECT security_id, date, entry, CASE WHEN ret_up THEN sum(entry::INT) OVER (PARTITION BY security_id ORDER BY date) END::BIGINT AS episode FROM e", panel=True)
-def entry_episode(spark, d):
-    """First rows of runs, and the runs' numbers."""
-    p, made = _mining_frame(spark, d)
-    return mining.with_entries(mining.apply_states(p, made), "ret_up").select("security_id", "date", F.col("__entry").alias("entry"), F.col("__episode").alias("episode"))
-
-
-@query(STATES_SQL + """, e AS (SELECT *, ret_up AND NOT coalesce(lag(ret_up) OVER w, false) AS entry, row_number() OVER w AS i FROM st WINDOW w AS (PARTITION BY security_id ORDER BY date)), en AS (SELECT security_id, i FROM e WHERE entry),
-k AS (WITH RECURSIVE r AS (SELECT security_id, min(i) AS i FROM en GROUP BY 1 UNION ALL SELECT r.security_id, (SELECT min(en.i) FROM en WHERE en.security_id = r.security_id AND en.i > r.i + 20) FROM r WHERE r.i IS NOT NULL) SELECT * FROM r WHERE i IS NOT NULL)
-SELECT security_id, date FROM e JOIN k USING (security_id, i)""", panel=True)
-def cooldown(spark, d):
-    """Entries that come more than 20 rows after the last kept one."""
-    p, made = _mining_frame(spark, d)
-    return mining.with_cooldown(mining.apply_states(p, made), "ret_up", 20).filter("__kept").select("security_id", "date")
-
-
-_HITS = STATES_SQL + """, h AS (SELECT security_id, date, y, unnest(list_filter([CASE WHEN ret_up THEN 'ret_up' END, CASE WHEN ret_down THEN 'ret_down' END, CASE WHEN above_ma THEN 'above_ma' END, CASE WHEN busy THEN 'busy' END,
-CASE WHEN ret_up AND ret_down THEN 'ret_up AND ret_down' END, CASE WHEN ret_up AND above_ma THEN 'ret_up AND above_ma' END, CASE WHEN ret_up AND busy THEN 'ret_up AND busy' END, CASE WHEN ret_down AND above_ma THEN 'ret_down AND above_ma' END, CASE WHEN ret_down AND busy THEN 'ret_down AND busy' END, CASE WHEN above_ma AND busy THEN 'above_ma AND busy' END], lambda x: x IS NOT NULL)) AS pattern FROM st WHERE y IS NOT NULL),
-base AS (SELECT date, avg(y) AS base FROM st WHERE y IS NOT NULL GROUP BY 1), dy AS (SELECT pattern, date, avg(y) AS day FROM h GROUP BY ALL), dd AS (SELECT pattern, avg(day) AS daily_mean, avg(day - base) AS baseline_diff FROM dy JOIN base USING (date) GROUP BY 1)"""
-
-
-@query(_HITS + f" SELECT pattern, count(*) AS n, count(DISTINCT date) AS n_dates, count(DISTINCT security_id) AS n_securities, {_r('avg(y) AS mean', 'median(y) AS median', 'avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio', 'any_value(daily_mean) AS daily_mean', 'any_value(baseline_diff) AS baseline_diff', digits=5)} FROM h JOIN dd USING (pattern) GROUP BY pattern", panel=True, digits=5)
-def pattern_scores(spark, d):
-    """Statistics of all states and pairs, in one aggregation."""
-    p, made = _mining_frame(spark, d)
-    return mining.score(p, made, "forward_return_5d").select("pattern", "n", "n_dates", "n_securities", "mean", "median", "positive_ratio", "daily_mean", "baseline_diff")
-
-
-@query()
-def pattern_discovery(spark, d):
-    """Supported patterns with p, q and selection on the development window."""
-    p, made = _mining_frame(spark, d)
-    dev = research.in_split(p, "development", DEV_START, DEV_END)
-    return mining.discover(dev, made, "forward_return_5d", mining.Support(50, 10, 5), lag=5)
-
-
-@query()
-def validation_eval(spark, d):
-    """Selected patterns on the later window."""
-    p, made = _mining_frame(spark, d)
-    dev, val = research.in_split(p, "development", DEV_START, DEV_END), research.in_split(p, "validation", DEV_START, DEV_END)
-    found = mining.discover(dev, made, "forward_return_5d", mining.Support(50, 10, 5, fdr=1.0), lag=5)
-    return mining.evaluate(found, val, made, "forward_return_5d", lag=5)
+# ---- mining: see mining_queries
 
 
 @query("""SELECT pattern, p, round(min(x) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 3.14159265e-9::DOUBLE, 6) + 0.0::DOUBLE AS q FROM (SELECT pattern, p, r, least(p * count(*) OVER () / r, 1.0) AS x FROM (SELECT CAST(n_nationkey AS VARCHAR) AS pattern, (n_nationkey * 7 % 25 + 1) / 30.0::DOUBLE AS p, row_number() OVER (ORDER BY n_nationkey * 7 % 25) AS r FROM nation))""".replace("pattern, p, round", "pattern, round(p + 3.14159265e-9::DOUBLE, 6) + 0.0::DOUBLE AS p, round"), bars=False)
@@ -701,57 +640,6 @@ def bh_fdr(spark, d):
     return mining.benjamini_hochberg(n.select(F.col(k).cast("string").alias("pattern"), ((F.col(k) * 7 % 25 + 1) / 30.0).alias("p")))
 
 
-@query(STATES_SQL + f" SELECT count(*) FILTER (ret_up AND busy) AS both, count(*) FILTER (ret_up OR busy) AS either, {_r('count(*) FILTER (ret_up AND busy)::DOUBLE / count(*) FILTER (ret_up OR busy) AS jaccard', 'count(*) FILTER (ret_up AND busy)::DOUBLE / count(*) FILTER (ret_up) AS b_given_a', 'count(*) FILTER (ret_up AND busy)::DOUBLE / count(*) FILTER (busy) AS a_given_b')}, false AS high_overlap FROM st", panel=True)
-def pair_overlap(spark, d):
-    """How two states overlap."""
-    p, made = _mining_frame(spark, d)
-    return mining.overlap(mining.apply_states(p, made), "ret_up", "busy")
-
-
-@query(STATES_SQL + ", x AS (SELECT * FROM st WHERE ret_up AND y IS NOT NULL), dl AS (SELECT date, avg(y) FILTER (busy) - avg(y) AS v FROM x GROUP BY 1) SELECT " + _r("(SELECT median(y) FILTER (busy) - median(y) FROM x) AS median_diff", "(SELECT avg(y) FILTER (busy) - avg(y) FROM x) AS winsor_diff", "(SELECT avg(v) FROM dl) AS daily_diff", digits=5), panel=True, digits=5)
-def incremental_vs_parent(spark, d):
-    """What a second state adds to the first."""
-    p, made = _mining_frame(spark, d)
-    return mining.incremental(mining.apply_states(p, made), "ret_up", "busy", "forward_return_5d").drop("diff_nw_t")
-
-
-@query(STATES_SQL + ", c AS (SELECT security_id, count(*) AS c FROM st WHERE ret_up GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_securities, " + _r("max(c)::DOUBLE / sum(c) AS top1_share", "(SELECT sum(c) FROM (SELECT c FROM c ORDER BY c DESC LIMIT 5))::DOUBLE / sum(c) AS top5_share") + " FROM c", panel=True)
-def security_concentration(spark, d):
-    """How concentrated a pattern is in few securities."""
-    p, made = _mining_frame(spark, d)
-    return mining.concentration(mining.apply_states(p, made), "ret_up")
-
-
-@query(STATES_SQL + ", b AS (SELECT year(date) AS year, count(*) AS n, avg(y) AS m, median(y) AS md FROM st WHERE ret_up AND y IS NOT NULL GROUP BY 1) SELECT CAST(g.year AS INTEGER) AS year, coalesce(n, 0) AS n, " + _r("m AS mean", "md AS median", digits=5) + " FROM range(1994, 2003) AS g(year) LEFT JOIN b ON b.year = g.year", panel=True, digits=5)
-def year_breakdown(spark, d):
-    """A pattern by year, empty years too."""
-    p, made = _mining_frame(spark, d)
-    return mining.by_year(mining.apply_states(p, made), "ret_up", "forward_return_5d", 1994, 2002)
-
-
-@query()
-def price_floor_audit(spark, d):
-    """A pattern by price floor."""
-    p, made = _mining_frame(spark, d)
-    return mining.floor_audit(mining.apply_states(p, made), "ret_up", "forward_return_5d")
-
-
-@query()
-def regime_audit(spark, d):
-    """A pattern by regime."""
-    p, made = _mining_frame(spark, d)
-    r = research.with_regimes(p, research.vix_terciles(research.in_split(p, "development", DEV_START, DEV_END)))
-    return mining.regime_audit(mining.apply_states(r, made), "ret_up", "forward_return_5d")
-
-
-@query(STATES_SQL + ", f AS (SELECT CAST(year(date) - 1998 AS INTEGER) AS fold, unnest(list_filter([CASE WHEN ret_up THEN 'ret_up' END, CASE WHEN ret_up AND busy THEN 'ret_up AND busy' END], lambda x: x IS NOT NULL)) AS pattern, y FROM st WHERE y IS NOT NULL AND year(date) BETWEEN 1998 AND 2000) SELECT fold, pattern, count(*) AS n, " + _r("median(y) AS median", digits=5) + " FROM f GROUP BY ALL", panel=True, digits=5)
-def walk_forward_folds(spark, d):
-    """Fixed patterns in each fold's evaluation year."""
-    p, made = _mining_frame(spark, d)
-    f = mining.folds(["1997-12-31", "1998-12-31", "1999-12-31"], DEV_START, "2000-12-31")
-    return mining.walk_forward(p, ["ret_up", "ret_up AND busy"], made, "forward_return_5d", f)
-
-
 # ---- event bars
 
 
@@ -771,8 +659,11 @@ def flagship(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import mining_queries  # noqa: F401, PLC0415: registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
