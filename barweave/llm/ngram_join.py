@@ -4,7 +4,7 @@
 2. A set can only link if 80 % of its shingles occur in another set. Of the shingles with a
    small hash, the same ones for all sets, at most the fifth that may differ can then be
    without another set. These, packed by hash bucket, are checked for that; the rest of the
-   classes is done.
+   classes is done. Those that are left are checked once more, with all their shingles.
 3. Candidates, by token-combination prefixes. Shingles are ordered rare class first, frequent
    class last. Two linked sets share, within their first p shingles, their first common
    one; if it is rare, it is a key of both. If it is frequent, so are all common ones, and
@@ -51,7 +51,7 @@ CHUNK = 2_000_000
 #: Bits of the filter by which a task skips texts that no class needs.
 FILTER_BITS = 23
 #: Sets of a tile: a 32nd of its cluster, within these.
-TILE = (64, 4096)
+TILE = (128, 4096)
 #: Clusters of more sets than this are split by sketches first, which have so many counters.
 LARGE = 64
 COUNTERS = 256
@@ -156,35 +156,64 @@ def _multiplicities(marks: np.ndarray, places: np.ndarray, rows: np.ndarray) ->
     return found, np.bincount(place, most).astype(np.int64)
 
 
-def _shared_counts(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
-    """(d, shared): of each class, how many of its checked shingles another class has too.
+def _packed(sets: dict[int, np.ndarray], n_buckets: int) -> pa.RecordBatch | None:
+    """(bucket, marks, counts, tokens): shingles of several classes by bucket of their hash, one row a bucket, 32 bits each."""
+    tokens = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+    if not len(tokens):
+        return None
+    owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(t) for t in sets.values()])
+    bucket = (_mixed(tokens) >> np.uint64(32)).astype(np.int64) * n_buckets >> 32
+    order = np.argsort(bucket, kind="stable")
+    tokens, owner, bucket = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order], bucket[order]
+    marks = np.array(list(sets), np.int64)
+    used, start = np.unique(bucket, return_index=True)
+    rows = []
+    for b, at, to in zip(used, start, np.r_[start[1:], len(bucket)]):
+        who, counts = np.unique(owner[at:to], return_counts=True)
+        rows.append((int(b), marks[who].tobytes(), counts.astype(np.uint32).tobytes(), tokens[at:to].tobytes()))
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "marks", "counts", "tokens"])
 
-    Shingles are compared by bucket and 32 bits: ``shared`` may be too large, never too small. A
-    class none of whose shingles was checked, or shared, is missing.
-    """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PACKED = "bucket long, marks binary, counts binary, tokens binary"
+
+
+def _packed_texts(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """The checked shingles of all texts, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, np.ndarray] = {}
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text)
                 if len(tokens):
                     seen[digest(tokens)[0]] = checked(tokens)
-            if not seen:
-                continue
-            tokens = np.concatenate(list(seen.values()))
-            owner = np.repeat(np.arange(len(seen), dtype=np.int64), [len(t) for t in seen.values()])
-            bucket = (_mixed(tokens) >> np.uint64(32)).astype(np.int64) * n_buckets >> 32
-            order = np.argsort(bucket, kind="stable")
-            tokens, owner, bucket = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order], bucket[order]
-            marks = np.array(list(seen), np.int64)
-            used, start = np.unique(bucket, return_index=True)
-            rows = []
-            for b, at, to in zip(used, start, np.r_[start[1:], len(bucket)]):
-                who, counts = np.unique(owner[at:to], return_counts=True)
-                rows.append((int(b), marks[who].tobytes(), counts.astype(np.uint32).tobytes(), tokens[at:to].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "marks", "counts", "tokens"])
+            made = _packed(seen, n_buckets)
+            if made is not None:
+                yield made
+
+    return map_batches(docs, run, _PACKED)
+
+
+def _packed_sets(sets: DataFrame, n_buckets: int) -> DataFrame:
+    """All shingles of the given sets (d, tokens), packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = {d: np.frombuffer(t, np.uint64) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+            made = _packed(held, n_buckets)
+            if made is not None:
+                yield made
+
+    return map_batches(sets.select("d", "tokens"), run, _PACKED)
+
+
+def _shared_counts(packed: DataFrame, n_groups: int) -> DataFrame:
+    """(d, shared): of each class, how many of its packed shingles another class has too.
+
+    Shingles are compared by bucket and 32 bits: ``shared`` may be too large, never too small. A
+    class that shares none is missing.
+    """
 
     def check(key: tuple, table: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -210,7 +239,6 @@ def _shared_counts(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
         found, place = np.unique(marks, return_inverse=True)
         return pa.table({"d": pa.array(found, pa.int64()), "shared": pa.array(np.bincount(place, counts).astype(np.int64), pa.int64())})
 
-    packed = map_batches(docs, pack, "bucket long, marks binary, counts binary, tokens binary")
     parts = packed.groupBy("bucket").applyInArrow(check, "part long, marks binary, counts binary")
     return parts.groupBy("part").applyInArrow(add, "d long, shared long")
 
@@ -244,6 +272,14 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.join(classes.select("d", "e", "first"), ["d", "e", "first"]).groupBy("d").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
+def _only_shared(sets: DataFrame) -> DataFrame:
+    """The sets whose shingles, all of them, are to 80 % in another of the sets: they are few by now, so the whole check is small."""
+    total, n = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shared = _shared_counts(_packed_sets(sets, max(1, -(-total // BUCKET))), max(1, -(-n // GROUP)))
+    fit = stored(sets.select("d", "n").join(shared, "d").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("d"))
+    return stored(sets.join(fit, "d"))
+
+
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Counts of a set's shingles by hash. Two sets share at most the sum of the smaller counts."""
     return np.bincount(((tokens >> np.uint64(20)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint16 if len(tokens) < 65536 else np.uint32)
@@ -440,11 +476,11 @@ def join(docs: DataFrame) -> DataFrame:
     classes = stored(named.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("c").alias("c"), F.count("*").alias("copies")))
     total, n_classes = classes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     keyed = texts.filter(F.col("doc_id").isNotNull())
-    shared = _shared_counts(keyed, max(1, -(-total // BUCKET)), max(1, -(-n_classes // GROUP)))
+    shared = _shared_counts(_packed_texts(keyed, max(1, -(-total // BUCKET))), max(1, -(-n_classes // GROUP)))
     alone = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)  # so many shingles of a set that links may be without another set
     able = classes.join(shared, "d", "left").filter(F.col("c") - F.coalesce("shared", F.lit(0)) <= alone)
     able = stored(able.select("d", "e", "first", "copies"))
-    sets = stored(_needed_sets(keyed, able).join(able.select("d", "copies"), "d"))
+    sets = _only_shared(stored(_needed_sets(keyed, able).join(able.select("d", "copies"), "d")))
     checked = stored(_verified(sets, _split(sets, _clusters(sets, _frequent(sets)))))
     roots = components(checked.filter(F.col("node") != F.col("root")).select("node", "root"))
     linked = checked.groupBy(F.col("node").alias("d")).agg(F.sum("links").alias("links"))
