@@ -112,24 +112,34 @@ def quintile(c: str, by: list[str]) -> Column:
 def nearest_quantiles(df: DataFrame, value: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles of non-null values by nearest rank, round((n - 1) * q), columns q0, q1, ...
 
-    Counts by value are taken first, so what is ordered is the distinct values. Without ``by``
-    the running counts are taken in two levels (range partitions, then offsets), so no task
-    sees all values.
+    Counts by value are taken first, so what is ordered is the distinct values. Running counts
+    are taken in two levels (ranges of group and value, then offsets of the ranges), so no task
+    sees all values, nor all of a group.
     """
     by = by or []
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(value)
-        placed = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    else:
-        ranged = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
-        sums = ranged.groupBy("part").agg(F.sum("n").alias("s"))
-        offsets = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("s").over(Window.partitionBy()))
-        local = Window.partitionBy("part").orderBy(value)
-        placed = ranged.withColumn("in_part", F.sum("n").over(local)).join(F.broadcast(offsets), "part").withColumn("upto", F.col("in_part") + F.col("before"))
+    ranged = counts.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id())
+    sums = ranged.groupBy(*by, "part").agg(F.sum("n").alias("s"))
+    group = Window.partitionBy(*by)
+    before = F.sum("s").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("all", F.sum("s").over(group)).drop("s")
+    local = Window.partitionBy(*by, "part").orderBy(value)
+    placed = ranged.withColumn("in_part", F.sum("n").over(local)).join(F.broadcast(offsets), [*by, "part"])
+    placed = placed.withColumn("upto", F.col("in_part") + F.col("before"))
     at = lambda q: F.floor((F.col("all") - 1) * F.lit(float(q)) + 0.5) + 1
-    picks = [F.max(F.when((F.col("upto") >= at(q)) & (F.col("upto") - F.col("n") < at(q)), F.col(value))).alias(f"q{i}") for i, q in enumerate(quantiles)]
-    return placed.groupBy(*by).agg(*picks)
+    hit = lambda q: (F.col("upto") >= at(q)) & (F.col("upto") - F.col("n") < at(q))
+    return placed.groupBy(*by).agg(*(F.max(F.when(hit(q), F.col(value))).alias(f"q{i}") for i, q in enumerate(quantiles)))
+
+
+def top_rows(df: DataFrame, value: str, k: int, ties: list[str]) -> DataFrame:
+    """The k rows of the largest values, equal ones by ``ties``: by the k-th value, so only rows that tie with it are sorted."""
+    known = df.filter(F.col(value).isNotNull())
+    n = known.count()
+    if k >= n:
+        return known
+    cut = nearest_quantiles(known, value, [(n - k) / max(1, n - 1)]).first()["q0"]
+    above = known.filter(F.col(value) > cut)
+    return above.unionByName(known.filter(F.col(value) == cut).orderBy(*ties).limit(k - above.count()))
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import change
 from .features import VALUES as FEATURES
-from .features import at_least
+from .features import at_least, ohlc_valid
 from .labels import VALUES as LABELS
 
 CRITICAL, WARNING, INFO = "critical", "warning", "info"
@@ -163,18 +163,105 @@ def resolve_missing(stored: DataFrame, found: DataFrame, dataset: str, scope: Da
     return joined.withColumn("resolved", F.col("resolved") | gone).select(*stored.columns)
 
 
-def ohlc_audit(prices: DataFrame) -> DataFrame:
-    """How each security's broken bars split by kind: (security_id, rows, inconsistent, tolerated)."""
-    issues = ohlc_consistency(prices).groupBy("security_id", "date").agg(F.max((F.col("severity") == CRITICAL).cast("int")).alias("bad"))
-    rows = prices.groupBy("security_id").agg(F.count("*").alias("rows"))
-    counts = issues.groupBy("security_id").agg(F.sum("bad").alias("inconsistent"), F.sum(1 - F.col("bad")).alias("tolerated"))
-    return rows.join(counts, "security_id", "left").select("security_id", "rows", F.coalesce("inconsistent", F.lit(0)).alias("inconsistent"), F.coalesce("tolerated", F.lit(0)).alias("tolerated"))
-
-
-def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame, column: str = "forward_return_10d", limit: float = 2.0, days: int = 5) -> DataFrame:
-    """Extreme labels with what may explain them: a corporate action within ``days`` of the date, a low price, or nothing."""
-    rows = labels.filter(F.abs(F.col(column)) > limit).select("security_id", "date", F.col(column).alias("value"))
-    near = rows.join(actions.select("security_id", "effective_date"), "security_id").filter(F.abs(F.datediff("date", "effective_date")) <= days).select("security_id", "date").distinct().withColumn("near", F.lit(True))
-    found = rows.join(near, ["security_id", "date"], "left").join(prices.select("security_id", "date", "close"), ["security_id", "date"], "left")
-    kind = F.when(F.col("near").isNotNull(), "NEAR_CORPORATE_ACTION").when(F.col("close").isNull(), "PRICE_MISSING").when(F.col("close") < 1, "LOW_PRICE").otherwise("UNEXPLAINED")
-    return found.select("security_id", "date", "value", "close", kind.alias("explanation"))
+def resolve_out_of_scope(stored: DataFrame, scope: DataFrame, dataset: str, kind: str = "MISSING_RECENT_DATA") -> DataFrame:
+    """Open issues of a kind become resolved for securities that are no longer in scope."""
+    inside = scope.select("security_id").distinct().withColumn("__inside", F.lit(True))
+    gone = (F.col("dataset") == dataset) & (F.col("issue_type") == kind) & F.col("__inside").isNull() & ~F.col("resolved")
+    return stored.join(inside, "security_id", "left").withColumn("resolved", F.col("resolved") | gone).select(*stored.columns)
+
+
+def scoped(df: DataFrame, scope: DataFrame | list[str] | None) -> DataFrame:
+    """Rows of the securities in scope: a table of ids, a list, or None for all."""
+    if scope is None:
+        return df
+    if isinstance(scope, list):
+        return df.filter(F.col("security_id").isin(scope))
+    return df.join(scope.select("security_id").distinct(), "security_id", "left_semi")
+
+
+def severities(issues: DataFrame) -> DataFrame:
+    """(issues, critical, warning, info): what a validation reports."""
+    of = lambda s: F.count_if(F.col("severity") == s)
+    return issues.agg(F.count("*").alias("issues"), of(CRITICAL).alias("critical"), of(WARNING).alias("warning"), of(INFO).alias("info"))
+
+
+def _with_class(df: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``df`` with the security's class (AMBIGUOUS without one) and whether it is a common equity of the research universe."""
+    known = classes.select("security_id", "instrument_class")
+    inside = members.select("security_id").distinct().withColumn("__member", F.lit(True))
+    out = df.join(known, "security_id", "left").join(inside, "security_id", "left")
+    out = out.withColumn("instrument_class", F.coalesce("instrument_class", F.lit("AMBIGUOUS")))
+    return out.withColumn("in_research", F.col("__member").isNotNull() & (F.col("instrument_class") == "COMMON_EQUITY")).drop("__member")
+
+
+def ohlc_audit(prices: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(rows_checked, rounding_only, true_ohlc_violations, research_critical, non_common_critical, research_critical_securities).
+
+    Contradictions within rounding are told from true ones, and those of the research universe's
+    common equities from all others.
+    """
+    issues = _with_class(ohlc_consistency(prices), classes, members)
+    true = F.col("severity") == CRITICAL
+    counts = issues.agg(
+        F.count_if(F.col("issue_type") == "OHLC_ROUNDING_TOLERANCE").alias("rounding_only"), F.count_if(true).alias("true_ohlc_violations"),
+        F.count_if(true & F.col("in_research")).alias("research_critical"), F.count_if(true & ~F.col("in_research")).alias("non_common_critical"),
+        F.countDistinct(F.when(true & F.col("in_research"), F.col("security_id"))).alias("research_critical_securities"),
+    )
+    return prices.agg(F.count("*").alias("rows_checked")).crossJoin(counts)
+
+
+# Causes of extreme labels.
+EXTREME_MARKET, NON_COMMON, ADJUSTMENT, BAD_DATA, UNEXPLAINED = (
+    "A_EXTREME_MARKET", "B_NON_COMMON_INSTRUMENT", "C_ADJUSTMENT_ARTIFACT", "D_PROVIDER_BAD_DATA", "E_UNEXPLAINED",
+)
+NEAR_DAYS, ADJUSTED_JUMP, RAW_STABLE = 5, 2.0, 0.5
+
+
+def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame, classes: DataFrame, members: DataFrame, limit: float = 2.0) -> DataFrame:
+    """One row an extreme label, of all label columns: (security_id, date, horizon, value, instrument_class, near_action, adjusted_jump, cause, in_research).
+
+    The cause is the first that holds: not a common equity or fund; the adjusted close jumped
+    while the raw one was stable (an artefact near an action or split, bad data elsewhere); a
+    bar that contradicts itself; a real move; or unexplained without a bar. An action is near
+    within NEAR_DAYS calendar days. Labels are few, so bars and actions are looked up for
+    their securities and dates only.
+    """
+    columns = F.array(*(F.struct(F.lit(c).alias("horizon"), F.col(c).alias("value")) for c in LABELS))
+    rows = labels.select("security_id", "date", F.explode(columns).alias("x")).select("security_id", "date", "x.*").filter(F.abs("value") > limit)
+    days = rows.select("security_id", "date").distinct()
+    near = days.join(actions.select("security_id", "effective_date").distinct(), "security_id")
+    near = near.filter(F.abs(F.datediff("date", "effective_date")) <= NEAR_DAYS).select("security_id", "date").distinct().withColumn("__near", F.lit(True))
+    by = Window.partitionBy("security_id").orderBy("date")
+    moved = {f"__{n}": change(c, F.lag(c).over(by)) for n, c in (("adj", "adj_close"), ("raw", "close"))}
+    complete = F.lit(True)
+    for c in ("open", "high", "low", "close"):
+        complete = complete & F.col(c).isNotNull()
+    of = prices.join(days.select("security_id").distinct(), "security_id", "left_semi").withColumns(moved)
+    split = ~F.coalesce(F.col("stock_split"), F.lit(0.0)).isin(0.0, 1.0)
+    of = of.select("security_id", "date", "__adj", "__raw", split.alias("__split"), (complete & ohlc_valid()).alias("__ok"), F.lit(True).alias("__bar"))
+    found = rows.join(near, ["security_id", "date"], "left").join(of, ["security_id", "date"], "left")
+    found = _with_class(found, classes, members)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    near_action, jump = yes(F.col("__near")) | yes(F.col("__split")), yes(F.abs("__adj") > ADJUSTED_JUMP)
+    artefact = jump & yes(F.abs("__raw") < RAW_STABLE)
+    cause = (
+        F.when(~F.col("instrument_class").isin("COMMON_EQUITY", "ETF"), NON_COMMON)
+        .when(artefact, F.when(near_action, ADJUSTMENT).otherwise(BAD_DATA))
+        .when(F.col("__bar").isNotNull(), F.when(F.col("__ok"), EXTREME_MARKET).otherwise(BAD_DATA))
+        .otherwise(UNEXPLAINED)
+    )
+    made = found.withColumns({"near_action": near_action, "adjusted_jump": jump, "cause": cause})
+    return made.select("security_id", "date", "horizon", "value", "instrument_class", "near_action", "adjusted_jump", "cause", "in_research")
+
+
+def extreme_label_report(audit: DataFrame, k: int = 30) -> dict[str, DataFrame]:
+    """Counts by security, class, horizon, cause and date, the largest and smallest values, and rows of the research universe without a good cause."""
+    count = lambda c: audit.groupBy(c).agg(F.count("*").alias("n"))
+    suspect = F.col("in_research") & F.col("cause").isin(ADJUSTMENT, BAD_DATA, UNEXPLAINED)
+    ends = ["security_id", "date", "horizon"]
+    return {
+        "by_security": count("security_id"), "by_class": count("instrument_class"), "by_horizon": count("horizon"), "by_cause": count("cause"),
+        "by_date": count("date").orderBy(F.col("n").desc(), "date").limit(k), "research_unexplained": audit.filter(suspect),
+        "largest_positive": audit.orderBy(F.col("value").desc(), *ends).limit(k),
+        "largest_negative": audit.filter(F.col("value") < 0).orderBy("value", *ends).limit(k),
+    }

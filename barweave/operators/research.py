@@ -12,12 +12,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, div, nearest_quantiles, pearson, quintile
+from ..functions.windows import average_rank, div, nearest_quantiles, pearson, quintile, top_rows
 
 SUBSETS = ("all", "ge_1", "ge_5", "ge_20", "lt_1", "1_to_5", "5_to_20", "ge_20_bucket")
 PROFILE = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
+def research_daily(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every feature row with the labels of its security and date, where there are any.
+
+    Versions aren't part of the key: two versions of a label give two rows.
+    """
+    from .features import VALUES as FEATURES
+    from .labels import VALUES as LABELS
+
+    right = labels.select("security_id", "date", "label_version", *LABELS)
+    left = features.select("security_id", F.col("ticker_at_time").alias("ticker"), "date", "feature_version", *FEATURES)
+    return left.join(right, ["security_id", "date"], "left").select(*left.columns, "label_version", *LABELS)
+
+
 def panel(features: DataFrame, labels: DataFrame, members: DataFrame, classes: DataFrame, prices: DataFrame, issues: DataFrame, universe: str, wanted: tuple[str, ...] = ("COMMON_EQUITY",)) -> DataFrame:
     """The research view: features with labels of a universe's members of the wanted classes, with raw close and a validity flag."""
     inside = members.filter(F.col("universe_name") == universe).select("security_id").distinct()
@@ -239,17 +252,90 @@ def overlay(df: DataFrame, features: list[str], target: str) -> dict[str, DataFr
     return {"sizes": sizes, "baseline": base, "ic": rank_ic(ranks, features, target, ["price_subset"]), "spread": spread.groupBy("price_subset", "feature").agg((side(5) - side(1)).alias("mean_spread"))}
 
 
+def _by_bucket(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("bucket").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.col("bucket").alias("key"), "n")
+
+
+def _most(rows: DataFrame, name: str, key: str, k: int = 15) -> DataFrame:
+    """The k most frequent keys, with their share of all rows."""
+    counted = rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    top = counted.orderBy(F.col("n").desc(), "key").limit(k).crossJoin(total)
+    return top.select(F.lit(name).alias("table"), "key", "n", F.try_divide("n", "total").alias("share"))
+
+
 def low_price_concentration(df: DataFrame, target: str) -> DataFrame:
-    """(table, key, n, share): rows by price bucket, outcomes above 2 by bucket, and the top 1 % and 0.1 % by bucket."""
+    """(table, key, n, share): rows by price bucket, outcomes above 2 by bucket, the top 1 % and 0.1 % by bucket, and their top 15 securities and dates."""
     rows = df.filter(F.col(target).isNotNull()).withColumn("bucket", F.coalesce(price_bucket(), F.lit("unknown")))
+    rows = rows.select("security_id", "date", "bucket", target)
     total = rows.count()
-    parts = [("rows", rows), ("above_2", rows.filter(F.abs(F.col(target)) > 2))]
-    for name, f in (("top_1pct", 0.01), ("top_01pct", 0.001)):
-        k = max(1, round(total * f))  # as Python rounds
-        parts.append((name, rows.orderBy(F.col(target).desc(), "security_id", "date").limit(k)))
-    counted = [x.groupBy("bucket").agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), F.col("bucket").alias("key"), "n") for n, x in parts]
-    out = reduce(DataFrame.unionByName, counted)
-    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("table")))
+    tails = {name: top_rows(rows, target, max(1, round(total * f)), ["security_id", "date"]) for name, f in (("top_1pct", 0.01), ("top_01pct", 0.001))}
+    parts = [_by_bucket(rows, "rows"), _by_bucket(rows.filter(F.abs(F.col(target)) > 2), "above_2"), *(_by_bucket(x, n) for n, x in tails.items())]
+    out = reduce(DataFrame.unionByName, parts)
+    out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("table")))
+    for name, x in tails.items():
+        out = out.unionByName(_most(x, f"ticker_{name}", "security_id")).unionByName(_most(x, f"date_{name}", "date"))
+    return out
+
+
+def excess_name(target: str) -> str:
+    """The excess outcome of a target; its own name for an excess."""
+    return target.replace("forward_return_", "forward_excess_spy_", 1) if target.startswith("forward_return_") else target
+
+
+def horizon(target: Column) -> Column:
+    """The sessions that a target's name ends with."""
+    return F.try_to_number(F.regexp_extract(target, r"_(\d+)d$", 1), F.lit("999")).cast("int")
+
+
+def _robust(rows: DataFrame, by: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """Statistics of (by..., target, value, excess, date): plain, trimmed and winsorised means, exact nearest quartiles, shares above zero."""
+    low, high = _per_target(bounds, 0) if bounds else F.lit(None).cast("double"), _per_target(bounds, 1) if bounds else F.lit(None).cast("double")
+    v, bounded = F.col("value"), low.isNotNull()
+    inside = F.when(bounded & (v >= low) & (v <= high), v)
+    winsor = F.when(bounded, F.least(F.greatest(v, low), high))
+    keys = [*by, "target"]
+    flat = rows.groupBy(*keys).agg(
+        F.count("*").alias("sample_count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.avg(inside).alias("trimmed_mean_1pct"),
+        F.avg(winsor).alias("winsorized_mean_1pct"), F.avg((v > 0).cast("double")).alias("positive_ratio"),
+        F.avg((F.col("excess") > 0).cast("double")).alias("excess_positive_ratio"), F.stddev_samp(v).alias("std"),
+        F.try_divide(F.avg(v), F.stddev_samp(v) / F.sqrt(F.count(v))).alias("tstat"),
+    )
+    quartiles = nearest_quantiles(rows, "value", [0.25, 0.75], keys).withColumnsRenamed({"q0": "p25", "q1": "p75"})
+    return flat.join(quartiles, keys).withColumn("horizon", horizon(F.col("target")))
+
+
+def _outcomes(df: DataFrame, targets: list[str], keep: list[str]) -> DataFrame:
+    """(keep..., target, value, excess): one row a known outcome, with the excess that goes with it."""
+    of = lambda t: F.col(excess_name(t)) if excess_name(t) in df.columns else F.lit(None).cast("double")
+    rows = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).alias("value"), of(t).alias("excess")) for t in targets)))
+    return df.select(*keep, rows.alias("__x")).select(*keep, "__x.*").filter(F.col("value").isNotNull())
+
+
+def robust_baseline(df: DataFrame, targets: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """(target, horizon, distinct_dates, ...): robust statistics of each target; dates are those of the whole window."""
+    dates = df.agg(F.countDistinct("date").alias("distinct_dates"))
+    return _robust(_outcomes(df, targets, ["date"]), [], bounds).crossJoin(F.broadcast(dates))
+
+
+def robust_quantiles(df: DataFrame, features: list[str], targets: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """(feature, quintile, target, horizon, distinct_dates, sample_status, ...): a long table of robust statistics."""
+    wanted = list(dict.fromkeys([*targets, *(excess_name(t) for t in targets if excess_name(t) in df.columns)]))
+    rows = with_quintiles(df, features, wanted)
+    dates = rows.groupBy("feature", "quintile").agg(F.countDistinct("date").alias("distinct_dates"))
+    made = _robust(_outcomes(rows.drop("value"), targets, ["feature", "quintile", "date"]), ["feature", "quintile"], bounds)
+    out = made.join(F.broadcast(dates), ["feature", "quintile"])
+    return out.withColumn("sample_status", sample_status(F.col("sample_count"), F.col("distinct_dates")))
+
+
+def robust_spreads(quantiles: DataFrame) -> DataFrame:
+    """(feature, target, horizon, q1_n, q5_n, raw_mean_spread, median_spread, winsorized_mean_spread) between the outer quintiles."""
+    pick = lambda c, q: F.max(F.when(F.col("quintile") == q, F.col(c)))
+    names = {"mean": "raw_mean_spread", "median": "median_spread", "winsorized_mean_1pct": "winsorized_mean_spread"}
+    made = [pick("sample_count", 1).alias("q1_n"), pick("sample_count", 5).alias("q5_n")]
+    made += [(pick(c, 5) - pick(c, 1)).alias(n) for c, n in names.items()]
+    out = quantiles.groupBy("feature", "target", "horizon").agg(*made)
+    return out.filter(F.col("q1_n").isNotNull() & F.col("q5_n").isNotNull())
 
 
 def feature_summary(ic_dev: DataFrame, ic_val: DataFrame, nw_dev: DataFrame, nw_val: DataFrame, spread_dev: DataFrame) -> DataFrame:
@@ -269,6 +355,23 @@ def reconcile(prices: DataFrame, features: DataFrame, labels: DataFrame) -> Data
     return every.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def reconcile_securities(prices: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
+    """(verdict, n): in how many of the three tables securities are, by row counts.
+
+    all_three, price_only, feature_only, label_only, partial (two of them), and of all_three
+    those whose counts differ, as row_count_mismatch.
+    """
+    count = lambda df, c: df.groupBy("security_id").agg(F.count("*").alias(c))
+    every = count(prices, "p").join(count(features, "f"), "security_id", "full_outer").join(count(labels, "l"), "security_id", "full_outer")
+    has = [F.col(c).isNotNull() for c in "pfl"]
+    there = sum(x.cast("int") for x in has)
+    only = F.when(has[0], "price_only").when(has[1], "feature_only").otherwise("label_only")
+    verdict = F.when(there == 3, "all_three").when(there == 1, only).otherwise("partial")
+    differ = (there == 3) & ((F.col("p") != F.col("f")) | (F.col("p") != F.col("l")))
+    marks = F.filter(F.array(verdict, F.when(differ, "row_count_mismatch")), lambda x: x.isNotNull())
+    return every.select(F.explode(marks).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def price_feature_recon(prices: DataFrame, features: DataFrame, tracked: DataFrame) -> DataFrame:
     """(matched, expected_missing, unexpected_missing): price rows without a feature row are expected for securities that have none."""
     keys = ["security_id", "date"]
@@ -278,6 +381,11 @@ def price_feature_recon(prices: DataFrame, features: DataFrame, tracked: DataFra
     return marked.agg(F.count_if(~missing).alias("matched"), F.count_if(missing & F.col("t").isNull()).alias("expected_missing"), F.count_if(missing & F.col("t").isNotNull()).alias("unexpected_missing"))
 
 
+def missing_examples(prices: DataFrame, features: DataFrame, tracked: DataFrame, n: int = 20) -> DataFrame:
+    """The first n price rows without a feature row of securities that should have one."""
+    return missing_identity(prices, features).join(tracked.select("security_id").distinct(), "security_id", "left_semi").orderBy("security_id", "date").limit(n)
+
+
 def missing_identity(prices: DataFrame, features: DataFrame) -> DataFrame:
     """Price rows without a feature row of the same security and date."""
     return prices.select("security_id", "date").join(features.select("security_id", "date"), ["security_id", "date"], "left_anti")

@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, labels, research
+from ..operators import classify, features, labels, quality, research
 from ..sources.lake import DATASETS, Lake
+from . import ingest
+from .ingest import Env
 
-LOOKBACK, LOOKAHEAD, OVERLAP, RECOMPUTE = 300, 20, 5, 30
+LOOKBACK, LOOKAHEAD, OVERLAP, RECOMPUTE, BACKFILL = 300, 20, 5, 30, 10
 
 
 @dataclass
@@ -66,6 +68,184 @@ def run_steps(steps: list[tuple[str, Callable[[], object], bool]], skip: set[str
     return report
 
 
+def feature_start(env: Env, overlap: int = OVERLAP, backfill: int = BACKFILL) -> str | None:
+    """Where daily features start: some sessions before the last bar, or earlier where tracked securities lack rows of the last few.
+
+    Without any features: the first bar. Without bars: nothing.
+    """
+    prices, made = DATASETS["prices_daily"], DATASETS["features_daily"]
+    if not env.lake.exists(prices):
+        return None
+    bars = env.lake.raw(prices).select("security_id", "date")
+    first, last = bars.agg(F.min("date"), F.max("date")).first()
+    if not env.lake.exists(made):
+        return str(first)
+    calendar = env.calendar()
+    start, floor = (incremental_start(calendar, str(last), n) for n in (overlap, backfill))
+    wanted = env.tracked().filter("features").select("security_id")
+    recent = env.lake.view(prices, floor).select("security_id", "date").join(wanted, "security_id", "left_semi")
+    missing = research.missing_identity(recent, env.lake.raw(made).select("security_id", "date").distinct()).agg(F.min("date")).first()[0]
+    return start if missing is None else min(start, str(missing))
+
+
+def label_start(env: Env) -> str | None:
+    """Where daily labels start: as many sessions before the last bar as stay immature."""
+    prices = DATASETS["prices_daily"]
+    if not env.lake.exists(prices):
+        return None
+    last = env.lake.raw(prices).agg(F.max("date")).first()[0]
+    return incremental_start(env.calendar(), str(last), env.settings.recompute)
+
+
+def _market(env: Env, ticker: str) -> DataFrame:
+    """The bars of a benchmark, by its ticker."""
+    return env.lake.view(DATASETS["prices_daily"]).filter(F.col("ticker_at_time") == ticker).select("date", "close", "adj_close")
+
+
+def _vix(env: Env) -> DataFrame:
+    d = DATASETS["volatility"]
+    return env.lake.view(d) if env.lake.exists(d) else env.spark.createDataFrame([], "date date, close double")
+
+
+def _stored_issues(env: Env) -> DataFrame:
+    schema = "issue_id string, dataset string, security_id string, date date, issue_type string, severity string, details string, detected_at string, resolved boolean"
+    return env.catalog.read("data_quality_issues", schema)
+
+
+def record_issues(env: Env, found: DataFrame, dataset: str, scope: DataFrame) -> dict[str, int]:
+    """Found issues merged into the stored ones, those of the scope that are gone resolved; returns counts by severity."""
+    found = found.persist()
+    at = env.now().isoformat()
+    merged = quality.upsert_issues(_stored_issues(env), found, dataset, at)
+    env.catalog.replace("data_quality_issues", quality.resolve_out_of_scope(quality.resolve_missing(merged, found, dataset, scope), scope, dataset))
+    counts = quality.severities(found).first().asDict()
+    found.unpersist()
+    return counts
+
+
+def validate(env: Env, what: str, scope: DataFrame | list[str] | None = None, dry_run: bool = False) -> dict[str, int]:
+    """The rules of prices, features or labels over the tracked securities, or a given scope; issues are stored unless it's a dry run."""
+    name = {"prices": "prices_daily", "features": "features_daily", "labels": "labels_forward_returns"}[what]
+    if not env.lake.exists(DATASETS[name]):
+        return {"issues": 0, "critical": 0, "warning": 0, "info": 0}
+    if scope is None:
+        scope = env.tracked().filter(F.col("prices") if what == "prices" else F.col("features")).select("security_id")
+    rows = quality.scoped(env.lake.view(DATASETS[name]), scope)
+    today = str(env.now().date())
+    rules = {"prices": lambda: quality.check_prices(rows, today), "features": lambda: quality.check_features(rows), "labels": lambda: quality.check_labels(rows)}
+    found = rules[what]()
+    if what == "prices" and isinstance(scope, DataFrame) and (expected := env.expected()) is not None:
+        found = found.unionByName(quality.missing_recent(rows, scope, env.calendar(), expected))
+    if dry_run:
+        return quality.severities(found).first().asDict()
+    return record_issues(env, found, name, scope if isinstance(scope, DataFrame) else rows.select("security_id").distinct())
+
+
+def research_critical(env: Env) -> int:
+    """Bars of the research universe's common equities that contradict themselves."""
+    members = env.catalog.read("universe_memberships", "universe_name string, security_id string")
+    classes = classify.classify(env.securities())
+    return quality.ohlc_audit(env.lake.view(DATASETS["prices_daily"]), classes, members).first()["research_critical"]
+
+
+@dataclass
+class Step:
+    name: str
+    result: str
+    failed: bool = False
+    abort: bool = False
+
+
+def run_daily(env: Env, dry_run: bool = False) -> list[Step]:
+    """The daily run: universe, prices, vix, macro, filings, price validation, features, labels, validation of both, report.
+
+    Each step stands alone: what fails is noted and the next one runs. Critical issues, or a
+    validation that fails, end the run. A dry run asks no provider and writes nothing. Features
+    and labels are skipped where prices had nothing new and both are as far as the bars.
+    """
+    steps: list[Step] = []
+
+    def add(name: str, work: Callable[[], str], abort: bool = False) -> bool:
+        try:
+            steps.append(Step(name, work()))
+        except Exception as e:  # noqa: BLE001
+            critical = abort or isinstance(e, CriticalIssues)
+            steps.append(Step(name, f"FAILED: {str(e)[:200]}", True, critical))
+            return not critical
+        return True
+
+    fetched: dict[str, ingest.Result] = {}
+
+    def sync(name: str, fn: Callable[..., ingest.Result]) -> None:
+        def work() -> str:
+            fetched[name] = fn(env, dry_run=dry_run)
+            return f"{fetched[name].status}: {fetched[name].message}"
+
+        add(name, work)
+
+    for name, fn in (("universe", ingest.sync_universe), ("prices", ingest.sync_prices), ("vix", ingest.sync_vix), ("macro", ingest.sync_macro), ("filings", ingest.sync_filings)):
+        sync(name, fn)
+
+    def prices_checked() -> str:
+        counts = validate(env, "prices", dry_run=dry_run)
+        bad = 0 if dry_run or not env.lake.exists(DATASETS["prices_daily"]) else research_critical(env)
+        if bad:
+            raise CriticalIssues(f"{bad} critical issues in the research universe")
+        return f"{counts['issues']} issues ({counts['critical']} critical)"
+
+    if not add("price_validation", prices_checked, abort=True):
+        return steps
+
+    def up_to_date(name: str) -> bool:
+        d = DATASETS[name]
+        if name not in DATASETS or not env.lake.exists(d):
+            return False
+        last = lambda x: env.lake.raw(x).agg(F.max("date")).first()[0]
+        return last(d) == last(DATASETS["prices_daily"])
+
+    def unchanged() -> bool:
+        return "prices" in fetched and fetched["prices"].status == "SKIPPED"
+
+    def features_made() -> str:
+        start = feature_start(env)
+        if start is None:
+            return "SKIPPED: no bars"
+        if unchanged() and up_to_date("features_daily"):
+            return "SKIPPED: no new sessions"
+        if dry_run:
+            return f"would compute from {start}"
+        done = compute_features(env.lake, _market(env, "SPY"), _market(env, "QQQ"), _vix(env), env.calendar(), start)
+        return f"DONE: {done['rows']} rows from {start}"
+
+    def labels_made() -> str:
+        start = label_start(env)
+        if start is None:
+            return "SKIPPED: no bars"
+        if unchanged() and up_to_date("labels_forward_returns"):
+            return "SKIPPED: no new sessions"
+        if dry_run:
+            return f"would recompute from {start}"
+        rows = labels.compute(env.lake.view(DATASETS["prices_daily"], start), _market(env, "SPY"), start)
+        return f"DONE: {env.lake.append(DATASETS['labels_forward_returns'], rows)} rows from {start}"
+
+    add("features", features_made)
+    add("labels", labels_made)
+
+    def both_checked() -> str:
+        f, n = validate(env, "features", dry_run=dry_run), validate(env, "labels", dry_run=dry_run)
+        if not dry_run and f["critical"] + n["critical"]:
+            raise CriticalIssues(f"{f['critical']} critical feature and {n['critical']} critical label issues")
+        return f"features {f['issues']} issues, labels {n['issues']} issues"
+
+    if add("feature_label_validation", both_checked, abort=True):
+        steps.append(Step("report", "status collected"))
+    return steps
+
+
+class CriticalIssues(RuntimeError):
+    """Issues that must not be built upon."""
+
+
 def research_report(panel: DataFrame, feature_list: list[str], targets: list[str], start: str, end: str, out: str, provenance: dict[str, str], horizon: int = 20) -> dict[str, int]:
     """Every research table of both windows, written as Parquet with provenance columns. Returns rows by table."""
     panel = panel.cache()

@@ -217,12 +217,6 @@ def vix_context(spark, d):
     return features.vix_features(fixture.vix(spark, d))
 
 
-@query()
-def features_daily(spark, d):
-    """All 52 features of every bar."""
-    return _features(spark, d)
-
-
 FORWARD = f"SELECT security_id, date, {_r(*(f'lead(ac, {h}) OVER w / ac - 1 AS forward_return_{h}d' for h in labels.HORIZONS))} FROM adj WINDOW w AS {W}"
 
 
@@ -292,13 +286,6 @@ SEC_SQL = """+ sec AS (SELECT printf('S%06d', s_suppkey) AS security_id, s_name
  CASE s_suppkey % 7 WHEN 0 THEN 'AB-P' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) WHEN 1 THEN 'QX' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || 'ZW' WHEN 2 THEN 'K' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || '-B' ELSE 'T' || CAST(s_suppkey AS VARCHAR) END AS primary_ticker FROM supplier)"""
 
 
-@query(SEC_SQL + """ SELECT security_id, primary_ticker AS ticker, CASE WHEN regexp_matches(primary_ticker, '-P[A-Z]?$') THEN 'PREFERRED' WHEN regexp_matches(primary_ticker, '^[A-Z]{1,5}-[A-C]$') THEN 'COMMON_EQUITY' WHEN regexp_matches(primary_ticker, '^[A-Z]{4}[WUR]$') THEN 'AMBIGUOUS'
- WHEN regexp_matches(primary_ticker, '^[A-Z][A-Z0-9]{0,4}$') AND (exchange IS NULL OR exchange = 'NYSE') THEN 'COMMON_EQUITY' ELSE 'AMBIGUOUS' END AS instrument_class FROM sec""")
-def classify_instruments(spark, d):
-    """Instrument classes by the ordered chain."""
-    return classify.classify(_securities(spark, d)).select("security_id", "ticker", "instrument_class")
-
-
 @query(SEC_SQL + " SELECT security_id FROM sec ORDER BY security_id IN ('S000003') DESC, sha256(security_id) LIMIT 20")
 def universe_hash_topn(spark, d):
     """A stable sample by hash, with a pinned security."""
@@ -361,12 +348,6 @@ def calendar_neighbours(spark, d):
 # ---- research
 
 
-@query(f"SELECT 'x' AS k, security_id, date, {_r(*FEATURES, *TARGETS, 'vix_close', 'spy_ma200_distance')} FROM panel".replace("'x' AS k, ", ""), panel=True)
-def research_panel(spark, d):
-    """The panel that statistics are taken of."""
-    return _light(spark, d).drop("raw_close")
-
-
 @query(f"""SELECT t AS target, y AS year, count(v) AS n, {_r('avg(v) AS mean', 'median(v) AS median', 'stddev_samp(v) AS std', 'avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio', 'avg(v) / (stddev_samp(v) / sqrt(count(v))) AS t_stat', digits=5)}, count(DISTINCT date) AS n_dates,
 CASE WHEN count(v) >= 1000 OR count(DISTINCT date) >= 100 THEN 'ok' ELSE 'insufficient' END AS status
 FROM (SELECT unnest(['forward_return_5d', 'forward_return_20d']) AS t, unnest([forward_return_5d, forward_return_20d]) AS v, date, year(date) AS y FROM panel) WHERE v IS NOT NULL GROUP BY GROUPING SETS ((t), (t, y))""", panel=True, digits=5)
@@ -446,12 +427,6 @@ def rank_ic(spark, d):
     return p.groupBy("feature").agg(F.count(x).alias("n_dates"), F.avg(x).alias("mean_ic"), F.median(x).alias("median_ic"), F.stddev_samp(x).alias("std_ic"), F.try_divide(F.avg(x), F.stddev_samp(x)).alias("ic_ir"), F.avg((x > 1e-12).cast("double")).alias("positive_ratio"))
 
 
-@query()
-def rank_corr_matrix(spark, d):
-    """Mean daily rank correlations of feature pairs."""
-    return research.redundancy(_light(spark, d), FEATURES)
-
-
 @query(f"+ l AS (SELECT unnest(['forward_return_5d', 'forward_return_20d']) AS target, unnest([forward_return_5d, forward_return_20d]) AS v FROM panel WHERE date BETWEEN DATE '{DEV_START}' AND DATE '{DEV_END}') SELECT target, {_r(NEAREST.format(q=0.01) + ' AS p1', NEAREST.format(q=0.99) + ' AS p99')} FROM l WHERE v IS NOT NULL GROUP BY target", panel=True)
 def winsor_cutoffs(spark, d):
     """Frozen 1 and 99 % bounds of the development window."""
@@ -471,25 +446,6 @@ def price_buckets(spark, d):
     return research.price_sensitivity(_light(spark, d), "forward_return_5d")
 
 
-@query()
-def price_overlay(spark, d):
-    """Rank correlations by price subset."""
-    return research.overlay(_light(spark, d), ["ret_20d"], "forward_return_5d")["ic"]
-
-
-@query()
-def low_price_concentration(spark, d):
-    """Where extreme outcomes lie by price."""
-    return research.low_price_concentration(_light(spark, d), "forward_return_5d")
-
-
-@query()
-def vix_regimes(spark, d):
-    """Outcomes by regime."""
-    p = _light(spark, d)
-    return research.regime_stats(research.with_regimes(p, research.vix_terciles(research.in_split(p, "development", DEV_START, DEV_END))), TARGETS)
-
-
 @query("""+ p AS (SELECT security_id, date FROM bars), f AS (SELECT security_id, date FROM bars WHERE substr(security_id, 7, 1) <> '1'), l AS (SELECT security_id, date FROM bars WHERE month(date) <> 12)
 SELECT CASE WHEN f.date IS NOT NULL AND l.date IS NOT NULL THEN 'all_three' WHEN f.date IS NOT NULL THEN 'price_feature' WHEN l.date IS NOT NULL THEN 'price_label' ELSE 'price_only' END AS bucket, count(*) AS n FROM p LEFT JOIN f USING (security_id, date) LEFT JOIN l USING (security_id, date) GROUP BY 1""")
 def reconcile_full_outer(spark, d):
@@ -570,25 +526,6 @@ def dq_duplicate_key(spark, d):
     return quality.duplicate_keys(b.unionByName(b.filter(F.dayofmonth("date") == 4)), ["security_id", "date"])
 
 
-@query(f"+ f AS ({FORWARD}), x AS (SELECT security_id, date, unnest(['forward_return_1d','forward_return_3d','forward_return_5d','forward_return_10d','forward_return_20d']) AS details, unnest([forward_return_1d,forward_return_3d,forward_return_5d,forward_return_10d,forward_return_20d]) AS v FROM f) SELECT security_id, date, 'EXTREME_LABEL' AS issue_type, 'warning' AS severity, details FROM x WHERE abs(v) > 2")
-def dq_extreme_labels(spark, d):
-    """Outcomes beyond 200 %."""
-    return quality.extreme_labels(_labels(spark, d)).filter(F.col("details").startswith("forward_return"))
-
-
-@query("+ f AS (SELECT security_id, date, lead(ac, 10) OVER w / ac - 1 AS v FROM adj WINDOW w AS (PARTITION BY security_id ORDER BY date)), a AS (SELECT security_id, date AS d FROM bars WHERE dividend <> 0 UNION ALL SELECT security_id, date FROM bars WHERE stock_split <> 0), e AS (SELECT * FROM f WHERE abs(v) > 1.5) SELECT e.security_id, e.date, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.security_id = e.security_id AND abs(date_diff('day', a.d, e.date)) <= 5) THEN 'NEAR_CORPORATE_ACTION' WHEN b.close < 1 THEN 'LOW_PRICE' ELSE 'UNEXPLAINED' END AS explanation FROM e JOIN bars b USING (security_id, date)")
-def audit_extreme_labels(spark, d):
-    """What may explain extreme outcomes."""
-    b = _bars(spark, d)
-    return quality.extreme_label_audit(_labels(spark, d), b, providers.corporate_actions(b), limit=1.5).select("security_id", "date", "explanation")
-
-
-@query(ODD_SQL + ", pr AS (" + _PAIRS + "), z AS (SELECT security_id, date, max(CASE WHEN a + greatest(1e-3::DOUBLE, 1e-5::DOUBLE * greatest(abs(a), abs(b), 1)) >= b THEN 0 ELSE 1 END) AS bad FROM pr WHERE a < b GROUP BY ALL), c AS (SELECT security_id, CAST(sum(bad) AS BIGINT) AS inconsistent, CAST(sum(1 - bad) AS BIGINT) AS tolerated FROM z GROUP BY 1) SELECT o.security_id, o.n AS rows, coalesce(inconsistent, 0) AS inconsistent, coalesce(tolerated, 0) AS tolerated FROM (SELECT security_id, count(*) AS n FROM odd GROUP BY 1) o LEFT JOIN c USING (security_id)")
-def audit_ohlc(spark, d):
-    """Broken bars by security and kind."""
-    return quality.ohlc_audit(_odd_bars(spark, d))
-
-
 def _issue_tables(spark, d):
     found = quality.negative_prices(_odd_bars(spark, d))
     empty = spark.createDataFrame([], "issue_id string, dataset string, security_id string, date date, issue_type string, severity string, details string, detected_at string, resolved boolean")
@@ -659,7 +596,7 @@ def flagship(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import mining_queries  # noqa: F401, PLC0415: registers its queries here
+    from . import mining_queries, panel_queries  # noqa: F401, PLC0415: they register their queries here
 
     return dict(_QUERIES)
 

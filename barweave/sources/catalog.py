@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,8 +152,30 @@ def freshness(tracked: DataFrame, prices: DataFrame, expected: str, overlap: int
 
 
 def job_key(name: str, **params: object) -> str:
-    """16 hex digits that name a job and its parameters."""
-    return hashlib.sha256(json.dumps([name, params], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    """A job's name with 16 hex digits of its parameters."""
+    return f"{name}_{hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
+
+
+def fetch_window(fresh: DataFrame, calendar: DataFrame, expected: str, lookback: int = 3, no_data_days: int = 10) -> tuple[str, str] | None:
+    """(start, end) of a daily fetch for stale securities and those without data; None where all are current.
+
+    Stale ones start ``lookback`` sessions before their last one, those without data some
+    calendar days before the expected session; the earliest start counts for all.
+    """
+    last = fresh.filter(F.col("status") == "STALE").agg(F.min("last_date").alias("d"))
+    row = last.crossJoin(fresh.agg(F.count_if(F.col("status") == "NO_DATA").alias("n"))).first()
+    starts = []
+    if row["d"] is not None:
+        before = calendar.filter(F.col("date") <= F.lit(row["d"])).orderBy(F.col("date").desc()).limit(lookback + 1)
+        starts.append(str(before.agg(F.min("date")).first()[0]))
+    if row["n"]:
+        starts.append(str(date.fromisoformat(expected) - timedelta(days=no_data_days)))
+    return (min(starts), expected) if starts else None
+
+
+def end_exclusive(last: str) -> str:
+    """The day after the last wanted session, for providers whose end isn't included."""
+    return str(date.fromisoformat(last) + timedelta(days=1))
 
 
 RUNS = "run_id string, job string, started_at string, finished_at string, status string, rows long, params_json string"

@@ -84,15 +84,28 @@ class Lake:
     def _parts(self, d: Dataset) -> list[str]:
         return ["year"] if d.by == "year" else ["year", "month"]
 
+    def delete_on_exit(self) -> None:
+        """The whole lake goes when the session's JVM ends: for lakes that are only used in passing."""
+        self._fs().deleteOnExit(self._path(self.base))
+
+    def rows_of(self, files: list[str]) -> int:
+        """Rows of data files, from their footers: no data is read."""
+        return self.spark.read.parquet(*files).count() if files else 0
+
     def append(self, d: Dataset, df: DataFrame) -> int:
-        """Write rows as new files, one a partition, sorted; nothing is written for no rows. Returns the rows written."""
-        n = df.count()
-        if n:
-            day = F.col(d.date).cast("date")
-            parts = self._parts(d)
-            dated = df.withColumn(d.date, day).withColumns({"year": F.year(day), "month": F.month(day)}).drop(*({"month"} - set(parts)))
-            dated.repartition(*parts).sortWithinPartitions(*parts, *d.sort).write.mode("append").partitionBy(*parts).option("compression", "zstd").parquet(self.path(d))
-        return n
+        """Write rows as new files, one a partition, sorted. Returns the rows written, counted from the new files' footers.
+
+        The plan runs once. No rows leave no files; an undated row is refused, as it would have
+        no partition.
+        """
+        before = {f for f, _ in self.files(d)}
+        day = F.col(d.date).cast("date")
+        parts = self._parts(d)
+        checked = F.when(day.isNull(), F.raise_error(F.lit(f"{d.name}: a row without {d.date}"))).otherwise(F.year(day))
+        dated = df.withColumn(d.date, day).withColumns({"year": checked, "month": F.month(day)}).drop(*({"month"} - set(parts)))
+        writer = dated.repartition(*parts).sortWithinPartitions(*parts, *d.sort).write.mode("append").partitionBy(*parts)
+        writer.option("compression", "zstd").parquet(self.path(d))
+        return self.rows_of([f for f, _ in self.files(d) if f not in before])
 
     def raw(self, d: Dataset) -> DataFrame:
         """All rows ever written; files of older schemas read with nulls."""
@@ -110,6 +123,16 @@ class Lake:
             df = df.filter(F.col("year") <= y).filter((F.lit(d.by == "year")) | (month <= y * 12 + m)).filter(F.col(d.date) <= F.lit(end).cast("date"))
         return last_write(df, d.keys, d.tie)
 
+    def partition(self, d: Dataset, **keys: int) -> DataFrame:
+        """Last-write-wins rows of one partition (year=, and month= where the dataset has months); only its files are read."""
+        wanted = self._parts(d)
+        if sorted(keys) != sorted(wanted):
+            raise ValueError(f"{d.name} has partitions by {', '.join(wanted)}")
+        df = self.raw(d)
+        for k, v in keys.items():
+            df = df.filter(F.col(k) == v)
+        return last_write(df, d.keys, d.tie)
+
     def create_views(self) -> list[str]:
         """Temporary views of the datasets that have files."""
         made = []
@@ -126,8 +149,11 @@ class Lake:
     def compact(self, d: Dataset, year: int | None = None, month: int | None = None, dry_run: bool = False) -> dict[str, int]:
         """Rewrite a partition (or all) as its last-write-wins rows; staged and compared before the old files go.
 
-        A partition of one file without duplicate keys is left alone.
+        A partition of one file without duplicate keys is left alone. A month needs its year,
+        and a dataset kept by year has no months.
         """
+        if month is not None and (year is None or d.by == "year"):
+            raise ValueError(f"{d.name}: a month needs a year and a dataset kept by month")
         out = {"partitions": 0, "files_before": 0, "rows_before": 0, "rows_after": 0}
         for part in self.partitions(d):
             if (year is not None and part["year"] != year) or (month is not None and part.get("month") != month):
@@ -177,14 +203,16 @@ class Lake:
         return "empty" if not kinds else kinds.pop() if len(kinds) == 1 else "mixed"
 
     def health(self, d: Dataset) -> list[dict[str, int | float | bool]]:
-        """Per partition: files, bytes, mean size, and whether compaction is due."""
+        """Per partition: files, rows (from footers), bytes, mean size, and whether compaction is due."""
         out = []
+        listed = self.files(d)
         for part in self.partitions(d):
             where = "/".join(f"{k}={v}" for k, v in part.items())
-            sizes = [n for f, n in self.files(d) if f"/{where}/" in f]
+            mine = [(f, n) for f, n in listed if f"/{where}/" in f]
+            sizes = [n for _, n in mine]
             mean = sum(sizes) / len(sizes) / 2**20
             due = len(sizes) >= 25 or (len(sizes) > 1 and mean < 8) if d.by == "month" else len(sizes) >= 12 or (len(sizes) > 1 and mean < 2)
-            out.append({**part, "files": len(sizes), "bytes": sum(sizes), "mean_mb": mean, "needs_compaction": due})
+            out.append({**part, "files": len(sizes), "rows": self.rows_of([f for f, _ in mine]), "bytes": sum(sizes), "mean_mb": mean, "needs_compaction": due})
         return out
 
 

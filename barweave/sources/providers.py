@@ -29,20 +29,31 @@ def day(c: str, formats: tuple[str, ...] = ("yyyy-MM-dd", "MM/dd/yyyy")) -> Colu
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows that repeat a key the one that came last; rows that came at once are settled by their hash."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.xxhash64(*df.columns))
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows numbered as they are read: a provider's file is one partition's rows in order."""
+    return df.withColumn("__seq", F.monotonically_increasing_id())
+
+
+def _sequenced(df: DataFrame) -> DataFrame:
+    return df if "__seq" in df.columns else _numbered(df)
+
+
 def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
     """Daily bars, one header row; __seq tells which of repeated rows came last."""
-    return spark.read.option("header", "true").csv(path).withColumn("__seq", F.monotonically_increasing_id())
+    return _numbered(spark.read.option("header", "true").csv(path))
 
 
 def normalise_prices(raw: DataFrame, security_id: str | Column, ticker: str | Column, currency: str = "USD", provider: str = "csv_prices", retrieved_at: str | None = None) -> DataFrame:
     """Price rows: missing prices stay null, missing dividends and splits are 0; of repeated dates the last row stays."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    df = raw.select(
-        lit(security_id).alias("security_id"), lit(ticker).alias("ticker_at_time"), day("date").alias("date"), *(number(c).alias(c) for c in ("open", "high", "low", "close", "adj_close", "volume")),
+    df = _sequenced(raw).select(
+        lit(security_id).alias("security_id"), lit(ticker).alias("ticker_at_time"), day("date").alias("date"),
+        *(number(c).alias(c) for c in ("open", "high", "low", "close", "adj_close", "volume")),
         *(F.coalesce(number(c), F.lit(0.0)).alias(c) for c in ("dividend", "stock_split")), F.lit(currency).alias("currency"), F.lit(provider).alias("provider"),
         (F.current_timestamp() if retrieved_at is None else F.lit(retrieved_at).cast("timestamp")).alias("retrieved_at"), "__seq",
     )
@@ -66,7 +77,8 @@ def read_security_master(spark: SparkSession, path: str) -> DataFrame:
 
 def normalise_universe(master: DataFrame, day_: str) -> dict[str, DataFrame]:
     """securities, identifiers and snapshots; ids are CIK%010d, with the ticker where a CIK has several."""
-    df = master.filter(F.col("cik").isNotNull() & F.col("ticker").isNotNull()).withColumn("ticker", F.upper(F.trim("ticker"))).dropDuplicates(["cik", "ticker"])
+    df = _sequenced(master).filter(F.col("cik").isNotNull() & F.col("ticker").isNotNull()).withColumn("ticker", F.upper(F.trim("ticker")))
+    df = keep_last(df, ["cik", "ticker"], "__seq")
     several = F.count("*").over(Window.partitionBy("cik")) > 1
     base = F.format_string("CIK%010d", "cik")
     df = df.withColumn("security_id", F.when(several, F.concat(base, F.lit("-"), F.regexp_replace("ticker", "[^A-Z0-9]", ""))).otherwise(base))
@@ -97,8 +109,9 @@ def read_filings(spark: SparkSession, path: str) -> DataFrame:
 
 def normalise_filings(raw: DataFrame, security_id: Column) -> DataFrame:
     """Typed filings; rows without accession number, form or date are skipped, accession numbers come once a security."""
-    df = raw.select(security_id.alias("security_id"), "accession_number", "form_type", day("filing_date").alias("filing_date"), "url")
-    return df.dropna(subset=["accession_number", "form_type", "filing_date"]).dropDuplicates(["security_id", "accession_number"])
+    df = _sequenced(raw).select(security_id.alias("security_id"), "accession_number", "form_type", day("filing_date").alias("filing_date"), "url", "__seq")
+    known = df.dropna(subset=["accession_number", "form_type", "filing_date"])
+    return keep_last(known, ["security_id", "accession_number"], "__seq").drop("__seq")
 
 
 def read_macro(spark: SparkSession, path: str) -> DataFrame:
@@ -108,14 +121,22 @@ def read_macro(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise_macro(raw: DataFrame) -> DataFrame:
-    return raw.select("series_id", day("date").alias("date"), number("value").alias("value")).filter(F.col("date").isNotNull()).dropDuplicates(["series_id", "date"])
+    """Typed observations; of a repeated date the last one stays."""
+    df = _sequenced(raw).select("series_id", day("date").alias("date"), number("value").alias("value"), "__seq").filter(F.col("date").isNotNull())
+    return keep_last(df, ["series_id", "date"], "__seq").drop("__seq")
 
 
 def read_vix_csv(spark: SparkSession, path: str) -> DataFrame:
     """Daily index levels: headers in any case, MM/DD/YYYY dates, unreadable values null."""
     df = spark.read.option("header", "true").csv(path)
-    df = df.toDF(*(c.strip().lower() for c in df.columns))
-    return df.select(day("date", ("MM/dd/yyyy", "yyyy-MM-dd")).alias("date"), *(number(c).alias(c) for c in ("open", "high", "low", "close"))).filter(F.col("date").isNotNull()).dropDuplicates(["date"])
+    return normalise_vix(_numbered(df.toDF(*(c.strip().lower() for c in df.columns))))
+
+
+def normalise_vix(raw: DataFrame) -> DataFrame:
+    """Typed index levels; of a repeated date the last row stays."""
+    prices = [number(c).alias(c) for c in ("open", "high", "low", "close")]
+    df = _sequenced(raw).select(day("date", ("MM/dd/yyyy", "yyyy-MM-dd")).alias("date"), *prices, "__seq").filter(F.col("date").isNotNull())
+    return keep_last(df, ["date"], "__seq").drop("__seq")
 
 
 SHORT_VOLUME = "security_id string, date date, short_volume double, total_volume double, retrieved_at timestamp"

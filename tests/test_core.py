@@ -123,7 +123,9 @@ def test_entries_and_reasons(spark):
     assert (got.flag_rows, got.entries, got.kept, got.episodes) == (5, 3, 3, 3)
     assert mining.frequency(df, "on AND missing", 2).first().flag_rows == 0
     assert mining.activate(df, "on", "entry", 4).count() == 2
-    assert [f["eval_start"] for f in mining.folds(["2020-12-31", "2025-12-31"], "2018-01-02", "2026-09-20")] == ["2021-01-01", "2026-01-01"]
+    parts = mining.folds("2026-12-31", mining.yearly_folds(["2020-12-31", "2025-12-31"], "2018-01-02"))
+    assert [(f["eval_start"], f["eval_end"]) for f in parts] == [("2021-01-01", "2021-12-31"), ("2026-01-01", "2026-09-20")]
+    assert [f["fold"] for f in mining.folds("2026-05-01")] == [f[0] for f in mining.FOLDS] and mining.folds("2025-12-01")[-1]["fold"] == "fold5_eval_2025"
 
 
 def test_lake_round_trip(spark, tmp_path):
@@ -149,7 +151,7 @@ def test_catalogue(spark, tmp_path):
     got = {m: {r.security_id: tuple(r)[1:] for r in catalog.track(c.read("tracked"), new, m).collect()}["A"] for m in ("ensure", "add", "if_absent")}
     assert got == {"ensure": (True, True, "x"), "add": (False, True, "y"), "if_absent": (True, False, "x")}
     assert c.attach() == ["tracked"] and catalog.untrack(c.read("tracked"), ["A"]).first().prices is False
-    assert catalog.job_key("j", a=1) == catalog.job_key("j", a=1) != catalog.job_key("j", a=2) and len(catalog.job_key("j")) == 16
+    assert catalog.job_key("j", a=1) == catalog.job_key("j", a=1) != catalog.job_key("j", a=2) and len(catalog.job_key("j")) == 18
     with pytest.raises(PermissionError):
         providers.license_guard("csv_prices", True)
 
