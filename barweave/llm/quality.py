@@ -177,8 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
     """Fit on at most ``limit`` labelled documents that aren't held out, of the smallest xxhash64 of their id.
 
     Labels other than 0 and 1 are left out; of several labels of a document the smallest
-    counts. The labels' side of the join has at most ``limit`` rows, so it is broadcast;
-    their features, of bounded number, go to the driver.
+    counts, and of rows that repeat an id those of the smallest features. The labels' side of
+    the join has at most ``limit`` rows, so it is broadcast; one row a chosen id goes to the
+    driver, so their number is bounded too.
     """
     pool = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = pool.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -194,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
                 names=["doc_id", "quality", "slots", "x"],
             )
 
-    got = map_batches(joined, run, "doc_id long, quality int, slots binary, x binary").toArrow()
+    made = map_batches(joined, run, "doc_id long, quality int, slots binary, x binary")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("slots", "x", "quality")).alias("r")).select("doc_id", "r.*").toArrow()
     table = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "slots", "x", "quality"))))
     rows = [(np.frombuffer(s, np.int32), np.frombuffer(x, np.float32)) for _, s, x, _ in table]
     return fit(rows, np.array([q for *_, q in table], dtype=np.float64))
