@@ -85,13 +85,13 @@ def _fill(nodes: DataFrame, parent: list[str], child: str, budgets: DataFrame |
     return held.select(*parent, child, part.alias("budget"))
 
 
-def _joined(docs: DataFrame, leaves: DataFrame, on: list[str], key: str) -> DataFrame:
-    """``docs`` joined to its leaf's row: broadcast within the bound, else over salted leaves."""
+def _joined(docs: DataFrame, leaves: DataFrame, on: list[str], key: str, salt: str = "__salt") -> DataFrame:
+    """``docs`` joined to its leaf's row: broadcast within the bound, else over salted leaves (``salt``: a name for that)."""
     if leaves.count() <= BROADCAST_LEAVES:
         return docs.join(F.broadcast(leaves), on)
-    dealt = leaves.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, [*on, "__salt"]).drop("__salt")
+    dealt = leaves.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = docs.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, [*on, salt]).drop(salt)
 
 
 def _with_leaf(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -143,23 +143,41 @@ def _cuts(sized: DataFrame, leaves: DataFrame, plan: Plan) -> DataFrame:
     return stored(some.select(*LEAF, "full").join(first_out, list(LEAF)))
 
 
-def take(docs: DataFrame, plan: Plan, domain: Column | None = None) -> DataFrame:
-    """The selected documents with all columns of ``docs`` and __domain, __epoch (from 0) and __tokens; see ``mix``."""
+def _names(docs: DataFrame, *wanted: str) -> dict[str, str]:
+    """For each wanted name one that no column of ``docs`` has."""
+    used = {c.lower() for c in docs.columns}
+    pad = "_"
+    while any(f"{pad}{n}" in used for n in wanted):
+        pad += "_"
+    return {n: f"{pad}{n}" for n in wanted}
+
+
+def _taken(docs: DataFrame, plan: Plan, domain: Column | None) -> tuple[DataFrame, dict[str, str]]:
+    """The selected documents with all columns of ``docs``, and the names of the columns domain, epoch and tokens beside them."""
     named = dict(zip(LEAF, leaf_columns(docs, domain)))
     sized = stored(docs.select(*named.values(), docs["doc_id"].cast("long").alias("doc_id"), n_words(docs["text"]).alias("tokens")))
     leaves = leaf_budgets(sized, plan)
     cuts = _cuts(sized, leaves, plan)
-    leaf = {n: f"__{n}" for n in LEAF}
+    own = _names(docs, *LEAF, "full", "rest", "out", "id", "tokens", "epoch", "epochs", "salt")
     rules = leaves.select(*LEAF, "full", "rest").join(cuts.drop("full"), list(LEAF), "left")
-    rules = stored(rules.select(*(F.col(n).alias(leaf[n]) for n in LEAF), *(F.col(c).alias(f"__{c}") for c in ("full", "rest", "out"))))
-    kept = [c for c in docs.columns if not c.startswith("__")]
-    marked = docs.select(*kept, *(named[n].alias(leaf[n]) for n in LEAF), n_words(docs["text"]).alias("__tokens"), docs["doc_id"].cast("long").alias("__id"))
-    joined = _joined(marked, rules, list(leaf.values()), "__id")
-    key = order_key(plan.seed, F.col("__full"), F.col("__id"))
-    last = (F.col("__full") < plan.max_epochs) & (F.col("__rest") > 0) & (F.col("__out").isNull() | (key < F.col("__out")))
-    n = F.col("__full") + F.when(last, 1).otherwise(0)
-    taken = joined.withColumn("__n", n.cast("int")).filter(F.col("__n") > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return taken.select(*kept, "__domain", "__epoch", "__tokens")
+    rules = stored(rules.select(*(F.col(c).alias(own[c]) for c in (*LEAF, "full", "rest", "out"))))
+    kept = [docs[c] for c in docs.columns]
+    keys = [named[n].alias(own[n]) for n in LEAF]
+    marked = docs.select(*kept, *keys, n_words(docs["text"]).alias(own["tokens"]), docs["doc_id"].cast("long").alias(own["id"]))
+    joined = _joined(marked, rules, [own[n] for n in LEAF], own["id"], own["salt"])
+    full, rest, out = (F.col(own[c]) for c in ("full", "rest", "out"))
+    key = order_key(plan.seed, full, F.col(own["id"]))
+    last = (full < plan.max_epochs) & (rest > 0) & (out.isNull() | (key < out))
+    n = (full + F.when(last, 1).otherwise(0)).cast("int")
+    found = joined.withColumn(own["epochs"], n).filter(F.col(own["epochs"]) > 0)
+    found = found.withColumn(own["epoch"], F.explode(F.sequence(F.lit(0), F.col(own["epochs"]) - 1)))
+    return found, {c: own[c] for c in ("domain", "epoch", "tokens")}
+
+
+def take(docs: DataFrame, plan: Plan, domain: Column | None = None) -> DataFrame:
+    """The selected documents with all columns of ``docs``, once for each epoch that takes them; see ``mix``."""
+    found, _ = _taken(docs, plan, domain)
+    return found.select(*docs.columns)
 
 
 def mix(docs: DataFrame, plan: Plan, domain: Column | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -171,4 +189,5 @@ def mix(docs: DataFrame, plan: Plan, domain: Column | None = None, columns: list
     are named like a new one are replaced.
     """
     kept = [c for c in (columns or docs.columns) if c not in ("domain", "epoch", "tokens")]
-    return take(docs, plan, domain).select(*kept, F.col("__domain").alias("domain"), F.col("__epoch").alias("epoch"), F.col("__tokens").alias("tokens"))
+    found, names = _taken(docs, plan, domain)
+    return found.select(*kept, *(F.col(c).alias(n) for n, c in names.items()))
