@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngram_join, pieces, quality, secret_scan, token_counts, topk, url_rules, wrapper
+from . import media, mixing, ngram_join, oracles, pieces, quality, secret_scan, token_counts, topk, url_rules, wrapper
 from .common import read_table
 
 #: Vocabulary files of public tokenizers; a parameter, never copied.
@@ -78,13 +79,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Integer inner products of every query with every other row.
 OP4_SQL = """
 WITH e AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM (SELECT vec_id, min(v) AS v FROM e GROUP BY vec_id) q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 50 = 0
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
@@ -132,4 +133,9 @@ SELECT doc_id, lang_in AS lang, source_in AS source, domain, CAST(g.epoch AS INT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op9_mixing": _mix_sql(MIX)}
+    """SQL by query; that of the token counts needs the vocabulary's file."""
+    made = {"op4_topk": OP4_SQL, "op6_ngram_join": oracles.OP6, "op7_secrets": oracles.OP7, "op9_mixing": _mix_sql(MIX), "op10_url_rules": oracles.OP10}
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    if os.path.exists(model):
+        made["op5_token_counts"] = oracles.op5(token_counts.load_pieces(model), token_counts.WORD_START)
+    return made

@@ -223,6 +223,19 @@ def test_media_features(spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         stored = media.encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, 64))
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        cells = lambda h, w: np.kron(image.astype(float), np.ones((h, w))).reshape(h, len(image), w, 64).mean((1, 3))  # noqa: B023, E731
+        thumb = np.round(cells(8, 9), 6) if len(payload) < 10_000 else None
+        if thumb is not None:
+            bits = np.packbits(thumb[:, :-1] < thumb[:, 1:]).tobytes().hex()
+            assert r.feature == f"dhash={bits};mean4x4={np.round(cells(4, 4)).astype(np.uint8).tobytes().hex()}"
+        tiles = [image[y : y + 64, x : x + 64] for y in range(0, len(image), 64) for x in range(0, 64, 64)]
+        packed = hashlib.sha256()
+        for tile in tiles:
+            out = io.BytesIO()
+            np.save(out, np.ascontiguousarray(tile))
+            packed.update(out.getvalue())
+        assert (r.n_tiles, r.tiles_sha256) == (len(tiles), packed.hexdigest())
     assert media.media_features(df.filter("false")).count() == 0
 
 

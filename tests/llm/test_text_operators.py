@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,19 @@ def test_quality_held_out(spark):
     assert (seen.predicted == seen.quality).mean() > 0.95
 
 
+def test_registered_scores_are_the_trained_machines(spark, sf):
+    """The query's scores, from a machine trained again, by all pairs of features."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    machine, features = quality.train(docs, labels), quality.Featuriser()
+    got = {r.doc_id: r.score for r in queries.op1_quality(spark, sf).collect()}
+    for r in docs.orderBy("doc_id").limit(25).collect():
+        slots, x = features(r.text, r.n_chars)
+        v = machine.factors[slots] * x[:, None].astype(float)
+        pairs = (v @ v.T)[np.triu_indices(len(x), 1)].sum()
+        margin = machine.bias + machine.linear[slots] @ x + pairs
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-4)
+
+
 def test_quality_edges(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (4, 7)], "doc_id long, quality int")
@@ -225,6 +239,14 @@ def test_linked_spans_match_brute_force(spark):
         assert r.spans == listed(want), texts[r.doc_id]
         n += r.n_linked
     assert n > 100
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [*range(len(texts)), 900, None], "text": [*texts, None, "token=abcdef"]}))
+    cols = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()['op7_secrets']})").fetchall()
+    made = spark.createDataFrame([*enumerate(texts), (900, None), (None, "token=abcdef")], "doc_id long, text string")
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in cols)) for r in secret_scan.report(made).collect())
 
 
 def test_pieces_round_trip(spark, sf, monkeypatch):
