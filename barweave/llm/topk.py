@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, new_folder, stored
 
 #: Factor from components to integers.
 SCALE = 256
@@ -34,12 +34,12 @@ def quantise(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component x as double, as integers.
 
     Vectors that are null or hold null, NaN or infinite components are left out, as are
-    rows without a vec_id. Rows that repeat an id and its vector count once.
+    rows without a vec_id. Repeated rows stay repeated.
     """
     x = F.col("embedding")
     clean = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
     whole = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
-    return embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & clean).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).distinct()
+    return embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & clean).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,39 +133,50 @@ def _kth_scores(vectors: DataFrame, block: _Block, top: int, k: int) -> np.ndarr
     return np.where(found, above, np.iinfo(np.int64).min)
 
 
+def _blocks(queries: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Queries with the number of their block, and how many blocks there are; each but the last has exactly ``size`` queries.
+
+    Ranges of ids are numbered first, then the rows of each from where the ranges before it
+    end, so no task sorts all queries.
+    """
+    ranged = stored(queries.repartitionByRange("vec_id").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    offsets = sums.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("vec_id")) - 1
+    made = ranged.withColumn("place", place).join(F.broadcast(offsets), "part")
+    numbered = stored(made.select("vec_id", "v", F.floor((F.col("before") + F.col("place")) / size).cast("int").alias("number")))
+    return numbered, -(-numbered.count() // size)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k highest integer inner products of each query over all rows but its own, ties to smaller ids.
 
     ``vectors`` and ``queries``: (vec_id long, v array<long>), as ``quantise`` gives them.
     Candidates of another dimension than the query take no part; a query with fewer than k
-    candidates gets them all, one without candidates no row; rows with the query's own id
-    are its own. Empty inputs give an empty result. Blocks of queries, of bounded size, go
-    to the tasks; the driver holds one threshold a query of the block, never scores.
+    candidates gets them all, one without candidates no row. Rows with the query's own id are
+    its own; other rows that repeat are candidates each. Of query rows that repeat an id, the
+    smallest vector asks. Empty inputs give an empty result. Blocks of queries, of bounded
+    size, go to the tasks; the driver holds one threshold a query of the block, never scores.
+    Each block's result is appended to one table, so the plan doesn't grow with their number.
     """
     spark = vectors.sparkSession
-    sized = queries.withColumn("d", F.size("v")).filter(F.col("d") > 0)
+    once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    sized = once.withColumn("d", F.size("v")).filter(F.col("d") > 0)
     dims = [r["d"] for r in sized.select("d").distinct().collect()]
-    out = None
+    if not dims:
+        return spark.createDataFrame([], RESULT)
+    out = new_folder(spark)
     for d in sorted(dims):
         these = vectors.filter(F.size("v") == d)
         top = these.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0
-        size = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * d)))
-        of = sized.filter(F.col("d") == d).select("vec_id", "v")
-        n_blocks = -(-of.count() // size)
-        # Blocks by range of the id: each is read by its bounds, so none is larger than the bound.
-        cuts = of.select("vec_id").repartitionByRange(max(1, n_blocks), "vec_id") if n_blocks > 1 else None
-        bounds: list[tuple[int | None, int | None]] = [(None, None)]
-        if cuts is not None:
-            edges = [r[0] for r in cuts.groupBy(F.spark_partition_id().alias("p")).agg(F.min("vec_id").alias("m")).orderBy("m").select("m").collect()]
-            bounds = list(zip(edges, [*edges[1:], None]))
-        for lo, hi in bounds:
-            some = of if lo is None else of.filter((F.col("vec_id") >= lo) & (F.lit(True) if hi is None else (F.col("vec_id") < hi)))
-            held = some.toArrow()
+        of, n_blocks = _blocks(sized.filter(F.col("d") == d).select("vec_id", "v"), max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * d))))
+        for number in range(n_blocks):
+            held = of.filter(F.col("number") == number).select("vec_id", "v").toArrow()
             flat, _ = _matrix(held.column("v"))
             block = _Block(held.column("vec_id").to_numpy(), flat.reshape(-1, d))
-            found = _select(these, block, _kth_scores(these, block, int(top**0.5) + 1, k), k)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], RESULT)
+            _select(these, block, _kth_scores(these, block, int(top**0.5) + 1, k), k).write.mode("append").parquet(out)
+    return spark.read.schema(RESULT).parquet(out)
 
 
 def _select(vectors: DataFrame, block: _Block, kth: np.ndarray, k: int) -> DataFrame:
