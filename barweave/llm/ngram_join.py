@@ -431,7 +431,8 @@ def _split(sets: DataFrame, clusters: DataFrame) -> DataFrame:
 
     drawn = map_batches(sets.join(inside.select(F.col("node").alias("d")), "d").select("d", "n", "tokens"), draw, "node long, n long, sketch binary")
     pairs = _tile_pairs(drawn, inside, large)
-    split = components(pairs.groupBy("root", "i", "j").applyInArrow(check, "node long, root long"))
+    # Written first: a task that checks and contracts at once would hold two workers.
+    split = components(stored(pairs.groupBy("root", "i", "j").applyInArrow(check, "node long, root long")))
     return stored(clusters.join(sizes.filter(F.col("m") <= LARGE).select("root"), "root").select("node", "root").unionByName(split))
 
 

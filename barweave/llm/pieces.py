@@ -4,8 +4,9 @@ Texts become chunks (runs of ``▁`` with the characters after them, and line br
 piece crosses a chunk's end, and equal chunks have equal pieces. For the most frequent
 chunks, bounded in number, the lattice is a relation: all substrings of bounded length are
 exploded and equi-joined to the piece table, the edges are grouped by chunk, and a fold
-with Spark's higher-order ``aggregate`` picks the path. All other chunks, the exact rest,
-go through the same lattice and the same fold inside the workers, so no text moves.
+with Spark's higher-order ``aggregate`` picks the path. All other chunks, the exact rest, are
+encoded inside the workers by the plain form of the same fold (for ``bpe`` the merge itself,
+for ``unigram`` Viterbi over the same edges), so no text moves.
 
 The fold follows the model's kind. ``unigram``: Viterbi, the path of the highest sum of
 scores. ``bpe``: the path that merging makes, highest score first; the scores of such a model
@@ -19,13 +20,14 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, released, stored
 
 SPACE = "▁"
 #: Chunks of the relational dictionary at most, and their longest length; with these it is small enough to broadcast.
@@ -33,6 +35,8 @@ HOT_CHUNKS = 1 << 18
 HOT_LENGTH = 32
 #: Distinct chunks that a worker counts before it passes the counts on.
 PARTIAL_COUNTS = 1 << 18
+#: Longer chunks are merged by way of a heap.
+SHORT_CHUNK = 64
 #: Chunks a worker remembers beside the dictionary; others are folded again each time.
 CACHED_CHUNKS = 1 << 16
 #: Taken off the lowest score for a character without a piece.
@@ -242,16 +246,16 @@ def hot_chunks(docs: DataFrame) -> DataFrame:
 class Encoder:
     """The lattice and fold inside a worker, with a dictionary of chunks that are already folded."""
 
-    def __init__(self, model: Model, known: dict[str, bytes] | None = None):
+    def __init__(self, model: Model, inner: dict[str, bytes] | None = None, other: dict[str, bytes] | None = None):
+        """``inner``: ids of chunks that begin with ``▁``, named without it; ``other``: of all other chunks. Both are taken over, not copied."""
         self.model = model
         self.cut = re.compile(CHUNK_PATTERN).findall
         self.bytes_of = np.array(model.by_id, dtype=object)
         self.scores = {p: s for p, (_, s) in model.table.items()}
         self.ids = {p: i for p, (i, _) in model.table.items()}
         self.line_break = self.packed("\n", self.path("\n"))
-        # Words after a space, without their mark, and all other chunks.
-        self.inner = {c[1:]: ids for c, ids in (known or {}).items() if c[0] == SPACE}
-        self.other = {c: ids for c, ids in (known or {}).items() if c[0] != SPACE}
+        self.inner = {} if inner is None else inner
+        self.other = {} if other is None else other
         self.added = 0
 
     def _missing(self, held: dict[str, bytes], key: str, chunk: str) -> bytes:
@@ -298,6 +302,8 @@ class Encoder:
 
     def _parts(self, chunk: str) -> list[str]:
         """The strings that merging leaves."""
+        if len(chunk) > SHORT_CHUNK:
+            return self._parts_of_long(chunk)
         get, none = self.scores.get, float("-inf")
         parts = list(chunk)
         score = [get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -315,6 +321,35 @@ class Encoder:
                 score[i] = get(joined + parts[i + 1], none)
         return parts
 
+    def _parts_of_long(self, chunk: str) -> list[str]:
+        """The same for a long chunk, in time n log n: possible merges wait in a heap, parts are linked to their neighbours."""
+        get, n = self.scores.get, len(chunk)
+        end = list(range(1, n + 1))  # where the part that starts here ends; 0: no part starts here any more
+        before = list(range(-1, n - 1))
+        heap = [(-score, i, i + 2) for i in range(n - 1) if (score := get(chunk[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, start, stop = heappop(heap)
+            middle = end[start]
+            if not middle or middle >= n or end[middle] != stop:
+                continue  # one of its parts has been merged since
+            end[start], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = start
+                score = get(chunk[start : end[stop]])
+                if score is not None:
+                    heappush(heap, (-score, start, end[stop]))
+            if start:
+                left = before[start]
+                score = get(chunk[left:stop])
+                if score is not None:
+                    heappush(heap, (-score, left, stop))
+        out, at = [], 0
+        while at < n:
+            out.append(chunk[at : end[at]])
+            at = end[at]
+        return out
+
     def _merged(self, chunk: str) -> list[tuple[int, int, int]]:
         out, at = [], 0
         for p in self._parts(chunk):
@@ -361,15 +396,17 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def _dictionary(docs: DataFrame, model: Model) -> dict[str, bytes]:
-    """Ids of the hot chunks, by the relational lattice; of bounded size."""
+def _dictionary(docs: DataFrame, model: Model) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Ids of the hot chunks, by the relational lattice: those after a space, without their mark, and others. Of bounded size."""
     got = segmented(hot_chunks(docs), model).toArrow()
     pack = Encoder(model).packed
-    out: dict[str, bytes] = {}
+    inner: dict[str, bytes] = {}
+    other: dict[str, bytes] = {}
     for batch in got.to_batches(max_chunksize=4096):  # as Python objects, only some paths at a time
         for c, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out[c] = pack(c, [(x["s"], x["e"], x["id"]) for x in path])
-    return out
+            held, key = (inner, c[1:]) if c[0] == SPACE else (other, c)
+            held[key] = pack(c, [(x["s"], x["e"], x["id"]) for x in path])
+    return inner, other
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
@@ -379,11 +416,11 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     null or empty text has no ids and a true round trip; a null doc_id stays null; repeated
     rows stay repeated; other columns are ignored.
     """
-    known = _dictionary(docs, model)
+    inner, other = _dictionary(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, known)
-        known.clear()  # the task's own copy; the encoder has what it needs
+        encoder = Encoder(model, inner, other)  # the task's own copies
+        released()  # what reading them took
         for batch in batches:
             ids, same = [], []
             for text in batch.column(1).to_pylist():
