@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm import mixing, ngram_join, pieces, quality, secret_scan
-from barweave.llm.common import read_table, stored
+from barweave.llm.common import new_folder, read_table, scratch, stored
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Domains, languages and sources weigh the same; nine tenths of the tokens stay, each document once.
@@ -25,14 +25,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id; of rows that repeat an id, one. Rows without an id stay."""
+    """Of each group of linked documents the one of the smallest id; of rows that repeat an id, one.
+
+    Rows without an id stay.
+    """
     found = stored(ngram_join.join(docs))
-    again = stored(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).filter((F.col("n") > 1) | (F.col("c") < F.col("doc_id"))))
+    rows = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
+    again = stored(rows.filter((F.col("n") > 1) | (F.col("c") < F.col("doc_id"))))
     dropped = again.filter(F.col("c") < F.col("doc_id")).select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = again.filter((F.col("n") > 1) & (F.col("c") == F.col("doc_id"))).select("doc_id")
     if repeated.limit(1).count():
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
     return kept
 
 
@@ -67,5 +72,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, on ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        kept = new_folder(spark)
+        with scratch(spark):  # what a stage stores on its way goes when its result is written
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(kept)
+        docs = spark.read.schema(made.schema).parquet(kept)
     return docs
