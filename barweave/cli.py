@@ -22,7 +22,8 @@ from .session import session
 from .sources import catalog, providers, store
 from .sources.lake import DATASETS
 
-ALIASES = {"prices": "prices_daily", "features": "features_daily", "labels": "labels_forward_returns", "corporate-actions": "corporate_actions"}
+ALIASES = {"prices": "prices_daily", "features": "features_daily", "labels": "labels_forward_returns",
+    "corporate-actions": "corporate_actions"}
 
 
 def readers(spark: SparkSession, raw: str) -> dict[str, ingest.Read]:
@@ -42,7 +43,8 @@ def readers(spark: SparkSession, raw: str) -> dict[str, ingest.Read]:
     def filings(ciks: list[int]) -> DataFrame:
         there = set(files("filings").names())
         parts = [providers.read_filings(spark, f"{raw}/filings/{c}.json") for c in ciks if f"{c}.json" in there]
-        return union(parts) if parts else spark.createDataFrame([], "cik string, accession_number string, form_type string, filing_date string, url string")
+        return union(parts) if parts else spark.createDataFrame([],
+            "cik string, accession_number string, form_type string, filing_date string, url string")
 
     made = {
         "universe": lambda: providers.read_security_master(spark, f"{raw}/universe"), "prices": prices, "filings": filings,
@@ -63,10 +65,12 @@ def universe(env: ingest.Env, a: argparse.Namespace) -> None:
     """tracked, add TICKER..., remove TICKER..."""
     old = env.tracked()
     if a.action == "tracked":
-        show(old.join(env.securities().select("security_id", "primary_ticker"), "security_id", "left").orderBy("primary_ticker"), a.limit)
+        show(old.join(env.securities().select("security_id", "primary_ticker"), "security_id", "left")
+            .orderBy("primary_ticker"), a.limit)
         return
     wanted = env.spark.createDataFrame([(t,) for t in a.tickers], "ticker string")
-    history = env.catalog.read("security_identifiers", "security_id string, identifier_type string, identifier_value string, valid_to date")
+    history = env.catalog.read("security_identifiers",
+        "security_id string, identifier_type string, identifier_value string, valid_to date")
     found = catalog.resolve_symbols(wanted, env.securities(), history)
     ids = [r["security_id"] for r in found.filter(F.col("security_id").isNotNull()).collect()]
     if a.action == "add":
@@ -95,7 +99,8 @@ def expand_universe(env: ingest.Env, a: argparse.Namespace) -> None:
 def compute(env: ingest.Env, a: argparse.Namespace) -> None:
     spy = daily._market(env, "SPY")
     if a.command == "compute-features":
-        done = daily.compute_features(env.lake, spy, daily._market(env, "QQQ"), daily._vix(env), env.calendar(), a.start, a.end, a.dry_run)
+        done = daily.compute_features(env.lake, spy, daily._market(env, "QQQ"), daily._vix(env), env.calendar(), a.start, a.end,
+            a.dry_run)
     else:
         done = daily.compute_labels(env.lake, spy, env.calendar(), a.start, a.end, a.dry_run)
     print(json.dumps(done, default=str))
@@ -105,11 +110,13 @@ def _panel(env: ingest.Env, universe_name: str) -> DataFrame:
     issues = daily._stored_issues(env)
     members = env.catalog.read("universe_memberships", "universe_name string, security_id string")
     view = lambda n: env.lake.view(DATASETS[n])
-    return research.panel(view("features_daily"), view("labels_forward_returns"), members, classify.classify(env.securities()), view("prices_daily"), issues, universe_name)
+    return research.panel(view("features_daily"), view("labels_forward_returns"), members, classify.classify(env.securities()),
+        view("prices_daily"), issues, universe_name)
 
 
 def _reconcile(env: ingest.Env) -> DataFrame:
-    return research.reconcile_securities(*(env.lake.view(DATASETS[n]) for n in ("prices_daily", "features_daily", "labels_forward_returns")))
+    return research.reconcile_securities(*(env.lake.view(DATASETS[n])
+        for n in ("prices_daily", "features_daily", "labels_forward_returns")))
 
 
 def researched(env: ingest.Env, a: argparse.Namespace) -> None:
@@ -121,11 +128,13 @@ def researched(env: ingest.Env, a: argparse.Namespace) -> None:
     dev = research.in_split(df, a.split, a.start, a.end)
     frozen = research.in_split(df, "development", a.start, a.end)
     if a.action == "report":
-        print(json.dumps(daily.research_report(df, wanted, [a.target], a.start, a.end, a.out, {"universe": a.universe, "target": a.target})))
+        print(json.dumps(daily.research_report(df, wanted, [a.target], a.start, a.end, a.out,
+            {"universe": a.universe, "target": a.target})))
         return
     tables = {
         "baseline": lambda: research.baseline(dev, [a.target]), "feature-coverage": lambda: research.coverage(dev, wanted),
-        "quantiles": lambda: research.quintile_stats(dev, wanted, [a.target], research.cutoffs(frozen, [a.target])), "ic": lambda: research.rank_ic(dev, wanted, a.target),
+        "quantiles": lambda: research.quintile_stats(dev, wanted, [a.target], research.cutoffs(frozen, [a.target])),
+        "ic": lambda: research.rank_ic(dev, wanted, a.target),
         "regimes": lambda: research.regime_stats(research.with_regimes(dev, research.vix_terciles(frozen)), [a.target]),
     }
     show(tables[a.action](), a.limit)
@@ -138,7 +147,8 @@ def audit(env: ingest.Env, a: argparse.Namespace) -> None:
         show(quality.ohlc_audit(prices, classes, members))
         return
     actions = env.lake.view(DATASETS["corporate_actions"])
-    report = quality.extreme_label_report(quality.extreme_label_audit(env.lake.view(DATASETS["labels_forward_returns"]), prices, actions, classes, members))
+    report = quality.extreme_label_report(quality.extreme_label_audit(env.lake.view(DATASETS["labels_forward_returns"]), prices,
+        actions, classes, members))
     for name in ("by_cause", "by_class", "by_horizon", "largest_positive", "largest_negative", "research_unexplained"):
         print(name)
         show(report[name], a.limit)
@@ -152,7 +162,8 @@ def maintain(env: ingest.Env, a: argparse.Namespace) -> None:
         if a.command == "compact":
             done = env.lake.compact(d, a.year, a.month, a.dry_run)
         elif a.command == "migrate-partitions":
-            done = env.lake.to_yearly(d, a.dry_run) if d.by == "year" and env.lake.layout(d) in ("month", "mixed") else "nothing to migrate"
+            done = env.lake.to_yearly(d, a.dry_run) if d.by == "year" and env.lake.layout(d) in ("month",
+                "mixed") else "nothing to migrate"
         else:
             done = env.lake.health(d)
         print(n, json.dumps(done))
@@ -177,7 +188,8 @@ def mined(env: ingest.Env, a: argparse.Namespace) -> None:
     df = mining.frame(panel, indicators.compute(bars, ids=list(mining.FAMILIES)).drop(*indicators.BASE[2:]))
     if a.action == "walk-forward":
         parts = mining.folds(mining.latest_mature(df, a.target))
-        walked = mining.walk_forward_full(df, a.target, parts) if a.full else mining.stability(mining.walk_forward(df, a.target, parts, mode=a.mode, wait=a.cooldown))
+        walked = mining.walk_forward_full(df, a.target,
+            parts) if a.full else mining.stability(mining.walk_forward(df, a.target, parts, mode=a.mode, wait=a.cooldown))
         show(walked, a.limit)
         return
     if a.action == "inspect":
@@ -212,11 +224,13 @@ def parser() -> argparse.ArgumentParser:
 
     said = lambda fn: lambda env, a: print(fn(env, dry_run=a.dry_run))
     command("init", lambda env, a: print(json.dumps(ingest.migrate(env))))
-    for name, fn in (("sync-universe", ingest.sync_universe), ("sync-prices", ingest.sync_prices), ("sync-vix", ingest.sync_vix), ("sync-macro", ingest.sync_macro), ("sync-sec-filings", ingest.sync_filings)):
+    for name, fn in (("sync-universe", ingest.sync_universe), ("sync-prices", ingest.sync_prices), ("sync-vix", ingest.sync_vix),
+        ("sync-macro", ingest.sync_macro), ("sync-sec-filings", ingest.sync_filings)):
         command(name, said(fn))
     c = command("repair-prices", lambda env, a: print(ingest.repair_prices(env, a.sessions, a.dry_run)))
     c.add_argument("--sessions", type=int)
-    c = command("backfill-prices", lambda env, a: print(ingest.backfill_prices(env, a.start, a.end, a.symbols, not a.restart, a.dry_run)), days=True)
+    c = command("backfill-prices", lambda env,
+        a: print(ingest.backfill_prices(env, a.start, a.end, a.symbols, not a.restart, a.dry_run)), days=True)
     c.add_argument("--symbols", nargs="*")
     c.add_argument("--restart", action="store_true")
     for name in ("compute-features", "compute-labels"):
@@ -229,10 +243,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--n", type=int, default=500)
     c.add_argument("--years", type=float, default=8)
     c.add_argument("--pinned", nargs="*", default=[])
-    c = command("validate", lambda env, a: print(json.dumps(daily.validate(env, a.action, a.ids, a.dry_run))), actions=["prices", "features", "labels"])
+    c = command("validate", lambda env, a: print(json.dumps(daily.validate(env, a.action, a.ids, a.dry_run))),
+        actions=["prices", "features", "labels"])
     c.add_argument("--ids", nargs="*")
     command("audit", audit, actions=["prices", "extreme-labels"])
-    c = command("research", researched, days=True, actions=["reconcile", "baseline", "feature-coverage", "quantiles", "ic", "regimes", "report"])
+    c = command("research", researched, days=True,
+        actions=["reconcile", "baseline", "feature-coverage", "quantiles", "ic", "regimes", "report"])
     c.add_argument("--universe", default="research-common-equity-500")
     c.add_argument("--target", default="forward_excess_spy_20d", choices=labels.VALUES)
     c.add_argument("--features", nargs="*")

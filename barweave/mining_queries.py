@@ -32,7 +32,8 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _test(s: mining.State) -> str:
-    ops = {"true": f"{s.column}", "le": f"{s.column} <= {s.value}", "ge": f"{s.column} >= {s.value}", "gt": f"{s.column} > {s.value}", "eq": f"{s.column} = {s.value}"}
+    ops = {"true": f"{s.column}", "le": f"{s.column} <= {s.value}", "ge": f"{s.column} >= {s.value}",
+        "gt": f"{s.column} > {s.value}", "eq": f"{s.column} = {s.value}"}
     return f"coalesce({ops[s.op]}, false)"
 
 
@@ -56,11 +57,15 @@ def _c(s: mining.State) -> mining.State:
 
 
 _FLAGS = ", ".join(f"{_test(_c(s))} AS {s.name}" for s in mining.STATES)
-FRAME = f"+ {_frame_sql()}, st AS MATERIALIZED (SELECT security_id, date, y, raw_close, vix_close, spy_ma200_distance, {_FLAGS} FROM mf)"
+FRAME = (f"+ {_frame_sql()}, st AS MATERIALIZED (SELECT security_id, date, y, raw_close, vix_close, spy_ma200_distance, "
+    f"{_FLAGS} FROM mf)")
 DEV = f"date BETWEEN DATE '{DEV_START}' AND DATE '{DEV_END}'"
-_CUTS = ", ".join(f"(SELECT {NEAREST.format(q=q)} FROM (SELECT c_{c} AS v FROM mf WHERE {DEV} AND c_{c} IS NOT NULL)) AS {c}_q{int(q * 100)}" for c in SOURCES for q in (0.2, 0.8))
-_QFLAGS = ", ".join(f"coalesce(c_{c} {op} {c}_q{q}, false) AS analysis_q_{c}_{n}_q{q}" for c in SOURCES for op, n, q in (("<=", "le", 20), (">=", "ge", 80)))
-QUANTILED = f"{FRAME}, cuts AS (SELECT {_CUTS}), sq AS MATERIALIZED (SELECT st.*, {_QFLAGS} FROM st JOIN mf USING (security_id, date) CROSS JOIN cuts)"
+_CUTS = ", ".join(f"(SELECT {NEAREST.format(q=q)} FROM (SELECT c_{c} AS v FROM mf WHERE {DEV} AND c_{c} IS NOT NULL)) AS "
+    f"{c}_q{int(q * 100)}" for c in SOURCES for q in (0.2, 0.8))
+_QFLAGS = ", ".join(f"coalesce(c_{c} {op} {c}_q{q}, false) AS analysis_q_{c}_{n}_q{q}" for c in SOURCES
+    for op, n, q in (("<=", "le", 20), (">=", "ge", 80)))
+QUANTILED = (f"{FRAME}, cuts AS (SELECT {_CUTS}), sq AS MATERIALIZED (SELECT st.*, {_QFLAGS} FROM st JOIN mf USING (security_id, "
+    f"date) CROSS JOIN cuts)")
 _QNAMES = [f"analysis_q_{c}_{x}" for c in SOURCES for x in ("le_q20", "ge_q80")]
 
 
@@ -70,7 +75,9 @@ def states(spark, d):
     return _stated(spark, d).select("security_id", "date", *(s.name for s in mining.STATES))
 
 
-@query(FRAME + ", l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS source, c_{c} AS v FROM mf WHERE {DEV} AND c_{c} IS NOT NULL" for c in SOURCES) + ") SELECT source, " + _r(*(NEAREST.format(q=q) + f" AS q{int(q * 100)}" for q in mining.QUANTILES)) + " FROM l GROUP BY source", panel=True)
+@query(FRAME + ", l AS (" + " UNION "
+    "ALL ".join(f"SELECT '{c}' AS source, c_{c} AS v FROM mf WHERE {DEV} AND c_{c} IS NOT NULL" for c in SOURCES) + ") SELECT "
+    "source, " + _r(*(NEAREST.format(q=q) + f" AS q{int(q * 100)}" for q in mining.QUANTILES)) + " FROM l GROUP BY source", panel=True)
 def quantile_freeze(spark, d):
     """Quantiles frozen on the development window."""
     frozen = mining.freeze(mining.window(_frame(spark, d), DEV_START, DEV_END))
@@ -86,23 +93,31 @@ def quantile_states(spark, d):
     return mining.apply_states(df, made).select("security_id", "date", *(s.name for s in made))
 
 
-@query(FRAME + ", r AS (SELECT security_id, date, (rank() OVER (PARTITION BY date ORDER BY c_natr_14) + (count(*) OVER (PARTITION BY date, c_natr_14) - 1) / 2.0::DOUBLE - 1) / count(*) OVER (PARTITION BY date) AS p FROM mf WHERE c_natr_14 IS NOT NULL) SELECT security_id, date, p <= 0.2::DOUBLE AS cs_q_natr_14_le_q20, p >= 0.8::DOUBLE AS cs_q_natr_14_ge_q80 FROM mf LEFT JOIN r USING (security_id, date)", panel=True)
+@query(FRAME + ", r AS (SELECT security_id, date, (rank() OVER (PARTITION BY date ORDER BY c_natr_14) + (count(*) OVER (PARTITION BY "
+    "date, c_natr_14) - 1) / 2.0::DOUBLE - 1) / count(*) OVER (PARTITION BY date) AS p FROM mf WHERE c_natr_14 IS NOT NULL) SELECT "
+    "security_id, date, p <= 0.2::DOUBLE AS cs_q_natr_14_le_q20, p >= 0.8::DOUBLE AS cs_q_natr_14_ge_q80 FROM mf LEFT JOIN r USING "
+    "(security_id, date)", panel=True)
 def daily_quantile_flags(spark, d):
     """States by the day's own ranks."""
-    return mining.daily_quantile_flags(_frame(spark, d), "natr_14").select("security_id", "date", "cs_q_natr_14_le_q20", "cs_q_natr_14_ge_q80")
+    return mining.daily_quantile_flags(_frame(spark, d), "natr_14").select("security_id", "date", "cs_q_natr_14_le_q20",
+        "cs_q_natr_14_ge_q80")
 
 
-_ENTRY = f"e AS (SELECT *, {STATE} AND NOT coalesce(lag({STATE}) OVER (PARTITION BY security_id ORDER BY date), false) AS entry, row_number() OVER (PARTITION BY security_id ORDER BY date) AS i FROM st)"
+_ENTRY = (f"e AS (SELECT *, {STATE} AND NOT coalesce(lag({STATE}) OVER (PARTITION BY security_id ORDER BY date), false) AS entry, "
+    f"row_number() OVER (PARTITION BY security_id ORDER BY date) AS i FROM st)")
 
 
-@query(FRAME + f", {_ENTRY} SELECT security_id, date, entry, CASE WHEN {STATE} THEN sum(entry::INT) OVER (PARTITION BY security_id ORDER BY date) END::BIGINT AS episode FROM e", panel=True)
+@query(FRAME + f", {_ENTRY} SELECT security_id, date, entry, CASE WHEN {STATE} THEN sum(entry::INT) OVER (PARTITION BY security_id "
+    f"ORDER BY date) END::BIGINT AS episode FROM e", panel=True)
 def entry_episode(spark, d):
     """First rows of runs, and the runs' numbers."""
-    return mining.with_entries(_stated(spark, d), STATE).select("security_id", "date", F.col("__entry").alias("entry"), F.col("__episode").alias("episode"))
+    return mining.with_entries(_stated(spark, d), STATE).select("security_id", "date", F.col("__entry")
+        .alias("entry"), F.col("__episode").alias("episode"))
 
 
 _KEPT = f"""{_ENTRY}, en AS (SELECT security_id, i FROM e WHERE entry),
-k AS (WITH RECURSIVE r AS (SELECT security_id, min(i) AS i FROM en GROUP BY 1 UNION ALL SELECT r.security_id, (SELECT min(en.i) FROM en WHERE en.security_id = r.security_id AND en.i > r.i + 20) FROM r WHERE r.i IS NOT NULL) SELECT * FROM r WHERE i IS NOT NULL)"""
+k AS (WITH RECURSIVE r AS (SELECT security_id, min(i) AS i FROM en GROUP BY 1 UNION ALL SELECT r.security_id, (SELECT min(en.i) FROM
+en WHERE en.security_id = r.security_id AND en.i > r.i + 20) FROM r WHERE r.i IS NOT NULL) SELECT * FROM r WHERE i IS NOT NULL)"""
 
 
 @query(FRAME + f", {_KEPT} SELECT security_id, date FROM e JOIN k USING (security_id, i)", panel=True)
@@ -111,7 +126,9 @@ def cooldown(spark, d):
     return mining.with_cooldown(_stated(spark, d), STATE, 20).filter("__kept").select("security_id", "date")
 
 
-@query(FRAME + f", {_KEPT} SELECT (SELECT count(*) FROM st WHERE {STATE}) AS flag_rows, (SELECT count(*) FROM en) AS entries, (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM en) AS episodes, (SELECT count(DISTINCT date) FROM st WHERE {STATE}) AS n_dates, (SELECT count(DISTINCT security_id) FROM st WHERE {STATE}) AS n_securities", panel=True)
+@query(FRAME + f", {_KEPT} SELECT (SELECT count(*) FROM st WHERE {STATE}) AS flag_rows, (SELECT count(*) FROM en) AS entries, "
+    f"(SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM en) AS episodes, (SELECT count(DISTINCT date) FROM st WHERE {STATE}) "
+    f"AS n_dates, (SELECT count(DISTINCT security_id) FROM st WHERE {STATE}) AS n_securities", panel=True)
 def pattern_frequency(spark, d):
     """Rows, entries and runs of a pattern."""
     return mining.frequency(_stated(spark, d), STATE, 20)
@@ -121,9 +138,11 @@ def _hits_sql(table: str, names: list[str], pairs: list[tuple[str, str]], where:
     """lg: (security_id, date, y, pattern) of the states and pairs that hold."""
     unpivot = ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in names)
     allowed = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
-    one = f"SELECT security_id, date, y, unnest(list_filter([{unpivot}], lambda v: v IS NOT NULL)) AS pattern FROM {table} WHERE {where}"
+    one = (f"SELECT security_id, date, y, unnest(list_filter([{unpivot}], lambda v: v IS NOT NULL)) AS pattern FROM {table} WHERE "
+        f"{where}")
     return f"""al(a, b) AS (VALUES {allowed}), sg AS MATERIALIZED ({one}),
-lg AS MATERIALIZED (SELECT * FROM sg UNION ALL SELECT s.security_id, s.date, s.y, s.pattern || ' AND ' || t.pattern FROM sg s JOIN al ON al.a = s.pattern JOIN sg t ON t.security_id = s.security_id AND t.date = s.date AND t.pattern = al.b)"""
+lg AS MATERIALIZED (SELECT * FROM sg UNION ALL SELECT s.security_id, s.date, s.y, s.pattern || ' AND ' || t.pattern FROM sg s JOIN
+al ON al.a = s.pattern JOIN sg t ON t.security_id = s.security_id AND t.date = s.date AND t.pattern = al.b)"""
 
 
 def _stats_sql(base: str, lag: int = 20, by: str = "", winsor: str = "y") -> str:
@@ -135,20 +154,29 @@ def _stats_sql(base: str, lag: int = 20, by: str = "", winsor: str = "y") -> str
     def nw(name: str, value: str) -> str:
         lags = ", ".join(f"sum(e * lag{k}) AS g{k}" for k in range(1, lag + 1))
         made = ", ".join(f"lag(e, {k}) OVER ({part} ORDER BY date) AS lag{k}" for k in range(1, lag + 1))
-        weights = " + ".join(f"CASE WHEN {k} <= l THEN 2 * (1 - {k} / (l + 1)::DOUBLE) * coalesce(g{k}, 0) ELSE 0 END" for k in range(1, lag + 1))
-        return f"""{name}0 AS (SELECT {keys}, date, {value} AS v, {value} - avg({value}) OVER ({part}) AS e, count(*) OVER ({part}) AS n FROM dy WHERE {value} IS NOT NULL),
-{name}1 AS (SELECT *, {made} FROM {name}0), {name}2 AS (SELECT {keys}, count(*) AS n, avg(v) AS mean, sum(e * e) AS g0, least({lag}, any_value(n) - 1) AS l, {lags} FROM {name}1 GROUP BY {keys}),
-{name} AS (SELECT {keys}, n, mean, CASE WHEN n >= 3 AND (g0 + {weights}) / n > 1e-18 THEN mean / sqrt((g0 + {weights}) / n / n) END AS t FROM {name}2)"""
-
-    return f"""fl AS (SELECT {keys}, count(*) AS kept, count(y) AS n, count(DISTINCT date) FILTER (y IS NOT NULL) AS n_dates, count(DISTINCT security_id) FILTER (y IS NOT NULL) AS n_securities,
-avg(y) AS mean, median(y) AS median, avg({winsor}) AS winsor_mean, avg(CASE WHEN y > 0 THEN 1.0 WHEN y <= 0 THEN 0.0 END) AS positive_ratio FROM lg GROUP BY {keys}),
-dy AS MATERIALIZED (SELECT {keys}, date, day, day - base AS diff FROM (SELECT {keys}, date, avg(y) AS day FROM lg WHERE y IS NOT NULL GROUP BY ALL) LEFT JOIN {base} USING {using}),
+        weights = " + ".join(f"CASE WHEN {k} <= l THEN 2 * (1 - {k} / (l + 1)::DOUBLE) * coalesce(g{k}, 0) ELSE 0 END"
+            for k in range(1, lag + 1))
+        return f"""{name}0 AS (SELECT {keys}, date, {value} AS v, {value} - avg({value}) OVER ({part}) AS e, count(*) OVER ({part})
+AS n FROM dy WHERE {value} IS NOT NULL),
+{name}1 AS (SELECT *, {made} FROM {name}0), {name}2 AS (SELECT {keys}, count(*) AS n, avg(v) AS mean, sum(e * e) AS g0, least({lag},
+any_value(n) - 1) AS l, {lags} FROM {name}1 GROUP BY {keys}),
+{name} AS (SELECT {keys}, n, mean, CASE WHEN n >= 3 AND (g0 + {weights}) / n > 1e-18 THEN mean / sqrt((g0 + {weights}) / n / n) END
+AS t FROM {name}2)"""
+
+    return f"""fl AS (SELECT {keys}, count(*) AS kept, count(y) AS n, count(DISTINCT date) FILTER (y IS NOT NULL) AS n_dates,
+count(DISTINCT security_id) FILTER (y IS NOT NULL) AS n_securities,
+avg(y) AS mean, median(y) AS median, avg({winsor}) AS winsor_mean, avg(CASE WHEN y > 0 THEN 1.0 WHEN y <= 0 THEN 0.0 END) AS
+positive_ratio FROM lg GROUP BY {keys}),
+dy AS MATERIALIZED (SELECT {keys}, date, day, day - base AS diff FROM (SELECT {keys}, date, avg(y) AS day FROM lg WHERE y IS NOT
+NULL GROUP BY ALL) LEFT JOIN {base} USING {using}),
 {nw('na', 'day')}, {nw('nb', 'diff')},
-ps AS MATERIALIZED (SELECT fl.*, na.mean AS daily_mean, na.t AS newey_west_t, nb.mean AS vs_baseline_mean, nb.t AS vs_baseline_nw_t, coalesce(nb.n, 0) AS vs_baseline_n FROM fl LEFT JOIN na USING ({keys}) LEFT JOIN nb USING ({keys}))"""
+ps AS MATERIALIZED (SELECT fl.*, na.mean AS daily_mean, na.t AS newey_west_t, nb.mean AS vs_baseline_mean, nb.t AS vs_baseline_nw_t,
+coalesce(nb.n, 0) AS vs_baseline_n FROM fl LEFT JOIN na USING ({keys}) LEFT JOIN nb USING ({keys}))"""
 
 
 _NAMES = [s.name for s in mining.STATES]
-_SCORE = FRAME + ", " + _hits_sql("st", _NAMES, mining.pairs_of(list(mining.STATES))) + ", ba AS (SELECT date, avg(y) AS base FROM st WHERE y IS NOT NULL GROUP BY 1), " + _stats_sql("ba")
+_SCORE = FRAME + ", " + _hits_sql("st", _NAMES,
+    mining.pairs_of(list(mining.STATES))) + ", ba AS (SELECT date, avg(y) AS base FROM st WHERE y IS NOT NULL GROUP BY 1), " + _stats_sql("ba")
 _SHOWN = ["mean", "median", "winsor_mean", "positive_ratio", "daily_mean", "newey_west_t", "vs_baseline_mean", "vs_baseline_nw_t"]
 _COUNTS = ["kept", "n", "n_dates", "n_securities"]
 
@@ -160,27 +188,35 @@ def pattern_scores(spark, d):
 
 
 _ALL = [*_NAMES, *_QNAMES]
-_FAMILY = {s.name: s.family for s in mining.STATES} | {f"analysis_q_{c}_{x}": f for c, f, _ in mining.QUANTILE_SOURCES for x in ("le_q20", "ge_q80")}
+_FAMILY = {s.name: s.family for s in mining.STATES} | {f"analysis_q_{c}_{x}": f for c, f, _ in mining.QUANTILE_SOURCES
+    for x in ("le_q20", "ge_q80")}
 _EVERY = [*mining.STATES, *mining.quantile_states({c: {"q20": 0.0, "q80": 0.0} for c in SOURCES})]
-_BOUNDS = f"bd AS (SELECT {NEAREST.format(q=0.01)} AS lo, {NEAREST.format(q=0.99)} AS hi FROM (SELECT y AS v FROM st WHERE {DEV} AND y IS NOT NULL))"
+_BOUNDS = (f"bd AS (SELECT {NEAREST.format(q=0.01)} AS lo, {NEAREST.format(q=0.99)} AS hi FROM (SELECT y AS v FROM st WHERE "
+    f"{DEV} AND y IS NOT NULL))")
 _CLIP = "CASE WHEN y IS NOT NULL THEN least(greatest(y, (SELECT lo FROM bd)), (SELECT hi FROM bd)) END"
 #: The complementary error function of |t| / sqrt(2), by the series of erf with positive terms only.
 _P = """CASE WHEN t IS NULL OR greatest(k - 1, 1) < 2 THEN NULL WHEN abs(t) < 1e-9 THEN 1.0::DOUBLE WHEN abs(t) > 8 THEN 0.0::DOUBLE
-ELSE 1 - list_sum(list_transform(range(0, 200), lambda m: exp((2 * m + 1) * ln(abs(t) / sqrt(2::DOUBLE)) - lgamma(m + 1.5::DOUBLE) - t * t / 2))) END"""
+ELSE 1 - list_sum(list_transform(range(0, 200), lambda m: exp((2 * m + 1) * ln(abs(t) / sqrt(2::DOUBLE)) - lgamma(m + 1.5::DOUBLE) -
+t * t / 2))) END"""
 _SUPPORT = "kept >= 1000 AND n_dates >= 100 AND n_securities >= 30"
 _DISCOVERY = (
     QUANTILED + f", {_BOUNDS}, " + _hits_sql("sq", _ALL, mining.pairs_of(_EVERY), DEV)
     + f", ba AS (SELECT date, avg(y) AS base FROM st WHERE y IS NOT NULL AND {DEV} GROUP BY 1), " + _stats_sql("ba", winsor=_CLIP)
     + f""", nm(pattern, family, place) AS (VALUES {", ".join(f"('{n}', '{_FAMILY[n]}', {i})" for i, n in enumerate(_ALL))}),
 ok AS (SELECT pattern FROM ps JOIN nm USING (pattern) WHERE {_SUPPORT}),
-pr AS (SELECT ps.*, 2 AS rule_size, CASE WHEN x.family = y.family THEN x.family ELSE 'MIXED' END AS family FROM ps JOIN nm x ON x.pattern = split_part(ps.pattern, ' AND ', 1) JOIN nm y ON y.pattern = split_part(ps.pattern, ' AND ', 2)
+pr AS (SELECT ps.*, 2 AS rule_size, CASE WHEN x.family = y.family THEN x.family ELSE 'MIXED' END AS family FROM ps JOIN nm x ON
+x.pattern = split_part(ps.pattern, ' AND ', 1) JOIN nm y ON y.pattern = split_part(ps.pattern, ' AND ', 2)
   WHERE ps.pattern LIKE '% AND %' AND {_SUPPORT} AND x.pattern IN (SELECT pattern FROM ok) AND y.pattern IN (SELECT pattern FROM ok)),
-sn AS (SELECT nm.pattern, coalesce(kept, 0) AS kept, coalesce(n, 0) AS n, coalesce(n_dates, 0) AS n_dates, coalesce(n_securities, 0) AS n_securities, ps.* EXCLUDE (pattern, kept, n, n_dates, n_securities), 1 AS rule_size, family FROM nm LEFT JOIN ps USING (pattern)),
+sn AS (SELECT nm.pattern, coalesce(kept, 0) AS kept, coalesce(n, 0) AS n, coalesce(n_dates, 0) AS n_dates, coalesce(n_securities, 0)
+AS n_securities, ps.* EXCLUDE (pattern, kept, n, n_dates, n_securities), 1 AS rule_size, family FROM nm LEFT JOIN ps USING (pattern)),
 al2 AS (SELECT * FROM sn UNION ALL BY NAME SELECT * FROM pr),
-pt AS (SELECT *, CASE WHEN {_SUPPORT} THEN 'ok' ELSE 'INSUFFICIENT_SAMPLE' END AS sample_status, coalesce(vs_baseline_nw_t, newey_west_t) AS t, CASE WHEN vs_baseline_nw_t IS NOT NULL THEN vs_baseline_n ELSE n_dates END AS k FROM al2),
+pt AS (SELECT *, CASE WHEN {_SUPPORT} THEN 'ok' ELSE 'INSUFFICIENT_SAMPLE' END AS sample_status, coalesce(vs_baseline_nw_t,
+newey_west_t) AS t, CASE WHEN vs_baseline_nw_t IS NOT NULL THEN vs_baseline_n ELSE n_dates END AS k FROM al2),
 pp AS (SELECT *, {_P} AS p FROM pt),
-rk AS (SELECT *, CASE WHEN sample_status = 'ok' AND p IS NOT NULL THEN row_number() OVER (PARTITION BY sample_status = 'ok' AND p IS NOT NULL ORDER BY p, pattern) END AS r, count(*) FILTER (sample_status = 'ok' AND p IS NOT NULL) OVER () AS m FROM pp),
-dq AS MATERIALIZED (SELECT *, CASE WHEN r IS NOT NULL THEN min(least(p * m / r, 1.0)) OVER (PARTITION BY r IS NOT NULL ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS q FROM rk)"""
+rk AS (SELECT *, CASE WHEN sample_status = 'ok' AND p IS NOT NULL THEN row_number() OVER (PARTITION BY sample_status = 'ok' AND p IS
+NOT NULL ORDER BY p, pattern) END AS r, count(*) FILTER (sample_status = 'ok' AND p IS NOT NULL) OVER () AS m FROM pp),
+dq AS MATERIALIZED (SELECT *, CASE WHEN r IS NOT NULL THEN min(least(p * m / r, 1.0)) OVER (PARTITION BY r IS NOT NULL ORDER BY r
+ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS q FROM rk)"""
 )
 
 
@@ -189,21 +225,29 @@ def _discovered(spark: SparkSession, d: str) -> tuple[DataFrame, mining.Discover
     return df, mining.discover(df, TARGET, DEV_START, DEV_END)
 
 
-@query(_DISCOVERY + f" SELECT pattern, family, CAST(rule_size AS INTEGER) AS rule_size, sample_status, {', '.join(_COUNTS)}, {_r(*_SHOWN, 'p', 'q', digits=4)}, coalesce(q <= 0.1::DOUBLE, false) AS selected, CAST(coalesce(sign(median), 0) AS INTEGER) AS direction FROM dq", panel=True, digits=4)
+@query(_DISCOVERY + f" SELECT pattern, family, CAST(rule_size AS INTEGER) AS rule_size, sample_status, {', '.join(_COUNTS)}, "
+    f"{_r(*_SHOWN, 'p', 'q', digits=4)}, coalesce(q <= 0.1::DOUBLE, false) AS selected, CAST(coalesce(sign(median), 0) AS INTEGER) "
+    f"AS direction FROM dq", panel=True, digits=4)
 def pattern_discovery(spark, d):
     """Discovery over all base and quantile states and their pairs on the development window, at full support."""
     _, found = _discovered(spark, d)
-    return found.table(spark).select("pattern", "family", "rule_size", "sample_status", *_COUNTS, *_SHOWN, "p", "q", "selected", "direction")
+    return found.table(spark).select("pattern", "family", "rule_size", "sample_status", *_COUNTS, *_SHOWN, "p", "q", "selected",
+        "direction")
 
 
 _LATER = f"date >= DATE '{LATER}'"
 
 
-@query(_DISCOVERY + f""", lw AS (SELECT * FROM sq WHERE {_LATER}), ch AS (SELECT pattern, median AS found_effect, CAST(sign(median) AS INTEGER) AS dir FROM dq WHERE q <= 0.1::DOUBLE),
-sg2 AS MATERIALIZED (SELECT security_id, date, y, unnest(list_filter([{', '.join(f"CASE WHEN {n} THEN '{n}' END" for n in _ALL)}], lambda v: v IS NOT NULL)) AS pattern FROM lw),
-lg2 AS (SELECT * FROM sg2 UNION ALL SELECT s.security_id, s.date, s.y, s.pattern || ' AND ' || t.pattern FROM sg2 s JOIN al ON al.a = s.pattern JOIN sg2 t ON t.security_id = s.security_id AND t.date = s.date AND t.pattern = al.b),
-v AS (SELECT pattern, count(*) AS kept, count(y) AS n, median(y) AS median, avg({_CLIP}) AS winsor_mean FROM lg2 WHERE pattern IN (SELECT pattern FROM ch) GROUP BY 1)
-SELECT pattern, kept, n, {_r('median', 'winsor_mean', 'found_effect', 'CASE WHEN abs(found_effect) > 1e-12 THEN median / found_effect END AS effect_ratio', digits=4)}, coalesce(dir <> 0 AND sign(median) = dir, false) AS same_direction FROM ch LEFT JOIN v USING (pattern)""", panel=True, digits=4)
+@query(_DISCOVERY + f""", lw AS (SELECT * FROM sq WHERE {_LATER}), ch AS (SELECT pattern, median AS found_effect, CAST(sign(median)
+AS INTEGER) AS dir FROM dq WHERE q <= 0.1::DOUBLE),
+sg2 AS MATERIALIZED (SELECT security_id, date, y, unnest(list_filter([{', '.join(f"CASE WHEN {n} THEN '{n}' END" for n in _ALL)}],
+lambda v: v IS NOT NULL)) AS pattern FROM lw),
+lg2 AS (SELECT * FROM sg2 UNION ALL SELECT s.security_id, s.date, s.y, s.pattern || ' AND ' || t.pattern FROM sg2 s JOIN al ON al.a
+= s.pattern JOIN sg2 t ON t.security_id = s.security_id AND t.date = s.date AND t.pattern = al.b),
+v AS (SELECT pattern, count(*) AS kept, count(y) AS n, median(y) AS median, avg({_CLIP}) AS winsor_mean FROM lg2 WHERE pattern IN
+(SELECT pattern FROM ch) GROUP BY 1)
+SELECT pattern, kept, n,
+{_r('median', 'winsor_mean', 'found_effect', 'CASE WHEN abs(found_effect) > 1e-12 THEN median / found_effect END AS effect_ratio', digits=4)}, coalesce(dir <> 0 AND sign(median) = dir, false) AS same_direction FROM ch LEFT JOIN v USING (pattern)""", panel=True, digits=4)
 def validation_eval(spark, d):
     """Selected patterns on the later window, nothing refitted."""
     df, found = _discovered(spark, d)
@@ -231,7 +275,8 @@ def _why_sql() -> str:
             other = f"CASE WHEN {both} THEN '{'PAIR_PRUNED' if cut else 'INSUFFICIENT_SUPPORT'}' ELSE 'NOT_GENERATED' END"
         else:
             other = "'NOT_GENERATED'"
-        row = f"(SELECT CASE WHEN q <= 0.1::DOUBLE THEN 'SELECTED' WHEN sample_status = 'ok' THEN 'FDR_FAIL' ELSE 'INSUFFICIENT_SUPPORT' END FROM dq WHERE pattern = '{p}')"
+        row = (f"(SELECT CASE WHEN q <= 0.1::DOUBLE THEN 'SELECTED' WHEN sample_status = 'ok' THEN 'FDR_FAIL' ELSE "
+            f"'INSUFFICIENT_SUPPORT' END FROM dq WHERE pattern = '{p}')")
         cases.append(f"SELECT '{p}' AS pattern, coalesce({row}, {other}) AS reason")
     return " UNION ALL ".join(cases)
 
@@ -245,8 +290,11 @@ def selection_reasons(spark, d):
 
 
 @query(_DISCOVERY + """ SELECT (SELECT count(*) FROM nm) AS n_generated_singles, (SELECT count(*) FROM ok) AS n_support_passed_singles,
-(SELECT count(*) FROM al WHERE a IN (SELECT pattern FROM ok) AND b IN (SELECT pattern FROM ok)) AS n_generated_pairs, (SELECT count(*) FROM pr) AS n_support_passed_pairs,
-(SELECT count(*) FROM dq WHERE r IS NOT NULL) AS n_statistical_tests, (SELECT count(*) FROM dq WHERE q <= 0.1::DOUBLE) AS n_q_le_10, (SELECT count(*) FROM dq WHERE q <= 0.2::DOUBLE) AS n_q_le_20, (SELECT count(*) FROM dq WHERE q <= 0.3::DOUBLE) AS n_q_le_30""", panel=True)
+(SELECT count(*) FROM al WHERE a IN (SELECT pattern FROM ok) AND b IN (SELECT pattern FROM ok)) AS n_generated_pairs, (SELECT
+count(*) FROM pr) AS n_support_passed_pairs,
+(SELECT count(*) FROM dq WHERE r IS NOT NULL) AS n_statistical_tests, (SELECT count(*) FROM dq WHERE q <= 0.1::DOUBLE) AS n_q_le_10,
+(SELECT count(*) FROM dq WHERE q <= 0.2::DOUBLE) AS n_q_le_20, (SELECT count(*) FROM dq WHERE q <= 0.3::DOUBLE) AS n_q_le_30""",
+    panel=True)
 def selection_summary(spark, d):
     """How many states and pairs were generated, supported, tested and selected."""
     _, found = _discovered(spark, d)
@@ -259,27 +307,36 @@ def _folds_sql() -> str:
     rows = []
     for f in PARTS:
         for role, a, b in (("discover", f["start"], f["end"]), ("eval", f["eval_start"], f["eval_end"])):
-            rows.append(f"SELECT '{f['fold']}' AS fold, '{role}' AS role, security_id, date, y, {', '.join(need)} FROM st WHERE date BETWEEN DATE '{a}' AND DATE '{b}'")
+            rows.append(f"SELECT '{f['fold']}' AS fold, '{role}' AS role, security_id, date, y, {', '.join(need)} FROM st WHERE date "
+                f"BETWEEN DATE '{a}' AND DATE '{b}'")
     held = ", ".join(f"CASE WHEN {p} THEN '{p}' END" for p in mining.TRACKED)
-    cut = f"SELECT fold, {NEAREST.format(q=0.01)} AS lo, {NEAREST.format(q=0.99)} AS hi FROM (SELECT fold, y AS v FROM fw WHERE role = 'discover' AND y IS NOT NULL) GROUP BY fold"
-    return f"""{FRAME}, fw AS MATERIALIZED ({' UNION ALL '.join(rows)}), bd AS ({cut}), ba AS (SELECT fold, role, date, avg(y) AS base FROM fw WHERE y IS NOT NULL GROUP BY ALL),
-lg AS MATERIALIZED (SELECT fold, role, security_id, date, y, CASE WHEN y IS NOT NULL THEN least(greatest(y, lo), hi) END AS w, unnest(list_filter([{held}], lambda v: v IS NOT NULL)) AS pattern FROM fw JOIN bd USING (fold)), {_stats_sql('ba', by='fold, role, ', winsor='w')}"""
+    cut = (f"SELECT fold, {NEAREST.format(q=0.01)} AS lo, {NEAREST.format(q=0.99)} AS hi FROM (SELECT fold, y AS v FROM fw WHERE "
+        f"role = 'discover' AND y IS NOT NULL) GROUP BY fold")
+    return f"""{FRAME}, fw AS MATERIALIZED ({' UNION ALL '.join(rows)}), bd AS ({cut}), ba AS (SELECT fold, role, date, avg(y) AS
+base FROM fw WHERE y IS NOT NULL GROUP BY ALL),
+lg AS MATERIALIZED (SELECT fold, role, security_id, date, y, CASE WHEN y IS NOT NULL THEN least(greatest(y, lo), hi) END AS w,
+unnest(list_filter([{held}], lambda v: v IS NOT NULL)) AS pattern FROM fw JOIN bd USING (fold)),
+{_stats_sql('ba', by='fold, role, ', winsor='w')}"""
 
 
 _WALK = ["median", "winsor_mean", "daily_mean", "newey_west_t", "vs_baseline_mean", "vs_baseline_nw_t"]
 
 
-@query(_folds_sql() + f" SELECT fold, role, pattern, {', '.join(_COUNTS)}, {_r(*_WALK, 'median AS effect', digits=4)}, CAST(coalesce(sign(median), 0) AS INTEGER) AS direction FROM ps", panel=True, digits=4)
+@query(_folds_sql() + f" SELECT fold, role, pattern, {', '.join(_COUNTS)}, {_r(*_WALK, 'median AS effect', digits=4)}, "
+    f"CAST(coalesce(sign(median), 0) AS INTEGER) AS direction FROM ps", panel=True, digits=4)
 def walk_forward_folds(spark, d):
     """Tracked patterns through expanding folds, cutoffs and bounds frozen on each one's discover window."""
     walked = mining.walk_forward(_frame(spark, d), TARGET, PARTS)
     return walked.select("fold", "role", "pattern", *_COUNTS, *_WALK, "effect", "direction")
 
 
-@query(_folds_sql() + f""", ev AS (SELECT pattern, fold, median AS effect, CAST(coalesce(sign(median), 0) AS INTEGER) AS direction, coalesce(vs_baseline_nw_t, newey_west_t) AS t FROM ps WHERE role = 'eval'),
-sb AS (SELECT pattern, count(*) AS folds_tested, count(*) FILTER (direction > 0) AS positive_effect_folds, count(*) FILTER (direction < 0) AS negative_effect_folds, arg_min(direction, fold) FILTER (direction <> 0) AS fd,
+@query(_folds_sql() + f""", ev AS (SELECT pattern, fold, median AS effect, CAST(coalesce(sign(median), 0) AS INTEGER) AS direction,
+coalesce(vs_baseline_nw_t, newey_west_t) AS t FROM ps WHERE role = 'eval'),
+sb AS (SELECT pattern, count(*) AS folds_tested, count(*) FILTER (direction > 0) AS positive_effect_folds, count(*) FILTER
+(direction < 0) AS negative_effect_folds, arg_min(direction, fold) FILTER (direction <> 0) AS fd,
 list_sort(list(effect) FILTER (effect IS NOT NULL)) AS es, list_sort(list(t) FILTER (t IS NOT NULL)) AS ts FROM ev GROUP BY 1)
-SELECT pattern, folds_tested, positive_effect_folds, negative_effect_folds, CAST(CASE WHEN fd > 0 THEN positive_effect_folds WHEN fd < 0 THEN negative_effect_folds ELSE 0 END AS BIGINT) AS same_direction_folds,
+SELECT pattern, folds_tested, positive_effect_folds, negative_effect_folds, CAST(CASE WHEN fd > 0 THEN positive_effect_folds WHEN fd
+< 0 THEN negative_effect_folds ELSE 0 END AS BIGINT) AS same_direction_folds,
 {_r('es[len(es) // 2 + 1] AS median_fold_effect', 'es[1] AS min_fold_effect', 'es[len(es)] AS max_fold_effect', 'ts[len(ts) // 2 + 1] AS median_fold_nw_t', digits=4)} FROM sb""", panel=True, digits=4)
 def walk_forward_stability(spark, d):
     """How stable tracked patterns are over the folds."""
@@ -295,34 +352,46 @@ def walk_forward_discovery(spark, d):
 _A, _B = PAIR.split(mining.AND)
 
 
-@query(FRAME + f" SELECT count(*) FILTER ({_A} AND {_B}) AS both, count(*) FILTER ({_A} OR {_B}) AS either, {_r(f'count(*) FILTER ({_A} AND {_B})::DOUBLE / count(*) FILTER ({_A} OR {_B}) AS jaccard', f'count(*) FILTER ({_A} AND {_B})::DOUBLE / count(*) FILTER ({_A}) AS b_given_a', f'count(*) FILTER ({_A} AND {_B})::DOUBLE / count(*) FILTER ({_B}) AS a_given_b')}, false AS high_overlap FROM st", panel=True)
+@query(FRAME + f" SELECT count(*) FILTER ({_A} AND {_B}) AS both, count(*) FILTER ({_A} OR {_B}) AS either, "
+    f"{_r(f'count(*) FILTER ({_A} AND {_B})::DOUBLE / count(*) FILTER ({_A} OR {_B}) AS jaccard', f'count(*) FILTER ({_A} AND {_B})::DOUBLE / count(*) FILTER ({_A}) AS b_given_a', f'count(*) FILTER ({_A} AND {_B})::DOUBLE / count(*) FILTER ({_B}) AS a_given_b')}, false AS high_overlap FROM st", panel=True)
 def pair_overlap(spark, d):
     """How two states overlap."""
     return mining.overlap(_stated(spark, d), _A, _B)
 
 
-_PAIRED = f", x AS (SELECT * FROM st WHERE {_A} AND y IS NOT NULL), dl AS (SELECT date, avg(y) FILTER ({_B}) - avg(y) AS v FROM x GROUP BY 1) SELECT "
+_PAIRED = (f", x AS (SELECT * FROM st WHERE {_A} AND y IS NOT NULL), dl AS (SELECT date, avg(y) FILTER ({_B}) - avg(y) AS v FROM x "
+    f"GROUP BY 1) SELECT ")
 
 
-@query(FRAME + _PAIRED + _r(f"(SELECT median(y) FILTER ({_B}) - median(y) FROM x) AS median_diff", f"(SELECT avg(y) FILTER ({_B}) - avg(y) FROM x) AS winsor_diff", "(SELECT avg(v) FROM dl) AS daily_diff", digits=5), panel=True, digits=5)
+@query(FRAME + _PAIRED + _r(f"(SELECT median(y) FILTER ({_B}) - median(y) FROM x) AS median_diff",
+    f"(SELECT avg(y) FILTER ({_B}) - avg(y) FROM x) AS winsor_diff", "(SELECT avg(v) FROM dl) AS daily_diff", digits=5), panel=True,
+    digits=5)
 def incremental_vs_parent(spark, d):
     """What a second state adds to the first."""
     return mining.incremental(_stated(spark, d), _A, _B, TARGET).drop("diff_nw_t")
 
 
-@query(FRAME + f", c AS (SELECT security_id, count(*) AS c FROM st WHERE {STATE} GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_securities, " + _r("max(c)::DOUBLE / sum(c) AS top1_share", "(SELECT sum(c) FROM (SELECT c FROM c ORDER BY c DESC LIMIT 5))::DOUBLE / sum(c) AS top5_share") + " FROM c", panel=True)
+@query(FRAME + f", c AS (SELECT security_id, count(*) AS c FROM st WHERE {STATE} GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n, "
+    f"count(*) AS n_securities, "
+    f"" + _r("max(c)::DOUBLE / sum(c) AS top1_share",
+    "(SELECT sum(c) FROM (SELECT c FROM c ORDER BY c DESC LIMIT 5))::DOUBLE / sum(c) AS top5_share") + " FROM c", panel=True)
 def security_concentration(spark, d):
     """How concentrated a pattern is in few securities."""
     return mining.concentration(_stated(spark, d), STATE)
 
 
-@query(FRAME + f", t AS (SELECT security_id AS dropped FROM st WHERE {STATE} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), z AS (SELECT * FROM st CROSS JOIN t WHERE {STATE}) SELECT any_value(dropped) AS dropped, {_r('median(y) AS full_median', 'median(y) FILTER (security_id <> dropped) AS dropped_median', 'median(y) FILTER (security_id <> dropped) - median(y) AS delta_median', digits=5)}, count(y) FILTER (security_id <> dropped) AS dropped_n FROM z", panel=True, digits=5)
+@query(FRAME + f", t AS (SELECT security_id AS dropped FROM st WHERE {STATE} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), z AS "
+    f"(SELECT * FROM st CROSS JOIN t WHERE {STATE}) SELECT any_value(dropped) AS dropped, "
+    f"{_r('median(y) AS full_median', 'median(y) FILTER (security_id <> dropped) AS dropped_median', 'median(y) FILTER (security_id <> dropped) - median(y) AS delta_median', digits=5)}, count(y) FILTER (security_id <> dropped) AS dropped_n FROM z", panel=True, digits=5)
 def leave_one_security(spark, d):
     """A pattern without its largest security."""
     return mining.leave_one_out(_stated(spark, d), STATE, TARGET)
 
 
-@query(FRAME + f", b AS (SELECT year(date) AS year, count(*) AS n, avg(y) AS m, median(y) AS md, avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS pr FROM st WHERE {STATE} AND y IS NOT NULL GROUP BY 1) SELECT CAST(g.year AS INTEGER) AS year, coalesce(n, 0) AS n, " + _r("m AS mean", "md AS median", "m AS winsor_mean", "pr AS positive_ratio", digits=5) + " FROM range(1994, 2003) AS g(year) LEFT JOIN b ON b.year = g.year", panel=True, digits=5)
+@query(FRAME + f", b AS (SELECT year(date) AS year, count(*) AS n, avg(y) AS m, median(y) AS md, avg(CASE WHEN y > 0 THEN 1.0 ELSE "
+    f"0.0 END) AS pr FROM st WHERE {STATE} AND y IS NOT NULL GROUP BY 1) SELECT CAST(g.year AS INTEGER) AS year, coalesce(n, 0) AS "
+    f"n, " + _r("m AS mean", "md AS median", "m AS winsor_mean", "pr AS positive_ratio", digits=5) + " FROM range(1994, 2003) AS "
+    "g(year) LEFT JOIN b ON b.year = g.year", panel=True, digits=5)
 def year_breakdown(spark, d):
     """A pattern by year, empty years too."""
     return mining.by_year(_stated(spark, d), STATE, TARGET, 1994, 2002)
@@ -331,17 +400,26 @@ def year_breakdown(spark, d):
 _SLICE = ["mean", "median", "positive_ratio", "daily_mean", "newey_west_t"]
 
 
-@query(FRAME + f", lg AS (SELECT security_id, date, y, unnest(list_filter(['all', CASE WHEN raw_close >= 1 THEN 'raw_close_ge_1' END, CASE WHEN raw_close >= 5 THEN 'raw_close_ge_5' END, CASE WHEN raw_close >= 20 THEN 'raw_close_ge_20' END], lambda v: v IS NOT NULL)) AS pattern FROM st WHERE {STATE}), ba AS (SELECT date, y AS base FROM st WHERE false), {_stats_sql('ba')} SELECT pattern AS subset, {', '.join(_COUNTS)}, {_r(*_SLICE, digits=4)} FROM ps", panel=True, digits=4)
+@query(FRAME + f", lg AS (SELECT security_id, date, y, unnest(list_filter(['all', CASE WHEN raw_close >= 1 THEN 'raw_close_ge_1' "
+    f"END, CASE WHEN raw_close >= 5 THEN 'raw_close_ge_5' END, CASE WHEN raw_close >= 20 THEN 'raw_close_ge_20' END], lambda v: v IS "
+    f"NOT NULL)) AS pattern FROM st WHERE {STATE}), ba AS (SELECT date, y AS base FROM st WHERE false), {_stats_sql('ba')} SELECT "
+    f"pattern AS subset, {', '.join(_COUNTS)}, {_r(*_SLICE, digits=4)} FROM ps", panel=True, digits=4)
 def price_floor_audit(spark, d):
     """A pattern by price floor."""
     return mining.floor_audit(_stated(spark, d), STATE, TARGET).select("subset", *_COUNTS, *_SLICE)
 
 
-_REGIMES = f"vt AS (SELECT {NEAREST.format(q=1 / 3)} AS lo, {NEAREST.format(q=2 / 3)} AS hi FROM (SELECT vix_close AS v FROM panel WHERE {DEV} AND vix_close IS NOT NULL))"
-_REGIME = "[{{'kind': 'spy_regime', 'r': CASE WHEN spy_ma200_distance > 0 THEN 'spy_above_ma200' ELSE 'spy_below_ma200' END}}, {{'kind': 'vix_regime', 'r': CASE WHEN {v} IS NULL THEN NULL WHEN {v} <= lo THEN 'vix_low' WHEN {v} <= hi THEN 'vix_medium' ELSE 'vix_high' END}}]".format(v="vix_close")
+_REGIMES = (f"vt AS (SELECT {NEAREST.format(q=1 / 3)} AS lo, {NEAREST.format(q=2 / 3)} AS hi FROM (SELECT vix_close AS v FROM panel "
+    f"WHERE {DEV} AND vix_close IS NOT NULL))")
+_REGIME = ("[{{'kind': 'spy_regime', 'r': CASE WHEN spy_ma200_distance > 0 THEN 'spy_above_ma200' ELSE 'spy_below_ma200' END}}, "
+    "{{'kind': 'vix_regime', 'r': CASE WHEN {v} IS NULL THEN NULL WHEN {v} <= lo THEN 'vix_low' WHEN {v} <= hi THEN 'vix_medium' "
+    "ELSE 'vix_high' END}}]".format(v="vix_close"))
 
 
-@query(FRAME + f", {_REGIMES}, k0 AS (SELECT security_id, date, y, unnest({_REGIME}) AS k FROM st CROSS JOIN vt WHERE {STATE}), lg AS (SELECT security_id, date, y, k.kind AS kind, k.r AS pattern FROM k0 WHERE k.r IS NOT NULL), ba AS (SELECT '' AS kind, date, y AS base FROM st WHERE false), {_stats_sql('ba', by='kind, ')} SELECT kind, pattern AS subset, {', '.join(_COUNTS)}, {_r(*_SLICE, digits=4)} FROM ps", panel=True, digits=4)
+@query(FRAME + f", {_REGIMES}, k0 AS (SELECT security_id, date, y, unnest({_REGIME}) AS k FROM st CROSS JOIN vt WHERE {STATE}), lg "
+    f"AS (SELECT security_id, date, y, k.kind AS kind, k.r AS pattern FROM k0 WHERE k.r IS NOT NULL), ba AS (SELECT '' AS kind, "
+    f"date, y AS base FROM st WHERE false), {_stats_sql('ba', by='kind, ')} SELECT kind, pattern AS subset, {', '.join(_COUNTS)}, "
+    f"{_r(*_SLICE, digits=4)} FROM ps", panel=True, digits=4)
 def regime_audit(spark, d):
     """A pattern by regime."""
     df = _stated(spark, d)
@@ -355,12 +433,15 @@ def _modes_sql() -> str:
         for name, where in (("analysis", DEV), ("validation", _LATER)):
             parts.append(f"SELECT '{mode}' AS mode, '{name}' AS win, security_id, date, y FROM ({table}) WHERE win = '{name}'")
     both = " UNION ALL ".join(f"SELECT *, '{n}' AS win FROM st WHERE {w}" for n, w in (("analysis", DEV), ("validation", _LATER)))
-    entry = f"en0 AS (SELECT *, {STATE} AND NOT coalesce(lag({STATE}) OVER (PARTITION BY win, security_id ORDER BY date), false) AS entry FROM st0)"
+    entry = (f"en0 AS (SELECT *, {STATE} AND NOT coalesce(lag({STATE}) OVER (PARTITION BY win, security_id ORDER BY date), false) AS "
+        f"entry FROM st0)")
     base = "ba AS (SELECT win, date, avg(y) AS base FROM st0 WHERE y IS NOT NULL GROUP BY ALL)"
-    return f"{FRAME}, st0 AS ({both}), {entry}, {base}, lg AS (SELECT win, mode AS pattern, security_id, date, y FROM ({' UNION ALL '.join(parts)})), {_stats_sql('ba', by='win, ')}"
+    return (f"{FRAME}, st0 AS ({both}), {entry}, {base}, lg AS (SELECT win, mode AS pattern, security_id, date, y FROM "
+        f"({' UNION ALL '.join(parts)})), {_stats_sql('ba', by='win, ')}")
 
 
-@query(_modes_sql() + f" SELECT pattern AS mode, win AS \"window\", {', '.join(_COUNTS)}, {_r('median', 'daily_mean', 'newey_west_t', 'vs_baseline_mean', 'vs_baseline_nw_t', digits=4)} FROM ps", panel=True, digits=4)
+@query(_modes_sql() + f" SELECT pattern AS mode, win AS \"window\", {', '.join(_COUNTS)}, "
+    f"{_r('median', 'daily_mean', 'newey_west_t', 'vs_baseline_mean', 'vs_baseline_nw_t', digits=4)} FROM ps", panel=True, digits=4)
 def inspect_modes(spark, d):
     """One pattern by state and by entry, on both windows."""
     made = mining.inspect(_frame(spark, d), STATE, TARGET, DEV_START, DEV_END, LATER)["modes"].filter("cooldown = 0")

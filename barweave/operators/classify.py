@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Seed tickers of funds traded on an exchange.
-ETF_SEEDS = ("SPY", "QQQ", "IWM", "DIA", "XLK", "XLF", "XLE", "XLV", "XLI", "XLY", "XLP", "XLB", "XLRE", "XLU", "XLC", "SMH", "HYG", "LQD")
+ETF_SEEDS = ("SPY", "QQQ", "IWM", "DIA", "XLK", "XLF", "XLE", "XLV", "XLI", "XLY", "XLP", "XLB", "XLRE", "XLU", "XLC", "SMH", "HYG",
+    "LQD")
 # Official titles by ticker: (ticker, title, class, reason).
 OFFICIAL = (("KMPB", "5.875% Fixed-Rate Reset Junior Subordinated Debentures due 2062", "DEBT", "junior_subordinated_debenture"),)
 # Forms that only investment companies file; of these, forms of closed and of open funds.
-COMPANY_FORMS = ("N-CSR", "N-CSRS", "N-CEN", "N-PORT", "N-PORT/A", "N-2", "N-2/A", "N-1A", "N-1A/A", "485BPOS", "24F-2NT", "N-PX", "N-MFP", "N-MFP2")
+COMPANY_FORMS = ("N-CSR", "N-CSRS", "N-CEN", "N-PORT", "N-PORT/A", "N-2", "N-2/A", "N-1A", "N-1A/A", "485BPOS", "24F-2NT", "N-PX",
+    "N-MFP", "N-MFP2")
 CLOSED_FORMS = ("N-2", "N-2/A")
 OPEN_FORMS = ("N-1A", "N-1A/A")
 # Patterns of closed funds' names.
@@ -65,7 +67,8 @@ def _any(c: Column, patterns: tuple[str, ...]) -> Column:
 
 def _found(kind: str | Column, source: str, confidence: str, reason: str | None) -> Column:
     text = F.lit(None).cast("string") if reason is None else F.lit(reason)
-    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("c"), F.lit(source).alias("s"), F.lit(confidence).alias("k"), text.alias("r"))
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("c"), F.lit(source).alias("s"), F.lit(confidence)
+        .alias("k"), text.alias("r"))
 
 
 def classify(securities: DataFrame, filings: DataFrame | None = None) -> DataFrame:
@@ -94,7 +97,8 @@ def classify(securities: DataFrame, filings: DataFrame | None = None) -> DataFra
     closed = _found("CLOSED_END_FUND", registrant, "high", "sec_entity_type_investment_company")
     chain += [(F.coalesce(entity.isin(*ENTITIES), F.lit(False)) & _any(name, FUND_NAMES), closed)]
     chain += [(_any(name, FUND_NAMES), _found("CLOSED_END_FUND", registrant, "high", "registered_investment_company_registrant_name"))]
-    chain += [(t.rlike(pattern), _found(kind, "ticker_suffix_heuristic", confidence, reason)) for _, pattern, kind, confidence, reason in SUFFIXES]
+    chain += [(t.rlike(pattern), _found(kind, "ticker_suffix_heuristic", confidence, reason))
+        for _, pattern, kind, confidence, reason in SUFFIXES]
     listed = F.col("exchange").isNull() | F.col("exchange").isin(*EXCHANGES)
     chain += [(t.rlike(SIMPLE) & listed, _found("COMMON_EQUITY", "simple_us_ticker", "medium", None))]
     picked = F.when(*chain[0])

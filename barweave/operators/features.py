@@ -16,10 +16,13 @@ VOLUMES = (5, 20, 60)
 RANGES = (20, 60, 252)
 RELATIVE = (5, 20, 60)
 #: Nulled on bars whose raw prices contradict each other.
-OHLC_DEPENDENT = ["atr_14", "atr_pct_14", *(f"distance_{s}_{n}d" for s in ("high", "low") for n in RANGES), "gap_return", "intraday_return", "daily_range_pct", "upper_wick_pct", "lower_wick_pct"]
+OHLC_DEPENDENT = ["atr_14", "atr_pct_14", *(f"distance_{s}_{n}d" for s in ("high", "low") for n in RANGES), "gap_return",
+    "intraday_return", "daily_range_pct", "upper_wick_pct", "lower_wick_pct"]
 VALUES = [
-    *(f"ret_{n}d" for n in RETURNS), *(f"ma_{n}_distance" for n in MEANS), *(f"ma_{n}_slope" for n in SLOPES), "rsi_14", *(f"volatility_{n}d" for n in SPREADS), *OHLC_DEPENDENT[:2],
-    *(f"volume_ratio_{n}d" for n in VOLUMES), *OHLC_DEPENDENT[2:], *(f"rel_{b}_{n}d" for b in ("spy", "qqq", "sector") for n in RELATIVE),
+    *(f"ret_{n}d" for n in RETURNS), *(f"ma_{n}_distance" for n in MEANS), *(f"ma_{n}_slope" for n in SLOPES), "rsi_14",
+        *(f"volatility_{n}d" for n in SPREADS), *OHLC_DEPENDENT[:2],
+    *(f"volume_ratio_{n}d" for n in VOLUMES), *OHLC_DEPENDENT[2:],
+        *(f"rel_{b}_{n}d" for b in ("spy", "qqq", "sector") for n in RELATIVE),
     *(f"spy_ret_{n}d" for n in RELATIVE), "spy_ma200_distance", "qqq_ret_20d", "vix_close", "vix_change_5d", "vix_change_20d",
 ]
 IDENTITY = ["security_id", "ticker_at_time", "date", "feature_version", "calculated_at", "calculation_code_version"]
@@ -60,12 +63,14 @@ def benchmark_features(bench: DataFrame, name: str) -> DataFrame:
     c = "adj_close"
     full = F.count(c).over(by_date().rowsBetween(-199, 0)) == 200
     ma = F.when(full, F.avg(c).over(by_date().rowsBetween(-199, 0)))
-    return bench.select("date", *(change(c, F.lag(c, n).over(by_date())).alias(f"{name}_ret_{n}d") for n in RELATIVE), change(c, ma).alias(f"{name}_ma200_distance"))
+    return bench.select("date", *(change(c, F.lag(c, n).over(by_date())).alias(f"{name}_ret_{n}d") for n in RELATIVE), change(c, ma)
+        .alias(f"{name}_ma200_distance"))
 
 
 def vix_features(vix: DataFrame) -> DataFrame:
     """(date, vix_close, vix_change_5d, vix_change_20d), lagged by the index's own rows."""
-    return vix.select("date", F.col("close").alias("vix_close"), *(change("close", F.lag("close", n).over(by_date())).alias(f"vix_change_{n}d") for n in (5, 20)))
+    return vix.select("date", F.col("close")
+        .alias("vix_close"), *(change("close", F.lag("close", n).over(by_date())).alias(f"vix_change_{n}d") for n in (5, 20)))
 
 
 def price_features(df: DataFrame) -> DataFrame:
@@ -101,7 +106,8 @@ def wilder_features(df: DataFrame) -> DataFrame:
     return found.withColumn("atr_pct_14", div("atr_14", "adjusted_close"))
 
 
-def compute(prices: DataFrame, spy: DataFrame, qqq: DataFrame, vix: DataFrame, start: str | None = None, end: str | None = None, version: str = "v1", code_version: str = "1", calculated_at: Column | None = None) -> DataFrame:
+def compute(prices: DataFrame, spy: DataFrame, qqq: DataFrame, vix: DataFrame, start: str | None = None, end: str | None = None,
+    version: str = "v1", code_version: str = "1", calculated_at: Column | None = None) -> DataFrame:
     """All identity and value columns of the bars from ``start`` to ``end``; windows see the bars before.
 
     Market series have a row a session, so they are broadcast and joined on the date alone;
@@ -118,5 +124,6 @@ def compute(prices: DataFrame, spy: DataFrame, qqq: DataFrame, vix: DataFrame, s
         df = df.filter(F.col("date") >= F.lit(start).cast("date"))
     if end:
         df = df.filter(F.col("date") <= F.lit(end).cast("date"))
-    ids = {"feature_version": F.lit(version), "calculation_code_version": F.lit(code_version), "calculated_at": F.current_timestamp() if calculated_at is None else calculated_at}
+    ids = {"feature_version": F.lit(version), "calculation_code_version": F.lit(code_version),
+        "calculated_at": F.current_timestamp() if calculated_at is None else calculated_at}
     return df.withColumns(ids).select(*IDENTITY, *(finite(c).alias(c) for c in VALUES))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.windows import (
-    change, col, crosses_down, crosses_up, div, finite, highest, lag, lead, lowest, mean, median_of, previous, series, std, total, trailing,
+    change, col, crosses_down, crosses_up, div, finite, highest, lag, lead, lowest, mean, median_of, previous, series, std, total,
+        trailing,
 )
 from .features import add_adjusted
 
@@ -68,7 +69,8 @@ def get(id: str) -> Indicator:
 
 def specs(category: str | None = None, id: str | None = None, mining_only: bool = False) -> list[Indicator]:
     """Registered indicators of a category and id; for mining only those that look back."""
-    fits = lambda s: (category is None or s.category == category) and (id is None or s.id == id) and (s.causal or not mining_only)
+    fits = lambda s: (category is None or s.category == category) and (id is None or s.id == id) and (s.causal
+        or not mining_only)
     return [s for s in _registry.values() if fits(s)]
 
 
@@ -122,7 +124,8 @@ _TRENDS = (20, 50, 200)
 
 @register(
     "sma", "trend",
-    [*(f"sma_{n}" for n in SMA), *(f"close_to_sma_{n}" for n in SMA), *(f"sma_{n}_{x}" for x in ("slope", "direction") for n in _TRENDS),
+    [*(f"sma_{n}" for n in SMA), *(f"close_to_sma_{n}" for n in SMA),
+        *(f"sma_{n}_{x}" for x in ("slope", "direction") for n in _TRENDS),
      *(f"close_above_sma{n}" for n in _TRENDS), "sma20_above_sma50", "sma50_above_sma200", "golden_cross_50_200", "death_cross_50_200"],
 )
 def _sma() -> Needs:
@@ -198,19 +201,22 @@ def _vwma() -> Needs:
 
 @register(
     "macd", "trend",
-    ["macd", "macd_signal", "macd_histogram", "macd_cross_signal_up", "macd_cross_signal_down", "macd_cross_zero_up", "macd_cross_zero_down"],
+    ["macd", "macd_signal", "macd_histogram", "macd_cross_signal_up", "macd_cross_signal_down", "macd_cross_zero_up",
+        "macd_cross_zero_down"],
 )
 def _macd() -> Needs:
     folds = {("macd", "macd_signal"): lambda s: (_lines(s)[0], K.ewm(_lines(s)[0], 9))}
     made = {"macd_histogram": col("macd") - col("macd_signal")}
     made |= {"macd_cross_signal_up": crosses_up("macd", "macd_signal"), "macd_cross_signal_down": crosses_down("macd", "macd_signal")}
-    made |= {"macd_cross_zero_up": (col("macd") > 0) & (lag("macd") <= 0), "macd_cross_zero_down": (col("macd") < 0) & (lag("macd") >= 0)}
+    made |= {"macd_cross_zero_up": (col("macd") > 0) & (lag("macd") <= 0),
+        "macd_cross_zero_down": (col("macd") < 0) & (lag("macd") >= 0)}
     return Needs(folds=folds, stages=[made])
 
 
 @register("ppo", "trend", ["ppo", "ppo_signal", "ppo_histogram"])
 def _ppo() -> Needs:
-    return Needs(folds={("ppo", "ppo_signal"): lambda s: (_lines(s)[1], K.ewm(_lines(s)[1], 9))}, stages=[{"ppo_histogram": col("ppo") - col("ppo_signal")}])
+    return Needs(folds={("ppo", "ppo_signal"): lambda s: (_lines(s)[1], K.ewm(_lines(s)[1], 9))},
+        stages=[{"ppo_histogram": col("ppo") - col("ppo_signal")}])
 
 
 @register("apo", "trend", ["apo"])
@@ -228,7 +234,8 @@ def _adx() -> Needs:
     names = lambda n: tuple(f"{x}_{n}" for x in ("plus_di", "minus_di", "dx", "adx"))
     folds = {names(n): lambda s, n=n: K.directional(s[H], s[L], s[C], n) for n in (14, 20)}
     made = {f"adx14_gt_{n}": col("adx_14") > n for n in (20, 25, 40)}
-    made |= {"plus_di_cross_minus_di_up": crosses_up("plus_di_14", "minus_di_14"), "plus_di_cross_minus_di_down": crosses_down("plus_di_14", "minus_di_14")}
+    made |= {"plus_di_cross_minus_di_up": crosses_up("plus_di_14", "minus_di_14"),
+        "plus_di_cross_minus_di_down": crosses_down("plus_di_14", "minus_di_14")}
     return Needs(folds=folds, stages=[made])
 
 
@@ -274,7 +281,8 @@ def _flips(name: str, way: str) -> Columns:
     return {f"{name}_flip_up": (col(way) == 1) & (lag(way) == -1), f"{name}_flip_down": (col(way) == -1) & (lag(way) == 1)}
 
 
-@register("supertrend", "trend", [*(f"supertrend_10_{k}{s}" for k in (2, 3, 4) for s in ("", "_dir")), "supertrend_flip_up", "supertrend_flip_down"])
+@register("supertrend", "trend",
+    [*(f"supertrend_10_{k}{s}" for k in (2, 3, 4) for s in ("", "_dir")), "supertrend_flip_up", "supertrend_flip_down"])
 def _supertrend() -> Needs:
     folds = {(f"supertrend_10_{k}", f"supertrend_10_{k}_dir"): lambda s, k=k: K.supertrend(s[H], s[L], s[C], 10, k) for k in (2, 3, 4)}
     return Needs(folds=folds, stages=[_flips("supertrend", "supertrend_10_3_dir")])
@@ -290,7 +298,8 @@ _LINES = (20, 60, 120)
 
 @register(
     "linreg", "trend",
-    [f"{x}_{n}" for n in _LINES for x in ("linreg_slope", "linreg_slope_norm", "linreg_r2", "linreg_zscore", "dist_from_linreg", "corr_time")],
+    [f"{x}_{n}" for n in _LINES
+        for x in ("linreg_slope", "linreg_slope_norm", "linreg_r2", "linreg_zscore", "dist_from_linreg", "corr_time")],
 )
 def _linreg() -> Needs:
     """The line through the last n closes: slope and spread from sums over the frame, as the index's own variance is known."""
@@ -306,8 +315,10 @@ def _linreg() -> Needs:
         left = F.greatest(spread - slope * sxy, F.lit(0.0))
         varied = full & (spread > 1e-12)
         made |= {f"linreg_slope_{n}": F.when(full, slope), f"linreg_slope_norm_{n}": F.when(full, div(slope, C))}
-        made |= {f"linreg_r2_{n}": F.when(varied, div(slope * sxy, spread)), f"corr_time_{n}": F.when(varied, div(sxy, F.sqrt(spread * sxx)))}
-        made |= {f"linreg_zscore_{n}": F.when(full & (left > 1e-12), div(off, F.sqrt(left / (n - 1)))), f"dist_from_linreg_{n}": F.when(full, div(off, C))}
+        made |= {f"linreg_r2_{n}": F.when(varied, div(slope * sxy, spread)),
+            f"corr_time_{n}": F.when(varied, div(sxy, F.sqrt(spread * sxx)))}
+        made |= {f"linreg_zscore_{n}": F.when(full & (left > 1e-12), div(off, F.sqrt(left / (n - 1)))),
+            f"dist_from_linreg_{n}": F.when(full, div(off, C))}
     return Needs(stages=[{"__i": place()}, made])
 
 
@@ -335,7 +346,8 @@ def within(c: str, low: str, high: str, n: int) -> Column:
 
 @register("stochastic", "momentum", ["stoch_k_14", "stoch_d_14", "stoch_slow_d_14", "stoch_oversold", "stoch_overbought"])
 def _stochastic() -> Needs:
-    second = {"stoch_d_14": mean("stoch_k_14", 3), "stoch_oversold": col("stoch_k_14") <= 20, "stoch_overbought": col("stoch_k_14") >= 80}
+    second = {"stoch_d_14": mean("stoch_k_14", 3), "stoch_oversold": col("stoch_k_14") <= 20,
+        "stoch_overbought": col("stoch_k_14") >= 80}
     return Needs(stages=[{"stoch_k_14": 100.0 * within(C, L, H, 14)}, second, {"stoch_slow_d_14": mean("stoch_d_14", 3)}])
 
 
@@ -437,7 +449,8 @@ def percentile(c: str, n: int) -> Column:
 
 @register(
     "zscore_percentile", "momentum",
-    [*(f"{x}_zscore_{n}" for x in ("close", "return", "volume") for n in _LINES), "price_position_252", "volume_percentile_60", "volatility_percentile_60"],
+    [*(f"{x}_zscore_{n}" for x in ("close", "return", "volume") for n in _LINES), "price_position_252", "volume_percentile_60",
+        "volatility_percentile_60"],
 )
 def _zscore() -> Needs:
     score = lambda c, n: div(col(c) - mean(c, n), std(c, n))
@@ -461,11 +474,13 @@ def _atr() -> Needs:
 
 @register("hist_vol", "volatility", [f"{x}_{n}" for n in (10, 20, 60) for x in ("stdev_ret", "hist_vol")])
 def _hist_vol() -> Needs:
-    second = {f"stdev_ret_{n}": std("__r", n) for n in (10, 20, 60)} | {f"hist_vol_{n}": std("__r", n) * math.sqrt(252) for n in (10, 20, 60)}
+    second = {f"stdev_ret_{n}": std("__r", n) for n in (10, 20, 60)} | {f"hist_vol_{n}": std("__r", n) * math.sqrt(252)
+        for n in (10, 20, 60)}
     return Needs(stages=[{"__r": change(C, lag(C))}, second])
 
 
-@register("ohlc_vol", "volatility", [f"{x}_{n}" for x in ("parkinson", "garman_klass", "rogers_satchell", "yang_zhang") for n in (20, 60)])
+@register("ohlc_vol", "volatility",
+    [f"{x}_{n}" for x in ("parkinson", "garman_klass", "rogers_satchell", "yang_zhang") for n in (20, 60)])
 def _ohlc_vol() -> Needs:
     ln = lambda a, b: F.ln(div(a, b))
     wide, body = ln(H, L), ln(C, O)
@@ -475,7 +490,8 @@ def _ohlc_vol() -> Needs:
     two: Columns = {}
     for n in (20, 60):
         k = 0.34 / (1.34 + (n + 1) / (n - 1))
-        two |= {f"parkinson_{n}": yearly(mean("__pk", n)), f"garman_klass_{n}": yearly(mean("__gk", n)), f"rogers_satchell_{n}": yearly(mean("__rs", n))}
+        two |= {f"parkinson_{n}": yearly(mean("__pk", n)), f"garman_klass_{n}": yearly(mean("__gk", n)),
+            f"rogers_satchell_{n}": yearly(mean("__rs", n))}
         square = lambda c: mean(col(c) * col(c), n)  # noqa: B023, E731
         two[f"yang_zhang_{n}"] = yearly(square("__oc") + k * square("__cc") + (1 - k) * mean("__rs", n))
     return Needs(stages=[one, two])
@@ -489,16 +505,19 @@ def _ulcer() -> Needs:
 
 @register("chaikin_vol", "volatility", ["chaikin_volatility_10"])
 def _chaikin_vol() -> Needs:
-    return Needs(folds={("__ema_hl",): lambda s: (K.ewm(s[H] - s[L], 10),)}, stages=[{"chaikin_volatility_10": change("__ema_hl", lag("__ema_hl", 10))}])
+    return Needs(folds={("__ema_hl",): lambda s: (K.ewm(s[H] - s[L], 10),)},
+        stages=[{"chaikin_volatility_10": change("__ema_hl", lag("__ema_hl", 10))}])
 
 
 def _band(n: int, k: int) -> Columns:
-    return {f"bb_{n}_{k}_mid": mean(C, n), f"bb_{n}_{k}_upper": mean(C, n) + k * std(C, n), f"bb_{n}_{k}_lower": mean(C, n) - k * std(C, n)}
+    return {f"bb_{n}_{k}_mid": mean(C, n), f"bb_{n}_{k}_upper": mean(C, n) + k * std(C, n),
+        f"bb_{n}_{k}_lower": mean(C, n) - k * std(C, n)}
 
 
 @register(
     "bollinger", "volatility",
-    [*(f"bb_{n}_2_{x}" for n in (20, 10, 50) for x in ("mid", "upper", "lower")), *(f"bb_20_{k}_{x}" for k in (1, 3) for x in ("mid", "upper", "lower")),
+    [*(f"bb_{n}_2_{x}" for n in (20, 10, 50) for x in ("mid", "upper", "lower")),
+        *(f"bb_20_{k}_{x}" for k in (1, 3) for x in ("mid", "upper", "lower")),
      "bb_20_2_width", "bb_20_2_pctb", "close_above_bb_upper", "close_below_bb_lower", "cross_above_bb_upper", "cross_below_bb_lower",
      "reentry_from_upper", "reentry_from_lower"],
 )
@@ -525,7 +544,8 @@ def _keltner_lines() -> tuple[dict[tuple[str, ...], Fold], Columns]:
 def _keltner() -> Needs:
     folds, lines = _keltner_lines()
     up, low = col("kc_upper"), col("kc_lower")
-    made = {"kc_width": div(up - low, "kc_mid"), "kc_position": div(col(C) - low, up - low), "kc_breakout_up": col(C) > up, "kc_breakout_down": col(C) < low}
+    made = {"kc_width": div(up - low, "kc_mid"), "kc_position": div(col(C) - low, up - low), "kc_breakout_up": col(C) > up,
+        "kc_breakout_down": col(C) < low}
     return Needs(folds=folds, stages=[lines, made])
 
 
@@ -537,13 +557,16 @@ def _squeeze() -> Needs:
     return Needs(folds=folds, stages=[lines | _band(20, 2), {"squeeze_on": on, "squeeze_off": ~on}, {"squeeze_release": release}])
 
 
-@register("donchian", "volatility", [f"donchian_{n}_{x}" for n in (20, 55) for x in ("upper", "lower", "mid", "pos", "breakout_up", "breakout_down")])
+@register("donchian", "volatility",
+    [f"donchian_{n}_{x}" for n in (20, 55) for x in ("upper", "lower", "mid", "pos", "breakout_up", "breakout_down")])
 def _donchian() -> Needs:
     made: Columns = {}
     for n in (20, 55):
         up, low = highest(H, n), lowest(L, n)
-        made |= {f"donchian_{n}_upper": up, f"donchian_{n}_lower": low, f"donchian_{n}_mid": (up + low) / 2, f"donchian_{n}_pos": within(C, L, H, n)}
-        made |= {f"donchian_{n}_breakout_up": col(C) > previous(F.max, H, n), f"donchian_{n}_breakout_down": col(C) < previous(F.min, L, n)}
+        made |= {f"donchian_{n}_upper": up, f"donchian_{n}_lower": low, f"donchian_{n}_mid": (up + low) / 2,
+            f"donchian_{n}_pos": within(C, L, H, n)}
+        made |= {f"donchian_{n}_breakout_up": col(C) > previous(F.max, H, n),
+            f"donchian_{n}_breakout_down": col(C) < previous(F.min, L, n)}
     return Needs(stages=[made])
 
 
@@ -572,7 +595,8 @@ def _volume_sma() -> Needs:
 
 @register("obv", "volume", ["obv"])
 def _obv() -> Needs:
-    return Needs(stages=[{"__signed": F.coalesce(F.signum(col(C) - lag(C)) * col(V), F.lit(0.0))}, {"obv": F.sum("__signed").over(_so_far())}])
+    return Needs(stages=[{"__signed": F.coalesce(F.signum(col(C) - lag(C)) * col(V), F.lit(0.0))},
+        {"obv": F.sum("__signed").over(_so_far())}])
 
 
 @register("ad_line", "volume", ["ad_line"])
@@ -618,7 +642,8 @@ def _pvt() -> Needs:
 
 @register("nvi_pvi", "volume", ["nvi", "pvi"])
 def _nvi_pvi() -> Needs:
-    return Needs(folds={("nvi",): lambda s: (K.volume_index(s[C], s[V], False),), ("pvi",): lambda s: (K.volume_index(s[C], s[V], True),)})
+    return Needs(folds={("nvi",): lambda s: (K.volume_index(s[C], s[V], False),),
+        ("pvi",): lambda s: (K.volume_index(s[C], s[V], True),)})
 
 
 @register("volume_roc", "volume", ["volume_roc_10", "volume_roc_20"])
@@ -637,13 +662,15 @@ def _rolling_vwap() -> Needs:
 @register(
     "ichimoku", "ichimoku",
     ["tenkan", "kijun", "senkou_a_raw", "senkou_b_raw", "cloud_a_at_t", "cloud_b_at_t", "cloud_top", "cloud_bottom", "cloud_thickness",
-     "price_above_cloud", "price_inside_cloud", "price_below_cloud", "tenkan_above_kijun", "tenkan_cross_kijun_up", "tenkan_cross_kijun_down",
+     "price_above_cloud", "price_inside_cloud", "price_below_cloud", "tenkan_above_kijun", "tenkan_cross_kijun_up",
+     "tenkan_cross_kijun_down",
      "cloud_bullish", "cloud_bearish", "cloud_breakout_up", "cloud_breakout_down"],
 )
 def _ichimoku() -> Needs:
     half = lambda n: (highest(H, n) + lowest(L, n)) / 2
     one = {"tenkan": half(9), "kijun": half(26), "senkou_b_raw": half(52), "senkou_a_raw": (half(9) + half(26)) / 2}
-    two = {"cloud_a_at_t": lag("senkou_a_raw", 26), "cloud_b_at_t": lag("senkou_b_raw", 26), "tenkan_above_kijun": col("tenkan") > col("kijun")}
+    two = {"cloud_a_at_t": lag("senkou_a_raw", 26), "cloud_b_at_t": lag("senkou_b_raw", 26),
+        "tenkan_above_kijun": col("tenkan") > col("kijun")}
     two |= {"tenkan_cross_kijun_up": crosses_up("tenkan", "kijun"), "tenkan_cross_kijun_down": crosses_down("tenkan", "kijun")}
     a, b = col("cloud_a_at_t"), col("cloud_b_at_t")
     # Where only one line is known it is the cloud's top and bottom.
@@ -690,7 +717,8 @@ def _rolling_fib() -> Needs:
 
 @register(
     "pivots", "breakout",
-    ["pivot_p", *(f"pivot_{x}{i}" for x in "rs" for i in (1, 2, 3)), "fib_pivot_p", *(f"fib_pivot_{x}{i}" for x in "rs" for i in (1, 2)),
+    ["pivot_p", *(f"pivot_{x}{i}" for x in "rs" for i in (1, 2, 3)), "fib_pivot_p",
+        *(f"fib_pivot_{x}{i}" for x in "rs" for i in (1, 2)),
      "cam_r1", "cam_s1", "woodie_p", "woodie_r1", "woodie_s1"],
 )
 def _pivots() -> Needs:
@@ -713,7 +741,8 @@ def _candle_parts() -> Columns:
 
 @register(
     "candle_anatomy", "candles",
-    ["body_pct", "body_abs_pct", "upper_shadow_pct", "lower_shadow_pct", "range_pct", "bullish_bar", "bearish_bar", "gap_up", "gap_down",
+    ["body_pct", "body_abs_pct", "upper_shadow_pct", "lower_shadow_pct", "range_pct", "bullish_bar", "bearish_bar", "gap_up",
+        "gap_down",
      "inside_bar", "outside_bar", "nr4", "nr7", "wide_range_bar", "consecutive_up_days", "consecutive_down_days",
      "higher_high", "higher_low", "lower_high", "lower_low", "hh_hl_state", "lh_ll_state"],
 )
@@ -725,7 +754,8 @@ def _candle_anatomy() -> Needs:
     two |= {"gap_up": o > pc, "gap_down": o < pc, "inside_bar": (h <= ph) & (l >= pl), "outside_bar": (h >= ph) & (l <= pl)}
     two |= {f"nr{n}": col("__range") == lowest("__range", n) for n in (4, 7)}
     frame = trailing(20)
-    two["wide_range_bar"] = col("__range") > 1.8 * F.when(F.count("__range").over(frame) == 20, median_of(F.collect_list("__range").over(frame)))
+    two["wide_range_bar"] = col("__range") > 1.8 * F.when(F.count("__range")
+        .over(frame) == 20, median_of(F.collect_list("__range").over(frame)))
     two |= {"higher_high": h > ph, "higher_low": l > pl, "lower_high": h < ph, "lower_low": l < pl}
     two |= {"hh_hl_state": (h > ph) & (l > pl), "lh_ll_state": (h < ph) & (l < pl)}
     # A streak is as long as the way back to the last bar that broke it.
@@ -762,9 +792,12 @@ def _candlestick_patterns() -> Needs:
     two |= {"bullish_marubozu": bare & rises, "bearish_marubozu": bare & falls}
     two |= {"spinning_top": real & (size <= 0.3 * span) & (up >= 0.2 * span) & (low >= 0.2 * span)}
     two |= {"morning_star": (c2 < o2) & pause & rises & (c > half2), "evening_star": (c2 > o2) & pause & falls & (c < half2)}
-    two |= {"three_white_soldiers": rises & rose & (c2 > o2) & (c > c1) & (c1 > c2), "three_black_crows": falls & fell & (c2 < o2) & (c < c1) & (c1 < c2)}
-    two |= {"piercing_line": fell & rises & (o < c1) & (c > half1) & (c < o1), "dark_cloud_cover": rose & falls & (o > c1) & (c < half1) & (c > o1)}
-    three = {"three_inside_up": flag(lag("bullish_harami")) & rises & (c > h1), "three_inside_down": flag(lag("bearish_harami")) & falls & (c < l1)}
+    two |= {"three_white_soldiers": rises & rose & (c2 > o2) & (c > c1) & (c1 > c2),
+        "three_black_crows": falls & fell & (c2 < o2) & (c < c1) & (c1 < c2)}
+    two |= {"piercing_line": fell & rises & (o < c1) & (c > half1) & (c < o1),
+        "dark_cloud_cover": rose & falls & (o > c1) & (c < half1) & (c > o1)}
+    three = {"three_inside_up": flag(lag("bullish_harami")) & rises & (c > h1),
+        "three_inside_down": flag(lag("bearish_harami")) & falls & (c < l1)}
     return Needs(stages=[_candle_parts(), two, three])
 
 
@@ -799,7 +832,8 @@ def _added(df: DataFrame, needs: Needs) -> DataFrame:
     return df
 
 
-def compute(prices: DataFrame, groups: list[str] | None = None, ids: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+def compute(prices: DataFrame, groups: list[str] | None = None, ids: list[str] | None = None, start: str | None = None,
+    end: str | None = None) -> DataFrame:
     """Base columns and the outputs of the families of ``groups`` and ``ids`` (all unless given), of bars from ``start`` to ``end``.
 
     Categories are computed one by one over the same bars and joined by bar, so that no plan

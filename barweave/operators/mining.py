@@ -110,7 +110,8 @@ QUANTILE_SOURCES: tuple[tuple[str, str, str | None], ...] = (
 QUANTILES = (0.2, 0.4, 0.6, 0.8)
 MIN_QUANTILE_ROWS = 100
 #: Patterns that are followed through all folds.
-TRACKED = ("rsi14_ge_70", "rsi14_ge_70 AND volume_ratio20_gt_2", "adx_gt_25 AND bb_above_upper", "donchian_20_breakout AND volume_ratio20_gt_2")
+TRACKED = ("rsi14_ge_70", "rsi14_ge_70 AND volume_ratio20_gt_2", "adx_gt_25 AND bb_above_upper",
+    "donchian_20_breakout AND volume_ratio20_gt_2")
 #: Days from this one on are never evaluated.
 HOLDOUT_START = "2026-09-21"
 #: The expanding folds (name, learnt from, to, evaluated from, to; the last one is open).
@@ -203,7 +204,8 @@ def freeze(df: DataFrame) -> Frozen:
         return {}
     values = long(df, there, "source", "value", []).filter(~F.isnan("value"))
     counts = values.groupBy("source").agg(F.count("*").alias("n"))
-    found = nearest_quantiles(values, "value", list(QUANTILES), ["source"]).join(counts, "source").filter(F.col("n") >= MIN_QUANTILE_ROWS)
+    found = nearest_quantiles(values, "value", list(QUANTILES), ["source"]).join(counts,
+        "source").filter(F.col("n") >= MIN_QUANTILE_ROWS)
     rows = {r["source"]: {f"q{round(q * 100)}": r[f"q{i}"] for i, q in enumerate(QUANTILES)} for r in found.collect()}  # a row a source
     out: Frozen = {}
     for c, _, preferred in QUANTILE_SOURCES:
@@ -257,7 +259,8 @@ def family_of(pattern: str, states: list[State]) -> str:
 
 def conjunction(pattern: str, columns: list[str]) -> Column:
     """A pattern's flag: null counts as false, and a name that isn't there makes it false."""
-    return reduce(lambda a, b: a & b, (F.coalesce(F.col(n), F.lit(False)) if n in columns else F.lit(False) for n in pattern.split(AND)))
+    return reduce(lambda a, b: a & b,
+        (F.coalesce(F.col(n), F.lit(False)) if n in columns else F.lit(False) for n in pattern.split(AND)))
 
 
 def with_entries(df: DataFrame, flag: str) -> DataFrame:
@@ -291,7 +294,8 @@ def frequency(df: DataFrame, pattern: str, wait: int = 20) -> DataFrame:
     return d.agg(
         F.count_if(on).alias("flag_rows"), F.count_if("__entry").alias("entries"), F.count_if("__kept").alias("kept"),
         F.countDistinct(F.when(on, F.struct("security_id", "__episode"))).alias("episodes"),
-        F.countDistinct(F.when(on, F.col("date"))).alias("n_dates"), F.countDistinct(F.when(on, F.col("security_id"))).alias("n_securities"),
+        F.countDistinct(F.when(on, F.col("date"))).alias("n_dates"), F.countDistinct(F.when(on, F.col("security_id")))
+            .alias("n_securities"),
     )
 
 
@@ -310,7 +314,8 @@ def pairs_of(states: list[State]) -> list[tuple[str, str]]:
 
 def _patterns(states: list[State], columns: set[str], wanted: list[str] | None, pairs: bool) -> Column:
     """The patterns that hold in a row. Pairs are made of its own true states, so a row costs what it has, not all pairs."""
-    marked = [F.when(s.expression(columns), F.struct(F.lit(s.name).alias("name"), F.lit(s.kin).alias("kin"), F.lit(s.source).alias("source"))) for s in states]
+    marked = [F.when(s.expression(columns),
+        F.struct(F.lit(s.name).alias("name"), F.lit(s.kin).alias("kin"), F.lit(s.source).alias("source"))) for s in states]
     on = F.filter(F.array(*marked), lambda x: x.isNotNull())
     single = F.transform(on, lambda x: x["name"])
     if not pairs:
@@ -353,8 +358,10 @@ def hits(
         rows = rows.withColumn("on", F.when(F.col("was").isNull(), F.col("on")).otherwise(F.array_except("on", "was"))).drop("was")
     out = rows.withColumn("pattern", F.explode("on")).drop("on")
     if mode == "entry" and wait:
-        held = out.groupBy("pattern", "security_id").agg(F.array_sort(F.collect_list(F.struct("at", "date", "y", "x", *keep))).alias("all"))
-        out = held.select("pattern", "security_id", F.explode(_greedy(F.col("all"), wait)).alias("h")).select("pattern", "security_id", "h.*")
+        held = out.groupBy("pattern", "security_id").agg(F.array_sort(F.collect_list(F.struct("at", "date", "y", "x", *keep)))
+            .alias("all"))
+        out = held.select("pattern", "security_id", F.explode(_greedy(F.col("all"), wait))
+            .alias("h")).select("pattern", "security_id", "h.*")
     return out.select("pattern", "security_id", "date", "y", "x", *keep)
 
 
@@ -379,16 +386,20 @@ def pattern_stats(found: DataFrame, base: DataFrame, lag: int, winsor: Column, b
     known = F.col("y").isNotNull()
     on = lambda c: F.when(known, F.col(c))
     flat = found.groupBy(*keys).agg(
-        F.count("*").alias("kept"), F.count("y").alias("n"), F.countDistinct(on("date")).alias("n_dates"), F.countDistinct(on("security_id")).alias("n_securities"),
+        F.count("*").alias("kept"), F.count("y").alias("n"), F.countDistinct(on("date"))
+            .alias("n_dates"), F.countDistinct(on("security_id")).alias("n_securities"),
         F.avg("y").alias("mean"), F.median("y").alias("median"), F.avg(F.when(known, winsor)).alias("winsor_mean"),
-        F.avg((F.col("y") > 0).cast("double")).alias("positive_ratio"), F.avg(on("x")).alias("excess_mean"), F.median(on("x")).alias("excess_median"),
+        F.avg((F.col("y") > 0).cast("double")).alias("positive_ratio"), F.avg(on("x")).alias("excess_mean"), F.median(on("x"))
+            .alias("excess_median"),
     )
     daily = found.filter(known).groupBy(*keys, "date").agg(F.avg("y").alias("day"))
     daily = daily.join(F.broadcast(base), [*by, "date"], "left").withColumn("diff", F.col("day") - F.col("base"))
-    days = daily.groupBy(*keys).agg(F.median("day").alias("daily_median"), F.avg((F.col("day") > 0).cast("double")).alias("daily_positive_ratio"))
+    days = daily.groupBy(*keys).agg(F.median("day").alias("daily_median"), F.avg((F.col("day") > 0).cast("double"))
+        .alias("daily_positive_ratio"))
     own = newey_west(daily, "day", lag, keys).select(*keys, F.col("mean").alias("daily_mean"), F.col("nw_t").alias("newey_west_t"))
     other = newey_west(daily.filter(F.col("diff").isNotNull()), "diff", lag, keys)
-    other = other.select(*keys, F.col("mean").alias("vs_baseline_mean"), F.col("nw_t").alias("vs_baseline_nw_t"), F.col("n").alias("vs_baseline_n"))
+    other = other.select(*keys, F.col("mean").alias("vs_baseline_mean"), F.col("nw_t").alias("vs_baseline_nw_t"), F.col("n")
+        .alias("vs_baseline_n"))
     out = flat.join(days, keys, "left").join(own, keys, "left").join(other, keys, "left")
     return out.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) if c == "vs_baseline_n" else F.col(c) for c in STATS))
 
@@ -403,7 +414,7 @@ def score(
 
 
 def supported(stats: DataFrame, support: Support) -> DataFrame:
-    return stats.filter((F.col("kept") >= support.rows) & (F.col("n_dates") >= support.dates) & (F.col("n_securities") >= support.securities))
+    return (stats.filter((F.col("kept") >= support.rows) & (F.col("n_dates") >= support.dates) & (F.col("n_securities") >= support.securities)))
 
 
 def normal_p(t: float | None, df: int | None = None) -> float | None:
@@ -460,15 +471,18 @@ class Discovery:
 
 _LONGS = ("kept", "n", "n_dates", "n_securities", "vs_baseline_n")
 _ROW = [
-    ("pattern", "string"), ("family", "string"), ("rule_size", "int"), ("sample_status", "string"), *((c, "long" if c in _LONGS else "double") for c in STATS),
-    ("p", "double"), ("q", "double"), ("selected", "boolean"), ("direction", "int"), ("overlap_flag", "string"), ("duplicate_warning", "string"),
+    ("pattern", "string"), ("family", "string"), ("rule_size", "int"), ("sample_status", "string"),
+        *((c, "long" if c in _LONGS else "double") for c in STATS),
+    ("p", "double"), ("q", "double"), ("selected", "boolean"), ("direction", "int"), ("overlap_flag", "string"),
+        ("duplicate_warning", "string"),
 ]
 
 
 def _overlap_flag(both: int, n_a: int, n_b: int) -> str | None:
     """HIGH_OVERLAP where one state nearly implies the other, or the pair nearly is one of them."""
     either = n_a + n_b - both
-    shares = [both / n > 0.95 for n in (n_a, n_b) if n] + [either > 0 and both / either > 0.9] + [both / n > 0.9 for n in (n_a, n_b) if n]
+    shares = [both / n > 0.95 for n in (n_a, n_b) if n] + [either > 0 and both / either > 0.9] + [both / n > 0.9 for n in (n_a, n_b)
+        if n]
     return "HIGH_OVERLAP" if any(shares) else None
 
 
@@ -525,7 +539,8 @@ def _flag_counts(df: DataFrame, states: list[State], pairs: list[str]) -> dict[s
     return {r["p"]: r["count"] for r in df.select(F.explode(made).alias("p")).groupBy("p").count().collect()}
 
 
-def evaluate(df: DataFrame, found: Discovery, target: str, start: str, end: str | None = None, mode: str = "state", wait: int = 0) -> DataFrame:
+def evaluate(df: DataFrame, found: Discovery, target: str, start: str, end: str | None = None, mode: str = "state",
+    wait: int = 0) -> DataFrame:
     """Selected patterns on a later window, nothing refitted: (pattern, STATS..., found_effect, same_direction, effect_ratio).
 
     The window never reaches the days held out for good.
@@ -616,7 +631,8 @@ def yearly_folds(ends: list[str], start: str) -> tuple[tuple[str, str, str, str,
 
 def _by_fold(values: dict[str, float | None]) -> Column:
     """A constant a fold."""
-    return reduce(lambda out, kv: F.when(F.col("fold") == kv[0], F.lit(kv[1])).otherwise(out), values.items(), F.lit(None).cast("double"))
+    return reduce(lambda out, kv: F.when(F.col("fold") == kv[0], F.lit(kv[1])).otherwise(out), values.items(), F.lit(None)
+        .cast("double"))
 
 
 def dealt(df: DataFrame, parts: list[dict[str, str]]) -> DataFrame:
@@ -629,7 +645,8 @@ def dealt(df: DataFrame, parts: list[dict[str, str]]) -> DataFrame:
     return df.withColumn("__f", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull()))).select("__f.*", *df.columns)
 
 
-def walk_forward(df: DataFrame, target: str, parts: list[dict[str, str]], tracked: tuple[str, ...] = TRACKED, mode: str = "state", wait: int = 0) -> DataFrame:
+def walk_forward(df: DataFrame, target: str, parts: list[dict[str, str]], tracked: tuple[str, ...] = TRACKED, mode: str = "state",
+    wait: int = 0) -> DataFrame:
     """(fold, role, pattern, STATS..., effect, direction) of tracked patterns, all folds in one pass.
 
     Each fold's quantile cutoffs and winsor bounds are frozen on its own discover window and
@@ -644,7 +661,8 @@ def walk_forward(df: DataFrame, target: str, parts: list[dict[str, str]], tracke
     if there:
         values = long(learnt, there, "source", "value", ["fold"]).filter(~F.isnan("value"))
         n = values.groupBy("fold", "source").agg(F.count("*").alias("n"))
-        found = nearest_quantiles(values, "value", [0.2, 0.8], ["fold", "source"]).join(n, ["fold", "source"]).filter(F.col("n") >= MIN_QUANTILE_ROWS)
+        found = nearest_quantiles(values, "value", [0.2, 0.8], ["fold", "source"]).join(n,
+            ["fold", "source"]).filter(F.col("n") >= MIN_QUANTILE_ROWS)
         got = {(r["fold"], r["source"]): {"q20": r["q0"], "q80": r["q1"]} for r in found.collect()}
         for name in names:
             for c, _, preferred in QUANTILE_SOURCES:
@@ -680,14 +698,17 @@ def stability(walked: DataFrame) -> DataFrame:
     first = F.min_by(F.when(F.col("direction") != 0, F.col("direction")), F.when(F.col("direction") != 0, F.col("fold")))
     out = rows.groupBy("pattern").agg(
         F.count("*").alias("folds_tested"), F.count_if(F.col("direction") > 0).alias("positive_effect_folds"),
-        F.count_if(F.col("direction") < 0).alias("negative_effect_folds"), first.alias("first"), upper("effect").alias("median_fold_effect"),
+        F.count_if(F.col("direction") < 0).alias("negative_effect_folds"), first.alias("first"), upper("effect")
+            .alias("median_fold_effect"),
         F.min("effect").alias("min_fold_effect"), F.max("effect").alias("max_fold_effect"), upper("t").alias("median_fold_nw_t"),
     )
-    same = F.when(F.col("first") > 0, F.col("positive_effect_folds")).when(F.col("first") < 0, F.col("negative_effect_folds")).otherwise(0)
+    same = F.when(F.col("first") > 0, F.col("positive_effect_folds")).when(F.col("first") < 0,
+        F.col("negative_effect_folds")).otherwise(0)
     return out.withColumn("same_direction_folds", same.cast("long")).drop("first")
 
 
-def walk_forward_full(df: DataFrame, target: str, parts: list[dict[str, str]], support: Support = Support(), tracked: tuple[str, ...] = TRACKED) -> DataFrame:
+def walk_forward_full(df: DataFrame, target: str, parts: list[dict[str, str]], support: Support = Support(),
+    tracked: tuple[str, ...] = TRACKED) -> DataFrame:
     """(fold, n_generated_singles, ..., n_selected, n_same_direction, reasons): discovery on each fold, evaluated in its next year.
 
     Folds are a handful, each a discovery of its own: its choice of pairs depends on its supported states.
@@ -697,9 +718,12 @@ def walk_forward_full(df: DataFrame, target: str, parts: list[dict[str, str]], s
         found = discover(df, target, f["start"], f["end"], support)
         later = evaluate(df, found, target, f["eval_start"], f["eval_end"]).filter("same_direction").count() if found.selected else 0
         why = reasons(found, list(tracked))
-        rows.append({"fold": f["fold"], "n_selected": len(found.selected), "n_same_direction": later, "reasons": why} | selection_summary(found, support))
-    whole = "n_generated_singles n_support_passed_singles n_generated_pairs n_support_passed_pairs n_statistical_tests n_selected n_same_direction".split()
-    schema = "fold string, " + ", ".join(f"{c} long" for c in whole) + ", min_raw_p double, min_fdr_q double, reasons map<string,string>"
+        rows.append({"fold": f["fold"], "n_selected": len(found.selected), "n_same_direction": later,
+            "reasons": why} | selection_summary(found, support))
+    whole = ("n_generated_singles n_support_passed_singles n_generated_pairs n_support_passed_pairs n_statistical_tests n_selected "
+        "n_same_direction".split())
+    schema = "fold string, " + ", ".join(f"{c} long"
+        for c in whole) + ", min_raw_p double, min_fdr_q double, reasons map<string,string>"
     names = ["fold", *whole, "min_raw_p", "min_fdr_q", "reasons"]
     return df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
 
@@ -711,7 +735,8 @@ def overlap(df: DataFrame, a: str, b: str) -> DataFrame:
     """(both, either, jaccard, b_given_a, a_given_b, high_overlap) of two flags, in one aggregation."""
     x, y = (F.coalesce(F.col(c), F.lit(False)) for c in (a, b))
     s = df.agg(F.count_if(x & y).alias("both"), F.count_if(x | y).alias("either"), F.count_if(x).alias("na"), F.count_if(y).alias("nb"))
-    s = s.select("both", "either", div("both", "either").alias("jaccard"), div("both", "na").alias("b_given_a"), div("both", "nb").alias("a_given_b"))
+    s = s.select("both", "either", div("both", "either").alias("jaccard"), div("both", "na").alias("b_given_a"), div("both", "nb")
+        .alias("a_given_b"))
     return s.withColumn("high_overlap", (F.col("jaccard") > 0.9) | (F.col("b_given_a") > 0.95) | (F.col("a_given_b") > 0.95))
 
 
@@ -721,9 +746,12 @@ def incremental(df: DataFrame, parent: str, extra: str, target: str, lag: int =
     y = x & F.coalesce(F.col(extra), F.lit(False))
     rows = df.filter(x & F.col(target).isNotNull()).withColumn("__w", clipped(target, bounds)).withColumn("__y", y)
     on = lambda c: F.when(F.col("__y"), F.col(c))
-    flat = rows.agg((F.median(on(target)) - F.median(target)).alias("median_diff"), (F.avg(on("__w")) - F.avg("__w")).alias("winsor_diff"))
-    daily = rows.groupBy("date").agg((F.avg(on(target)) - F.avg(target)).alias("diff")).filter(F.col("diff").isNotNull()).withColumn("one", F.lit(1))
-    return flat.crossJoin(newey_west(daily, "diff", lag, ["one"]).select(F.col("mean").alias("daily_diff"), F.col("nw_t").alias("diff_nw_t")))
+    flat = rows.agg((F.median(on(target)) - F.median(target)).alias("median_diff"), (F.avg(on("__w")) - F.avg("__w"))
+        .alias("winsor_diff"))
+    daily = rows.groupBy("date").agg((F.avg(on(target)) - F.avg(target)).alias("diff")).filter(F.col("diff")
+        .isNotNull()).withColumn("one", F.lit(1))
+    return flat.crossJoin(newey_west(daily, "diff", lag, ["one"])
+        .select(F.col("mean").alias("daily_diff"), F.col("nw_t").alias("diff_nw_t")))
 
 
 def concentration(df: DataFrame, pattern: str, mode: str = "state", wait: int = 0) -> DataFrame:
@@ -737,24 +765,30 @@ def concentration(df: DataFrame, pattern: str, mode: str = "state", wait: int =
 def leave_one_out(df: DataFrame, pattern: str, target: str, mode: str = "state", wait: int = 0) -> DataFrame:
     """(dropped, full_median, dropped_median, delta_median, dropped_n): the median without the security that has most rows."""
     rows = activate(df, pattern, mode, wait).select("security_id", F.col(target).alias("y"))
-    top = rows.groupBy("security_id").agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "security_id").limit(1).select(F.col("security_id").alias("dropped"))
+    top = rows.groupBy("security_id").agg(F.count("*").alias("c")).orderBy(F.col("c")
+        .desc(), "security_id").limit(1).select(F.col("security_id").alias("dropped"))
     left = F.when(F.col("security_id") != F.col("dropped"), F.col("y"))
-    out = rows.join(F.broadcast(top)).groupBy("dropped").agg(F.median("y").alias("full_median"), F.median(left).alias("dropped_median"), F.count(left).alias("dropped_n"))
-    return out.select("dropped", "full_median", "dropped_median", (F.col("dropped_median") - F.col("full_median")).alias("delta_median"), "dropped_n")
+    out = rows.join(F.broadcast(top)).groupBy("dropped").agg(F.median("y").alias("full_median"), F.median(left)
+        .alias("dropped_median"), F.count(left).alias("dropped_n"))
+    return out.select("dropped", "full_median", "dropped_median", (F.col("dropped_median") - F.col("full_median"))
+        .alias("delta_median"), "dropped_n")
 
 
-def by_year(df: DataFrame, pattern: str, target: str, first: int, last: int, bounds: Bounds = None, mode: str = "state", wait: int = 0) -> DataFrame:
+def by_year(df: DataFrame, pattern: str, target: str, first: int, last: int, bounds: Bounds = None, mode: str = "state",
+    wait: int = 0) -> DataFrame:
     """(year, n, mean, median, winsor_mean, positive_ratio) for every year of the range, empty ones with n 0."""
     rows = activate(df, pattern, mode, wait).filter(F.col(target).isNotNull()).groupBy(F.year("date").alias("year"))
     y = F.col(target)
-    made = rows.agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.median(y).alias("median"), F.avg(clipped(target, bounds)).alias("winsor_mean"), F.avg((y > 0).cast("double")).alias("positive_ratio"))
+    made = rows.agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.median(y).alias("median"), F.avg(clipped(target, bounds))
+        .alias("winsor_mean"), F.avg((y > 0).cast("double")).alias("positive_ratio"))
     years = df.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
     return years.join(made, "year", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def floor_audit(df: DataFrame, pattern: str, target: str, bounds: Bounds = None, lag: int | None = None) -> DataFrame:
     """(subset, STATS...): the pattern's statistics by price floor."""
-    found = activate(df, pattern).select("security_id", "date", F.col(target).alias("y"), F.col(target).alias("x"), F.explode(price_bucket_floor()).alias("pattern"))
+    found = activate(df, pattern).select("security_id", "date", F.col(target).alias("y"), F.col(target)
+        .alias("x"), F.explode(price_bucket_floor()).alias("pattern"))
     stats = pattern_stats(found, daily_baseline(df.limit(0), target), horizon_of(target) if lag is None else lag, clipped("y", bounds))
     return stats.withColumnRenamed("pattern", "subset")
 
@@ -763,7 +797,8 @@ def regime_audit(df: DataFrame, pattern: str, target: str, bounds: Bounds = None
     """(kind, subset, STATS...): the pattern's statistics by regime of either kind."""
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("regime")) for k in ("spy_regime", "vix_regime"))))
     rows = activate(df, pattern).withColumn("__r", kinds).filter(F.col("__r.regime").isNotNull())
-    found = rows.select("security_id", "date", F.col(target).alias("y"), F.col(target).alias("x"), F.col("__r.kind").alias("kind"), F.col("__r.regime").alias("pattern"))
+    found = rows.select("security_id", "date", F.col(target).alias("y"), F.col(target).alias("x"), F.col("__r.kind")
+        .alias("kind"), F.col("__r.regime").alias("pattern"))
     base = daily_baseline(df.limit(0), target).withColumn("kind", F.lit(""))
     stats = pattern_stats(found, base, horizon_of(target) if lag is None else lag, clipped("y", bounds), ("kind",))
     return stats.withColumnRenamed("pattern", "subset")
@@ -772,7 +807,8 @@ def regime_audit(df: DataFrame, pattern: str, target: str, bounds: Bounds = None
 MODES = (("state", 0), ("entry", 0), ("entry", 20))
 
 
-def inspect(df: DataFrame, pattern: str, target: str, start: str, end: str, later_start: str, later_end: str | None = None) -> dict[str, DataFrame]:
+def inspect(df: DataFrame, pattern: str, target: str, start: str, end: str, later_start: str,
+    later_end: str | None = None) -> dict[str, DataFrame]:
     """One pattern in detail, cutoffs and bounds frozen on the first window; nothing is selected.
 
     modes: statistics by mode, cooldown and window; concentration, leave_one_out, years: by mode;
@@ -788,7 +824,8 @@ def inspect(df: DataFrame, pattern: str, target: str, start: str, end: str, late
     first, last = int(start[:4]), int(before_holdout(later_end)[:4])
     whole = windows["analysis"].unionByName(windows["validation"])
     scored = [
-        tag(score(w, states, target, target, bounds, wanted=[pattern], mode=mode, wait=wait), mode, wait).withColumn("window", F.lit(name))
+        tag(score(w, states, target, target, bounds, wanted=[pattern], mode=mode, wait=wait), mode, wait)
+            .withColumn("window", F.lit(name))
         for mode, wait in MODES for name, w in windows.items()
     ]
     a = windows["analysis"]

@@ -20,10 +20,13 @@ CRITICAL, WARNING, INFO = "critical", "warning", "info"
 ISSUE = ["security_id", "date", "issue_type", "severity", "details"]
 
 
-def _issues(df: DataFrame, kind: str, severity: str | Column, details: Column | None = None, kind_of: Column | None = None) -> DataFrame:
+def _issues(df: DataFrame, kind: str, severity: str | Column, details: Column | None = None,
+    kind_of: Column | None = None) -> DataFrame:
     return df.select(
-        F.col("security_id").cast("string").alias("security_id"), F.col("date"), (F.lit(kind) if kind_of is None else kind_of).alias("issue_type"),
-        (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), (F.lit("") if details is None else details).cast("string").alias("details"),
+        F.col("security_id").cast("string").alias("security_id"), F.col("date"), (F.lit(kind) if kind_of is None else kind_of)
+            .alias("issue_type"),
+        (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), (F.lit("") if details is None else details)
+            .cast("string").alias("details"),
     )
 
 
@@ -41,16 +44,19 @@ def union(parts: list[DataFrame]) -> DataFrame:
 def negative_prices(prices: DataFrame) -> DataFrame:
     """NEGATIVE_PRICE for each of five price columns, NEGATIVE_VOLUME for the volume."""
     columns = ["open", "high", "low", "close", "adj_close", "volume"]
-    return _where_columns(prices, columns, lambda c: c < 0, "", CRITICAL, lambda c: F.when(c == "volume", "NEGATIVE_VOLUME").otherwise("NEGATIVE_PRICE"))
+    return _where_columns(prices, columns, lambda c: c < 0, "", CRITICAL, lambda c: F.when(c == "volume", "NEGATIVE_VOLUME")
+        .otherwise("NEGATIVE_PRICE"))
 
 
 def ohlc_consistency(prices: DataFrame) -> DataFrame:
     """OHLC_INCONSISTENT beyond tolerance, OHLC_ROUNDING_TOLERANCE within, for each of five comparisons."""
     pairs = (("high", "open"), ("high", "close"), ("high", "low"), ("open", "low"), ("close", "low"))
-    found = F.array(*(F.when(F.col(a) < F.col(b), F.struct(F.lit(f"{a}<{b}").alias("what"), at_least(a, b).alias("near"))) for a, b in pairs))
+    found = F.array(*(F.when(F.col(a) < F.col(b), F.struct(F.lit(f"{a}<{b}").alias("what"), at_least(a, b).alias("near")))
+        for a, b in pairs))
     rows = prices.withColumn("__x", F.explode(F.filter(found, lambda x: x.isNotNull())))
     near = F.col("__x.near")
-    return _issues(rows, "", F.when(near, INFO).otherwise(CRITICAL), F.col("__x.what"), F.when(near, "OHLC_ROUNDING_TOLERANCE").otherwise("OHLC_INCONSISTENT"))
+    return _issues(rows, "", F.when(near, INFO).otherwise(CRITICAL), F.col("__x.what"), F.when(near, "OHLC_ROUNDING_TOLERANCE")
+        .otherwise("OHLC_INCONSISTENT"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,12 +70,14 @@ def weekend_dates(df: DataFrame) -> DataFrame:
 
 
 def invalid_dates(df: DataFrame, today: str, first: str = "1990-01-01") -> DataFrame:
-    return _issues(df.filter((F.col("date") > F.lit(today).cast("date")) | (F.col("date") < F.lit(first).cast("date"))), "INVALID_DATE", CRITICAL)
+    return _issues(df.filter((F.col("date") > F.lit(today).cast("date")) | (F.col("date") < F.lit(first).cast("date"))),
+        "INVALID_DATE", CRITICAL)
 
 
 def high_null_ratio(prices: DataFrame, limit: float = 0.05) -> DataFrame:
     share = prices.groupBy("security_id").agg(F.avg(F.col("close").isNull().cast("double")).alias("share"))
-    return _issues(share.filter(F.col("share") > limit).withColumn("date", F.lit(None).cast("date")), "HIGH_NULL_RATIO", WARNING, F.format_string("%.4f", "share"))
+    return _issues(share.filter(F.col("share") > limit)
+        .withColumn("date", F.lit(None).cast("date")), "HIGH_NULL_RATIO", WARNING, F.format_string("%.4f", "share"))
 
 
 def sudden_changes(prices: DataFrame, sudden: float = 0.8, split: float = 0.45) -> DataFrame:
@@ -78,15 +86,19 @@ def sudden_changes(prices: DataFrame, sudden: float = 0.8, split: float = 0.45)
     df = prices.withColumn("__pct", F.abs(change("close", known)))
     by_split = (F.coalesce(F.col("stock_split"), F.lit(0.0)) != 0) & (F.col("__pct") >= split)
     rows = df.filter(by_split | (F.col("__pct") >= sudden))
-    return _issues(rows, "", F.when(by_split, INFO).otherwise(WARNING), F.format_string("%.4f", "__pct"), F.when(by_split, "SUSPECTED_SPLIT_ADJUSTMENT").otherwise("SUDDEN_PRICE_CHANGE"))
+    return _issues(rows, "", F.when(by_split, INFO)
+        .otherwise(WARNING), F.format_string("%.4f", "__pct"), F.when(by_split, "SUSPECTED_SPLIT_ADJUSTMENT")
+            .otherwise("SUDDEN_PRICE_CHANGE"))
 
 
 def missing_recent(prices: DataFrame, targets: DataFrame, sessions: DataFrame, expected: str, grace: int = 5) -> DataFrame:
     """MISSING_RECENT_DATA for targets whose last bar is older than ``grace`` sessions before ``expected``, or that have none."""
-    cut = sessions.filter(F.col("date") <= F.lit(expected).cast("date")).orderBy(F.col("date").desc()).limit(grace + 1).agg(F.min("date").alias("cut"))
+    cut = sessions.filter(F.col("date") <= F.lit(expected).cast("date")).orderBy(F.col("date")
+        .desc()).limit(grace + 1).agg(F.min("date").alias("cut"))
     last = prices.groupBy("security_id").agg(F.max("date").alias("last"))
     df = targets.select("security_id").join(last, "security_id", "left").join(F.broadcast(cut))
-    return _issues(df.filter(F.col("last").isNull() | (F.col("last") < F.col("cut"))).withColumn("date", F.col("last")), "MISSING_RECENT_DATA", WARNING)
+    return _issues(df.filter(F.col("last").isNull() | (F.col("last") < F.col("cut")))
+        .withColumn("date", F.col("last")), "MISSING_RECENT_DATA", WARNING)
 
 
 def rsi_bounds(features: DataFrame) -> DataFrame:
@@ -94,7 +106,9 @@ def rsi_bounds(features: DataFrame) -> DataFrame:
 
 
 def negative_features(features: DataFrame) -> DataFrame:
-    kinds = {"atr_14": "NEGATIVE_ATR", "atr_pct_14": "NEGATIVE_ATR"} | {f"volume_ratio_{n}d": "NEGATIVE_VOLUME_RATIO" for n in (5, 20, 60)} | {f"volatility_{n}d": "NEGATIVE_VOLATILITY" for n in (10, 20, 60)}
+    kinds = {"atr_14": "NEGATIVE_ATR",
+        "atr_pct_14": "NEGATIVE_ATR"} | {f"volume_ratio_{n}d": "NEGATIVE_VOLUME_RATIO"
+        for n in (5, 20, 60)} | {f"volatility_{n}d": "NEGATIVE_VOLATILITY" for n in (10, 20, 60)}
 
     def kind(c: Column) -> Column:
         return reduce(lambda out, kv: F.when(c == kv[0], kv[1]).otherwise(out), kinds.items(), F.lit(None).cast("string"))
@@ -103,7 +117,8 @@ def negative_features(features: DataFrame) -> DataFrame:
 
 
 def distance_above(features: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    return _where_columns(features, [f"distance_high_{n}d" for n in (20, 60, 252)], lambda c: c > tolerance, "DISTANCE_HIGH_ABOVE_TOLERANCE", WARNING)
+    return _where_columns(features, [f"distance_high_{n}d" for n in (20, 60, 252)], lambda c: c > tolerance,
+        "DISTANCE_HIGH_ABOVE_TOLERANCE", WARNING)
 
 
 def non_finite(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -112,7 +127,8 @@ def non_finite(features: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def below_minus_one(labels: DataFrame) -> DataFrame:
-    return _where_columns(labels, [c for c in LABELS if c.startswith("forward_return")], lambda c: c < -1, "FORWARD_RETURN_BELOW_MINUS_ONE", CRITICAL)
+    return _where_columns(labels, [c for c in LABELS if c.startswith("forward_return")], lambda c: c < -1,
+        "FORWARD_RETURN_BELOW_MINUS_ONE", CRITICAL)
 
 
 def extreme_labels(labels: DataFrame, limit: float = 2.0) -> DataFrame:
@@ -125,11 +141,13 @@ def invalid_adjustment(prices: DataFrame) -> DataFrame:
 
 
 def check_prices(prices: DataFrame, today: str) -> DataFrame:
-    return union([negative_prices(prices), ohlc_consistency(prices), weekend_dates(prices), invalid_dates(prices, today), high_null_ratio(prices), sudden_changes(prices)])
+    return union([negative_prices(prices), ohlc_consistency(prices), weekend_dates(prices), invalid_dates(prices, today),
+        high_null_ratio(prices), sudden_changes(prices)])
 
 
 def check_features(features: DataFrame) -> DataFrame:
-    return union([rsi_bounds(features), negative_features(features), distance_above(features), non_finite(features), duplicate_keys(features, ["security_id", "date", "feature_version"])])
+    return union([rsi_bounds(features), negative_features(features), distance_above(features), non_finite(features),
+        duplicate_keys(features, ["security_id", "date", "feature_version"])])
 
 
 def check_labels(labels: DataFrame) -> DataFrame:
@@ -139,18 +157,23 @@ def check_labels(labels: DataFrame) -> DataFrame:
 def issue_id(dataset: str) -> Column:
     """The first 32 hex digits of the SHA-256 of dataset, security, date and type."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    return F.substring(F.sha2(F.concat_ws("|", F.lit(dataset), text("security_id"), text("date"), text("issue_type")).cast("binary"), 256), 1, 32)
+    return F.substring(F.sha2(F.concat_ws("|", F.lit(dataset), text("security_id"), text("date"), text("issue_type"))
+        .cast("binary"), 256), 1, 32)
 
 
 def upsert_issues(stored: DataFrame, found: DataFrame, dataset: str, at: str) -> DataFrame:
     """Stored issues with ``found`` merged in: new ones open, known ones updated and reopened, others as they were."""
-    new = found.withColumn("issue_id", issue_id(dataset)).groupBy("issue_id").agg(*(F.min(F.struct("details", "severity", "security_id", "date", "issue_type")).getField(c).alias(c) for c in ISSUE))
+    new = found.withColumn("issue_id",
+        issue_id(dataset)).groupBy("issue_id").agg(*(F.min(F.struct("details", "severity", "security_id", "date", "issue_type"))
+            .getField(c).alias(c) for c in ISSUE))
     s, n = stored.alias("s"), new.alias("n")
     hit = F.col("n.issue_id").isNotNull()
     pick = lambda c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
     return s.join(n, F.col("s.issue_id") == F.col("n.issue_id"), "full_outer").select(
-        F.coalesce("s.issue_id", "n.issue_id").alias("issue_id"), F.coalesce("s.dataset", F.lit(dataset)).alias("dataset"), *(pick(c) for c in ISSUE),
-        F.coalesce("s.detected_at", F.lit(at)).alias("detected_at"), F.when(hit, False).otherwise(F.col("s.resolved")).alias("resolved"),
+        F.coalesce("s.issue_id", "n.issue_id").alias("issue_id"), F.coalesce("s.dataset", F.lit(dataset))
+            .alias("dataset"), *(pick(c) for c in ISSUE),
+        F.coalesce("s.detected_at", F.lit(at)).alias("detected_at"), F.when(hit, False).otherwise(F.col("s.resolved"))
+            .alias("resolved"),
     )
 
 
@@ -182,7 +205,8 @@ def scoped(df: DataFrame, scope: DataFrame | list[str] | None) -> DataFrame:
 def severities(issues: DataFrame) -> DataFrame:
     """(issues, critical, warning, info): what a validation reports."""
     of = lambda s: F.count_if(F.col("severity") == s)
-    return issues.agg(F.count("*").alias("issues"), of(CRITICAL).alias("critical"), of(WARNING).alias("warning"), of(INFO).alias("info"))
+    return issues.agg(F.count("*").alias("issues"), of(CRITICAL).alias("critical"), of(WARNING).alias("warning"), of(INFO)
+        .alias("info"))
 
 
 def _with_class(df: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -191,7 +215,8 @@ def _with_class(df: DataFrame, classes: DataFrame, members: DataFrame) -> DataFr
     inside = members.select("security_id").distinct().withColumn("__member", F.lit(True))
     out = df.join(known, "security_id", "left").join(inside, "security_id", "left")
     out = out.withColumn("instrument_class", F.coalesce("instrument_class", F.lit("AMBIGUOUS")))
-    return out.withColumn("in_research", F.col("__member").isNotNull() & (F.col("instrument_class") == "COMMON_EQUITY")).drop("__member")
+    return out.withColumn("in_research", F.col("__member")
+        .isNotNull() & (F.col("instrument_class") == "COMMON_EQUITY")).drop("__member")
 
 
 def ohlc_audit(prices: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -203,8 +228,10 @@ def ohlc_audit(prices: DataFrame, classes: DataFrame, members: DataFrame) -> Dat
     issues = _with_class(ohlc_consistency(prices), classes, members)
     true = F.col("severity") == CRITICAL
     counts = issues.agg(
-        F.count_if(F.col("issue_type") == "OHLC_ROUNDING_TOLERANCE").alias("rounding_only"), F.count_if(true).alias("true_ohlc_violations"),
-        F.count_if(true & F.col("in_research")).alias("research_critical"), F.count_if(true & ~F.col("in_research")).alias("non_common_critical"),
+        F.count_if(F.col("issue_type") == "OHLC_ROUNDING_TOLERANCE").alias("rounding_only"), F.count_if(true)
+            .alias("true_ohlc_violations"),
+        F.count_if(true & F.col("in_research")).alias("research_critical"), F.count_if(true & ~F.col("in_research"))
+            .alias("non_common_critical"),
         F.countDistinct(F.when(true & F.col("in_research"), F.col("security_id"))).alias("research_critical_securities"),
     )
     return prices.agg(F.count("*").alias("rows_checked")).crossJoin(counts)
@@ -217,7 +244,8 @@ EXTREME_MARKET, NON_COMMON, ADJUSTMENT, BAD_DATA, UNEXPLAINED = (
 NEAR_DAYS, ADJUSTED_JUMP, RAW_STABLE = 5, 2.0, 0.5
 
 
-def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame, classes: DataFrame, members: DataFrame, limit: float = 2.0) -> DataFrame:
+def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame, classes: DataFrame, members: DataFrame,
+    limit: float = 2.0) -> DataFrame:
     """One row an extreme label, of all label columns: (security_id, date, horizon, value, instrument_class, near_action, adjusted_jump, cause, in_research).
 
     The cause is the first that holds: not a common equity or fund; the adjusted close jumped
@@ -227,10 +255,12 @@ def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame
     their securities and dates only.
     """
     columns = F.array(*(F.struct(F.lit(c).alias("horizon"), F.col(c).alias("value")) for c in LABELS))
-    rows = labels.select("security_id", "date", F.explode(columns).alias("x")).select("security_id", "date", "x.*").filter(F.abs("value") > limit)
+    rows = labels.select("security_id", "date", F.explode(columns)
+        .alias("x")).select("security_id", "date", "x.*").filter(F.abs("value") > limit)
     days = rows.select("security_id", "date").distinct()
     near = days.join(actions.select("security_id", "effective_date").distinct(), "security_id")
-    near = near.filter(F.abs(F.datediff("date", "effective_date")) <= NEAR_DAYS).select("security_id", "date").distinct().withColumn("__near", F.lit(True))
+    near = near.filter(F.abs(F.datediff("date", "effective_date")) <= NEAR_DAYS).select("security_id",
+        "date").distinct().withColumn("__near", F.lit(True))
     by = Window.partitionBy("security_id").orderBy("date")
     moved = {f"__{n}": change(c, F.lag(c).over(by)) for n, c in (("adj", "adj_close"), ("raw", "close"))}
     complete = F.lit(True)
@@ -238,7 +268,8 @@ def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame
         complete = complete & F.col(c).isNotNull()
     of = prices.join(days.select("security_id").distinct(), "security_id", "left_semi").withColumns(moved)
     split = ~F.coalesce(F.col("stock_split"), F.lit(0.0)).isin(0.0, 1.0)
-    of = of.select("security_id", "date", "__adj", "__raw", split.alias("__split"), (complete & ohlc_valid()).alias("__ok"), F.lit(True).alias("__bar"))
+    of = of.select("security_id", "date", "__adj", "__raw", split.alias("__split"), (complete & ohlc_valid())
+        .alias("__ok"), F.lit(True).alias("__bar"))
     found = rows.join(near, ["security_id", "date"], "left").join(of, ["security_id", "date"], "left")
     found = _with_class(found, classes, members)
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -251,7 +282,8 @@ def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame
         .otherwise(UNEXPLAINED)
     )
     made = found.withColumns({"near_action": near_action, "adjusted_jump": jump, "cause": cause})
-    return made.select("security_id", "date", "horizon", "value", "instrument_class", "near_action", "adjusted_jump", "cause", "in_research")
+    return made.select("security_id", "date", "horizon", "value", "instrument_class", "near_action", "adjusted_jump", "cause",
+        "in_research")
 
 
 def extreme_label_report(audit: DataFrame, k: int = 30) -> dict[str, DataFrame]:
@@ -260,7 +292,8 @@ def extreme_label_report(audit: DataFrame, k: int = 30) -> dict[str, DataFrame]:
     suspect = F.col("in_research") & F.col("cause").isin(ADJUSTMENT, BAD_DATA, UNEXPLAINED)
     ends = ["security_id", "date", "horizon"]
     return {
-        "by_security": count("security_id"), "by_class": count("instrument_class"), "by_horizon": count("horizon"), "by_cause": count("cause"),
+        "by_security": count("security_id"), "by_class": count("instrument_class"), "by_horizon": count("horizon"),
+        "by_cause": count("cause"),
         "by_date": count("date").orderBy(F.col("n").desc(), "date").limit(k), "research_unexplained": audit.filter(suspect),
         "largest_positive": audit.orderBy(F.col("value").desc(), *ends).limit(k),
         "largest_negative": audit.filter(F.col("value") < 0).orderBy("value", *ends).limit(k),

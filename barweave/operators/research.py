@@ -31,13 +31,17 @@ def research_daily(features: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(right, ["security_id", "date"], "left").select(*left.columns, "label_version", *LABELS)
 
 
-def panel(features: DataFrame, labels: DataFrame, members: DataFrame, classes: DataFrame, prices: DataFrame, issues: DataFrame, universe: str, wanted: tuple[str, ...] = ("COMMON_EQUITY",)) -> DataFrame:
+def panel(features: DataFrame, labels: DataFrame, members: DataFrame, classes: DataFrame, prices: DataFrame, issues: DataFrame,
+    universe: str, wanted: tuple[str, ...] = ("COMMON_EQUITY",)) -> DataFrame:
     """The research view: features with labels of a universe's members of the wanted classes, with raw close and a validity flag."""
     inside = members.filter(F.col("universe_name") == universe).select("security_id").distinct()
-    critical = issues.filter((F.col("severity") == "critical") & ~F.col("resolved")).select("security_id", "date").distinct().withColumn("__bad", F.lit(True))
+    critical = issues.filter((F.col("severity") == "critical") & ~F.col("resolved")).select("security_id",
+        "date").distinct().withColumn("__bad", F.lit(True))
     kept = labels.drop("ticker_at_time", "calculated_at", "calculation_code_version")
-    df = features.drop("calculated_at", "calculation_code_version").join(kept, ["security_id", "date"]).join(inside, "security_id", "left_semi")
-    df = df.join(classes.select("security_id", "instrument_class"), "security_id", "left").filter(F.col("instrument_class").isin(*wanted))
+    df = features.drop("calculated_at", "calculation_code_version").join(kept, ["security_id", "date"]).join(inside, "security_id",
+        "left_semi")
+    df = df.join(classes.select("security_id", "instrument_class"), "security_id", "left").filter(F.col("instrument_class")
+        .isin(*wanted))
     df = df.join(prices.select("security_id", "date", F.col("close").alias("raw_close")), ["security_id", "date"], "left")
     return df.join(critical, ["security_id", "date"], "left").withColumn("data_quality_valid", F.col("__bad").isNull()).drop("__bad")
 
@@ -49,20 +53,24 @@ def assign_split(df: DataFrame, development_end: str) -> DataFrame:
 def in_split(df: DataFrame, split: str, start: str, end: str) -> DataFrame:
     """Development: from ``start`` to ``end``; validation: after ``end``."""
     d = F.col("date")
-    return df.filter(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")) if split == "development" else d > F.lit(end).cast("date"))
+    return df.filter(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")) if split == "development" else d > F.lit(end)
+        .cast("date"))
 
 
 def long(df: DataFrame, columns: list[str], name: str, value: str, keep: list[str]) -> DataFrame:
     """One row a column: (keep..., name, value), without nulls."""
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("n"), F.col(c).cast("double").alias("v")) for c in columns)))
-    return df.select(*keep, rows.alias("__x")).select(*keep, F.col("__x.n").alias(name), F.col("__x.v").alias(value)).filter(F.col(value).isNotNull())
+    return df.select(*keep, rows.alias("__x")).select(*keep, F.col("__x.n").alias(name), F.col("__x.v")
+        .alias(value)).filter(F.col(value).isNotNull())
 
 
 def summary(value: str = "value") -> list[Column]:
     """Count, mean, median, deviation, share above zero and plain t of a column."""
     x = F.col(value)
     std = F.stddev_samp(x)
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), std.alias("std"), F.avg((x > 0).cast("double")).alias("positive_ratio"), F.try_divide(F.avg(x), std / F.sqrt(F.count(x))).alias("t_stat")]
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x)
+        .alias("median"), std.alias("std"), F.avg((x > 0).cast("double"))
+            .alias("positive_ratio"), F.try_divide(F.avg(x), std / F.sqrt(F.count(x))).alias("t_stat")]
 
 
 def sample_status(n: Column, dates: Column, rows_needed: int = 1000, dates_needed: int = 100) -> Column:
@@ -72,7 +80,8 @@ def sample_status(n: Column, dates: Column, rows_needed: int = 1000, dates_neede
 def baseline(df: DataFrame, targets: list[str]) -> DataFrame:
     """Statistics of each target over all rows and by year, in one pass by grouping sets; year null: all."""
     rows = long(df, targets, "target", "value", ["date", "security_id"]).withColumn("year", F.year("date"))
-    out = rows.groupingSets([["target"], ["target", "year"]], "target", "year").agg(*summary(), F.countDistinct("date").alias("n_dates"))
+    out = rows.groupingSets([["target"], ["target", "year"]], "target", "year").agg(*summary(), F.countDistinct("date")
+        .alias("n_dates"))
     return out.withColumn("status", sample_status(F.col("n"), F.col("n_dates")))
 
 
@@ -80,7 +89,8 @@ def coverage(df: DataFrame, features: list[str]) -> DataFrame:
     """Nulls, distinct values, extremes and exact nearest-rank quantiles of each feature."""
     total = df.agg(F.count("*").alias("rows"))
     rows = long(df, features, "feature", "value", [])
-    stats = rows.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct"), F.min("value").alias("min"), F.max("value").alias("max"))
+    stats = rows.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct"), F.min("value")
+        .alias("min"), F.max("value").alias("max"))
     names = {f"q{i}": f"p{int(q * 100)}" for i, q in enumerate(PROFILE)}
     quantiles = nearest_quantiles(rows, "value", list(PROFILE), ["feature"]).withColumnsRenamed(names)
     wide = stats.join(quantiles, "feature").join(F.broadcast(total)).withColumn("null_ratio", 1 - div("n", "rows"))
@@ -105,10 +115,12 @@ def clipped(c: str | Column, bounds: tuple[float, float] | None) -> Column:
 
 
 def _per_target(bounds: dict[str, tuple[float, float]], side: int) -> Column:
-    return reduce(lambda out, kv: F.when(F.col("target") == kv[0], F.lit(kv[1][side])).otherwise(out), bounds.items(), F.lit(None).cast("double"))
+    return reduce(lambda out, kv: F.when(F.col("target") == kv[0], F.lit(kv[1][side])).otherwise(out), bounds.items(), F.lit(None)
+        .cast("double"))
 
 
-def quintile_stats(df: DataFrame, features: list[str], targets: list[str], bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def quintile_stats(df: DataFrame, features: list[str], targets: list[str],
+    bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Statistics of each target in each feature's quintiles, with trimmed and winsorised means where bounds are given."""
     rows = with_quintiles(df, features, targets)
     rows = long(rows.drop("value"), targets, "target", "value", ["date", "security_id", "feature", "quintile"])
@@ -116,14 +128,18 @@ def quintile_stats(df: DataFrame, features: list[str], targets: list[str], bound
     low, high = _per_target(bounds, 0), _per_target(bounds, 1)
     inside = (F.col("value") >= F.coalesce(low, F.col("value"))) & (F.col("value") <= F.coalesce(high, F.col("value")))
     winsor = F.least(F.greatest(F.col("value"), F.coalesce(low, F.col("value"))), F.coalesce(high, F.col("value")))
-    extra = [F.avg(F.when(inside, F.col("value"))).alias("trimmed_mean"), F.avg(winsor).alias("winsor_mean"), F.try_divide(F.stddev_samp("value"), F.sqrt(F.count("value"))).alias("std_error"), F.countDistinct("date").alias("n_dates")]
+    extra = [F.avg(F.when(inside, F.col("value"))).alias("trimmed_mean"), F.avg(winsor)
+        .alias("winsor_mean"), F.try_divide(F.stddev_samp("value"), F.sqrt(F.count("value")))
+            .alias("std_error"), F.countDistinct("date").alias("n_dates")]
     return rows.groupBy("feature", "target", "quintile").agg(*summary(), *extra)
 
 
 def spreads(stats: DataFrame) -> DataFrame:
     """Fifth minus first quintile of each feature and target, and how monotone the five means are."""
     pick = lambda c, q: F.max(F.when(F.col("quintile") == q, F.col(c)))
-    return stats.groupBy("feature", "target").agg(*((pick(c, 5) - pick(c, 1)).alias(f"{c}_spread") for c in ("mean", "median", "winsor_mean")), pearson(F.col("quintile").cast("double"), "mean").alias("monotonicity"))
+    return stats.groupBy("feature",
+        "target").agg(*((pick(c, 5) - pick(c, 1)).alias(f"{c}_spread") for c in ("mean", "median", "winsor_mean")),
+        pearson(F.col("quintile").cast("double"), "mean").alias("monotonicity"))
 
 
 def daily_spread(df: DataFrame, features: list[str], target: str, by: list[str] | None = None) -> DataFrame:
@@ -144,7 +160,8 @@ def newey_west(series: DataFrame, value: str, lag: int, by: list[str]) -> DataFr
     d = d.withColumn("__l", F.least(F.lit(max(lag, 1)), F.col("__n") - 1))
     d = d.withColumns({f"__k{k}": F.lag("__d", k).over(order) * F.col("__d") for k in range(1, max(lag, 1) + 1)})
     gammas = [F.sum(f"__k{k}").alias(f"g{k}") for k in range(1, max(lag, 1) + 1)]
-    g = d.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sum(F.col("__d") * F.col("__d")).alias("g0"), F.max("__l").alias("l"), *gammas)
+    g = d.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sum(F.col("__d") * F.col("__d"))
+        .alias("g0"), F.max("__l").alias("l"), *gammas)
     v = F.col("g0")
     for k in range(1, max(lag, 1) + 1):
         v = v + F.when(F.lit(k) <= F.col("l"), 2 * (1 - k / (F.col("l") + 1)) * F.coalesce(F.col(f"g{k}"), F.lit(0.0))).otherwise(0.0)
@@ -156,7 +173,8 @@ def newey_west(series: DataFrame, value: str, lag: int, by: list[str]) -> DataFr
 def overlapping_spread(df: DataFrame, features: list[str], target: str, horizon: int) -> DataFrame:
     """The daily spread series of each feature: mean, median, share above zero, plain and autocorrelation-robust t."""
     series = daily_spread(df, features, target)
-    return series.groupBy("feature").agg(*summary("spread")).join(newey_west(series, "spread", horizon, ["feature"]).select("feature", "nw_t"), "feature")
+    return series.groupBy("feature").agg(*summary("spread")).join(newey_west(series, "spread", horizon, ["feature"])
+        .select("feature", "nw_t"), "feature")
 
 
 def extreme_dates(df: DataFrame, features: list[str], target: str, k: int = 5) -> DataFrame:
@@ -164,7 +182,8 @@ def extreme_dates(df: DataFrame, features: list[str], target: str, k: int = 5) -
     series = daily_spread(df, features, target)
     rank = lambda o: F.row_number().over(Window.partitionBy("feature").orderBy(o, "date"))
     marked = series.withColumn("high", rank(F.col("spread").desc())).withColumn("low", rank(F.col("spread").asc()))
-    return marked.filter((F.col("high") <= k) | (F.col("low") <= k)).select("feature", "date", "spread", F.when(F.col("high") <= k, F.col("high")).alias("high_rank"), F.when(F.col("low") <= k, F.col("low")).alias("low_rank"))
+    return marked.filter((F.col("high") <= k) | (F.col("low") <= k)).select("feature", "date", "spread",
+        F.when(F.col("high") <= k, F.col("high")).alias("high_rank"), F.when(F.col("low") <= k, F.col("low")).alias("low_rank"))
 
 
 def ic_by_date(df: DataFrame, features: list[str], target: str, by: list[str] | None = None) -> DataFrame:
@@ -181,7 +200,9 @@ def rank_ic(df: DataFrame, features: list[str], target: str, by: list[str] | Non
     by = by or []
     x = F.col("ic")
     days = ic_by_date(df, features, target, by).filter(x.isNotNull())
-    return days.groupBy(*by, "feature").agg(F.count(x).alias("n_dates"), F.avg(x).alias("mean_ic"), F.median(x).alias("median_ic"), F.stddev_samp(x).alias("std_ic"), F.try_divide(F.avg(x), F.stddev_samp(x)).alias("ic_ir"), F.avg((x > 0).cast("double")).alias("positive_ratio"))
+    return days.groupBy(*by, "feature").agg(F.count(x).alias("n_dates"), F.avg(x).alias("mean_ic"), F.median(x)
+        .alias("median_ic"), F.stddev_samp(x).alias("std_ic"), F.try_divide(F.avg(x), F.stddev_samp(x))
+            .alias("ic_ir"), F.avg((x > 0).cast("double")).alias("positive_ratio"))
 
 
 def redundancy(df: DataFrame, features: list[str], limit: float = 0.95) -> DataFrame:
@@ -190,7 +211,8 @@ def redundancy(df: DataFrame, features: list[str], limit: float = 0.95) -> DataF
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     daily = ranked.groupBy("date").agg(*(pearson(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     means = daily.agg(*(F.avg(f"p{i}").alias(f"p{i}") for i in range(len(pairs))))
-    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{i}").alias("mean_corr")) for i, (a, b) in enumerate(pairs)]
+    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{i}").alias("mean_corr"))
+        for i, (a, b) in enumerate(pairs)]
     rows += [F.struct(F.lit(a).alias("feature_a"), F.lit(a).alias("feature_b"), F.lit(1.0).alias("mean_corr")) for a in features]
     out = means.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return out.withColumn("redundant", (F.col("feature_a") != F.col("feature_b")) & (F.abs("mean_corr") >= limit))
@@ -206,14 +228,17 @@ def with_regimes(df: DataFrame, terciles: tuple[float | None, float | None]) ->
     """spy_regime (a missing distance counts as below) and vix_regime (missing stays null)."""
     low, high = terciles
     v = F.col("vix_close")
-    vix = F.when(v.isNull(), None).when(v <= low, "vix_low").when(v <= high, "vix_medium").otherwise("vix_high") if low is not None else F.lit(None).cast("string")
-    return df.withColumns({"spy_regime": F.when(F.col("spy_ma200_distance") > 0, "spy_above_ma200").otherwise("spy_below_ma200"), "vix_regime": vix})
+    vix = F.when(v.isNull(), None).when(v <= low, "vix_low").when(v <= high,
+        "vix_medium").otherwise("vix_high") if low is not None else F.lit(None).cast("string")
+    return df.withColumns({"spy_regime": F.when(F.col("spy_ma200_distance") > 0, "spy_above_ma200")
+        .otherwise("spy_below_ma200"), "vix_regime": vix})
 
 
 def regime_stats(df: DataFrame, targets: list[str]) -> DataFrame:
     """Statistics of each target by regime of either kind."""
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("regime")) for k in ("spy_regime", "vix_regime"))))
-    rows = long(df.withColumn("__r", kinds), targets, "target", "value", ["__r"]).select("__r.kind", "__r.regime", "target", "value").filter(F.col("regime").isNotNull())
+    rows = long(df.withColumn("__r", kinds), targets, "target", "value", ["__r"]).select("__r.kind", "__r.regime", "target",
+        "value").filter(F.col("regime").isNotNull())
     return rows.groupBy("kind", "regime", "target").agg(*summary())
 
 
@@ -244,12 +269,15 @@ def with_subsets(df: DataFrame) -> DataFrame:
 def overlay(df: DataFrame, features: list[str], target: str) -> dict[str, DataFrame]:
     """Size, baseline, rank IC and spread by price subset."""
     rows = with_subsets(df)
-    sizes = rows.groupBy("price_subset").agg(F.count("*").alias("n"), F.countDistinct("security_id").alias("n_securities"), F.countDistinct("date").alias("n_dates"))
+    sizes = rows.groupBy("price_subset").agg(F.count("*").alias("n"), F.countDistinct("security_id")
+        .alias("n_securities"), F.countDistinct("date").alias("n_dates"))
     base = rows.filter(F.col(target).isNotNull()).groupBy("price_subset").agg(*summary(target))
     ranks = rows.filter(F.col(target).isNotNull())
-    spread = long(rows, features, "feature", "value", ["price_subset", "date", "security_id", target]).withColumn("quintile", quintile("value", ["price_subset", "date", "feature"])).filter(F.col(target).isNotNull())
+    spread = long(rows, features, "feature", "value", ["price_subset", "date", "security_id", target]).withColumn("quintile",
+        quintile("value", ["price_subset", "date", "feature"])).filter(F.col(target).isNotNull())
     side = lambda q: F.avg(F.when(F.col("quintile") == q, F.col(target)))
-    return {"sizes": sizes, "baseline": base, "ic": rank_ic(ranks, features, target, ["price_subset"]), "spread": spread.groupBy("price_subset", "feature").agg((side(5) - side(1)).alias("mean_spread"))}
+    return {"sizes": sizes, "baseline": base, "ic": rank_ic(ranks, features, target, ["price_subset"]),
+        "spread": spread.groupBy("price_subset", "feature").agg((side(5) - side(1)).alias("mean_spread"))}
 
 
 def _by_bucket(rows: DataFrame, name: str) -> DataFrame:
@@ -269,8 +297,10 @@ def low_price_concentration(df: DataFrame, target: str) -> DataFrame:
     rows = df.filter(F.col(target).isNotNull()).withColumn("bucket", F.coalesce(price_bucket(), F.lit("unknown")))
     rows = rows.select("security_id", "date", "bucket", target)
     total = rows.count()
-    tails = {name: top_rows(rows, target, max(1, round(total * f)), ["security_id", "date"]) for name, f in (("top_1pct", 0.01), ("top_01pct", 0.001))}
-    parts = [_by_bucket(rows, "rows"), _by_bucket(rows.filter(F.abs(F.col(target)) > 2), "above_2"), *(_by_bucket(x, n) for n, x in tails.items())]
+    tails = {name: top_rows(rows, target, max(1, round(total * f)), ["security_id", "date"])
+        for name, f in (("top_1pct", 0.01), ("top_01pct", 0.001))}
+    parts = [_by_bucket(rows, "rows"), _by_bucket(rows.filter(F.abs(F.col(target)) > 2), "above_2"),
+        *(_by_bucket(x, n) for n, x in tails.items())]
     out = reduce(DataFrame.unionByName, parts)
     out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("table")))
     for name, x in tails.items():
@@ -290,13 +320,15 @@ def horizon(target: Column) -> Column:
 
 def _robust(rows: DataFrame, by: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Statistics of (by..., target, value, excess, date): plain, trimmed and winsorised means, exact nearest quartiles, shares above zero."""
-    low, high = _per_target(bounds, 0) if bounds else F.lit(None).cast("double"), _per_target(bounds, 1) if bounds else F.lit(None).cast("double")
+    low, high = _per_target(bounds, 0) if bounds else F.lit(None).cast("double"), _per_target(bounds,
+        1) if bounds else F.lit(None).cast("double")
     v, bounded = F.col("value"), low.isNotNull()
     inside = F.when(bounded & (v >= low) & (v <= high), v)
     winsor = F.when(bounded, F.least(F.greatest(v, low), high))
     keys = [*by, "target"]
     flat = rows.groupBy(*keys).agg(
-        F.count("*").alias("sample_count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.avg(inside).alias("trimmed_mean_1pct"),
+        F.count("*").alias("sample_count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.avg(inside)
+            .alias("trimmed_mean_1pct"),
         F.avg(winsor).alias("winsorized_mean_1pct"), F.avg((v > 0).cast("double")).alias("positive_ratio"),
         F.avg((F.col("excess") > 0).cast("double")).alias("excess_positive_ratio"), F.stddev_samp(v).alias("std"),
         F.try_divide(F.avg(v), F.stddev_samp(v) / F.sqrt(F.count(v))).alias("tstat"),
@@ -341,7 +373,8 @@ def robust_spreads(quantiles: DataFrame) -> DataFrame:
 def feature_summary(ic_dev: DataFrame, ic_val: DataFrame, nw_dev: DataFrame, nw_val: DataFrame, spread_dev: DataFrame) -> DataFrame:
     """One row a feature: development and validation IC, robust t and median spread."""
     name = lambda df, c, a: df.select("feature", F.col(c).alias(a))
-    parts = [name(ic_dev, "mean_ic", "dev_ic"), name(ic_val, "mean_ic", "val_ic"), name(nw_dev, "nw_t", "dev_nw_t"), name(nw_val, "nw_t", "val_nw_t"), name(spread_dev, "median_spread", "dev_median_spread")]
+    parts = [name(ic_dev, "mean_ic", "dev_ic"), name(ic_val, "mean_ic", "val_ic"), name(nw_dev, "nw_t", "dev_nw_t"),
+        name(nw_val, "nw_t", "val_nw_t"), name(spread_dev, "median_spread", "dev_median_spread")]
     return reduce(lambda a, b: a.join(b, "feature", "left"), parts)
 
 
@@ -351,7 +384,9 @@ def reconcile(prices: DataFrame, features: DataFrame, labels: DataFrame) -> Data
     mark = lambda df, c: df.select(*keys).distinct().withColumn(c, F.lit(True))
     every = mark(prices, "p").join(mark(features, "f"), keys, "full_outer").join(mark(labels, "l"), keys, "full_outer")
     has = {c: F.col(c).isNotNull() for c in "pfl"}
-    bucket = F.when(has["p"] & has["f"] & has["l"], "all_three").when(has["p"] & has["f"], "price_feature").when(has["p"] & has["l"], "price_label").when(has["f"] & has["l"], "feature_label").when(has["p"], "price_only").when(has["f"], "feature_only").otherwise("label_only")
+    bucket = F.when(has["p"] & has["f"] & has["l"], "all_three").when(has["p"] & has["f"], "price_feature").when(has["p"] & has["l"],
+        "price_label").when(has["f"] & has["l"], "feature_label").when(has["p"], "price_only").when(has["f"],
+        "feature_only").otherwise("label_only")
     return every.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -362,7 +397,8 @@ def reconcile_securities(prices: DataFrame, features: DataFrame, labels: DataFra
     those whose counts differ, as row_count_mismatch.
     """
     count = lambda df, c: df.groupBy("security_id").agg(F.count("*").alias(c))
-    every = count(prices, "p").join(count(features, "f"), "security_id", "full_outer").join(count(labels, "l"), "security_id", "full_outer")
+    every = count(prices, "p").join(count(features, "f"), "security_id", "full_outer").join(count(labels, "l"), "security_id",
+        "full_outer")
     has = [F.col(c).isNotNull() for c in "pfl"]
     there = sum(x.cast("int") for x in has)
     only = F.when(has[0], "price_only").when(has[1], "feature_only").otherwise("label_only")
@@ -378,12 +414,14 @@ def price_feature_recon(prices: DataFrame, features: DataFrame, tracked: DataFra
     marked = prices.select(*keys).join(features.select(*keys).distinct().withColumn("f", F.lit(True)), keys, "left")
     marked = marked.join(tracked.select("security_id").distinct().withColumn("t", F.lit(True)), "security_id", "left")
     missing = F.col("f").isNull()
-    return marked.agg(F.count_if(~missing).alias("matched"), F.count_if(missing & F.col("t").isNull()).alias("expected_missing"), F.count_if(missing & F.col("t").isNotNull()).alias("unexpected_missing"))
+    return marked.agg(F.count_if(~missing).alias("matched"), F.count_if(missing & F.col("t").isNull())
+        .alias("expected_missing"), F.count_if(missing & F.col("t").isNotNull()).alias("unexpected_missing"))
 
 
 def missing_examples(prices: DataFrame, features: DataFrame, tracked: DataFrame, n: int = 20) -> DataFrame:
     """The first n price rows without a feature row of securities that should have one."""
-    return missing_identity(prices, features).join(tracked.select("security_id").distinct(), "security_id", "left_semi").orderBy("security_id", "date").limit(n)
+    return missing_identity(prices, features).join(tracked.select("security_id")
+        .distinct(), "security_id", "left_semi").orderBy("security_id", "date").limit(n)
 
 
 def missing_identity(prices: DataFrame, features: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .operators import calendar, classify, features, labels, quality, research
 from .oracles import indicator_sql
 from .queries import (
-    DEV_END, DEV_START, FEATURES, NEAREST, ODD_SQL, SEC_SQL, TARGETS, W, _bars, _features, _labels, _light, _odd_bars, _r, _securities, query,
+    DEV_END, DEV_START, FEATURES, NEAREST, ODD_SQL, SEC_SQL, TARGETS, W, _bars, _features, _labels, _light, _odd_bars, _r,
+        _securities, query,
 )
 from .sources import catalog, lake, providers
 
@@ -18,7 +19,8 @@ DEV = f"date BETWEEN DATE '{DEV_START}' AND DATE '{DEV_END}'"
 
 
 def _g(f: str, c: str, n: int) -> str:
-    return f"(CASE WHEN count({c}) OVER (PARTITION BY security_id ORDER BY date ROWS {n - 1} PRECEDING) = {n} THEN {f}({c}) OVER (PARTITION BY security_id ORDER BY date ROWS {n - 1} PRECEDING) END)"
+    return (f"(CASE WHEN count({c}) OVER (PARTITION BY security_id ORDER BY date ROWS {n - 1} PRECEDING) = {n} THEN {f}({c}) OVER "
+        f"(PARTITION BY security_id ORDER BY date ROWS {n - 1} PRECEDING) END)")
 
 
 def _before(c: str, n: int) -> str:
@@ -38,7 +40,8 @@ def _market_sql(name: str, where: str) -> str:
     """{name}f: returns and distance from the mean of 200 of a market series."""
     made = ", ".join(f"a / lag(a, {n}) OVER (ORDER BY date) - 1 AS {name}_ret_{n}d" for n in features.RELATIVE)
     mean = "CASE WHEN count(a) OVER (ORDER BY date ROWS 199 PRECEDING) = 200 THEN avg(a) OVER (ORDER BY date ROWS 199 PRECEDING) END"
-    return f"""{name}0 AS (SELECT date, arg_max(q, (k, n, q)) * (1 - 0.02::DOUBLE * (2001 - year(date))) AS a FROM raw {where} GROUP BY date),
+    return f"""{name}0 AS (SELECT date, arg_max(q, (k, n, q)) * (1 - 0.02::DOUBLE * (2001 - year(date))) AS a FROM raw {where} GROUP
+BY date),
 {name}f AS (SELECT date, {made}, a / ({mean}) - 1 AS {name}_ma200_distance FROM {name}0)"""
 
 
@@ -47,28 +50,35 @@ def features_sql() -> str:
     lag = lambda c, n=1: f"(lag({c}, {n}) OVER {W})"
     one = {f"ret_{n}d": f"ac / {lag('ac', n)} - 1" for n in features.RETURNS} | {f"m{n}": _g("avg", "ac", n) for n in features.MEANS}
     one |= {f"volume_ratio_{n}d": f"volume / {_before('volume', n)}" for n in features.VOLUMES}
-    one |= {f"distance_{s}_{n}d": f"ac / {_g(f, c, n)} - 1" for s, f, c in (("high", "max", "ah"), ("low", "min", "al")) for n in features.RANGES}
+    one |= {f"distance_{s}_{n}d": f"ac / {_g(f, c, n)} - 1" for s, f, c in (("high", "max", "ah"), ("low", "min", "al"))
+        for n in features.RANGES}
     one |= {"gap_return": f"ao / {lag('ac')} - 1", "intraday_return": "ac / ao - 1", "daily_range_pct": "(ah - al) / ac"}
     one |= {"upper_wick_pct": "(ah - greatest(ao, ac)) / ac", "lower_wick_pct": "(least(ao, ac) - al) / ac", "ok": _VALID}
-    two = {f"ma_{n}_distance": f"ac / m{n} - 1" for n in features.MEANS} | {f"ma_{n}_slope": f"m{n} / {lag(f'm{n}', 5)} - 1" for n in features.SLOPES}
+    two = {f"ma_{n}_distance": f"ac / m{n} - 1" for n in features.MEANS} | {f"ma_{n}_slope": f"m{n} / {lag(f'm{n}', 5)} - 1"
+        for n in features.SLOPES}
     two |= {f"volatility_{n}d": _g("stddev_samp", "ret_1d", n) for n in features.SPREADS}
     listed = lambda xs: ", ".join(f"{e} AS {n}" for n, e in xs.items())
     three = {f"rel_{b}_{n}d": f"ret_{n}d - {b}_ret_{n}d" for b in ("spy", "qqq") for n in features.RELATIVE}
     three |= {f"rel_sector_{n}d": "CAST(NULL AS DOUBLE)" for n in features.RELATIVE} | {"atr_pct_14": "atr_14 / ac"}
-    vix = "vx AS (SELECT date, close AS vix_close, close / lag(close, 5) OVER (ORDER BY date) - 1 AS vix_change_5d, close / lag(close, 20) OVER (ORDER BY date) - 1 AS vix_change_20d FROM vix)"
+    vix = ("vx AS (SELECT date, close AS vix_close, close / lag(close, 5) OVER (ORDER BY date) - 1 AS vix_change_5d, close / "
+        "lag(close, 20) OVER (ORDER BY date) - 1 AS vix_change_20d FROM vix)")
     shown = ", ".join(f"CASE WHEN ok THEN {c} END AS {c}" if c in features.OHLC_DEPENDENT else c for c in features.VALUES)
-    return f"""rsi AS MATERIALIZED ({indicator_sql.table('rsi')}), atr AS MATERIALIZED ({indicator_sql.table('atr')}), {_market_sql('spy', '')}, {_market_sql('qqq', "WHERE status = 'O'")}, {vix},
+    return f"""rsi AS MATERIALIZED ({indicator_sql.table('rsi')}), atr AS MATERIALIZED ({indicator_sql.table('atr')}),
+{_market_sql('spy', '')}, {_market_sql('qqq', "WHERE status = 'O'")}, {vix},
 w1 AS (SELECT *, {listed(one)} FROM adj), w2 AS (SELECT *, {listed(two)} FROM w1),
-w3 AS (SELECT w2.*, rsi.rsi_14, atr.atr_14, spyf.* EXCLUDE (date), qqqf.* EXCLUDE (date), vx.* EXCLUDE (date) FROM w2 JOIN rsi USING (security_id, date) JOIN atr USING (security_id, date)
+w3 AS (SELECT w2.*, rsi.rsi_14, atr.atr_14, spyf.* EXCLUDE (date), qqqf.* EXCLUDE (date), vx.* EXCLUDE (date) FROM w2 JOIN rsi USING
+(security_id, date) JOIN atr USING (security_id, date)
   LEFT JOIN spyf USING (date) LEFT JOIN qqqf USING (date) LEFT JOIN vx USING (date)), w4 AS (SELECT *, {listed(three)} FROM w3),
-ff AS MATERIALIZED (SELECT security_id, ticker_at_time, date, 'v1' AS feature_version, '1' AS calculation_code_version, {shown} FROM w4)"""
+ff AS MATERIALIZED (SELECT security_id, ticker_at_time, date, 'v1' AS feature_version, '1' AS calculation_code_version, {shown} FROM
+w4)"""
 
 
 def labels_sql() -> str:
     """ll: the 16 labels of every bar."""
     ahead = lambda f, n: f"(CASE WHEN count(ac) OVER (PARTITION BY security_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) = {n} THEN {f}(ac) OVER (PARTITION BY security_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) END)"
     own = {f"forward_return_{h}d": f"lead(ac, {h}) OVER {W} / ac - 1" for h in labels.HORIZONS}
-    own |= {f"max_gain_next_{h}d": f"{ahead('max', h)} / ac - 1" for h in labels.PATHS} | {f"max_drawdown_next_{h}d": f"{ahead('min', h)} / ac - 1" for h in labels.PATHS}
+    own |= {f"max_gain_next_{h}d": f"{ahead('max', h)} / ac - 1"
+        for h in labels.PATHS} | {f"max_drawdown_next_{h}d": f"{ahead('min', h)} / ac - 1" for h in labels.PATHS}
     market = ", ".join(f"lead(adj_close, {h}) OVER (ORDER BY date) / adj_close - 1 AS m{h}" for h in labels.HORIZONS)
     excess = ", ".join(f"forward_return_{h}d - m{h} AS forward_excess_spy_{h}d" for h in labels.HORIZONS)
     listed = ", ".join(f"{e} AS {n}" for n, e in own.items())
@@ -98,7 +108,9 @@ def _thin(df: DataFrame) -> DataFrame:
 _SOME = ["ret_20d", "rsi_14", "forward_return_20d"]
 
 
-@query(f"{FF}, {labels_sql()} SELECT f.security_id, f.ticker_at_time AS ticker, f.date, f.feature_version, l.label_version, {_r('ret_20d', 'rsi_14', 'forward_return_20d')} FROM ff f LEFT JOIN (SELECT * FROM ll WHERE month(date) <> 12) l USING (security_id, date)")
+@query(f"{FF}, {labels_sql()} SELECT f.security_id, f.ticker_at_time AS ticker, f.date, f.feature_version, l.label_version, "
+    f"{_r('ret_20d', 'rsi_14', 'forward_return_20d')} FROM ff f LEFT JOIN (SELECT * FROM ll WHERE month(date) <> 12) l USING "
+    f"(security_id, date)")
 def research_daily(spark, d):
     """Features with labels where there are any."""
     df = research.research_daily(_features(spark, d), _thin(_labels(spark, d)))
@@ -106,21 +118,26 @@ def research_daily(spark, d):
 
 
 CLASS_SQL = """, cl AS (SELECT security_id, primary_ticker AS ticker, CASE
- WHEN regexp_matches(company_name, '(?i)000000009$') THEN ['CLOSED_END_FUND', 'SEC_REGISTRANT_TYPE', 'high', 'registered_investment_company_registrant_name']
+ WHEN regexp_matches(company_name, '(?i)000000009$') THEN ['CLOSED_END_FUND', 'SEC_REGISTRANT_TYPE', 'high',
+'registered_investment_company_registrant_name']
  WHEN regexp_matches(primary_ticker, '-P[A-Z]?$') THEN ['PREFERRED', 'ticker_suffix_heuristic', 'high', 'preferred_share_suffix']
  WHEN regexp_matches(primary_ticker, '^[A-Z]{1,5}-[A-C]$') THEN ['COMMON_EQUITY', 'ticker_suffix_heuristic', 'medium', NULL]
- WHEN regexp_matches(primary_ticker, '^[A-Z]{4}W$') THEN ['AMBIGUOUS', 'ticker_suffix_heuristic', 'low', 'possible_warrant_fifth_letter_w']
- WHEN regexp_matches(primary_ticker, '^[A-Z][A-Z0-9]{0,4}$') AND (exchange IS NULL OR exchange = 'NYSE') THEN ['COMMON_EQUITY', 'simple_us_ticker', 'medium', NULL]
+ WHEN regexp_matches(primary_ticker, '^[A-Z]{4}W$') THEN ['AMBIGUOUS', 'ticker_suffix_heuristic', 'low',
+'possible_warrant_fifth_letter_w']
+ WHEN regexp_matches(primary_ticker, '^[A-Z][A-Z0-9]{0,4}$') AND (exchange IS NULL OR exchange = 'NYSE') THEN ['COMMON_EQUITY',
+'simple_us_ticker', 'medium', NULL]
  ELSE ['AMBIGUOUS', 'simple_us_ticker', 'low', 'unrecognized_ticker_pattern'] END AS x FROM sec)"""
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes of the securities, some named like closed funds."""
-    named = F.when(F.col("company_name").endswith("000000009"), F.concat("company_name", F.lit(" Municipal Income Trust"))).otherwise(F.col("company_name"))
+    named = F.when(F.col("company_name")
+        .endswith("000000009"), F.concat("company_name", F.lit(" Municipal Income Trust"))).otherwise(F.col("company_name"))
     return classify.classify(_securities(spark, d).withColumn("company_name", named))
 
 
-@query(SEC_SQL + CLASS_SQL + " SELECT security_id, ticker, x[1] AS instrument_class, x[2] AS source, x[3] AS confidence, x[4] AS exclusion_reason FROM cl")
+@query(SEC_SQL + CLASS_SQL + " SELECT security_id, ticker, x[1] AS instrument_class, x[2] AS source, x[3] AS confidence, x[4] AS "
+    "exclusion_reason FROM cl")
 def classify_instruments(spark, d):
     """Instrument classes by the ordered chain, with their reasons."""
     return _classes(spark, d)
@@ -128,23 +145,32 @@ def classify_instruments(spark, d):
 
 #: Securities of every branch that the fixture has none of: (id, ticker, exchange, name, title, entity, form, class, reason).
 _BRANCHES = [
-    ("a", "spy", "NYSE", "x", None, None, None, "ETF", "benchmark_or_sector_etf"), ("b", "KMPB", "NYSE", "x", None, None, None, "DEBT", "junior_subordinated_debenture"),
-    ("c", "ABC", "NYSE", "x", "6% Senior Notes due 2030", None, None, "DEBT", "debt_security_title"), ("d", "ABC", "NYSE", "x", None, None, "n-2", "CLOSED_END_FUND", "investment_company_sec_forms"),
-    ("e", "ABC", "NYSE", "x", None, None, "N-1A", "FUND", "investment_company_sec_forms"), ("f", "ABC", "NYSE", "x", None, None, "N-CSR", "CLOSED_END_FUND", "investment_company_sec_forms"),
+    ("a", "spy", "NYSE", "x", None, None, None, "ETF", "benchmark_or_sector_etf"),
+        ("b", "KMPB", "NYSE", "x", None, None, None, "DEBT", "junior_subordinated_debenture"),
+    ("c", "ABC", "NYSE", "x", "6% Senior Notes due 2030", None, None, "DEBT", "debt_security_title"),
+        ("d", "ABC", "NYSE", "x", None, None, "n-2", "CLOSED_END_FUND", "investment_company_sec_forms"),
+    ("e", "ABC", "NYSE", "x", None, None, "N-1A", "FUND", "investment_company_sec_forms"),
+        ("f", "ABC", "NYSE", "x", None, None, "N-CSR", "CLOSED_END_FUND", "investment_company_sec_forms"),
     ("g", "ABC", "NYSE", "Some Bond Trust", None, "Other", None, "CLOSED_END_FUND", "sec_entity_type_investment_company"),
     ("h", "ABC", "NYSE", "Closed End Co", None, None, "10-K", "CLOSED_END_FUND", "registered_investment_company_registrant_name"),
-    ("i", "AB-WT", "NYSE", "x", None, None, None, "WARRANT", "warrant_suffix"), ("j", "AB-R", "NYSE", "x", None, None, None, "RIGHT", "right_suffix"),
-    ("k", "AB-UN", "NYSE", "x", None, None, None, "UNIT", "unit_suffix"), ("l", "ABCDU", "NYSE", "x", None, None, None, "AMBIGUOUS", "possible_unit_fifth_letter_u"),
-    ("m", "ABCDR", "NYSE", "x", None, None, None, "AMBIGUOUS", "possible_right_fifth_letter_r"), ("n", None, "NYSE", "x", None, None, None, "AMBIGUOUS", "missing_ticker"),
-    ("o", "ABC", "OTC", "x", None, None, None, "AMBIGUOUS", "unrecognized_ticker_pattern"), ("p", "ABC", None, "x", None, None, None, "COMMON_EQUITY", None),
+    ("i", "AB-WT", "NYSE", "x", None, None, None, "WARRANT", "warrant_suffix"),
+        ("j", "AB-R", "NYSE", "x", None, None, None, "RIGHT", "right_suffix"),
+    ("k", "AB-UN", "NYSE", "x", None, None, None, "UNIT", "unit_suffix"),
+        ("l", "ABCDU", "NYSE", "x", None, None, None, "AMBIGUOUS", "possible_unit_fifth_letter_u"),
+    ("m", "ABCDR", "NYSE", "x", None, None, None, "AMBIGUOUS", "possible_right_fifth_letter_r"),
+        ("n", None, "NYSE", "x", None, None, None, "AMBIGUOUS", "missing_ticker"),
+    ("o", "ABC", "OTC", "x", None, None, None, "AMBIGUOUS", "unrecognized_ticker_pattern"),
+        ("p", "ABC", None, "x", None, None, None, "COMMON_EQUITY", None),
 ]
-_BRANCH_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{b[0]}', '{b[7]}', {f"'{b[8]}'" if b[8] else 'NULL'})" for b in _BRANCHES) + ") t(security_id, instrument_class, exclusion_reason)"
+_BRANCH_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{b[0]}', '{b[7]}', {f"'{b[8]}'" if b[8] else 'NULL'})"
+    for b in _BRANCHES) + ") t(security_id, instrument_class, exclusion_reason)"
 
 
 @query(_BRANCH_SQL, bars=False)
 def classify_branches(spark, d):
     """One security of every branch of the chain."""
-    rows = spark.createDataFrame([b[:6] for b in _BRANCHES], "security_id string, primary_ticker string, exchange string, company_name string, security_title string, entity_type string")
+    rows = spark.createDataFrame([b[:6] for b in _BRANCHES],
+        "security_id string, primary_ticker string, exchange string, company_name string, security_title string, entity_type string")
     forms = spark.createDataFrame([(b[0], b[6]) for b in _BRANCHES if b[6]], "security_id string, form_type string")
     return classify.classify(rows, forms).select("security_id", "instrument_class", "exclusion_reason")
 
@@ -156,19 +182,26 @@ def _odd_features(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows with planted faults, by the date's day."""
     day, df = F.dayofmonth("date"), _features(spark, d)
     return df.withColumns({
-        "rsi_14": F.when(day == 3, 101.0).otherwise(F.col("rsi_14")), "atr_14": F.when(day == 4, -F.col("atr_14")).otherwise(F.col("atr_14")),
-        "volume_ratio_5d": F.when(day == 5, -1.0).otherwise(F.col("volume_ratio_5d")), "volatility_20d": F.when(day == 6, -F.col("volatility_20d")).otherwise(F.col("volatility_20d")),
-        "distance_high_20d": F.when(day == 7, 0.02).otherwise(F.col("distance_high_20d")), "ret_1d": F.when(day == 8, float("inf")).when(day == 9, float("nan")).otherwise(F.col("ret_1d")),
+        "rsi_14": F.when(day == 3, 101.0).otherwise(F.col("rsi_14")), "atr_14": F.when(day == 4, -F.col("atr_14"))
+        .otherwise(F.col("atr_14")),
+        "volume_ratio_5d": F.when(day == 5, -1.0)
+        .otherwise(F.col("volume_ratio_5d")), "volatility_20d": F.when(day == 6, -F.col("volatility_20d"))
+            .otherwise(F.col("volatility_20d")),
+        "distance_high_20d": F.when(day == 7, 0.02).otherwise(F.col("distance_high_20d")), "ret_1d": F.when(day == 8, float("inf"))
+        .when(day == 9, float("nan")).otherwise(F.col("ret_1d")),
     })
 
 
 def _issue(kind: str, severity: str, details: str, where: str, table: str = "ff") -> str:
-    return f"SELECT security_id, date, '{kind}' AS issue_type, '{severity}' AS severity, '{details}' AS details FROM {table} WHERE {where}"
+    return (f"SELECT security_id, date, '{kind}' AS issue_type, '{severity}' AS severity, '{details}' AS details FROM {table} WHERE "
+        f"{where}")
 
 
 _FEATURE_ISSUES = {
     "rsi": _issue("RSI_OUT_OF_BOUNDS", "critical", "", "day(date) = 3"),
-    "negative": " UNION ALL ".join([_issue("NEGATIVE_ATR", "critical", "atr_14", "day(date) = 4 AND atr_14 > 0"), _issue("NEGATIVE_VOLUME_RATIO", "critical", "volume_ratio_5d", "day(date) = 5"), _issue("NEGATIVE_VOLATILITY", "critical", "volatility_20d", "day(date) = 6 AND volatility_20d > 0")]),
+    "negative": " UNION ALL ".join([_issue("NEGATIVE_ATR", "critical", "atr_14", "day(date) = 4 AND atr_14 > 0"),
+    _issue("NEGATIVE_VOLUME_RATIO", "critical", "volume_ratio_5d", "day(date) = 5"),
+        _issue("NEGATIVE_VOLATILITY", "critical", "volatility_20d", "day(date) = 6 AND volatility_20d > 0")]),
     "distance": _issue("DISTANCE_HIGH_ABOVE_TOLERANCE", "warning", "distance_high_20d", "day(date) = 7"),
     "finite": _issue("NON_FINITE_FEATURE", "critical", "ret_1d", "day(date) IN (8, 9)"),
 }
@@ -198,7 +231,8 @@ def dq_non_finite(spark, d):
     return quality.non_finite(_odd_features(spark, d))
 
 
-@query(f"{FF}, iss AS ({' UNION ALL '.join(_FEATURE_ISSUES.values())}) SELECT count(*) AS issues, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM iss")
+@query(f"{FF}, iss AS ({' UNION ALL '.join(_FEATURE_ISSUES.values())}) SELECT count(*) AS issues, count(*) FILTER (severity = "
+    f"'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM iss")
 def validate_features(spark, d):
     """All feature rules together."""
     return quality.severities(quality.check_features(_odd_features(spark, d)))
@@ -209,7 +243,8 @@ def _odd_labels(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).withColumn("forward_return_5d", low)
 
 
-_EXTREME = " UNION ALL ".join(f"SELECT security_id, date, '{c}' AS horizon, {c} AS value FROM ll WHERE abs({c}) > 2" for c in labels.VALUES)
+_EXTREME = " UNION ALL ".join(f"SELECT security_id, date, '{c}' AS horizon, {c} AS value FROM ll WHERE abs({c}) > 2"
+    for c in labels.VALUES)
 
 
 @query(LL + f" {_issue('FORWARD_RETURN_BELOW_MINUS_ONE', 'critical', 'forward_return_5d', 'day(date) = 3', 'll')}")
@@ -218,7 +253,8 @@ def dq_below_minus_one(spark, d):
     return quality.below_minus_one(_odd_labels(spark, d))
 
 
-@query(LL + f", x AS ({_EXTREME}) SELECT security_id, date, 'EXTREME_LABEL' AS issue_type, 'warning' AS severity, horizon AS details FROM x")
+@query(LL + f", x AS ({_EXTREME}) SELECT security_id, date, 'EXTREME_LABEL' AS issue_type, 'warning' AS severity, horizon AS details "
+    f"FROM x")
 def dq_extreme_labels(spark, d):
     """Outcomes beyond 200 %, of all label columns."""
     return quality.extreme_labels(_labels(spark, d))
@@ -230,13 +266,18 @@ def validate_labels(spark, d):
     return quality.severities(quality.check_labels(_labels(spark, d)))
 
 
-@query(ODD_SQL + " SELECT security_id, date, 'ADJUSTMENT_FACTOR_INVALID' AS issue_type, 'warning' AS severity, '' AS details FROM odd WHERE close IS NULL OR close = 0 OR adj_close = 0")
+@query(ODD_SQL + " SELECT security_id, date, 'ADJUSTMENT_FACTOR_INVALID' AS issue_type, 'warning' AS severity, '' AS details FROM "
+    "odd WHERE close IS NULL OR close = 0 OR adj_close = 0")
 def dq_invalid_adjustment(spark, d):
     """Bars without a usable factor."""
     return quality.invalid_adjustment(_odd_bars(spark, d))
 
 
-@query("+ ses AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS r FROM (SELECT DISTINCT date FROM bars WHERE date <= DATE '2001-10-25')), cut AS (SELECT min(date) AS c FROM ses WHERE r <= 6), la AS (SELECT security_id, max(date) AS last FROM bars WHERE substr(security_id, 7, 1) <> '3' GROUP BY 1), tg AS (SELECT DISTINCT security_id FROM bars) SELECT security_id, last AS date, 'MISSING_RECENT_DATA' AS issue_type, 'warning' AS severity, '' AS details FROM tg LEFT JOIN la USING (security_id), cut WHERE last IS NULL OR last < c")
+@query("+ ses AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS r FROM (SELECT DISTINCT date FROM bars WHERE date <= DATE "
+    "'2001-10-25')), cut AS (SELECT min(date) AS c FROM ses WHERE r <= 6), la AS (SELECT security_id, max(date) AS last FROM bars "
+    "WHERE substr(security_id, 7, 1) <> '3' GROUP BY 1), tg AS (SELECT DISTINCT security_id FROM bars) SELECT security_id, last AS "
+    "date, 'MISSING_RECENT_DATA' AS issue_type, 'warning' AS severity, '' AS details FROM tg LEFT JOIN la USING (security_id), cut "
+    "WHERE last IS NULL OR last < c")
 def dq_missing_recent(spark, d):
     """Securities whose bars ended early, or that have none."""
     b = _bars(spark, d)
@@ -244,7 +285,9 @@ def dq_missing_recent(spark, d):
     return quality.missing_recent(some, b.select("security_id").distinct(), calendar.sessions(b), "2001-10-25")
 
 
-@query(ODD_SQL + ", sc AS (SELECT * FROM odd WHERE substr(security_id, 7, 1) = '1'), neg AS (SELECT sum((open < 0)::INT + (high < 0)::INT + (volume < 0)::INT) AS n FROM sc) SELECT CAST(n AS BIGINT) AS issues, CAST(n AS BIGINT) AS critical, 0::BIGINT AS warning, 0::BIGINT AS info FROM neg")
+@query(ODD_SQL + ", sc AS (SELECT * FROM odd WHERE substr(security_id, 7, 1) = '1'), neg AS (SELECT sum((open < 0)::INT + (high < "
+    "0)::INT + (volume < 0)::INT) AS n FROM sc) SELECT CAST(n AS BIGINT) AS issues, CAST(n AS BIGINT) AS critical, 0::BIGINT AS "
+    "warning, 0::BIGINT AS info FROM neg")
 def validate_scope(spark, d):
     """A rule over the securities in scope only."""
     b = _odd_bars(spark, d)
@@ -263,7 +306,10 @@ MEMBERS = ", cx AS (SELECT security_id, x[1] AS cls, x[1] = 'COMMON_EQUITY' AND
 _BROKEN = " UNION ALL ".join(f"SELECT security_id, {_near(a, b)} AS near FROM odd WHERE {a} < {b}" for a, b in _PAIRS)
 
 
-@query(SEC_SQL + CLASS_SQL + MEMBERS + ODD_SQL.replace("+", ",", 1) + f", br AS ({_BROKEN}) SELECT (SELECT count(*) FROM odd) AS rows_checked, count(*) FILTER (near) AS rounding_only, count(*) FILTER (NOT near) AS true_ohlc_violations, count(*) FILTER (NOT near AND res) AS research_critical, count(*) FILTER (NOT near AND NOT res) AS non_common_critical, count(DISTINCT security_id) FILTER (NOT near AND res) AS research_critical_securities FROM br JOIN cx USING (security_id)")
+@query(SEC_SQL + CLASS_SQL + MEMBERS + ODD_SQL.replace("+", ",", 1) + f", br AS ({_BROKEN}) SELECT (SELECT count(*) FROM odd) AS "
+    f"rows_checked, count(*) FILTER (near) AS rounding_only, count(*) FILTER (NOT near) AS true_ohlc_violations, count(*) FILTER "
+    f"(NOT near AND res) AS research_critical, count(*) FILTER (NOT near AND NOT res) AS non_common_critical, count(DISTINCT "
+    f"security_id) FILTER (NOT near AND res) AS research_critical_securities FROM br JOIN cx USING (security_id)")
 def audit_prices(spark, d):
     """Broken bars of the research universe and of all others."""
     return quality.ohlc_audit(_odd_bars(spark, d), _classes(spark, d), _members(spark, d))
@@ -279,15 +325,22 @@ def _jumpy(spark: SparkSession, d: str) -> DataFrame:
     }).filter(~((day == 10) & (F.month("date") == 5)))
 
 
-JUMPY = """+ jb AS (SELECT security_id, date, 100.0::DOUBLE AS open, CASE WHEN day(date) = 16 THEN 90.0::DOUBLE ELSE 100.0::DOUBLE END AS high, 100.0::DOUBLE AS low, 100.0::DOUBLE AS close,
- CASE WHEN day(date) IN (3, 17) THEN 500.0::DOUBLE ELSE 100.0::DOUBLE END AS adj_close, CASE WHEN day(date) = 17 AND month(date) % 2 = 0 THEN 2.0 ELSE 0.0 END AS stock_split FROM bars WHERE NOT (day(date) = 10 AND month(date) = 5)),
-ac0 AS (SELECT security_id, date AS d FROM bars WHERE dividend <> 0 UNION ALL SELECT security_id, date FROM bars WHERE stock_split <> 0)"""
+JUMPY = """+ jb AS (SELECT security_id, date, 100.0::DOUBLE AS open, CASE WHEN day(date) = 16 THEN 90.0::DOUBLE ELSE 100.0::DOUBLE
+END AS high, 100.0::DOUBLE AS low, 100.0::DOUBLE AS close,
+ CASE WHEN day(date) IN (3, 17) THEN 500.0::DOUBLE ELSE 100.0::DOUBLE END AS adj_close, CASE WHEN day(date) = 17 AND month(date) % 2
+= 0 THEN 2.0 ELSE 0.0 END AS stock_split FROM bars WHERE NOT (day(date) = 10 AND month(date) = 5)),
+ac0 AS (SELECT security_id, date AS d FROM bars WHERE dividend <> 0 UNION ALL SELECT security_id, date FROM bars WHERE stock_split
+<> 0)"""
 AUDIT = (
     JUMPY + SEC_SQL.replace("+", ",", 1) + CLASS_SQL + MEMBERS + f", {labels_sql()}, x AS ({_EXTREME})"
-    + """, jr AS (SELECT *, adj_close / lag(adj_close) OVER w - 1 AS ar, close / lag(close) OVER w - 1 AS rr FROM jb WINDOW w AS (PARTITION BY security_id ORDER BY date)),
-au AS (SELECT x.security_id, x.date, horizon, value, cls AS instrument_class, EXISTS (SELECT 1 FROM ac0 a WHERE a.security_id = x.security_id AND abs(date_diff('day', a.d, x.date)) <= 5) OR coalesce(stock_split NOT IN (0, 1), false) AS near_action,
- coalesce(abs(ar) > 2, false) AS adjusted_jump, rr, jr.close IS NOT NULL AS bar, high >= low - 0.001::DOUBLE AS ok, res AS in_research FROM x LEFT JOIN jr USING (security_id, date) LEFT JOIN cx USING (security_id)),
-ca AS (SELECT *, CASE WHEN instrument_class NOT IN ('COMMON_EQUITY', 'ETF') THEN 'B_NON_COMMON_INSTRUMENT' WHEN adjusted_jump AND coalesce(abs(rr) < 0.5::DOUBLE, false) THEN CASE WHEN near_action THEN 'C_ADJUSTMENT_ARTIFACT' ELSE 'D_PROVIDER_BAD_DATA' END
+    + """, jr AS (SELECT *, adj_close / lag(adj_close) OVER w - 1 AS ar, close / lag(close) OVER w - 1 AS rr FROM jb WINDOW w AS
+(PARTITION BY security_id ORDER BY date)),
+au AS (SELECT x.security_id, x.date, horizon, value, cls AS instrument_class, EXISTS (SELECT 1 FROM ac0 a WHERE a.security_id =
+x.security_id AND abs(date_diff('day', a.d, x.date)) <= 5) OR coalesce(stock_split NOT IN (0, 1), false) AS near_action,
+ coalesce(abs(ar) > 2, false) AS adjusted_jump, rr, jr.close IS NOT NULL AS bar, high >= low - 0.001::DOUBLE AS ok, res AS
+in_research FROM x LEFT JOIN jr USING (security_id, date) LEFT JOIN cx USING (security_id)),
+ca AS (SELECT *, CASE WHEN instrument_class NOT IN ('COMMON_EQUITY', 'ETF') THEN 'B_NON_COMMON_INSTRUMENT' WHEN adjusted_jump AND
+coalesce(abs(rr) < 0.5::DOUBLE, false) THEN CASE WHEN near_action THEN 'C_ADJUSTMENT_ARTIFACT' ELSE 'D_PROVIDER_BAD_DATA' END
  WHEN bar THEN CASE WHEN ok THEN 'A_EXTREME_MARKET' ELSE 'D_PROVIDER_BAD_DATA' END ELSE 'E_UNEXPLAINED' END AS cause FROM au)"""
 )
 
@@ -297,7 +350,8 @@ def _audit(spark: SparkSession, d: str) -> DataFrame:
     return quality.extreme_label_audit(_labels(spark, d), _jumpy(spark, d), actions, _classes(spark, d), _members(spark, d))
 
 
-@query(AUDIT + f" SELECT security_id, date, horizon, {_r('value')}, instrument_class, near_action, adjusted_jump, cause, in_research FROM ca")
+@query(AUDIT + f" SELECT security_id, date, horizon, {_r('value')}, instrument_class, near_action, adjusted_jump, cause, in_research "
+    f"FROM ca")
 def audit_extreme_labels(spark, d):
     """Extreme labels of all columns, and their causes."""
     return _audit(spark, d)
@@ -309,7 +363,8 @@ def audit_label_causes(spark, d):
     return quality.extreme_label_report(_audit(spark, d))["by_cause"]
 
 
-@query(AUDIT + f" SELECT security_id, date, horizon, {_r('value')}, cause FROM ca ORDER BY value DESC, security_id, date, horizon LIMIT 30")
+@query(AUDIT + f" SELECT security_id, date, horizon, {_r('value')}, cause FROM ca ORDER BY value DESC, security_id, date, horizon "
+    f"LIMIT 30")
 def audit_largest_labels(spark, d):
     """The largest extreme labels."""
     return quality.extreme_label_report(_audit(spark, d))["largest_positive"].select("security_id", "date", "horizon", "value", "cause")
@@ -325,17 +380,23 @@ def _dev(df: DataFrame) -> DataFrame:
 PANEL_COLUMNS = ["ret_20d", "rsi_14", "spy_ma200_distance", "vix_close", "forward_return_20d", "forward_excess_spy_20d", "raw_close"]
 
 
-@query(f"{FF}, {labels_sql()}{SEC_SQL.replace('+', ',', 1)}{CLASS_SQL}{MEMBERS}, bad AS (SELECT DISTINCT security_id, date FROM bars WHERE day(date) = 3) SELECT f.security_id, f.date, instrument_class, {_r(*PANEL_COLUMNS)}, bad.date IS NULL AS data_quality_valid FROM ff f JOIN ll USING (security_id, date) JOIN (SELECT security_id, cls AS instrument_class FROM cx WHERE res) USING (security_id) LEFT JOIN (SELECT security_id, date, close AS raw_close FROM bars) USING (security_id, date) LEFT JOIN bad USING (security_id, date)")
+@query(f"{FF}, {labels_sql()}{SEC_SQL.replace('+', ',', 1)}{CLASS_SQL}{MEMBERS}, bad AS (SELECT DISTINCT security_id, date FROM bars "
+    f"WHERE day(date) = 3) SELECT f.security_id, f.date, instrument_class, {_r(*PANEL_COLUMNS)}, bad.date IS NULL AS "
+    f"data_quality_valid FROM ff f JOIN ll USING (security_id, date) JOIN (SELECT security_id, cls AS instrument_class FROM cx WHERE "
+    f"res) USING (security_id) LEFT JOIN (SELECT security_id, date, close AS raw_close FROM bars) USING (security_id, date) LEFT "
+    f"JOIN bad USING (security_id, date)")
 def research_panel(spark, d):
     """The research view: features and labels of the universe's common equities, with raw close and validity."""
     b = _bars(spark, d)
-    issues = b.filter(F.dayofmonth("date") == 3).select("security_id", "date", F.lit("critical").alias("severity"), F.lit(False).alias("resolved"))
+    issues = b.filter(F.dayofmonth("date") == 3).select("security_id", "date", F.lit("critical").alias("severity"), F.lit(False)
+        .alias("resolved"))
     members = _members(spark, d).withColumn("universe_name", F.lit("u"))
     made = research.panel(_features(spark, d), _labels(spark, d), members, _classes(spark, d), b, issues, "u")
     return made.select("security_id", "date", "instrument_class", *PANEL_COLUMNS, "data_quality_valid")
 
 
-_RANKS = ", ".join(f"CASE WHEN {f} IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY {f} NULLS LAST) + (count(*) OVER (PARTITION BY date, {f}) - 1) / 2.0::DOUBLE END AS r{i}" for i, f in enumerate(FEATURES))
+_RANKS = ", ".join(f"CASE WHEN {f} IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY {f} NULLS LAST) + (count(*) OVER "
+    f"(PARTITION BY date, {f}) - 1) / 2.0::DOUBLE END AS r{i}" for i, f in enumerate(FEATURES))
 
 
 def _corr(a: str, b: str) -> str:
@@ -347,89 +408,133 @@ def _corr(a: str, b: str) -> str:
 _MATRIX = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1, len(FEATURES))]
 
 
-@query(f"+ rk AS (SELECT date, {_RANKS} FROM panel), dy AS (SELECT date, " + ", ".join(f"{_corr(f'r{i}', f'r{j}')} AS c{i}_{j}" for i, j in _MATRIX) + " FROM rk GROUP BY date), al AS ("
-       + " UNION ALL ".join([*(f"SELECT '{FEATURES[i]}' AS feature_a, '{FEATURES[j]}' AS feature_b, avg(c{i}_{j}) AS m FROM dy" for i, j in _MATRIX), *(f"SELECT '{f}', '{f}', 1.0" for f in FEATURES)])
-       + f") SELECT feature_a, feature_b, {_r('m AS mean_corr')}, feature_a <> feature_b AND abs(m) >= 0.95::DOUBLE AS redundant FROM al", panel=True)
+@query(f"+ rk AS (SELECT date, {_RANKS} FROM panel), dy AS (SELECT date, "
+    f"" + ", ".join(f"{_corr(f'r{i}', f'r{j}')} AS c{i}_{j}" for i, j in _MATRIX) + " FROM rk GROUP BY date), al AS ("
+       + " UNION ALL ".join([*(f"SELECT '{FEATURES[i]}' AS feature_a, '{FEATURES[j]}' AS feature_b, avg(c{i}_{j}) AS m FROM dy"
+           for i, j in _MATRIX), *(f"SELECT '{f}', '{f}', 1.0" for f in FEATURES)])
+       + f") SELECT feature_a, feature_b, {_r('m AS mean_corr')}, feature_a <> feature_b AND abs(m) >= 0.95::DOUBLE AS redundant "
+           f"FROM al", panel=True)
 def rank_corr_matrix(spark, d):
     """Mean daily rank correlations of feature pairs."""
     return research.redundancy(_light(spark, d), FEATURES)
 
 
-_BUCKET = "CASE WHEN raw_close < 1 THEN 'lt_1' WHEN raw_close < 5 THEN '1_to_5' WHEN raw_close < 20 THEN '5_to_20' WHEN raw_close IS NOT NULL THEN 'ge_20' END"
-SUBSETS = f"+ sb AS (SELECT *, unnest(list_filter(['all', CASE WHEN raw_close >= 1 THEN 'ge_1' END, CASE WHEN raw_close >= 5 THEN 'ge_5' END, CASE WHEN raw_close >= 20 THEN 'ge_20' END, 'bucket_' || {_BUCKET}], lambda v: v IS NOT NULL)) AS price_subset FROM panel)"
-_SUMMARY = ["avg(y) AS mean", "median(y) AS median", "stddev_samp(y) AS std", "avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio", "avg(y) / (stddev_samp(y) / sqrt(count(y))) AS t_stat"]
+_BUCKET = ("CASE WHEN raw_close < 1 THEN 'lt_1' WHEN raw_close < 5 THEN '1_to_5' WHEN raw_close < 20 THEN '5_to_20' WHEN raw_close "
+    "IS NOT NULL THEN 'ge_20' END")
+SUBSETS = (f"+ sb AS (SELECT *, unnest(list_filter(['all', CASE WHEN raw_close >= 1 THEN 'ge_1' END, CASE WHEN raw_close >= 5 THEN "
+    f"'ge_5' END, CASE WHEN raw_close >= 20 THEN 'ge_20' END, 'bucket_' || {_BUCKET}], lambda v: v IS NOT NULL)) AS price_subset "
+    f"FROM panel)")
+_SUMMARY = ["avg(y) AS mean", "median(y) AS median", "stddev_samp(y) AS std",
+    "avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio", "avg(y) / (stddev_samp(y) / sqrt(count(y))) AS t_stat"]
 
 
 def _rank(c: str, by: str) -> str:
     return f"rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0::DOUBLE"
 
 
-@query(SUBSETS + f", x AS (SELECT price_subset, date, ret_20d AS a, forward_return_5d AS b FROM sb WHERE ret_20d IS NOT NULL AND forward_return_5d IS NOT NULL), rk AS (SELECT price_subset, date, {_rank('a', 'price_subset, date')} AS ra, {_rank('b', 'price_subset, date')} AS rb FROM x), ic AS (SELECT price_subset, date, {_corr('ra', 'rb')} AS ic FROM rk GROUP BY ALL) SELECT price_subset, 'ret_20d' AS feature, count(ic) AS n_dates, {_r('avg(ic) AS mean_ic', 'median(ic) AS median_ic', 'stddev_samp(ic) AS std_ic', 'avg(ic) / stddev_samp(ic) AS ic_ir', digits=5)} FROM ic WHERE ic IS NOT NULL GROUP BY 1", panel=True, digits=5)
+@query(SUBSETS + f", x AS (SELECT price_subset, date, ret_20d AS a, forward_return_5d AS b FROM sb WHERE ret_20d IS NOT NULL AND "
+    f"forward_return_5d IS NOT NULL), rk AS (SELECT price_subset, date, {_rank('a', 'price_subset, date')} AS ra, "
+    f"{_rank('b', 'price_subset, date')} AS rb FROM x), ic AS (SELECT price_subset, date, {_corr('ra', 'rb')} AS ic FROM rk GROUP BY "
+    f"ALL) SELECT price_subset, 'ret_20d' AS feature, count(ic) AS n_dates, "
+    f"{_r('avg(ic) AS mean_ic', 'median(ic) AS median_ic', 'stddev_samp(ic) AS std_ic', 'avg(ic) / stddev_samp(ic) AS ic_ir', digits=5)} FROM ic WHERE ic IS NOT NULL GROUP BY 1", panel=True, digits=5)
 def price_overlay_ic(spark, d):
     """Rank correlations by price subset."""
     return research.overlay(_light(spark, d), ["ret_20d"], "forward_return_5d")["ic"].drop("positive_ratio")
 
 
-@query(SUBSETS + " SELECT price_subset, count(*) AS n, count(DISTINCT security_id) AS n_securities, count(DISTINCT date) AS n_dates FROM sb GROUP BY 1", panel=True)
+@query(SUBSETS + " SELECT price_subset, count(*) AS n, count(DISTINCT security_id) AS n_securities, count(DISTINCT date) AS n_dates "
+    "FROM sb GROUP BY 1", panel=True)
 def price_overlay_sizes(spark, d):
     """Sizes of the price subsets."""
     return research.overlay(_light(spark, d), ["ret_20d"], "forward_return_5d")["sizes"]
 
 
-@query(SUBSETS + f" SELECT price_subset, count(y) AS n, {_r(*_SUMMARY, digits=5)} FROM (SELECT price_subset, forward_return_5d AS y FROM sb) WHERE y IS NOT NULL GROUP BY 1", panel=True, digits=5)
+@query(SUBSETS + f" SELECT price_subset, count(y) AS n, {_r(*_SUMMARY, digits=5)} FROM (SELECT price_subset, forward_return_5d AS y "
+    f"FROM sb) WHERE y IS NOT NULL GROUP BY 1", panel=True, digits=5)
 def price_overlay_baseline(spark, d):
     """Outcomes by price subset."""
     return research.overlay(_light(spark, d), ["ret_20d"], "forward_return_5d")["baseline"]
 
 
-@query(SUBSETS + f", q AS (SELECT price_subset, forward_return_5d AS y, CAST(least(greatest(floor(({_rank('ret_20d', 'price_subset, date')} - 1) / count(*) OVER (PARTITION BY price_subset, date) * 5), 0), 4) + 1 AS INTEGER) AS qn FROM sb WHERE ret_20d IS NOT NULL) SELECT price_subset, 'ret_20d' AS feature, {_r('avg(y) FILTER (qn = 5) - avg(y) FILTER (qn = 1) AS mean_spread', digits=5)} FROM q WHERE y IS NOT NULL GROUP BY 1", panel=True, digits=5)
+@query(SUBSETS + f", q AS (SELECT price_subset, forward_return_5d AS y, "
+    f"CAST(least(greatest(floor(({_rank('ret_20d', 'price_subset, date')} - 1) / count(*) OVER (PARTITION BY price_subset, date) * "
+    f"5), 0), 4) + 1 AS INTEGER) AS qn FROM sb WHERE ret_20d IS NOT NULL) SELECT price_subset, 'ret_20d' AS feature, "
+    f"{_r('avg(y) FILTER (qn = 5) - avg(y) FILTER (qn = 1) AS mean_spread', digits=5)} FROM q WHERE y IS NOT NULL GROUP BY 1",
+    panel=True, digits=5)
 def price_overlay_spread(spark, d):
     """Spreads by price subset."""
     return research.overlay(_light(spark, d), ["ret_20d"], "forward_return_5d")["spread"]
 
 
-_TAILS = "".join(f", {n} AS (SELECT * FROM rw ORDER BY y DESC, security_id, date LIMIT (SELECT greatest(1, CAST(round_even(count(*) * {f}::DOUBLE, 0) AS BIGINT)) FROM rw))" for n, f in (("top_1pct", 0.01), ("top_01pct", 0.001)))
-_COUNTED = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", bucket AS key, count(*) AS n FROM {t} GROUP BY bucket" for n, t in (("rows", "rw"), ("above_2", "(SELECT * FROM rw WHERE abs(y) > 2)"), ("top_1pct", "top_1pct"), ("top_01pct", "top_01pct")))
-_TOPS = " UNION ALL ".join(f"SELECT * FROM (SELECT '{p}_{t}' AS \"table\", CAST({c} AS VARCHAR) AS key, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM {t}) AS s FROM {t} GROUP BY {c} ORDER BY n DESC, key LIMIT 15)" for t in ("top_1pct", "top_01pct") for p, c in (("ticker", "security_id"), ("date", "date")))
+_TAILS = "".join(f", {n} AS (SELECT * FROM rw ORDER BY y DESC, security_id, date LIMIT (SELECT greatest(1, CAST(round_even(count(*) "
+    f"* {f}::DOUBLE, 0) AS BIGINT)) FROM rw))" for n, f in (("top_1pct", 0.01), ("top_01pct", 0.001)))
+_COUNTED = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", bucket AS key, count(*) AS n FROM {t} GROUP BY bucket"
+    for n, t in (("rows", "rw"), ("above_2", "(SELECT * FROM rw WHERE abs(y) > 2)"), ("top_1pct", "top_1pct"),
+        ("top_01pct", "top_01pct")))
+_TOPS = " UNION ALL ".join(f"SELECT * FROM (SELECT '{p}_{t}' AS \"table\", CAST({c} AS VARCHAR) AS key, count(*) AS n, "
+    f"count(*)::DOUBLE / (SELECT count(*) FROM {t}) AS s FROM {t} GROUP BY {c} ORDER BY n DESC, key LIMIT 15)"
+    for t in ("top_1pct", "top_01pct") for p, c in (("ticker", "security_id"), ("date", "date")))
 
 
-@query(f"+ rw AS (SELECT security_id, date, coalesce({_BUCKET}, 'unknown') AS bucket, forward_return_5d AS y FROM panel WHERE forward_return_5d IS NOT NULL){_TAILS}, ct AS ({_COUNTED}), al AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY \"table\") AS s FROM ct UNION ALL {_TOPS}) SELECT \"table\", key, n, {_r('s AS share')} FROM al", panel=True)
+@query(f"+ rw AS (SELECT security_id, date, coalesce({_BUCKET}, 'unknown') AS bucket, forward_return_5d AS y FROM panel WHERE "
+    f"forward_return_5d IS NOT NULL){_TAILS}, ct AS ({_COUNTED}), al AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY \"table\") "
+    f"AS s FROM ct UNION ALL {_TOPS}) SELECT \"table\", key, n, {_r('s AS share')} FROM al", panel=True)
 def low_price_concentration(spark, d):
     """Where extreme outcomes lie by price, security and date."""
     return research.low_price_concentration(_light(spark, d), "forward_return_5d")
 
 
-REGIMES = f"""+ vt AS (SELECT {NEAREST.format(q=1 / 3)} AS lo, {NEAREST.format(q=2 / 3)} AS hi FROM (SELECT vix_close AS v FROM panel WHERE {DEV} AND vix_close IS NOT NULL)),
-rg AS (SELECT panel.*, CASE WHEN spy_ma200_distance > 0 THEN 'spy_above_ma200' ELSE 'spy_below_ma200' END AS spy_regime, CASE WHEN vix_close IS NULL THEN NULL WHEN vix_close <= lo THEN 'vix_low' WHEN vix_close <= hi THEN 'vix_medium' ELSE 'vix_high' END AS vix_regime FROM panel, vt)"""
+REGIMES = f"""+ vt AS (SELECT {NEAREST.format(q=1 / 3)} AS lo, {NEAREST.format(q=2 / 3)} AS hi FROM (SELECT vix_close AS v FROM
+panel WHERE {DEV} AND vix_close IS NOT NULL)),
+rg AS (SELECT panel.*, CASE WHEN spy_ma200_distance > 0 THEN 'spy_above_ma200' ELSE 'spy_below_ma200' END AS spy_regime, CASE WHEN
+vix_close IS NULL THEN NULL WHEN vix_close <= lo THEN 'vix_low' WHEN vix_close <= hi THEN 'vix_medium' ELSE 'vix_high' END AS
+vix_regime FROM panel, vt)"""
 
 
-@query(REGIMES + f", lg AS (SELECT unnest(['spy_regime', 'spy_regime', 'vix_regime', 'vix_regime']) AS kind, unnest([spy_regime, spy_regime, vix_regime, vix_regime]) AS regime, unnest(['forward_return_5d', 'forward_return_20d', 'forward_return_5d', 'forward_return_20d']) AS target, unnest([forward_return_5d, forward_return_20d, forward_return_5d, forward_return_20d]) AS y FROM rg) SELECT kind, regime, target, count(y) AS n, {_r(*_SUMMARY, digits=5)} FROM lg WHERE regime IS NOT NULL AND y IS NOT NULL GROUP BY ALL", panel=True, digits=5)
+@query(REGIMES + f", lg AS (SELECT unnest(['spy_regime', 'spy_regime', 'vix_regime', 'vix_regime']) AS kind, unnest([spy_regime, "
+    f"spy_regime, vix_regime, vix_regime]) AS regime, unnest(['forward_return_5d', 'forward_return_20d', 'forward_return_5d', "
+    f"'forward_return_20d']) AS target, unnest([forward_return_5d, forward_return_20d, forward_return_5d, forward_return_20d]) AS y "
+    f"FROM rg) SELECT kind, regime, target, count(y) AS n, {_r(*_SUMMARY, digits=5)} FROM lg WHERE regime IS NOT NULL AND y IS NOT "
+    f"NULL GROUP BY ALL", panel=True, digits=5)
 def vix_regimes(spark, d):
     """Outcomes by regime."""
     p = _light(spark, d)
     return research.regime_stats(research.with_regimes(p, research.vix_terciles(_dev(p))), TARGETS)
 
 
-_BOUNDED = " ".join(["+ bd AS (", " UNION ALL ".join(f"SELECT '{t}' AS target, {NEAREST.format(q=0.01)} AS lo, {NEAREST.format(q=0.99)} AS hi FROM (SELECT {t} AS v FROM panel WHERE {DEV} AND {t} IS NOT NULL)" for t in TARGETS), ")"])
-_ROBUST = ["avg(v) AS mean", "median(v) AS median", "avg(v) FILTER (v BETWEEN lo AND hi) AS trimmed_mean_1pct", "avg(least(greatest(v, lo), hi)) AS winsorized_mean_1pct", f"{NEAREST.format(q=0.25)} AS p25", f"{NEAREST.format(q=0.75)} AS p75",
-           "avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio", "stddev_samp(v) AS std", "avg(v) / (stddev_samp(v) / sqrt(count(v))) AS tstat"]
+_BOUNDED = " ".join(["+ bd AS (",
+    " UNION ALL ".join(f"SELECT '{t}' AS target, {NEAREST.format(q=0.01)} AS lo, {NEAREST.format(q=0.99)} AS hi FROM (SELECT {t} AS "
+    f"v FROM panel WHERE {DEV} AND {t} IS NOT NULL)" for t in TARGETS), ")"])
+_ROBUST = ["avg(v) AS mean", "median(v) AS median", "avg(v) FILTER (v BETWEEN lo AND hi) AS trimmed_mean_1pct",
+    "avg(least(greatest(v, lo), hi)) AS winsorized_mean_1pct", f"{NEAREST.format(q=0.25)} AS p25", f"{NEAREST.format(q=0.75)} AS p75",
+           "avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio", "stddev_samp(v) AS std",
+           "avg(v) / (stddev_samp(v) / sqrt(count(v))) AS tstat"]
 _ROBUST_NAMES = [c.rsplit(" AS ", 1)[1] for c in _ROBUST]
 _UNPIVOT = f"unnest({TARGETS}) AS target, unnest([{', '.join(TARGETS)}]) AS v"
 
 
-@query(f"{_BOUNDED}, lg AS (SELECT date, {_UNPIVOT} FROM panel WHERE {DEV}) SELECT target, CAST(regexp_extract(target, '([0-9]+)d$', 1) AS INTEGER) AS horizon, (SELECT count(DISTINCT date) FROM panel WHERE {DEV}) AS distinct_dates, count(v) AS sample_count, {_r(*_ROBUST, digits=5)} FROM lg JOIN bd USING (target) WHERE v IS NOT NULL GROUP BY target", panel=True, digits=5)
+@query(f"{_BOUNDED}, lg AS (SELECT date, {_UNPIVOT} FROM panel WHERE {DEV}) SELECT target, CAST(regexp_extract(target, '([0-9]+)d$', "
+    f"1) AS INTEGER) AS horizon, (SELECT count(DISTINCT date) FROM panel WHERE {DEV}) AS distinct_dates, count(v) AS sample_count, "
+    f"{_r(*_ROBUST, digits=5)} FROM lg JOIN bd USING (target) WHERE v IS NOT NULL GROUP BY target", panel=True, digits=5)
 def robust_baseline(spark, d):
     """Robust statistics of each outcome on the development window."""
     p = _dev(_light(spark, d))
-    return research.robust_baseline(p, TARGETS, research.cutoffs(p, TARGETS)).select("target", "horizon", "distinct_dates", "sample_count", *_ROBUST_NAMES)
+    return research.robust_baseline(p, TARGETS, research.cutoffs(p, TARGETS)).select("target", "horizon", "distinct_dates",
+        "sample_count", *_ROBUST_NAMES)
 
 
-_QUANTS = f"""{_BOUNDED}, q AS (SELECT security_id, date, ret_20d, forward_return_5d, forward_return_20d, {_rank('ret_20d', 'date')} AS rk, count(*) OVER (PARTITION BY date) AS n FROM panel WHERE ret_20d IS NOT NULL AND {DEV}),
-qq AS (SELECT *, CAST(least(greatest(floor((rk - 1) / n * 5), 0), 4) + 1 AS INTEGER) AS quintile FROM q), dd AS (SELECT quintile, count(DISTINCT date) AS distinct_dates FROM qq GROUP BY 1), lg AS (SELECT quintile, {_UNPIVOT} FROM qq),
-rq AS (SELECT 'ret_20d' AS feature, quintile, target, CAST(regexp_extract(target, '([0-9]+)d$', 1) AS INTEGER) AS horizon, any_value(distinct_dates) AS distinct_dates, count(v) AS sample_count, {', '.join(_ROBUST)} FROM lg JOIN bd USING (target) JOIN dd USING (quintile) WHERE v IS NOT NULL GROUP BY quintile, target)"""
+_QUANTS = f"""{_BOUNDED}, q AS (SELECT security_id, date, ret_20d, forward_return_5d, forward_return_20d,
+{_rank('ret_20d', 'date')} AS rk, count(*) OVER (PARTITION BY date) AS n FROM panel WHERE ret_20d IS NOT NULL AND {DEV}),
+qq AS (SELECT *, CAST(least(greatest(floor((rk - 1) / n * 5), 0), 4) + 1 AS INTEGER) AS quintile FROM q), dd AS (SELECT quintile,
+count(DISTINCT date) AS distinct_dates FROM qq GROUP BY 1), lg AS (SELECT quintile, {_UNPIVOT} FROM qq),
+rq AS (SELECT 'ret_20d' AS feature, quintile, target, CAST(regexp_extract(target, '([0-9]+)d$', 1) AS INTEGER) AS horizon,
+any_value(distinct_dates) AS distinct_dates, count(v) AS sample_count, {', '.join(_ROBUST)} FROM lg JOIN bd USING (target) JOIN dd
+USING (quintile) WHERE v IS NOT NULL GROUP BY quintile, target)"""
 
 
-@query(f"{_QUANTS} SELECT feature, quintile, target, horizon, distinct_dates, CASE WHEN sample_count >= 1000 OR distinct_dates >= 100 THEN 'ok' ELSE 'insufficient' END AS sample_status, sample_count, {_r(*_ROBUST_NAMES, digits=5)} FROM rq", panel=True, digits=5)
+@query(f"{_QUANTS} SELECT feature, quintile, target, horizon, distinct_dates, CASE WHEN sample_count >= 1000 OR distinct_dates >= "
+    f"100 THEN 'ok' ELSE 'insufficient' END AS sample_status, sample_count, {_r(*_ROBUST_NAMES, digits=5)} FROM rq", panel=True,
+    digits=5)
 def robust_quantiles(spark, d):
     """Robust statistics by quintile, one row a quintile and outcome."""
     p = _dev(_light(spark, d))
@@ -437,38 +542,55 @@ def robust_quantiles(spark, d):
     return made.select("feature", "quintile", "target", "horizon", "distinct_dates", "sample_status", "sample_count", *_ROBUST_NAMES)
 
 
-@query(f"{_QUANTS} SELECT feature, target, horizon, max(sample_count) FILTER (quintile = 1) AS q1_n, max(sample_count) FILTER (quintile = 5) AS q5_n, {_r(*(f'max({c}) FILTER (quintile = 5) - max({c}) FILTER (quintile = 1) AS {n}' for c, n in (('mean', 'raw_mean_spread'), ('median', 'median_spread'), ('winsorized_mean_1pct', 'winsorized_mean_spread'))), digits=5)} FROM rq GROUP BY feature, target, horizon", panel=True, digits=5)
+@query(f"{_QUANTS} SELECT feature, target, horizon, max(sample_count) FILTER (quintile = 1) AS q1_n, max(sample_count) FILTER "
+    f"(quintile = 5) AS q5_n, "
+    f"{_r(*(f'max({c}) FILTER (quintile = 5) - max({c}) FILTER (quintile = 1) AS {n}' for c, n in (('mean', 'raw_mean_spread'), ('median', 'median_spread'), ('winsorized_mean_1pct', 'winsorized_mean_spread'))), digits=5)} FROM rq GROUP BY feature, target, horizon", panel=True, digits=5)
 def robust_spreads(spark, d):
     """Spreads between the outer quintiles."""
     p = _dev(_light(spark, d))
     return research.robust_spreads(research.robust_quantiles(p, ["ret_20d"], TARGETS, research.cutoffs(p, TARGETS)))
 
 
-@query("+ p AS (SELECT security_id, count(*) AS n FROM bars WHERE substr(security_id, 7, 1) <> '4' GROUP BY 1), f AS (SELECT security_id, count(*) AS n FROM bars WHERE substr(security_id, 7, 1) <> '1' GROUP BY 1), l AS (SELECT security_id, count(*) AS n FROM bars WHERE substr(security_id, 7, 1) NOT IN ('1', '5') AND month(date) <> 12 GROUP BY 1), z AS (SELECT p.n AS pn, f.n AS fn, l.n AS ln FROM p FULL OUTER JOIN f USING (security_id) FULL OUTER JOIN l USING (security_id)), v AS (SELECT CASE (pn IS NOT NULL)::INT + (fn IS NOT NULL)::INT + (ln IS NOT NULL)::INT WHEN 3 THEN 'all_three' WHEN 2 THEN 'partial' ELSE CASE WHEN pn IS NOT NULL THEN 'price_only' WHEN fn IS NOT NULL THEN 'feature_only' ELSE 'label_only' END END AS verdict FROM z UNION ALL SELECT 'row_count_mismatch' FROM z WHERE pn <> fn OR (pn <> ln AND fn IS NOT NULL)) SELECT verdict, count(*) AS n FROM v GROUP BY 1")
+@query("+ p AS (SELECT security_id, count(*) AS n FROM bars WHERE substr(security_id, 7, 1) <> '4' GROUP BY 1), f AS (SELECT "
+    "security_id, count(*) AS n FROM bars WHERE substr(security_id, 7, 1) <> '1' GROUP BY 1), l AS (SELECT security_id, count(*) AS "
+    "n FROM bars WHERE substr(security_id, 7, 1) NOT IN ('1', '5') AND month(date) <> 12 GROUP BY 1), z AS (SELECT p.n AS pn, f.n AS "
+    "fn, l.n AS ln FROM p FULL OUTER JOIN f USING (security_id) FULL OUTER JOIN l USING (security_id)), v AS (SELECT CASE (pn IS NOT "
+    "NULL)::INT + (fn IS NOT NULL)::INT + (ln IS NOT NULL)::INT WHEN 3 THEN 'all_three' WHEN 2 THEN 'partial' ELSE CASE WHEN pn IS "
+    "NOT NULL THEN 'price_only' WHEN fn IS NOT NULL THEN 'feature_only' ELSE 'label_only' END END AS verdict FROM z UNION ALL SELECT "
+    "'row_count_mismatch' FROM z WHERE pn <> fn OR (pn <> ln AND fn IS NOT NULL)) SELECT verdict, count(*) AS n FROM v GROUP BY 1")
 def reconcile_securities(spark, d):
     """In which tables securities are, and whose counts differ."""
     b, last = _bars(spark, d).select("security_id", "date"), F.substring("security_id", 7, 1)
-    return research.reconcile_securities(b.filter(last != "4"), b.filter(last != "1"), b.filter(~last.isin("1", "5") & (F.month("date") != 12)))
+    return research.reconcile_securities(b.filter(last != "4"), b.filter(last != "1"),
+        b.filter(~last.isin("1", "5") & (F.month("date") != 12)))
 
 
-@query("SELECT security_id, date FROM bars WHERE substr(security_id, 7, 1) = '1' AND substr(security_id, 6, 1) <> '0' ORDER BY security_id, date LIMIT 20")
+@query("SELECT security_id, date FROM bars WHERE substr(security_id, 7, 1) = '1' AND substr(security_id, 6, 1) <> '0' ORDER BY "
+    "security_id, date LIMIT 20")
 def missing_examples(spark, d):
     """The first bars without the features they should have."""
     b = _bars(spark, d).select("security_id", "date")
-    return research.missing_examples(b, b.filter(F.substring("security_id", 7, 1) != "1"), b.filter(F.substring("security_id", 6, 1) != "0"))
+    return research.missing_examples(b, b.filter(F.substring("security_id", 7, 1) != "1"),
+        b.filter(F.substring("security_id", 6, 1) != "0"))
 
 
-@query("+ a AS (SELECT DISTINCT security_id FROM bars WHERE year(date) < 1997), b AS (SELECT DISTINCT security_id FROM bars WHERE day(date) = 5 AND month(date) = 5) SELECT 'in_both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'only_second', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query("+ a AS (SELECT DISTINCT security_id FROM bars WHERE year(date) < 1997), b AS (SELECT DISTINCT security_id FROM bars WHERE "
+    "day(date) = 5 AND month(date) = 5) SELECT 'in_both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) "
+    "UNION ALL SELECT 'only_first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'only_second', count(*) "
+    "FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def scope_counts(spark, d):
     """Two sets of securities compared."""
     b = _bars(spark, d)
-    return research.scope_counts(b.filter(F.year("date") < 1997).select("security_id"), b.filter((F.dayofmonth("date") == 5) & (F.month("date") == 5)).select("security_id"))
+    return research.scope_counts(b.filter(F.year("date") < 1997)
+        .select("security_id"), b.filter((F.dayofmonth("date") == 5) & (F.month("date") == 5)).select("security_id"))
 
 
 # ---- calendar, lake and catalogue
 
 
-@query("+ s AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM bars)), p AS (SELECT a.date AS start, (SELECT min(b.date) FROM s b WHERE b.date >= a.date + INTERVAL 30 DAY) AS \"end\" FROM s a) SELECT p.start, p.\"end\", e.i - b.i + 1 AS n FROM p JOIN s b ON b.date = p.start JOIN s e ON e.date = p.\"end\"")
+@query("+ s AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM bars)), p AS (SELECT a.date AS "
+    "start, (SELECT min(b.date) FROM s b WHERE b.date >= a.date + INTERVAL 30 DAY) AS \"end\" FROM s a) SELECT p.start, p.\"end\", "
+    "e.i - b.i + 1 AS n FROM p JOIN s b ON b.date = p.start JOIN s e ON e.date = p.\"end\"")
 def calendar_between(spark, d):
     """Sessions between a session and the first one 30 days later."""
     c = calendar.sessions(_bars(spark, d))
@@ -501,19 +623,23 @@ def _written(spark: SparkSession, d: str) -> lake.Lake:
     found, prices = _lake(spark), lake.DATASETS["prices_daily"]
     b = _bars(spark, d).filter(F.year("date").between(1996, 1997)).select("security_id", "date", "close")
     found.append(prices, b.withColumn("retrieved_at", F.lit("2002-01-01").cast("timestamp")))
-    again = b.filter(F.month("date") == 6).withColumn("close", F.col("close") + 1).withColumn("retrieved_at", F.lit("2002-01-02").cast("timestamp"))
+    again = b.filter(F.month("date") == 6).withColumn("close", F.col("close") + 1).withColumn("retrieved_at", F.lit("2002-01-02")
+        .cast("timestamp"))
     found.append(prices, again)
     return found
 
 
-@query(f"SELECT security_id, date, {_r('CASE WHEN month(date) = 6 THEN close + 1 ELSE close END AS close', digits=8)}, year(date) AS year, month(date) AS month FROM bars WHERE date BETWEEN DATE '1996-03-10' AND DATE '1997-02-20'", digits=8)
+@query(f"SELECT security_id, date, {_r('CASE WHEN month(date) = 6 THEN close + 1 ELSE close END AS close', digits=8)}, year(date) AS "
+    f"year, month(date) AS month FROM bars WHERE date BETWEEN DATE '1996-03-10' AND DATE '1997-02-20'", digits=8)
 def lake_view(spark, d):
     """A dataset written by partition, twice for some rows, and read last write wins in a range of dates."""
     df = _written(spark, d).view(lake.DATASETS["prices_daily"], "1996-03-10", "1997-02-20").drop("retrieved_at")
     return df.withColumns({c: F.col(c).cast("bigint") for c in ("year", "month")})
 
 
-@query("SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS files_before, CAST(sum(r) AS BIGINT) AS rows_before, CAST(sum(k) AS BIGINT) AS rows_after FROM (SELECT year(date), 2 AS n, 2 * count(*) AS r, count(*) AS k FROM bars WHERE year(date) IN (1996, 1997) AND month(date) = 6 GROUP BY 1)")
+@query("SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS files_before, CAST(sum(r) AS BIGINT) AS rows_before, CAST(sum(k) AS "
+    "BIGINT) AS rows_after FROM (SELECT year(date), 2 AS n, 2 * count(*) AS r, count(*) AS k FROM bars WHERE year(date) IN (1996, "
+    "1997) AND month(date) = 6 GROUP BY 1)")
 def lake_compact(spark, d):
     """What compaction rewrites: partitions of several files."""
     done = _written(spark, d).compact(lake.DATASETS["prices_daily"])
@@ -528,14 +654,18 @@ def lake_to_yearly(spark, d):
     return found.raw(prices).groupBy(F.col("year").cast("bigint").alias("year")).agg(F.count("*").alias("rows"))
 
 
-@query("SELECT CAST(year(date) AS BIGINT) AS year, CAST(month(date) AS BIGINT) AS month, CASE WHEN month(date) = 6 THEN 2 ELSE 1 END::BIGINT AS files, CASE WHEN month(date) = 6 THEN 2 * count(*) ELSE count(*) END AS rows, month(date) = 6 AS needs_compaction FROM bars WHERE year(date) IN (1996, 1997) GROUP BY 1, 2, month(date)")
+@query("SELECT CAST(year(date) AS BIGINT) AS year, CAST(month(date) AS BIGINT) AS month, CASE WHEN month(date) = 6 THEN 2 ELSE 1 "
+    "END::BIGINT AS files, CASE WHEN month(date) = 6 THEN 2 * count(*) ELSE count(*) END AS rows, month(date) = 6 AS "
+    "needs_compaction FROM bars WHERE year(date) IN (1996, 1997) GROUP BY 1, 2, month(date)")
 def lake_health(spark, d):
     """Files and rows of each partition, and whether compaction is due."""
-    rows = [(h["year"], h["month"], h["files"], h["rows"], h["needs_compaction"]) for h in _written(spark, d).health(lake.DATASETS["prices_daily"])]
+    rows = [(h["year"], h["month"], h["files"], h["rows"], h["needs_compaction"]) for h in _written(spark, d)
+        .health(lake.DATASETS["prices_daily"])]
     return spark.createDataFrame(rows, "year long, month long, files long, rows long, needs_compaction boolean")
 
 
-@query(SEC_SQL + " SELECT 'u' AS universe_name, security_id FROM sec WHERE exchange = 'OTC' UNION ALL SELECT 'v', security_id FROM sec WHERE substr(security_id, 7, 1) = '1'")
+@query(SEC_SQL + " SELECT 'u' AS universe_name, security_id FROM sec WHERE exchange = 'OTC' UNION ALL SELECT 'v', security_id FROM "
+    "sec WHERE substr(security_id, 7, 1) = '1'")
 def universe_members(spark, d):
     """Members of one universe replaced, those of another kept."""
     s = _securities(spark, d)
@@ -544,19 +674,30 @@ def universe_members(spark, d):
     return catalog.set_members(old, "u", s.filter(F.col("exchange") == "OTC").select("security_id"), replace=True)
 
 
-@query(SEC_SQL + " SELECT security_id, CASE WHEN exchange = 'OTC' THEN 'new' ELSE 'old' END AS note, CASE WHEN substr(security_id, 7, 1) = '9' AND exchange <> 'OTC' THEN '2002-01-01' WHEN substr(security_id, 7, 1) = '9' AND exchange IS NULL THEN '2002-01-01' WHEN substr(security_id, 7, 1) = '9' THEN '2002-02-01' ELSE '2002-01-01' END AS first_seen_at, CASE WHEN exchange = 'OTC' THEN '2002-02-01' ELSE '2002-01-01' END AS last_seen_at FROM sec WHERE substr(security_id, 7, 1) <> '9' OR exchange = 'OTC'")
+@query(SEC_SQL + " SELECT security_id, CASE WHEN exchange = 'OTC' THEN 'new' ELSE 'old' END AS note, CASE WHEN substr(security_id, "
+    "7, 1) = '9' AND exchange <> 'OTC' THEN '2002-01-01' WHEN substr(security_id, 7, 1) = '9' AND exchange IS NULL THEN '2002-01-01' "
+    "WHEN substr(security_id, 7, 1) = '9' THEN '2002-02-01' ELSE '2002-01-01' END AS first_seen_at, CASE WHEN exchange = 'OTC' THEN "
+    "'2002-02-01' ELSE '2002-01-01' END AS last_seen_at FROM sec WHERE substr(security_id, 7, 1) <> '9' OR exchange = 'OTC'")
 def upsert_securities(spark, d):
     """Securities seen again, for the first time, or no longer."""
     s = _securities(spark, d)
-    old = s.filter(F.substring("security_id", 7, 1) != "9").select("security_id", F.lit("old").alias("note"), F.lit("2002-01-01").alias("first_seen_at"), F.lit("2002-01-01").alias("last_seen_at"))
-    return catalog.upsert_securities(old, s.filter(F.col("exchange") == "OTC").select("security_id", F.lit("new").alias("note")), "2002-02-01")
+    old = s.filter(F.substring("security_id", 7, 1) != "9").select("security_id", F.lit("old").alias("note"), F.lit("2002-01-01")
+        .alias("first_seen_at"), F.lit("2002-01-01").alias("last_seen_at"))
+    return catalog.upsert_securities(old, s.filter(F.col("exchange") == "OTC")
+        .select("security_id", F.lit("new").alias("note")), "2002-02-01")
 
 
-@query(SEC_SQL + " SELECT ticker, CASE WHEN ticker = 'NOPE' THEN NULL ELSE (SELECT min(security_id) FROM sec WHERE 'N' || primary_ticker = ticker OR primary_ticker = ticker) END AS security_id, CASE WHEN ticker = 'NOPE' THEN 'unresolved' WHEN ticker LIKE 'N%' THEN 'history' ELSE 'primary' END AS how FROM (SELECT 'NOPE' AS ticker UNION SELECT CASE WHEN substr(security_id, 7, 1) = '5' THEN 'N' || primary_ticker ELSE primary_ticker END FROM sec)")
+@query(SEC_SQL + " SELECT ticker, CASE WHEN ticker = 'NOPE' THEN NULL ELSE (SELECT min(security_id) FROM sec WHERE 'N' || "
+    "primary_ticker = ticker OR primary_ticker = ticker) END AS security_id, CASE WHEN ticker = 'NOPE' THEN 'unresolved' WHEN ticker "
+    "LIKE 'N%' THEN 'history' ELSE 'primary' END AS how FROM (SELECT 'NOPE' AS ticker UNION SELECT CASE WHEN substr(security_id, 7, "
+    "1) = '5' THEN 'N' || primary_ticker ELSE primary_ticker END FROM sec)")
 def resolve_symbols(spark, d):
     """Tickers found by primary ticker or by history."""
     s, changed = _securities(spark, d), F.substring("security_id", 7, 1) == "5"
-    wanted = s.select(F.when(changed, F.concat(F.lit("N"), "primary_ticker")).otherwise(F.col("primary_ticker")).alias("ticker")).unionByName(spark.createDataFrame([(" nope ",)], "ticker string"))
-    history = s.filter(changed).select("security_id", F.lit("TICKER").alias("identifier_type"), F.concat(F.lit("N"), "primary_ticker").alias("identifier_value"), F.lit(None).cast("date").alias("valid_to"))
+    wanted = s.select(F.when(changed, F.concat(F.lit("N"), "primary_ticker")).otherwise(F.col("primary_ticker"))
+        .alias("ticker")).unionByName(spark.createDataFrame([(" nope ",)], "ticker string"))
+    history = s.filter(changed).select("security_id", F.lit("TICKER")
+        .alias("identifier_type"), F.concat(F.lit("N"), "primary_ticker").alias("identifier_value"), F.lit(None).cast("date")
+            .alias("valid_to"))
     return catalog.resolve_symbols(wanted, s, history)
 

@@ -33,7 +33,8 @@ def incremental_start(calendar: DataFrame, last: str | None, sessions: int) -> s
     return str(rows.agg(F.min("date")).first()[0])
 
 
-def compute_features(lake: Lake, spy: DataFrame, qqq: DataFrame, vix: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None, dry_run: bool = False) -> dict[str, object]:
+def compute_features(lake: Lake, spy: DataFrame, qqq: DataFrame, vix: DataFrame, calendar: DataFrame, start: str | None = None,
+    end: str | None = None, dry_run: bool = False) -> dict[str, object]:
     """Features from ``start`` on, read with a lookback of sessions and appended. One job over all securities."""
     d = DATASETS["prices_daily"]
     read_from = incremental_start(calendar, start, LOOKBACK) if start else None
@@ -44,7 +45,8 @@ def compute_features(lake: Lake, spy: DataFrame, qqq: DataFrame, vix: DataFrame,
     return plan | {"rows": lake.append(DATASETS["features_daily"], rows)}
 
 
-def compute_labels(lake: Lake, spy: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None, dry_run: bool = False) -> dict[str, object]:
+def compute_labels(lake: Lake, spy: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None,
+    dry_run: bool = False) -> dict[str, object]:
     """Labels from ``start`` on; what was immature is computed again over the last RECOMPUTE sessions."""
     start = incremental_start(calendar, start, RECOMPUTE) if start else None
     if dry_run:
@@ -84,7 +86,8 @@ def feature_start(env: Env, overlap: int = OVERLAP, backfill: int = BACKFILL) ->
     start, floor = (incremental_start(calendar, str(last), n) for n in (overlap, backfill))
     wanted = env.tracked().filter("features").select("security_id")
     recent = env.lake.view(prices, floor).select("security_id", "date").join(wanted, "security_id", "left_semi")
-    missing = research.missing_identity(recent, env.lake.raw(made).select("security_id", "date").distinct()).agg(F.min("date")).first()[0]
+    missing = research.missing_identity(recent, env.lake.raw(made).select("security_id", "date")
+        .distinct()).agg(F.min("date")).first()[0]
     return start if missing is None else min(start, str(missing))
 
 
@@ -108,7 +111,8 @@ def _vix(env: Env) -> DataFrame:
 
 
 def _stored_issues(env: Env) -> DataFrame:
-    schema = "issue_id string, dataset string, security_id string, date date, issue_type string, severity string, details string, detected_at string, resolved boolean"
+    schema = ("issue_id string, dataset string, security_id string, date date, issue_type string, severity string, details string, "
+        "detected_at string, resolved boolean")
     return env.catalog.read("data_quality_issues", schema)
 
 
@@ -117,7 +121,8 @@ def record_issues(env: Env, found: DataFrame, dataset: str, scope: DataFrame) ->
     found = found.persist()
     at = env.now().isoformat()
     merged = quality.upsert_issues(_stored_issues(env), found, dataset, at)
-    env.catalog.replace("data_quality_issues", quality.resolve_out_of_scope(quality.resolve_missing(merged, found, dataset, scope), scope, dataset))
+    env.catalog.replace("data_quality_issues",
+        quality.resolve_out_of_scope(quality.resolve_missing(merged, found, dataset, scope), scope, dataset))
     counts = quality.severities(found).first().asDict()
     found.unpersist()
     return counts
@@ -132,7 +137,8 @@ def validate(env: Env, what: str, scope: DataFrame | list[str] | None = None, dr
         scope = env.tracked().filter(F.col("prices") if what == "prices" else F.col("features")).select("security_id")
     rows = quality.scoped(env.lake.view(DATASETS[name]), scope)
     today = str(env.now().date())
-    rules = {"prices": lambda: quality.check_prices(rows, today), "features": lambda: quality.check_features(rows), "labels": lambda: quality.check_labels(rows)}
+    rules = {"prices": lambda: quality.check_prices(rows, today), "features": lambda: quality.check_features(rows),
+        "labels": lambda: quality.check_labels(rows)}
     found = rules[what]()
     if what == "prices" and isinstance(scope, DataFrame) and (expected := env.expected()) is not None:
         found = found.unionByName(quality.missing_recent(rows, scope, env.calendar(), expected))
@@ -183,7 +189,8 @@ def run_daily(env: Env, dry_run: bool = False) -> list[Step]:
 
         add(name, work)
 
-    for name, fn in (("universe", ingest.sync_universe), ("prices", ingest.sync_prices), ("vix", ingest.sync_vix), ("macro", ingest.sync_macro), ("filings", ingest.sync_filings)):
+    for name, fn in (("universe", ingest.sync_universe), ("prices", ingest.sync_prices), ("vix", ingest.sync_vix),
+        ("macro", ingest.sync_macro), ("filings", ingest.sync_filings)):
         sync(name, fn)
 
     def prices_checked() -> str:
@@ -246,19 +253,26 @@ class CriticalIssues(RuntimeError):
     """Issues that must not be built upon."""
 
 
-def research_report(panel: DataFrame, feature_list: list[str], targets: list[str], start: str, end: str, out: str, provenance: dict[str, str], horizon: int = 20) -> dict[str, int]:
+def research_report(panel: DataFrame, feature_list: list[str], targets: list[str], start: str, end: str, out: str,
+    provenance: dict[str, str], horizon: int = 20) -> dict[str, int]:
     """Every research table of both windows, written as Parquet with provenance columns. Returns rows by table."""
     panel = panel.cache()
     dev, val = research.in_split(panel, "development", start, end), research.in_split(panel, "validation", start, end)
     bounds, terciles = research.cutoffs(dev, targets), research.vix_terciles(dev)
     main = targets[-1]
-    tables: dict[str, DataFrame] = {"feature_coverage": research.coverage(panel, feature_list), "feature_rank_correlation": research.redundancy(panel, feature_list)}
+    tables: dict[str, DataFrame] = {"feature_coverage": research.coverage(panel, feature_list),
+        "feature_rank_correlation": research.redundancy(panel, feature_list)}
     for split, df in (("development", dev), ("validation", val)):
         stats = research.quintile_stats(df, feature_list, targets, bounds)
         made = {
-            "baseline": research.baseline(df, targets), "quantile_results": stats, "spread_results": research.spreads(stats), "overlapping_spread": research.overlapping_spread(df, feature_list, main, horizon),
-            "overlapping_spread_dates": research.extreme_dates(df, feature_list, main), "ic_results": research.rank_ic(df, feature_list, main), "regime_results": research.regime_stats(research.with_regimes(df, terciles), targets),
-            "price_sensitivity": research.price_sensitivity(df, main), "low_price_concentration": research.low_price_concentration(df, main), **{f"overlay_{k}": t for k, t in research.overlay(df, feature_list, main).items()},
+            "baseline": research.baseline(df, targets), "quantile_results": stats, "spread_results": research.spreads(stats),
+            "overlapping_spread": research.overlapping_spread(df, feature_list, main, horizon),
+            "overlapping_spread_dates": research.extreme_dates(df, feature_list, main),
+            "ic_results": research.rank_ic(df, feature_list, main),
+            "regime_results": research.regime_stats(research.with_regimes(df, terciles), targets),
+            "price_sensitivity": research.price_sensitivity(df, main),
+            "low_price_concentration": research.low_price_concentration(df, main),
+            **{f"overlay_{k}": t for k, t in research.overlay(df, feature_list, main).items()},
         }
         for name, t in made.items():
             t = t.withColumn("split", F.lit(split))
@@ -268,7 +282,8 @@ def research_report(panel: DataFrame, feature_list: list[str], targets: list[str
     tables["regime_cutoffs"] = spark.createDataFrame([terciles], "vix_low double, vix_high double")
     ic, over, spread = tables["ic_results"], tables["overlapping_spread"], tables["spread_results"].filter(F.col("target") == main)
     of = lambda t, s: t.filter(F.col("split") == s)
-    tables["feature_research_summary"] = research.feature_summary(of(ic, "development"), of(ic, "validation"), of(over, "development"), of(over, "validation"), of(spread, "development"))
+    tables["feature_research_summary"] = research.feature_summary(of(ic, "development"), of(ic, "validation"),
+        of(over, "development"), of(over, "validation"), of(spread, "development"))
     rows = {}
     for name, t in tables.items():
         t.withColumns({k: F.lit(v) for k, v in provenance.items()}).write.mode("overwrite").parquet(f"{out}/{name}")

@@ -101,7 +101,8 @@ def migrate(env: Env) -> dict[str, int]:
     prices = DATASETS["prices_daily"]
     before = env.tracked()
     known = env.lake.raw(prices).select("security_id").distinct() if env.lake.exists(prices) else before.select("security_id").limit(0)
-    new = known.join(before, "security_id", "left_anti").select("security_id", F.lit(True).alias("prices"), F.lit(True).alias("features"), F.lit("has bars").alias("reason"))
+    new = known.join(before, "security_id", "left_anti").select("security_id", F.lit(True).alias("prices"), F.lit(True)
+        .alias("features"), F.lit("has bars").alias("reason"))
     late = before.filter(F.col("prices") & ~F.col("features"))
     counts = {"tracked": new.count(), "featured": late.count()}
     if any(counts.values()):
@@ -123,7 +124,8 @@ def sync_universe(env: Env, dry_run: bool = False) -> Result:
         old = env.catalog.read("securities", SECURITIES + ", first_seen_at string, last_seen_at string")
         env.catalog.replace("securities", catalog.upsert_securities(old, made["securities"], day))
         schema = "security_id string, identifier_type string, identifier_value string, valid_from date, valid_to date"
-        env.catalog.replace("security_identifiers", catalog.change_identifiers(env.catalog.read("security_identifiers", schema), made["identifiers"], day))
+        env.catalog.replace("security_identifiers",
+            catalog.change_identifiers(env.catalog.read("security_identifiers", schema), made["identifiers"], day))
         snapshots = env.catalog.read("security_snapshots", SECURITIES + ", snapshot_date date")
         env.catalog.replace("security_snapshots", catalog.upsert_snapshot(snapshots, made["snapshots"]))
         n = made["securities"].count()
@@ -138,11 +140,13 @@ def ingest_prices(env: Env, targets: DataFrame, start: str, end: str, job: str,
     The batches that are done are kept under the job's key, so that a run that is resumed starts
     with the first one that isn't. A batch that fails is noted and the others go on.
     """
-    symbols = [(r["primary_ticker"], r["security_id"]) for r in targets.select("security_id", "primary_ticker").filter(F.col("primary_ticker").isNotNull()).orderBy("primary_ticker").collect()]
+    symbols = [(r["primary_ticker"], r["security_id"]) for r in targets.select("security_id", "primary_ticker")
+        .filter(F.col("primary_ticker").isNotNull()).orderBy("primary_ticker").collect()]
     size = env.settings.batch
     batches = [symbols[i : i + size] for i in range(0, len(symbols), size)]
     if dry_run:
-        return Result("PLANNED", requested=len(symbols), message=f"would fetch {len(symbols)} symbols from {start} to {end} in {len(batches)} batches")
+        return Result("PLANNED", requested=len(symbols),
+            message=f"would fetch {len(symbols)} symbols from {start} to {end} in {len(batches)} batches")
     key = catalog.job_key(job, symbols=[s for s, _ in symbols], start=start, end=end, batch=size)
     state = (env.jobs.load(key) if resume else None) or {"completed": [], "failed": []}
 
@@ -167,13 +171,15 @@ def ingest_prices(env: Env, targets: DataFrame, start: str, end: str, job: str,
             raise RuntimeError(failed[0]["error"])
         if not failed:
             env.jobs.clear(key)
-        return Result("PARTIAL" if failed else "DONE", rows, len(symbols), message=f"{rows} rows of {len(done)} symbols, {len(failed)} batches failed")
+        return Result("PARTIAL" if failed else "DONE", rows, len(symbols),
+            message=f"{rows} rows of {len(done)} symbols, {len(failed)} batches failed")
 
     return _recorded(env, job, work)
 
 
 def _targets(env: Env) -> DataFrame:
-    return env.securities().join(env.tracked().filter("prices").select("security_id"), "security_id", "left_semi").select("security_id", "primary_ticker")
+    return env.securities().join(env.tracked().filter("prices")
+        .select("security_id"), "security_id", "left_semi").select("security_id", "primary_ticker")
 
 
 def sync_prices(env: Env, dry_run: bool = False) -> Result:
@@ -206,7 +212,8 @@ def repair_prices(env: Env, sessions: int | None = None, dry_run: bool = False)
     return ingest_prices(env, _targets(env), str(last.agg(F.min("date")).first()[0]), expected, "repair_prices", dry_run=dry_run)
 
 
-def backfill_prices(env: Env, start: str, end: str | None = None, symbols: list[str] | None = None, resume: bool = True, dry_run: bool = False) -> Result:
+def backfill_prices(env: Env, start: str, end: str | None = None, symbols: list[str] | None = None, resume: bool = True,
+    dry_run: bool = False) -> Result:
     """Bars of given symbols, or of all known securities, from a day on; resumed where it was cut off."""
     targets = env.securities().select("security_id", "primary_ticker")
     if symbols is not None:
@@ -243,7 +250,8 @@ def sync_filings(env: Env, dry_run: bool = False) -> Result:
     """Filings of tracked issuers, read once an issuer and kept for each of its securities."""
     if "filings" not in env.readers:
         return Result("SKIPPED", message="no reader")
-    mine = env.securities().join(env.tracked().filter("prices").select("security_id"), "security_id", "left_semi").filter(F.col("cik").isNotNull())
+    mine = env.securities().join(env.tracked().filter("prices")
+        .select("security_id"), "security_id", "left_semi").filter(F.col("cik").isNotNull())
     ciks = [r["cik"] for r in mine.select("cik").distinct().orderBy("cik").collect()]  # tracked issuers
     if dry_run:
         return Result("PLANNED", requested=len(ciks), message=f"would check {len(ciks)} issuers")

@@ -27,7 +27,8 @@ class Catalog:
         folder = self._path(f"{self.base}/{table}")
         if not self._fs.exists(folder):
             return 0
-        done = [int(s.getPath().getName()[1:]) for s in self._fs.listStatus(folder) if self._fs.exists(self._path(s.getPath().toString() + "/_SUCCESS"))]
+        done = [int(s.getPath().getName()[1:]) for s in self._fs.listStatus(folder)
+            if self._fs.exists(self._path(s.getPath().toString() + "/_SUCCESS"))]
         return max(done, default=0)
 
     def read(self, table: str, schema: str | None = None) -> DataFrame:
@@ -65,7 +66,8 @@ def upsert_securities(old: DataFrame, new: DataFrame, at: str) -> DataFrame:
     """New rows over old ones; first_seen_at stays, last_seen_at moves."""
     hit = F.col("n.security_id").isNotNull()
     pick = {c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in new.columns if c != "security_id"}
-    pick |= {"first_seen_at": F.coalesce("o.first_seen_at", F.lit(at)), "last_seen_at": F.when(hit, F.lit(at)).otherwise(F.col("o.last_seen_at"))}
+    pick |= {"first_seen_at": F.coalesce("o.first_seen_at", F.lit(at)), "last_seen_at": F.when(hit, F.lit(at))
+        .otherwise(F.col("o.last_seen_at"))}
     return _merged(old, new, ["security_id"], pick)
 
 
@@ -140,7 +142,8 @@ def resolve_symbols(wanted: DataFrame, securities: DataFrame, identifiers: DataF
     open_ = identifiers.filter((F.col("identifier_type") == "TICKER") & F.col("valid_to").isNull())
     b = open_.groupBy(F.col("identifier_value").alias("ticker")).agg(F.min("security_id").alias("by_history"))
     how = F.when(F.col("by_primary").isNotNull(), "primary").when(F.col("by_history").isNotNull(), "history").otherwise("unresolved")
-    return t.join(a, "ticker", "left").join(b, "ticker", "left").select("ticker", F.coalesce("by_primary", "by_history").alias("security_id"), how.alias("how"))
+    return t.join(a, "ticker", "left").join(b, "ticker", "left").select("ticker", F.coalesce("by_primary", "by_history")
+        .alias("security_id"), how.alias("how"))
 
 
 def freshness(tracked: DataFrame, prices: DataFrame, expected: str, overlap: int = 3) -> DataFrame:
@@ -148,7 +151,8 @@ def freshness(tracked: DataFrame, prices: DataFrame, expected: str, overlap: int
     last = prices.groupBy("security_id").agg(F.max("date").alias("last_date"))
     day = F.lit(expected).cast("date")
     status = F.when(F.col("last_date").isNull(), "NO_DATA").when(F.col("last_date") >= day, "CURRENT").otherwise("STALE")
-    return tracked.select("security_id").join(last, "security_id", "left").select("security_id", "last_date", status.alias("status"), F.when(status == "STALE", F.date_sub("last_date", overlap)).alias("fetch_from"))
+    return tracked.select("security_id").join(last, "security_id", "left").select("security_id", "last_date", status.alias("status"),
+        F.when(status == "STALE", F.date_sub("last_date", overlap)).alias("fetch_from"))
 
 
 def job_key(name: str, **params: object) -> str:
@@ -156,7 +160,8 @@ def job_key(name: str, **params: object) -> str:
     return f"{name}_{hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
 
 
-def fetch_window(fresh: DataFrame, calendar: DataFrame, expected: str, lookback: int = 3, no_data_days: int = 10) -> tuple[str, str] | None:
+def fetch_window(fresh: DataFrame, calendar: DataFrame, expected: str, lookback: int = 3, no_data_days: int = 10) -> tuple[str,
+    str] | None:
     """(start, end) of a daily fetch for stale securities and those without data; None where all are current.
 
     Stale ones start ``lookback`` sessions before their last one, those without data some
@@ -182,15 +187,19 @@ RUNS = "run_id string, job string, started_at string, finished_at string, status
 
 
 def start_run(runs: DataFrame, run_id: str, job: str, at: str, params: dict[str, object]) -> DataFrame:
-    new = runs.sparkSession.createDataFrame([(run_id, job, at, None, "RUNNING", None, json.dumps(params, sort_keys=True, default=str))], RUNS)
+    new = runs.sparkSession.createDataFrame([(run_id, job, at, None, "RUNNING", None,
+        json.dumps(params, sort_keys=True, default=str))], RUNS)
     return runs.unionByName(new)
 
 
 def finish_run(runs: DataFrame, run_id: str, at: str, status: str, rows: int) -> DataFrame:
     mine = F.col("run_id") == run_id
-    return runs.withColumns({"finished_at": F.when(mine, F.lit(at)).otherwise(F.col("finished_at")), "status": F.when(mine, F.lit(status)).otherwise(F.col("status")), "rows": F.when(mine, F.lit(rows)).otherwise(F.col("rows"))})
+    return runs.withColumns({"finished_at": F.when(mine, F.lit(at))
+        .otherwise(F.col("finished_at")), "status": F.when(mine, F.lit(status))
+            .otherwise(F.col("status")), "rows": F.when(mine, F.lit(rows)).otherwise(F.col("rows"))})
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of raw files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256)
+        .alias("sha256"))

@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("l_extendedprice") / F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select(
-        F.format_string("S%06d", "l_suppkey").alias("security_id"), F.col("l_shipdate").cast("date").alias("date"), p.alias("p"), (p * (1 - F.col("l_discount"))).alias("q"),
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_tax").alias("tax"), F.col("l_quantity").alias("size"), F.col("l_linestatus").alias("status"),
+        F.format_string("S%06d", "l_suppkey").alias("security_id"), F.col("l_shipdate").cast("date")
+            .alias("date"), p.alias("p"), (p * (1 - F.col("l_discount"))).alias("q"),
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_tax").alias("tax"), F.col("l_quantity")
+            .alias("size"), F.col("l_linestatus").alias("status"),
     )
 
 
@@ -58,4 +60,5 @@ def benchmark(spark: SparkSession, sf_dir: str, status: str | None = None) -> Da
 
 def vix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, close): a daily series from order totals; it ends before the bars do."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg((F.avg("o_totalprice") / 10000).alias("close"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date")
+        .alias("date")).agg((F.avg("o_totalprice") / 10000).alias("close"))

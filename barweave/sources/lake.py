@@ -26,13 +26,15 @@ DATASETS = {
     d.name: d
     for d in (
         Dataset("prices_daily", "date", ("security_id", "date"), ("security_id", "date")),
-        Dataset("corporate_actions", "effective_date", ("security_id", "effective_date", "action_type"), ("security_id", "effective_date"), "year"),
+        Dataset("corporate_actions", "effective_date", ("security_id", "effective_date", "action_type"),
+            ("security_id", "effective_date"), "year"),
         Dataset("macro", "date", ("series_id", "date"), ("series_id", "date")),
         Dataset("volatility", "date", ("date",), ("date",), "year"),
         Dataset("filings", "filing_date", ("security_id", "accession_number"), ("security_id", "filing_date")),
         Dataset("short_volume", "date", ("security_id", "date"), ("security_id", "date")),
         Dataset("features_daily", "date", ("security_id", "date", "feature_version"), ("security_id", "date"), tie="calculated_at"),
-        Dataset("labels_forward_returns", "date", ("security_id", "date", "label_version"), ("security_id", "date"), tie="calculated_at"),
+        Dataset("labels_forward_returns", "date", ("security_id", "date", "label_version"), ("security_id", "date"),
+            tie="calculated_at"),
     )
 }
 
@@ -78,7 +80,8 @@ class Lake:
 
     def partitions(self, d: Dataset) -> list[dict[str, int]]:
         """The distinct year (and month) keys, from the paths."""
-        keys = {tuple((k, int(v)) for k, v in (x.split("=") for x in name.split("/") if x.startswith(("year=", "month=")))) for name, _ in self.files(d)}
+        keys = {tuple((k, int(v)) for k, v in (x.split("=") for x in name.split("/") if x.startswith(("year=", "month="))))
+            for name, _ in self.files(d)}
         return [dict(k) for k in sorted(keys)]
 
     def _parts(self, d: Dataset) -> list[str]:
@@ -120,7 +123,8 @@ class Lake:
             df = df.filter(F.col("year") >= y).filter(month >= y * 12 + m).filter(F.col(d.date) >= F.lit(start).cast("date"))
         if end:
             y, m = int(end[:4]), int(end[5:7])
-            df = df.filter(F.col("year") <= y).filter((F.lit(d.by == "year")) | (month <= y * 12 + m)).filter(F.col(d.date) <= F.lit(end).cast("date"))
+            df = (df.filter(F.col("year") <= y).filter((F.lit(d.by == "year")) | (month <= y * 12 + m))
+                .filter(F.col(d.date) <= F.lit(end).cast("date")))
         return last_write(df, d.keys, d.tie)
 
     def partition(self, d: Dataset, **keys: int) -> DataFrame:
@@ -171,7 +175,8 @@ class Lake:
             out["rows_after"] += keys
             if not dry_run:
                 staging = f"{self.base}/_staging/{uuid.uuid4().hex}"
-                last_write(df, d.keys, d.tie).coalesce(1).sortWithinPartitions(*d.sort).write.option("compression", "zstd").parquet(staging)
+                last_write(df, d.keys, d.tie).coalesce(1).sortWithinPartitions(*d.sort).write.option("compression",
+                    "zstd").parquet(staging)
                 self._verified_swap(d, self.spark.read.parquet(staging), last_write(df, d.keys, d.tie), staging, folder)
         return out
 
@@ -193,7 +198,9 @@ class Lake:
         n = rows.count()
         if not dry_run:
             staging = f"{self.base}/_staging/{uuid.uuid4().hex}"
-            rows.withColumn("year", F.year(d.date)).repartition("year").sortWithinPartitions(*d.sort).write.partitionBy("year").option("compression", "zstd").parquet(staging)
+            rows.withColumn("year",
+                F.year(d.date)).repartition("year").sortWithinPartitions(*d.sort).write.partitionBy("year").option("compression",
+                    "zstd").parquet(staging)
             self._verified_swap(d, self.spark.read.parquet(staging), rows, staging, self.path(d))
         return {"rows": n}
 
@@ -211,8 +218,10 @@ class Lake:
             mine = [(f, n) for f, n in listed if f"/{where}/" in f]
             sizes = [n for _, n in mine]
             mean = sum(sizes) / len(sizes) / 2**20
-            due = len(sizes) >= 25 or (len(sizes) > 1 and mean < 8) if d.by == "month" else len(sizes) >= 12 or (len(sizes) > 1 and mean < 2)
-            out.append({**part, "files": len(sizes), "rows": self.rows_of([f for f, _ in mine]), "bytes": sum(sizes), "mean_mb": mean, "needs_compaction": due})
+            due = len(sizes) >= 25 or (len(sizes) > 1 and mean < 8) if d.by == "month" else len(sizes) >= 12 or (len(sizes) > 1
+                and mean < 2)
+            out.append({**part, "files": len(sizes), "rows": self.rows_of([f for f, _ in mine]), "bytes": sum(sizes),
+                "mean_mb": mean, "needs_compaction": due})
         return out
 
 
@@ -220,4 +229,5 @@ def snapshot(df: DataFrame, d: Dataset) -> DataFrame:
     """(rows, securities, first, last, duplicate_keys): what a rewrite must not change."""
     sid = F.countDistinct("security_id") if "security_id" in df.columns else F.lit(0)
     again = df.groupBy(*d.keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_keys"))
-    return df.agg(F.count("*").alias("rows"), sid.alias("securities"), F.min(d.date).cast("string").alias("first"), F.max(d.date).cast("string").alias("last")).crossJoin(again)
+    return df.agg(F.count("*").alias("rows"), sid.alias("securities"), F.min(d.date).cast("string").alias("first"), F.max(d.date)
+        .cast("string").alias("last")).crossJoin(again)

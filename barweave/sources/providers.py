@@ -48,13 +48,15 @@ def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(spark.read.option("header", "true").csv(path))
 
 
-def normalise_prices(raw: DataFrame, security_id: str | Column, ticker: str | Column, currency: str = "USD", provider: str = "csv_prices", retrieved_at: str | None = None) -> DataFrame:
+def normalise_prices(raw: DataFrame, security_id: str | Column, ticker: str | Column, currency: str = "USD",
+    provider: str = "csv_prices", retrieved_at: str | None = None) -> DataFrame:
     """Price rows: missing prices stay null, missing dividends and splits are 0; of repeated dates the last row stays."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     df = _sequenced(raw).select(
         lit(security_id).alias("security_id"), lit(ticker).alias("ticker_at_time"), day("date").alias("date"),
         *(number(c).alias(c) for c in ("open", "high", "low", "close", "adj_close", "volume")),
-        *(F.coalesce(number(c), F.lit(0.0)).alias(c) for c in ("dividend", "stock_split")), F.lit(currency).alias("currency"), F.lit(provider).alias("provider"),
+        *(F.coalesce(number(c), F.lit(0.0)).alias(c) for c in ("dividend", "stock_split")), F.lit(currency)
+            .alias("currency"), F.lit(provider).alias("provider"),
         (F.current_timestamp() if retrieved_at is None else F.lit(retrieved_at).cast("timestamp")).alias("retrieved_at"), "__seq",
     )
     return keep_last(df.filter(F.col("date").isNotNull()), ["security_id", "date"], "__seq").drop("__seq")
@@ -62,9 +64,11 @@ def normalise_prices(raw: DataFrame, security_id: str | Column, ticker: str | Co
 
 def corporate_actions(prices: DataFrame) -> DataFrame:
     """DIVIDEND and SPLIT rows of bars that report one."""
-    both = F.array(F.struct(F.lit("DIVIDEND").alias("t"), F.col("dividend").alias("v")), F.struct(F.lit("SPLIT").alias("t"), F.col("stock_split").alias("v")))
+    both = F.array(F.struct(F.lit("DIVIDEND").alias("t"), F.col("dividend").alias("v")),
+        F.struct(F.lit("SPLIT").alias("t"), F.col("stock_split").alias("v")))
     rows = prices.withColumn("__x", F.explode(F.filter(both, lambda x: x["v"].isNotNull() & (x["v"] != 0))))
-    return rows.select("security_id", F.col("date").alias("effective_date"), F.col("__x.t").alias("action_type"), F.col("__x.v").alias("value"))
+    return rows.select("security_id", F.col("date").alias("effective_date"), F.col("__x.t").alias("action_type"), F.col("__x.v")
+        .alias("value"))
 
 
 def read_security_master(spark: SparkSession, path: str) -> DataFrame:
@@ -72,57 +76,75 @@ def read_security_master(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.schema("fields array<string>, data array<array<string>>").option("multiLine", "true").json(path)
     row = doc.select("fields", F.explode("data").alias("r"))
     at = lambda n: F.get(F.col("r"), (F.array_position("fields", n) - 1).cast("int"))
-    return row.select(at("cik").try_cast("long").alias("cik"), at("name").alias("name"), at("ticker").alias("ticker"), at("exchange").alias("exchange"))
+    return row.select(at("cik").try_cast("long").alias("cik"), at("name").alias("name"), at("ticker").alias("ticker"), at("exchange")
+        .alias("exchange"))
 
 
 def normalise_universe(master: DataFrame, day_: str) -> dict[str, DataFrame]:
     """securities, identifiers and snapshots; ids are CIK%010d, with the ticker where a CIK has several."""
-    df = _sequenced(master).filter(F.col("cik").isNotNull() & F.col("ticker").isNotNull()).withColumn("ticker", F.upper(F.trim("ticker")))
+    df = _sequenced(master).filter(F.col("cik").isNotNull() & F.col("ticker")
+        .isNotNull()).withColumn("ticker", F.upper(F.trim("ticker")))
     df = keep_last(df, ["cik", "ticker"], "__seq")
     several = F.count("*").over(Window.partitionBy("cik")) > 1
     base = F.format_string("CIK%010d", "cik")
-    df = df.withColumn("security_id", F.when(several, F.concat(base, F.lit("-"), F.regexp_replace("ticker", "[^A-Z0-9]", ""))).otherwise(base))
-    securities = df.select("security_id", "cik", F.col("name").alias("company_name"), "exchange", F.col("ticker").alias("primary_ticker"))
-    kinds = F.explode(F.array(F.struct(F.lit("TICKER").alias("t"), F.col("ticker").alias("v")), F.struct(F.lit("CIK").alias("t"), F.col("cik").cast("string").alias("v"))))
-    ids = df.select("security_id", kinds.alias("x")).select("security_id", F.col("x.t").alias("identifier_type"), F.col("x.v").alias("identifier_value"), F.lit(day_).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    df = df.withColumn("security_id", F.when(several, F.concat(base, F.lit("-"), F.regexp_replace("ticker", "[^A-Z0-9]", "")))
+        .otherwise(base))
+    securities = df.select("security_id", "cik", F.col("name").alias("company_name"), "exchange", F.col("ticker")
+        .alias("primary_ticker"))
+    kinds = F.explode(F.array(F.struct(F.lit("TICKER").alias("t"), F.col("ticker").alias("v")),
+        F.struct(F.lit("CIK").alias("t"), F.col("cik").cast("string").alias("v"))))
+    ids = df.select("security_id", kinds.alias("x")).select("security_id", F.col("x.t").alias("identifier_type"), F.col("x.v")
+        .alias("identifier_value"), F.lit(day_).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     return {"securities": securities, "identifiers": ids, "snapshots": securities.withColumn("snapshot_date", F.lit(day_).cast("date"))}
 
 
 def seed_universe(seeds: DataFrame, known: DataFrame) -> DataFrame:
     """Seed tickers that no security has yet, with ids of their own."""
-    return seeds.join(known.select(F.col("primary_ticker").alias("ticker")), "ticker", "left_anti").select(F.concat(F.lit("TCK"), F.regexp_replace("ticker", "[^A-Z0-9]", "")).alias("security_id"), F.col("ticker").alias("primary_ticker"), F.col("name").alias("company_name"))
+    return seeds.join(known.select(F.col("primary_ticker").alias("ticker")), "ticker",
+        "left_anti").select(F.concat(F.lit("TCK"), F.regexp_replace("ticker", "[^A-Z0-9]", "")).alias("security_id"), F.col("ticker")
+        .alias("primary_ticker"), F.col("name").alias("company_name"))
 
 
 def provider_symbols(securities: DataFrame, overrides: DataFrame) -> DataFrame:
     """The symbol a provider knows a security by: an override, else the ticker with dots as dashes."""
-    return securities.join(overrides.select("security_id", "provider_symbol"), "security_id", "left").select("security_id", "primary_ticker", F.coalesce("provider_symbol", F.replace(F.col("primary_ticker"), F.lit("."), F.lit("-"))).alias("symbol"))
+    return securities.join(overrides.select("security_id", "provider_symbol"), "security_id", "left").select("security_id",
+        "primary_ticker", F.coalesce("provider_symbol", F.replace(F.col("primary_ticker"), F.lit("."), F.lit("-"))).alias("symbol"))
 
 
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
     """Columnar filing arrays as rows of the wanted forms, with their address."""
-    doc = spark.read.schema("cik string, filings struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,primaryDocument:array<string>>>").option("multiLine", "true").json(path)
+    doc = spark.read.schema("cik string, filings "
+        "struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,primaryDocument:array<string>>>").option("multiLine", "true").json(path)
     r = F.col("filings.recent")
-    rows = doc.select("cik", F.explode(F.arrays_zip(r["accessionNumber"].alias("a"), r["form"].alias("f"), r["filingDate"].alias("d"), r["primaryDocument"].alias("p"))).alias("x"))
-    address = F.concat_ws("/", F.lit("Archives/edgar/data"), F.ltrim(F.col("cik"), F.lit("0")), F.replace(F.col("x.a"), F.lit("-"), F.lit("")), F.col("x.p"))
-    return rows.filter(F.col("x.f").isin(*FORMS)).select("cik", F.col("x.a").alias("accession_number"), F.col("x.f").alias("form_type"), F.col("x.d").alias("filing_date"), address.alias("url"))
+    rows = doc.select("cik",
+        F.explode(F.arrays_zip(r["accessionNumber"].alias("a"), r["form"].alias("f"), r["filingDate"].alias("d"),
+            r["primaryDocument"].alias("p"))).alias("x"))
+    address = F.concat_ws("/", F.lit("Archives/edgar/data"), F.ltrim(F.col("cik"), F.lit("0")),
+        F.replace(F.col("x.a"), F.lit("-"), F.lit("")), F.col("x.p"))
+    return rows.filter(F.col("x.f").isin(*FORMS)).select("cik", F.col("x.a").alias("accession_number"), F.col("x.f")
+        .alias("form_type"), F.col("x.d").alias("filing_date"), address.alias("url"))
 
 
 def normalise_filings(raw: DataFrame, security_id: Column) -> DataFrame:
     """Typed filings; rows without accession number, form or date are skipped, accession numbers come once a security."""
-    df = _sequenced(raw).select(security_id.alias("security_id"), "accession_number", "form_type", day("filing_date").alias("filing_date"), "url", "__seq")
+    df = _sequenced(raw).select(security_id.alias("security_id"), "accession_number", "form_type", day("filing_date")
+        .alias("filing_date"), "url", "__seq")
     known = df.dropna(subset=["accession_number", "form_type", "filing_date"])
     return keep_last(known, ["security_id", "accession_number"], "__seq").drop("__seq")
 
 
 def read_macro(spark: SparkSession, path: str) -> DataFrame:
     """Observations of one series document: (series_id, date, value), dots and blanks as null."""
-    doc = spark.read.schema("series_id string, observations array<struct<date:string,value:string>>").option("multiLine", "true").json(path)
-    return doc.select("series_id", F.explode("observations").alias("o")).select("series_id", F.col("o.date").alias("date"), F.col("o.value").alias("value"))
+    doc = spark.read.schema("series_id string, observations array<struct<date:string,value:string>>").option("multiLine",
+        "true").json(path)
+    return doc.select("series_id", F.explode("observations").alias("o")).select("series_id", F.col("o.date")
+        .alias("date"), F.col("o.value").alias("value"))
 
 
 def normalise_macro(raw: DataFrame) -> DataFrame:
     """Typed observations; of a repeated date the last one stays."""
-    df = _sequenced(raw).select("series_id", day("date").alias("date"), number("value").alias("value"), "__seq").filter(F.col("date").isNotNull())
+    df = _sequenced(raw).select("series_id", day("date").alias("date"), number("value").alias("value"), "__seq").filter(F.col("date")
+        .isNotNull())
     return keep_last(df, ["series_id", "date"], "__seq").drop("__seq")
 
 
@@ -135,7 +157,8 @@ def read_vix_csv(spark: SparkSession, path: str) -> DataFrame:
 def normalise_vix(raw: DataFrame) -> DataFrame:
     """Typed index levels; of a repeated date the last row stays."""
     prices = [number(c).alias(c) for c in ("open", "high", "low", "close")]
-    df = _sequenced(raw).select(day("date", ("MM/dd/yyyy", "yyyy-MM-dd")).alias("date"), *prices, "__seq").filter(F.col("date").isNotNull())
+    df = _sequenced(raw).select(day("date", ("MM/dd/yyyy", "yyyy-MM-dd")).alias("date"), *prices, "__seq").filter(F.col("date")
+        .isNotNull())
     return keep_last(df, ["date"], "__seq").drop("__seq")
 
 

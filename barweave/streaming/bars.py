@@ -18,9 +18,12 @@ def bars(events: DataFrame, width: str = "1 day", late: str = "3 days", key: str
     df = events.withColumn("ts", F.col("ts").cast("timestamp"))
     df = df.withWatermark("ts", late) if events.isStreaming else df
     out = df.groupBy(F.window("ts", width).alias("w"), F.col(key).alias("security_id")).agg(
-        F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.count("*").cast("double").alias("volume"), F.max("ts").alias("retrieved_at")
+        F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value")
+            .alias("low"), F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.count("*").cast("double")
+                .alias("volume"), F.max("ts").alias("retrieved_at")
     )
-    return out.select("security_id", F.col("w.start").cast("date").alias("date"), "open", "high", "low", "close", "volume", "retrieved_at")
+    return out.select("security_id", F.col("w.start").cast("date")
+        .alias("date"), "open", "high", "low", "close", "volume", "retrieved_at")
 
 
 def append_to(stream: DataFrame, sink: Callable[[DataFrame], object], checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -50,7 +50,8 @@ def running(bars: DataFrame, span: int = 12, period: int = 14) -> DataFrame:
         now, made = advance(tuple(held[1:]) if held is not None else None, rows["close"].tolist(), span, period)
         state.update((rows["date"].iloc[-1], *now))
         ema, rsi = zip(*made)
-        yield pd.DataFrame({"security_id": key[0], "date": rows["date"], "close": rows["close"], "ema": pd.array(ema, "Float64"), "rsi": pd.array(rsi, "Float64")})
+        yield pd.DataFrame({"security_id": key[0], "date": rows["date"], "close": rows["close"], "ema": pd.array(ema, "Float64"),
+            "rsi": pd.array(rsi, "Float64")})
 
     wanted = bars.select("security_id", "date", "close")
     return wanted.groupBy("security_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -18,7 +18,9 @@ DAY = dt.date(2024, 1, 2)
 
 def prices(spark, closes, sid="S1", **over):
     rows = [(sid, "T", DAY + dt.timedelta(days=i), c, c + 1, c - 1, c, c, 1000.0, 0.0, 0.0) for i, c in enumerate(map(float, closes))]
-    df = spark.createDataFrame(rows, "security_id string, ticker_at_time string, date date, open double, high double, low double, close double, adj_close double, volume double, dividend double, stock_split double")
+    df = spark.createDataFrame(rows,
+        "security_id string, ticker_at_time string, date date, open double, high double, low double, close double, adj_close double, "
+        "volume double, dividend double, stock_split double")
     return df.withColumns(over)
 
 
@@ -66,7 +68,8 @@ def test_indicator_bounds_and_causality(spark):
     closes = (100 + rng.normal(size=300).cumsum()).tolist()
     base = prices(spark, closes)
     got = indicators.compute(base, ["momentum", "volatility", "ichimoku"]).toPandas()
-    assert got.rsi_14.dropna().between(0, 100).all() and (got.bb_20_2_upper.dropna() >= got.bb_20_2_lower.dropna()).all() and (got.cloud_top.dropna() >= got.cloud_bottom.dropna()).all()
+    assert got.rsi_14.dropna().between(0,
+        100).all() and (got.bb_20_2_upper.dropna() >= got.bb_20_2_lower.dropna()).all() and (got.cloud_top.dropna() >= got.cloud_bottom.dropna()).all()
     changed = indicators.compute(prices(spark, closes[:250] + [c * 2 for c in closes[250:]]), ["momentum", "volatility"]).toPandas()
     same = [c for c in changed.columns if c in got]
     a, b = (x.sort_values("date").head(250)[same].reset_index(drop=True) for x in (got, changed))
@@ -113,7 +116,8 @@ def test_newey_west_and_fdr(spark):
     assert research.newey_west(df, "v", lag, ["feature"]).first().nw_t == pytest.approx(np.mean(d) / np.sqrt(v / n))
     assert research.newey_west(df.limit(2), "v", lag, ["feature"]).first().nw_t is None
     p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "pattern string, p double")
-    assert {r.pattern: r.q for r in mining.benjamini_hochberg(p).collect()} == {"a": pytest.approx(0.03), "b": pytest.approx(0.04), "c": pytest.approx(0.04), "d": None}
+    assert {r.pattern: r.q for r in mining.benjamini_hochberg(p)
+        .collect()} == {"a": pytest.approx(0.03), "b": pytest.approx(0.04), "c": pytest.approx(0.04), "d": None}
     assert mining.normal_p(1.96) == pytest.approx(0.05, abs=1e-3) and mining.normal_p(None) is None
 
 
@@ -125,18 +129,22 @@ def test_entries_and_reasons(spark):
     assert mining.activate(df, "on", "entry", 4).count() == 2
     parts = mining.folds("2026-12-31", mining.yearly_folds(["2020-12-31", "2025-12-31"], "2018-01-02"))
     assert [(f["eval_start"], f["eval_end"]) for f in parts] == [("2021-01-01", "2021-12-31"), ("2026-01-01", "2026-09-20")]
-    assert [f["fold"] for f in mining.folds("2026-05-01")] == [f[0] for f in mining.FOLDS] and mining.folds("2025-12-01")[-1]["fold"] == "fold5_eval_2025"
+    assert [f["fold"] for f in mining.folds("2026-05-01")] == [f[0]
+        for f in mining.FOLDS] and mining.folds("2025-12-01")[-1]["fold"] == "fold5_eval_2025"
 
 
 def test_lake_round_trip(spark, tmp_path):
     store, d = lake.Lake(spark, f"file://{tmp_path}/lake"), lake.DATASETS["prices_daily"]
-    row = lambda v, at: spark.createDataFrame([("S1", DAY, v, at), ("S1", DAY + dt.timedelta(days=40), 7.0, at)], "security_id string, date date, close double, retrieved_at string").withColumn("retrieved_at", F.to_timestamp("retrieved_at"))
+    row = lambda v, at: spark.createDataFrame([("S1", DAY, v, at), ("S1", DAY + dt.timedelta(days=40), 7.0, at)],
+        "security_id string, date date, close double, retrieved_at string").withColumn("retrieved_at",
+        F.to_timestamp("retrieved_at"))
     assert not store.exists(d) and store.append(d, row(1.0, "2024-01-01 00:00:00").limit(0)) == 0
     store.append(d, row(10.0, "2024-03-01 00:00:00"))
     store.append(d, row(10.5, "2024-03-01 01:00:00"))
     assert store.view(d).count() == 2 and store.raw(d).count() == 4 and store.stats(d).first().duplicate_keys == 2
     assert {r.close for r in store.view(d, "2024-01-01", "2024-01-31").collect()} == {10.5}
-    assert store.compact(d, dry_run=True)["partitions"] == 2 and store.compact(d)["rows_after"] == 2 and store.compact(d)["partitions"] == 0
+    assert store.compact(d,
+        dry_run=True)["partitions"] == 2 and store.compact(d)["rows_after"] == 2 and store.compact(d)["partitions"] == 0
     assert store.raw(d).count() == 2 and store.layout(d) == "month" and store.create_views() == ["prices_daily"]
     assert store.to_yearly(d) == {"rows": 2} and store.layout(d) == "year"
     assert store.raw(d).count() == 2 and not any(h["needs_compaction"] for h in store.health(d))
@@ -148,7 +156,8 @@ def test_catalogue(spark, tmp_path):
     old = c.read("tracked", schema)
     c.replace("tracked", catalog.track(old, spark.createDataFrame([("A", True, False, "x")], schema)))
     new = spark.createDataFrame([("A", False, True, "y"), ("B", True, True, "z")], schema)
-    got = {m: {r.security_id: tuple(r)[1:] for r in catalog.track(c.read("tracked"), new, m).collect()}["A"] for m in ("ensure", "add", "if_absent")}
+    got = {m: {r.security_id: tuple(r)[1:] for r in catalog.track(c.read("tracked"), new, m).collect()}["A"]
+        for m in ("ensure", "add", "if_absent")}
     assert got == {"ensure": (True, True, "x"), "add": (False, True, "y"), "if_absent": (True, False, "x")}
     assert c.attach() == ["tracked"] and catalog.untrack(c.read("tracked"), ["A"]).first().prices is False
     assert catalog.job_key("j", a=1) == catalog.job_key("j", a=1) != catalog.job_key("j", a=2) and len(catalog.job_key("j")) == 18
@@ -165,12 +174,15 @@ def test_providers(spark, tmp_path):
     assert (vix[0].close, vix[1].open, vix[1].high) == (13.5, None, None) and vix[0].date == DAY
     (tmp_path / "m.json").write_text('{"fields":["cik","name","ticker","exchange"],"data":[["1","A","AA","NYSE"],["1","A","A.B",null],["2","B","bb","OTC"]]}')
     u = providers.normalise_universe(providers.read_security_master(spark, f"file://{tmp_path}/m.json"), "2024-01-02")
-    assert {r.security_id for r in u["securities"].collect()} == {"CIK0000000001-AA", "CIK0000000001-AB", "CIK0000000002"} and u["identifiers"].count() == 6
+    assert {r.security_id for r in u["securities"].collect()} == {"CIK0000000001-AA", "CIK0000000001-AB",
+        "CIK0000000002"} and u["identifiers"].count() == 6
 
 
 def test_issues_reopen(spark):
     found = quality.negative_prices(prices(spark, [-1, 2]))
-    empty = spark.createDataFrame([], "issue_id string, dataset string, security_id string, date date, issue_type string, severity string, details string, detected_at string, resolved boolean")
+    empty = spark.createDataFrame([],
+        "issue_id string, dataset string, security_id string, date date, issue_type string, severity string, details string, "
+        "detected_at string, resolved boolean")
     one = quality.upsert_issues(empty, found, "p", "t1")
     done = quality.resolve_missing(one, found.limit(0), "p", prices(spark, [1]))
     assert {r.resolved for r in one.collect()} == {False} and {r.resolved for r in done.collect()} == {True}
@@ -190,10 +202,13 @@ def test_stream_appends_once(spark, tmp_path, sf):
     whole = bars.bars(events)
     got = store.view(d).drop("year", "month")
     assert 0 < got.count() <= whole.count() and got.count() == store.raw(d).count()
-    assert got.select("security_id", "date", "open", "high", "low", "close", "volume").subtract(whole.select("security_id", "date", "open", "high", "low", "close", "volume")).count() == 0
+    assert got.select("security_id", "date", "open", "high", "low", "close",
+        "volume").subtract(whole.select("security_id", "date", "open", "high", "low", "close", "volume")).count() == 0
 
 
-SAMPLE = ["bars", "adjusted_prices", "ma_slope", "rsi14", "atr14", "forward_excess", "path_stats", "lww_dedup", "scd2_identifiers", "classify_instruments", "calendar_neighbours", "cs_quintiles", "newey_west_t", "coverage_profile", "dq_ohlc", "issue_upsert", "cooldown", "pattern_scores", "event_bars_daily", "flagship"]
+SAMPLE = ["bars", "adjusted_prices", "ma_slope", "rsi14", "atr14", "forward_excess", "path_stats", "lww_dedup", "scd2_identifiers",
+    "classify_instruments", "calendar_neighbours", "cs_quintiles", "newey_west_t", "coverage_profile", "dq_ohlc", "issue_upsert",
+    "cooldown", "pattern_scores", "event_bars_daily", "flagship"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -206,5 +221,6 @@ def test_queries_match_sql(spark, sf, name):
     want = con.execute(queries.oracle_sql()[name]).fetchall()
     cols = [c[0] for c in con.description]
     got = [tuple(r[c] for c in cols) for r in queries.queries()[name](spark, sf).collect()]
-    plain = lambda rows: sorted(tuple(str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
+    plain = lambda rows: sorted(tuple(str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        for v in r) for r in rows)
     assert plain(got) == plain(want)

@@ -34,15 +34,21 @@ def env(spark, tmp_path):
     for name in ("universe", "prices", "vix", "filings"):
         (raw / name).mkdir(parents=True)
     rows = [[c, s, s, "NYSE"] for s, c in SYMBOLS.items()]
-    (raw / "universe" / "u.json").write_text(json.dumps({"fields": ["cik", "name", "ticker", "exchange"], "data": [[str(x) for x in r] for r in rows]}))
+    (raw / "universe" / "u.json").write_text(json.dumps({"fields": ["cik", "name", "ticker", "exchange"],
+        "data": [[str(x) for x in r] for r in rows]}))
     head = "date,open,high,low,close,adj_close,volume,dividend,stock_split\n"
     for s, c in SYMBOLS.items():
-        lines = [f"{d},{100 + i + c},{102 + i + c},{99 + i + c},{101 + i + c},{101 + i + c},{1000 + i},{0.5 if i == 20 else 0},0" for i, d in enumerate(DAYS)]
+        lines = [f"{d},{100 + i + c},{102 + i + c},{99 + i + c},{101 + i + c},{101 + i + c},{1000 + i},{0.5 if i == 20 else 0},0"
+            for i, d in enumerate(DAYS)]
         (raw / "prices" / f"{s}.csv").write_text(head + "\n".join(lines) + "\n")
-    (raw / "vix" / "v.csv").write_text("DATE,OPEN,HIGH,LOW,CLOSE\n" + "\n".join(f"{d:%m/%d/%Y},13,14,12,{13 + i % 5}" for i, d in enumerate(DAYS)) + "\n")
-    (raw / "filings" / "3.json").write_text(json.dumps({"cik": "3", "filings": {"recent": {"accessionNumber": ["a-1", "a-1", "a-2"], "form": ["10-K", "10-K", "odd"], "filingDate": [str(DAYS[0])] * 3, "primaryDocument": ["x", "y", "z"]}}}))
+    (raw / "vix" / "v.csv").write_text("DATE,OPEN,HIGH,LOW,CLOSE\n" + "\n".join(f"{d:%m/%d/%Y},13,14,12,{13 + i % 5}"
+        for i, d in enumerate(DAYS)) + "\n")
+    (raw / "filings" / "3.json").write_text(json.dumps({"cik": "3",
+        "filings": {"recent": {"accessionNumber": ["a-1", "a-1", "a-2"], "form": ["10-K", "10-K", "odd"],
+        "filingDate": [str(DAYS[0])] * 3, "primaryDocument": ["x", "y", "z"]}}}))
     at = {"now": dt.datetime.combine(DAYS[54], dt.time(23), dt.UTC)}
-    made = ingest.Env(spark, f"file://{tmp_path}/base", cli.readers(spark, f"file://{raw}"), ingest.Settings(batch=3), now=lambda: at["now"])
+    made = ingest.Env(spark, f"file://{tmp_path}/base", cli.readers(spark, f"file://{raw}"), ingest.Settings(batch=3),
+        now=lambda: at["now"])
     made.at = at
     made.catalog.replace("calendar", spark.createDataFrame([(d, i + 1) for i, d in enumerate(DAYS)], "date date, session_idx int"))
     return made
@@ -123,10 +129,12 @@ def test_batches_resume(env):
 
 def test_windows(spark):
     c = spark.createDataFrame([(d, i + 1) for i, d in enumerate(DAYS)], "date date, session_idx int")
-    fresh = spark.createDataFrame([("a", DAYS[20], "STALE"), ("b", DAYS[30], "CURRENT")], "security_id string, last_date date, status string")
+    fresh = spark.createDataFrame([("a", DAYS[20], "STALE"), ("b", DAYS[30], "CURRENT")],
+        "security_id string, last_date date, status string")
     assert catalog.fetch_window(fresh, c, str(DAYS[30])) == (str(DAYS[17]), str(DAYS[30]))
     none = fresh.unionByName(spark.createDataFrame([("c", None, "NO_DATA")], fresh.schema))
-    assert catalog.fetch_window(none.filter("status != 'STALE'"), c, str(DAYS[30])) == (str(DAYS[30] - dt.timedelta(days=10)), str(DAYS[30]))
+    assert catalog.fetch_window(none.filter("status != 'STALE'"), c, str(DAYS[30])) == (str(DAYS[30] - dt.timedelta(days=10)),
+        str(DAYS[30]))
     assert catalog.fetch_window(fresh.filter("status = 'CURRENT'"), c, str(DAYS[30])) is None
     assert catalog.end_exclusive("2024-02-29") == "2024-03-01"
 
@@ -141,7 +149,8 @@ def test_atomic_files(spark, tmp_path):
         raise ValueError("bad")
 
     with pytest.raises(ValueError):
-        files.write_via("a.json", lambda path: store.Files(spark, path.rsplit("/", 1)[0]).write(path.rsplit("/", 1)[1], b"three"), refuse)
+        files.write_via("a.json", lambda path: store.Files(spark, path.rsplit("/", 1)[0])
+            .write(path.rsplit("/", 1)[1], b"three"), refuse)
     assert files.read("a.json") == b"two" and files.names() == ["a.json"]
     jobs = store.Checkpoints(spark, f"file://{tmp_path}/j")
     assert jobs.load("x") is None and jobs.all() == []
@@ -163,11 +172,15 @@ def test_command_line(spark, tmp_path, env, capsys):
     assert json.loads(run("validate", "prices"))["issues"] == 0 and "all_three" in run("research", "reconcile")
     run("expand-universe", "--n", "4", "--name", "u")
     for a in ("baseline", "feature-coverage", "quantiles", "ic", "regimes"):
-        assert "|" in run("research", a, "--universe", "u", "--target", "forward_return_5d", "--features", "ret_1d", "--start", "2024-01-01", "--end", "2024-12-31")
+        assert "|" in run("research", a, "--universe", "u", "--target", "forward_return_5d", "--features", "ret_1d", "--start",
+            "2024-01-01", "--end", "2024-12-31")
     assert "rows_checked" in run("audit", "prices") and "by_cause" in run("audit", "extreme-labels")
-    assert '"partitions": 0' in run("compact", "prices") and "nothing to migrate" in run("migrate-partitions") and "needs_compaction" in run("storage-health", "prices")
-    assert "tenkan" in run("indicators", "list", "--category", "ichimoku") and "rsi_14" in run("indicators", "show", "--symbol", "AAA", "--id", "rsi", "--limit", "3")
-    assert "n_generated_singles" in run("mine", "run", "--universe", "u", "--target", "forward_return_5d", "--start", "2024-01-01", "--end", "2024-02-15", "--later", "2024-02-16", "--size", "1")
+    assert '"partitions": 0' in run("compact",
+        "prices") and "nothing to migrate" in run("migrate-partitions") and "needs_compaction" in run("storage-health", "prices")
+    assert "tenkan" in run("indicators", "list", "--category", "ichimoku") and "rsi_14" in run("indicators", "show", "--symbol",
+        "AAA", "--id", "rsi", "--limit", "3")
+    assert "n_generated_singles" in run("mine", "run", "--universe", "u", "--target", "forward_return_5d", "--start", "2024-01-01",
+        "--end", "2024-02-15", "--later", "2024-02-16", "--size", "1")
     assert '"expected"' in run("status") and "ok state folder" in run("doctor") and "report" in run("run-daily", "--dry-run")
 
 
@@ -197,17 +210,20 @@ def test_stream_state_equals_batch(spark, tmp_path):
 
 def test_mining_freezes_and_prunes(spark):
     """Cutoffs come from the discover window alone; aliases stand in only for what is missing; pairs of one kin aren't tried."""
-    rows = [(f"S{s:03d}", d, 25.0 if (s + i) % 7 == 0 else 55.0, float(i), 0.02 if (s + i) % 7 == 0 else 0.001 * ((s * 7 + i * 3) % 11 - 5)) for i, d in enumerate(weekdays(120)) for s in range(40)]
+    rows = [(f"S{s:03d}", d, 25.0 if (s + i) % 7 == 0 else 55.0, float(i),
+        0.02 if (s + i) % 7 == 0 else 0.001 * ((s * 7 + i * 3) % 11 - 5)) for i, d in enumerate(weekdays(120)) for s in range(40)]
     df = spark.createDataFrame(rows, "security_id string, date date, rsi_14 double, hist_vol_20 double, forward_excess_spy_20d double")
     end = str(weekdays(120)[59])
     found = mining.discover(df, "forward_excess_spy_20d", "2024-01-01", end, mining.Support(100, 20, 10))
     assert found.frozen["hist_vol_20"]["q80"] <= 59 and "rsi14_le_30" in found.selected
-    later = mining.discover(df.withColumn("hist_vol_20", F.when(F.col("date") > end, 9e9).otherwise(F.col("hist_vol_20"))), "forward_excess_spy_20d", "2024-01-01", end, mining.Support(100, 20, 10))
+    later = mining.discover(df.withColumn("hist_vol_20", F.when(F.col("date") > end, 9e9).otherwise(F.col("hist_vol_20"))),
+        "forward_excess_spy_20d", "2024-01-01", end, mining.Support(100, 20, 10))
     assert later.frozen == found.frozen and later.rows == found.rows
     assert [s.name for s in mining.base_states({"rsi_14"})] == ["rsi14_le_30", "rsi14_ge_70"]
     assert [s.name for s in mining.base_states({"ma_20_distance"})] == ["feat_close_above_ma20"]
     assert mining.pruned(mining.STATES[0], mining.STATES[1]) and not mining.pruned(mining.STATES[0], mining.STATES[2])
-    why = mining.reasons(found, ["rsi14_le_30", "rsi14_ge_70", "rsi14_le_30 AND rsi14_ge_70", "nothing", "macd_positive AND rsi14_le_30"])
+    why = mining.reasons(found,
+        ["rsi14_le_30", "rsi14_ge_70", "rsi14_le_30 AND rsi14_ge_70", "nothing", "macd_positive AND rsi14_le_30"])
     assert why["rsi14_le_30"] == "SELECTED" and why["rsi14_ge_70"] == "INSUFFICIENT_SUPPORT" and why["nothing"] == "NOT_GENERATED"
     assert why["macd_positive AND rsi14_le_30"] == "NOT_GENERATED"
     after = mining.evaluate(df, found, "forward_excess_spy_20d", str(weekdays(120)[60])).filter("pattern = 'rsi14_le_30'").first()
@@ -226,7 +242,8 @@ def test_entries_of_all_patterns_at_once(spark):
     made = [mining.State("a", "T", "x", "a"), mining.State("b", "T", "z", "b")]
     stated = mining.apply_states(df, made)
     for mode, wait in mining.MODES:
-        got = {p: {(r.security_id, r.date) for r in mining.hits(df, made, "y", mode=mode, wait=wait).collect() if r.pattern == p} for p in ("a", "b", "a AND b")}
+        got = {p: {(r.security_id, r.date) for r in mining.hits(df, made, "y", mode=mode, wait=wait).collect() if r.pattern == p}
+            for p in ("a", "b", "a AND b")}
         for p in got:
             assert got[p] == {(r.security_id, r.date) for r in mining.activate(stated, p, mode, wait).collect()}, (p, mode, wait)
 
@@ -236,16 +253,22 @@ def test_extreme_label_causes(spark):
     columns = ", ".join(f"{c} double" for c in labels.VALUES)
     value = lambda c: 2.5 if c == "forward_return_10d" else -2.1 if c == "forward_return_1d" else 0.1
     ids = ["stock", "artefact", "bad", "fund", "broken", "nobar"]
-    rows = spark.createDataFrame([(i, day, *(value(c) for c in labels.VALUES)) for i in ids], f"security_id string, date date, {columns}")
-    bars = [(i, d, 10.0, 5.0 if i == "broken" and d == day else 11.0, 9.0, 10.0, 40.0 if i in ("artefact", "bad") and d == day else 10.0, 0.0) for i in ids if i != "nobar" for d in DAYS[25:31]]
-    prices = spark.createDataFrame(bars, "security_id string, date date, open double, high double, low double, close double, adj_close double, stock_split double")
-    actions = spark.createDataFrame([("artefact", day - dt.timedelta(days=5), "SPLIT"), ("bad", day - dt.timedelta(days=6), "SPLIT")], "security_id string, effective_date date, action_type string")
-    classes = spark.createDataFrame([(i, "CLOSED_END_FUND" if i == "fund" else "COMMON_EQUITY") for i in ids], "security_id string, instrument_class string")
+    rows = spark.createDataFrame([(i, day, *(value(c) for c in labels.VALUES)) for i in ids],
+        f"security_id string, date date, {columns}")
+    bars = [(i, d, 10.0, 5.0 if i == "broken" and d == day else 11.0, 9.0, 10.0,
+        40.0 if i in ("artefact", "bad") and d == day else 10.0, 0.0) for i in ids if i != "nobar" for d in DAYS[25:31]]
+    prices = spark.createDataFrame(bars,
+        "security_id string, date date, open double, high double, low double, close double, adj_close double, stock_split double")
+    actions = spark.createDataFrame([("artefact", day - dt.timedelta(days=5), "SPLIT"),
+        ("bad", day - dt.timedelta(days=6), "SPLIT")], "security_id string, effective_date date, action_type string")
+    classes = spark.createDataFrame([(i, "CLOSED_END_FUND" if i == "fund" else "COMMON_EQUITY") for i in ids],
+        "security_id string, instrument_class string")
     members = spark.createDataFrame([("bad",), ("stock",)], "security_id string")
     audit = quality.extreme_label_audit(rows, prices, actions, classes, members)
     got = {(r.security_id, r.horizon): r.cause for r in audit.collect()}
     assert len(got) == 12
-    want = {"stock": "A_EXTREME_MARKET", "artefact": "C_ADJUSTMENT_ARTIFACT", "bad": "D_PROVIDER_BAD_DATA", "fund": "B_NON_COMMON_INSTRUMENT", "broken": "D_PROVIDER_BAD_DATA", "nobar": "E_UNEXPLAINED"}
+    want = {"stock": "A_EXTREME_MARKET", "artefact": "C_ADJUSTMENT_ARTIFACT", "bad": "D_PROVIDER_BAD_DATA",
+        "fund": "B_NON_COMMON_INSTRUMENT", "broken": "D_PROVIDER_BAD_DATA", "nobar": "E_UNEXPLAINED"}
     assert {i: got[i, "forward_return_10d"] for i in ids} == want
     report = quality.extreme_label_report(audit)
     assert {r.security_id for r in report["research_unexplained"].collect()} == {"bad"} and report["largest_negative"].count() == 6
