@@ -98,6 +98,7 @@ def _recorded(env: Env, job: str, work: Callable[[str], Result]) -> Result:
 
 def migrate(env: Env) -> dict[str, int]:
     """What any command does first, and again without effect: bars' securities become tracked, and tracked ones get features."""
+    env.lake.recover()
     prices = DATASETS["prices_daily"]
     before = env.tracked()
     known = env.lake.raw(prices).select("security_id").distinct() if env.lake.exists(prices) else before.select("security_id").limit(0)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -184,7 +185,7 @@ class Lake:
         if snapshot(new, d).collect() != snapshot(old, d).collect():
             raise RuntimeError(f"{folder}: the rewritten rows differ")
         fs = self._fs()
-        backup = f"{self.base}/_backup/{uuid.uuid4().hex}"
+        backup = f"{self.base}/_backup/{quote(folder[len(self.base) + 1 :], safe='')}"
         fs.mkdirs(self._path(f"{self.base}/_backup"))
         fs.rename(self._path(folder), self._path(backup))
         if not fs.rename(self._path(staging), self._path(folder)):
@@ -192,6 +193,25 @@ class Lake:
             raise RuntimeError(f"{folder}: the rewritten files couldn't be moved")
         fs.delete(self._path(backup), True)
 
+    def recover(self) -> dict[str, list[str]]:
+        """Undo what a rewrite that was cut off left: folders that were moved away come back, finished ones lose their backup, staged files go.
+
+        A rewrite can then be started again.
+        """
+        fs, out = self._fs(), {"restored": [], "dropped": []}
+        kept = self._path(f"{self.base}/_backup")
+        for found in fs.listStatus(kept) if fs.exists(kept) else []:
+            name = found.getPath().getName()
+            target = self._path(f"{self.base}/{unquote(name)}")
+            if fs.exists(target):
+                fs.delete(found.getPath(), True)
+                out["dropped"].append(unquote(name))
+            else:
+                fs.rename(found.getPath(), target)
+                out["restored"].append(unquote(name))
+        fs.delete(self._path(f"{self.base}/_staging"), True)
+        return out
+
     def to_yearly(self, d: Dataset, dry_run: bool = False) -> dict[str, int]:
         """Rewrite a dataset kept by month as one kept by year, verified before the swap."""
         rows = last_write(self.raw(d).drop("year", "month"), d.keys, d.tie)

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,44 @@ def test_lake_round_trip(spark, tmp_path):
     assert store.raw(d).count() == 2 and not any(h["needs_compaction"] for h in store.health(d))
 
 
+def test_cut_off_rewrites_recover(spark, tmp_path):
+    store, d = lake.Lake(spark, f"file://{tmp_path}/lake"), lake.DATASETS["prices_daily"]
+    rows = spark.createDataFrame([("S1", DAY, 1.0)], "security_id string, date date, close double")
+    store.append(d, rows.withColumn("retrieved_at", F.current_timestamp()))
+    base = tmp_path / "lake"
+    (base / "_staging" / "x").mkdir(parents=True)
+    (base / "_backup").mkdir()
+    (base / "prices_daily" / "year=2024" / "month=1").rename(base / "_backup" / "prices_daily%2Fyear%3D2024%2Fmonth%3D1")
+    (base / "_backup" / "prices_daily%2Fyear%3D2024").mkdir()
+    assert not store.exists(d)
+    assert store.recover() == {"restored": ["prices_daily/year=2024/month=1"], "dropped": ["prices_daily/year=2024"]}
+    assert store.raw(d).count() == 1 and not (base / "_staging").exists()
+    assert store.partition(d, year=2024, month=1).count() == 1 and store.health(d)[0]["rows"] == 1
+    for call in (lambda: store.partition(d, year=2024), lambda: store.compact(d, month=1), lambda: store.append(d, rows.withColumn("date", F.lit(None).cast("date")))):
+        with pytest.raises(Exception):
+            call()
+
+
+def test_flat_and_tied_bars(spark):
+    """Bars without any move: extremes are met again, nothing has a direction, and flat bars void money flow."""
+    flat = prices(spark, [100.0] * 300).withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    got = indicators.compute(flat).orderBy("date").toPandas()
+    last = got.iloc[-1]
+    assert last.new_high_252 and last.new_low_252 and not last.prior_high_breakout_20 and last.price_position_252 == 1.0
+    assert got.dx_14.isna().all() and got.adx_14.isna().all() and got.cmf_20.isna().all() and (got.ad_line == 0).all()
+    assert last.rsi_14 == 50 and last.cmo_14 == 0 and last.sma_20_direction == 0 and pd.isna(last.linreg_r2_20) and last.linreg_slope_20 == 0
+    assert got.volatility_percentile_60.notna().sum() == 300 - 59 and got.volume_percentile_60.notna().sum() == 241
+    on = got.squeeze_on.notna()
+    assert got.squeeze_release[on].notna().all() and not got.squeeze_release[on].iloc[0]
+
+
+def test_families_without_recursion_have_no_python(spark):
+    base = prices(spark, range(100, 140))
+    for id, recursive in (("sma", False), ("bollinger", False), ("linreg", False), ("obv", False), ("macd", True), ("keltner", True)):
+        plan = indicators.compute(base, ids=[id])._jdf.queryExecution().executedPlan().toString()
+        assert ("FlatMapGroupsInArrow" in plan) == recursive, id
+
+
 def test_catalogue(spark, tmp_path):
     c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
     schema = "security_id string, prices boolean, features boolean, reason string"
