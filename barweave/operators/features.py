@@ -34,7 +34,10 @@ def by_date() -> WindowSpec:
 
 
 def add_adjusted(df: DataFrame) -> DataFrame:
-    """adjusted_open, _high, _low, _close: raw prices times adj_close / close; all null where that factor isn't a finite number above or below zero."""
+    """adjusted_open, _high, _low, _close.
+
+    Raw prices times adj_close / close; all null where that factor isn't a finite number above or below zero.
+    """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != F.lit(float("inf"))) & (F.col(c) != 0)
     valid = ok("close") & ok("adj_close")
     factor = div("adj_close", "close")

@@ -264,7 +264,11 @@ def conjunction(pattern: str, columns: list[str]) -> Column:
 
 
 def with_entries(df: DataFrame, flag: str) -> DataFrame:
-    """__entry: the flag's first row of a run; __episode: the run's number. Filter to the window first, so that its first row can enter."""
+    """__entry.
+
+    The flag's first row of a run; __episode: the run's number. Filter to the window first, so that its first row can
+    enter.
+    """
     on = F.coalesce(F.col(flag), F.lit(False))
     marked = df.withColumn("__entry", on & ~F.coalesce(F.lag(on).over(series()), F.lit(False)))
     runs = F.sum(F.col("__entry").cast("int")).over(series().rowsBetween(Window.unboundedPreceding, 0))

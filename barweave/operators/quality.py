@@ -287,7 +287,9 @@ def extreme_label_audit(labels: DataFrame, prices: DataFrame, actions: DataFrame
 
 
 def extreme_label_report(audit: DataFrame, k: int = 30) -> dict[str, DataFrame]:
-    """Counts by security, class, horizon, cause and date, the largest and smallest values, and rows of the research universe without a good cause."""
+    """Counts by security, class, horizon, cause and date, the largest and smallest values, and rows of the research
+    universe without a good cause.
+    """
     count = lambda c: audit.groupBy(c).agg(F.count("*").alias("n"))
     suspect = F.col("in_research") & F.col("cause").isin(ADJUSTMENT, BAD_DATA, UNEXPLAINED)
     ends = ["security_id", "date", "horizon"]

@@ -293,7 +293,11 @@ def _most(rows: DataFrame, name: str, key: str, k: int = 15) -> DataFrame:
 
 
 def low_price_concentration(df: DataFrame, target: str) -> DataFrame:
-    """(table, key, n, share): rows by price bucket, outcomes above 2 by bucket, the top 1 % and 0.1 % by bucket, and their top 15 securities and dates."""
+    """(table, key, n, share).
+
+    Rows by price bucket, outcomes above 2 by bucket, the top 1 % and 0.1 % by bucket, and their top 15 securities and
+    dates.
+    """
     rows = df.filter(F.col(target).isNotNull()).withColumn("bucket", F.coalesce(price_bucket(), F.lit("unknown")))
     rows = rows.select("security_id", "date", "bucket", target)
     total = rows.count()
@@ -319,7 +323,10 @@ def horizon(target: Column) -> Column:
 
 
 def _robust(rows: DataFrame, by: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
-    """Statistics of (by..., target, value, excess, date): plain, trimmed and winsorised means, exact nearest quartiles, shares above zero."""
+    """Statistics of (by..., target, value, excess, date).
+
+    Plain, trimmed and winsorised means, exact nearest quartiles, shares above zero.
+    """
     low, high = _per_target(bounds, 0) if bounds else F.lit(None).cast("double"), _per_target(bounds,
         1) if bounds else F.lit(None).cast("double")
     v, bounded = F.col("value"), low.isNotNull()
@@ -370,12 +377,27 @@ def robust_spreads(quantiles: DataFrame) -> DataFrame:
     return out.filter(F.col("q1_n").isNotNull() & F.col("q5_n").isNotNull())
 
 
-def feature_summary(ic_dev: DataFrame, ic_val: DataFrame, nw_dev: DataFrame, nw_val: DataFrame, spread_dev: DataFrame) -> DataFrame:
-    """One row a feature: development and validation IC, robust t and median spread."""
-    name = lambda df, c, a: df.select("feature", F.col(c).alias(a))
-    parts = [name(ic_dev, "mean_ic", "dev_ic"), name(ic_val, "mean_ic", "val_ic"), name(nw_dev, "nw_t", "dev_nw_t"),
-        name(nw_val, "nw_t", "val_nw_t"), name(spread_dev, "median_spread", "dev_median_spread")]
-    return reduce(lambda a, b: a.join(b, "feature", "left"), parts)
+def feature_summary(df: DataFrame, features: list[str], target: str, start: str, end: str, horizon: int) -> DataFrame:
+    """One row a feature: rank IC, robust t of the daily spread and median spread of both windows, over all rows and those priced at 5 or more.
+
+    Bounds are frozen on the development window.
+    """
+    bounds = cutoffs(in_split(df, "development", start, end), [target])
+    counts = [F.lit(f).alias("feature") for f in features]
+    out = df.sparkSession.range(1).select(F.explode(F.array(*counts)).alias("feature"))
+    for split in ("development", "validation"):
+        window = in_split(df, split, start, end)
+        n = window.agg(F.count("*").alias(f"{split}_n"))
+        out = out.crossJoin(F.broadcast(n))
+        for prefix, rows in (("", window), ("price_ge_5_", window.filter(F.col("raw_close") >= 5))):
+            ic = rank_ic(rows, features, target).select("feature", F.col("mean_ic").alias(f"{prefix}{split}_ic"))
+            t = newey_west(daily_spread(rows, features, target), "spread", horizon, ["feature"])
+            t = t.select("feature", F.col("nw_t").alias(f"{prefix}{split}_overlapping_nw_t"))
+            spread = robust_spreads(robust_quantiles(rows, features, [target], bounds))
+            spread = spread.select("feature", F.col("median_spread").alias(f"{prefix}{split}_median_q5_q1"))
+            for part in (ic, t, spread):
+                out = out.join(part, "feature", "left")
+    return out
 
 
 def reconcile(prices: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:

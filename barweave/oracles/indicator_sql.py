@@ -81,7 +81,10 @@ class Chain:
         return self
 
     def fold(self, first: str, start: dict[str, str], step: dict[str, str], keep: dict[str, str]) -> Chain:
-        """A recursion over the bars of a security: ``start`` on the bar where ``first`` holds, ``step`` from state r to bar x on all later ones."""
+        """A recursion over the bars of a security.
+
+        ``start`` on the bar where ``first`` holds, ``step`` from state r to bar x on all later ones.
+        """
         r, name, source = f"r{len(self.ctes)}", f"s{len(self.ctes) + 1}", self.at
         begin = ", ".join(f"({e})::DOUBLE AS {n}" for n, e in start.items())
         onward = ", ".join(f"({e})::DOUBLE" for e in step.values())

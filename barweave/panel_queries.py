@@ -551,6 +551,32 @@ def robust_spreads(spark, d):
     return research.robust_spreads(research.robust_quantiles(p, ["ret_20d"], TARGETS, research.cutoffs(p, TARGETS)))
 
 
+def _summary_sql() -> str:
+    """The feature's row, each number from a select of its own."""
+    parts = {}
+    for split, when in (("development", DEV), ("validation", f"date > DATE '{DEV_END}'")):
+        parts[f"{split}_n"] = f"SELECT count(*) FROM panel WHERE {when}"
+        for prefix, floor in (("", "true"), ("price_ge_5_", "raw_close >= 5")):
+            known = f"FROM panel WHERE {when} AND {floor} AND ret_20d IS NOT NULL"
+            ranks = f"SELECT date, {_rank('ret_20d', 'date')} AS ra, {_rank('forward_return_20d', 'date')} AS rb {known} AND forward_return_20d IS NOT NULL"
+            parts[f"{prefix}{split}_ic"] = f"SELECT avg(ic) FROM (SELECT {_corr('ra', 'rb')} AS ic FROM ({ranks}) GROUP BY date)"
+            places = f"SELECT date, forward_return_20d AS y, {_rank('ret_20d', 'date')} AS rk, count(*) OVER (PARTITION BY date) AS n {known}"
+            held = f"SELECT date, y, least(greatest(floor((rk - 1) / n * 5), 0), 4) + 1 AS q FROM ({places})"
+            middle = "median(y) FILTER (q = 5 AND y IS NOT NULL) - median(y) FILTER (q = 1 AND y IS NOT NULL)"
+            parts[f"{prefix}{split}_median_q5_q1"] = f"SELECT {middle} FROM ({held})"
+    names = [f"({e}) AS {n}" for n, e in parts.items()]
+    doubles = [n for n in parts if not n.endswith("_n")]
+    return f"+ z AS (SELECT {', '.join(names)}) SELECT 'ret_20d' AS feature, development_n, validation_n, {_r(*doubles, digits=5)} FROM z"
+
+
+@query(_summary_sql(), panel=True, digits=5)
+def feature_research_summary(spark, d):
+    """What is known of a feature in both windows, over all rows and those priced at 5 or more."""
+    made = research.feature_summary(_light(spark, d), ["ret_20d"], "forward_return_20d", DEV_START, DEV_END, 20)
+    return made.drop(*(c for c in made.columns if c.endswith("nw_t")))
+
+
+
 @query("+ p AS (SELECT security_id, count(*) AS n FROM bars WHERE substr(security_id, 7, 1) <> '4' GROUP BY 1), f AS (SELECT "
     "security_id, count(*) AS n FROM bars WHERE substr(security_id, 7, 1) <> '1' GROUP BY 1), l AS (SELECT security_id, count(*) AS "
     "n FROM bars WHERE substr(security_id, 7, 1) NOT IN ('1', '5') AND month(date) <> 12 GROUP BY 1), z AS (SELECT p.n AS pn, f.n AS "

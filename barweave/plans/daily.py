@@ -34,14 +34,18 @@ def incremental_start(calendar: DataFrame, last: str | None, sessions: int) -> s
 
 
 def compute_features(lake: Lake, spy: DataFrame, qqq: DataFrame, vix: DataFrame, calendar: DataFrame, start: str | None = None,
-    end: str | None = None, dry_run: bool = False) -> dict[str, object]:
-    """Features from ``start`` on, read with a lookback of sessions and appended. One job over all securities."""
+    end: str | None = None, dry_run: bool = False, only: DataFrame | None = None) -> dict[str, object]:
+    """Features from ``start`` on, read with a lookback of sessions and appended.
+
+    One job over all securities, or ``only`` those of a table of ids.
+    """
     d = DATASETS["prices_daily"]
     read_from = incremental_start(calendar, start, LOOKBACK) if start else None
     plan = {"start": start, "end": end, "read_from": read_from}
     if dry_run:
         return plan
-    rows = features.compute(lake.view(d, read_from, end), spy, qqq, vix, start, end)
+    bars = quality.scoped(lake.view(d, read_from, end), only)
+    rows = features.compute(bars, spy, qqq, vix, start, end)
     return plan | {"rows": lake.append(DATASETS["features_daily"], rows)}
 
 
@@ -221,7 +225,8 @@ def run_daily(env: Env, dry_run: bool = False) -> list[Step]:
             return "SKIPPED: no new sessions"
         if dry_run:
             return f"would compute from {start}"
-        done = compute_features(env.lake, _market(env, "SPY"), _market(env, "QQQ"), _vix(env), env.calendar(), start)
+        wanted = env.tracked().filter("features").select("security_id")
+        done = compute_features(env.lake, _market(env, "SPY"), _market(env, "QQQ"), _vix(env), env.calendar(), start, only=wanted)
         return f"DONE: {done['rows']} rows from {start}"
 
     def labels_made() -> str:
@@ -272,18 +277,19 @@ def research_report(panel: DataFrame, feature_list: list[str], targets: list[str
             "regime_results": research.regime_stats(research.with_regimes(df, terciles), targets),
             "price_sensitivity": research.price_sensitivity(df, main),
             "low_price_concentration": research.low_price_concentration(df, main),
+            "robust_baseline": research.robust_baseline(df, targets, bounds),
+            "robust_quantile_results": research.robust_quantiles(df, feature_list, targets, bounds),
+            "robust_spread_results": research.robust_spreads(research.robust_quantiles(df, feature_list, targets, bounds)),
+            "ic_by_date": research.ic_by_date(df, feature_list, main),
             **{f"overlay_{k}": t for k, t in research.overlay(df, feature_list, main).items()},
         }
         for name, t in made.items():
             t = t.withColumn("split", F.lit(split))
-            tables[name] = t if name not in tables else tables[name].unionByName(t)
+            tables[name] = t if name not in tables else tables[name].unionByName(t, allowMissingColumns=True)
     spark = panel.sparkSession
     tables["robust_cutoffs"] = spark.createDataFrame([(t, *b) for t, b in bounds.items()], "target string, p1 double, p99 double")
     tables["regime_cutoffs"] = spark.createDataFrame([terciles], "vix_low double, vix_high double")
-    ic, over, spread = tables["ic_results"], tables["overlapping_spread"], tables["spread_results"].filter(F.col("target") == main)
-    of = lambda t, s: t.filter(F.col("split") == s)
-    tables["feature_research_summary"] = research.feature_summary(of(ic, "development"), of(ic, "validation"),
-        of(over, "development"), of(over, "validation"), of(spread, "development"))
+    tables["feature_research_summary"] = research.feature_summary(panel, feature_list, main, start, end, horizon)
     rows = {}
     for name, t in tables.items():
         t.withColumns({k: F.lit(v) for k, v in provenance.items()}).write.mode("overwrite").parquet(f"{out}/{name}")

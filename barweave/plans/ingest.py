@@ -31,6 +31,7 @@ class Settings:
     lookback: int = 3
     repair: int = 20
     recompute: int = 30
+    provider: str = "csv_prices"
     commercial: bool = False
 
 
@@ -148,6 +149,7 @@ def ingest_prices(env: Env, targets: DataFrame, start: str, end: str, job: str,
     if dry_run:
         return Result("PLANNED", requested=len(symbols),
             message=f"would fetch {len(symbols)} symbols from {start} to {end} in {len(batches)} batches")
+    providers.license_guard(env.settings.provider, env.settings.commercial)
     key = catalog.job_key(job, symbols=[s for s, _ in symbols], start=start, end=end, batch=size)
     state = (env.jobs.load(key) if resume else None) or {"completed": [], "failed": []}
 

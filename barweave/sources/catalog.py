@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 
 class Catalog:
+    #: Versions of a table that stay.
+    kept = 5
+
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
         self._jvm = spark.sparkContext._jvm
@@ -40,8 +43,12 @@ class Catalog:
         return self.spark.read.parquet(f"{self.base}/{table}/v{v}")
 
     def replace(self, table: str, df: DataFrame) -> int:
+        """Write the next version; the ones that a plan may still read stay, older ones go."""
         v = self.version(table) + 1
         df.write.mode("overwrite").parquet(f"{self.base}/{table}/v{v}")
+        old = self._path(f"{self.base}/{table}/v{v - self.kept}")
+        if v > self.kept and self._fs.exists(old):
+            self._fs.delete(old, True)
         return v
 
     def attach(self) -> list[str]:
@@ -72,7 +79,10 @@ def upsert_securities(old: DataFrame, new: DataFrame, at: str) -> DataFrame:
 
 
 def track(old: DataFrame, new: DataFrame, mode: str = "ensure") -> DataFrame:
-    """Tracked securities (security_id, prices, features, reason). ensure: flags are or-ed, the reason stays; add: replaced; if_absent: old rows stay."""
+    """Tracked securities (security_id, prices, features, reason).
+
+    Ensure: flags are or-ed, the reason stays; add: replaced; if_absent: old rows stay.
+    """
     hit, had = F.col("n.security_id").isNotNull(), F.col("o.security_id").isNotNull()
     either = lambda c: F.coalesce(f"o.{c}", F.lit(False)) | F.coalesce(f"n.{c}", F.lit(False))
     if mode == "ensure":

@@ -62,7 +62,10 @@ class Files:
         self.write_via(name, put)
 
     def write_via(self, name: str, writer: Callable[[str], object], check: Callable[[str], object] | None = None) -> None:
-        """``writer`` makes a file or folder at the path it is given, ``check`` may refuse it by raising; only then it replaces the target."""
+        """``writer`` makes a file or folder at the path it is given, ``check`` may refuse it by raising.
+
+        Only then it replaces the target.
+        """
         staging, target = self.full(f".{name}.{uuid.uuid4().hex}"), self._path(self.full(name))
         self._fs.mkdirs(self._path(self.base))
         try:

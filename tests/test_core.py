@@ -198,7 +198,10 @@ def test_catalogue(spark, tmp_path):
     got = {m: {r.security_id: tuple(r)[1:] for r in catalog.track(c.read("tracked"), new, m).collect()}["A"]
         for m in ("ensure", "add", "if_absent")}
     assert got == {"ensure": (True, True, "x"), "add": (False, True, "y"), "if_absent": (True, False, "x")}
-    assert c.attach() == ["tracked"] and catalog.untrack(c.read("tracked"), ["A"]).first().prices is False
+    for _ in range(7):
+        c.replace("many", spark.range(1))
+    assert c.version("many") == 7 and len(list((tmp_path / "cat" / "many").iterdir())) == c.kept
+    assert c.attach() == ["many", "tracked"] and catalog.untrack(c.read("tracked"), ["A"]).first().prices is False
     assert catalog.job_key("j", a=1) == catalog.job_key("j", a=1) != catalog.job_key("j", a=2) and len(catalog.job_key("j")) == 18
     with pytest.raises(PermissionError):
         providers.license_guard("csv_prices", True)
