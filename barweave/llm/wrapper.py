@@ -47,11 +47,16 @@ MAX_DEPTH = 256
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-_DROPPED = frozenset("head title script style noscript template nav header footer aside form button select option textarea input iframe svg canvas object dialog menu menuitem map audio video".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
+    "strike strong sub sup time tt u var wbr img".split())
+_DROPPED = frozenset("head title script style noscript template nav header footer aside form button select option textarea input "
+    "iframe svg canvas object dialog menu menuitem map audio video".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _DROPPED_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies respond responses form search toolbar pagination pager skip".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget ad ads advert adverts "
+    "advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal "
+    "overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies "
+    "respond responses form search toolbar pagination pager skip".split()
 )
 _MAIN = frozenset(("article", "main"))
 #: Elements that can be content slots.
@@ -60,9 +65,11 @@ _CONTAINERS = frozenset("#root html body center div section article main td".spl
 _ABOUT = frozenset("no not non without with has have hide show is".split())
 _CONTENT = frozenset("content post entry story article".split())
 #: Opening one of these closes an open one of the second kind, up to a boundary.
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead")}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead")}
 _BOUNDS = frozenset(("ul", "ol", "dl", "table", "select", "body", "html", "article", "main", "section", "div", "nav"))
-_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hr main menu nav ol p pre section table ul".split())
 
 #: Comments, declarations, tags, tags with a quote that is never closed (they end at the next >), text.
 _TOKEN = re.compile(
@@ -76,7 +83,11 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An element: its signature (tag and first class), children (nodes and texts in order) and whether it is boilerplate, or only named like it."""
+    """An element.
+
+    Its signature (tag and first class), children (nodes and texts in order) and whether it is boilerplate, or only
+    named like it.
+    """
 
     __slots__ = ("tag", "sign", "items", "dropped", "named")
 
@@ -102,7 +113,8 @@ def _element(tag: str, attributes: str) -> Node:
         if words:
             sign = f"{tag}.{words[0]}"
         named = tag not in _MAIN and (_names(found.get("class", "")) or _names(found.get("id", "")))
-        dropped = dropped or "hidden" in found or found.get("aria-hidden") == "true" or not _DROPPED_ROLES.isdisjoint(found.get("role", "").split()[:1])
+        dropped = (dropped or "hidden" in found or found.get("aria-hidden") == "true"
+            or not _DROPPED_ROLES.isdisjoint(found.get("role", "").split()[:1]))
     return Node(tag, sign, dropped, named)
 
 
@@ -226,7 +238,8 @@ def _place(path: str) -> int:
 
 def _key(path: str, text: str) -> int:
     """64 bits of a slot and its text."""
-    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8)
+        .digest(), "big", signed=True)
 
 
 def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
@@ -348,7 +361,8 @@ def layouts(shapes: dict[str, int]) -> dict[str, int]:
     for shape in sorted(shapes, key=lambda x: (-shapes[x], x)):
         tree = _tree("#root", json.loads(shape))
         size = _size(tree)
-        fits = (i for i, (other, n) in enumerate(leaders) if 2 * min(size, n) >= LAYOUT_SHARE * (size + n) and 2 * tree_match(tree, other)[0] >= LAYOUT_SHARE * (size + n))
+        fits = (i for i, (other, n) in enumerate(leaders) if 2 * min(size, n) >= LAYOUT_SHARE * (size + n)
+            and 2 * tree_match(tree, other)[0] >= LAYOUT_SHARE * (size + n))
         found[shape] = next(fits, len(leaders))
         if found[shape] == len(leaders):
             leaders.append((tree, size))
@@ -395,17 +409,16 @@ def read(tree: Node, template: frozenset[int], content: frozenset[int] = frozens
     blocks: list[str] = []
     words: list[str] = []
 
-    def seek(top: Node, above: str, wanted) -> list[tuple[Node, str]]:
-        """(element, path above it) of the outermost wanted elements, in page order."""
+    def articles_of(top: Node, above: str) -> list[tuple[Node, str]]:
+        """(element, path above it) of the outermost articles, in page order."""
         found: list[tuple[Node, str]] = []
         todo = [(top, above)]
         while todo:
             node, path = todo.pop()
-            inner = f"{path}/{node.sign}" if node.tag not in _INLINE else path
-            if wanted(node, inner):
+            if node.tag in _MAIN:
                 found.append((node, path))
             else:
-                todo.extend((x, inner) for x in reversed(_children(node)))
+                todo.extend((x, f"{path}/{node.sign}") for x in reversed(_children(node)))
         return found
 
     def end() -> None:
@@ -432,9 +445,21 @@ def read(tree: Node, template: frozenset[int], content: frozenset[int] = frozens
                     todo.append((None, path, skip))
                 todo.extend((x, path, skip) for x in reversed(item.items))
 
-    # Slots of texts have the inline elements in their paths, content slots don't: those lie above any text.
-    tops = seek(tree, "", lambda node, path: node.tag not in _INLINE and _place(path) in content) if content else []
-    articles = [x for node, path in tops or [(tree, "")] for x in seek(node, path, lambda node, _: node.tag in _MAIN)]
+    def deepest() -> list[tuple[Node, str]]:
+        """(element, path above it) of the deepest content slot that the page has: a host's layouts may share the upper ones."""
+        found: dict[int, list[tuple[Node, str]]] = defaultdict(list)
+        todo = [(tree, "", "", 0)]
+        while todo:
+            node, path, blocks_path, depth = todo.pop()
+            if node.tag not in _INLINE:  # slots of texts have inline elements in their paths, content slots don't
+                blocks_path = f"{blocks_path}/{node.sign}"
+                if node.tag in _CONTAINERS and _place(blocks_path) in content:
+                    found[depth].append((node, path))
+            todo.extend((x, f"{path}/{node.sign}", blocks_path, depth + 1) for x in reversed(_children(node)))
+        return found[max(found)] if found else []
+
+    tops = deepest() if content else []
+    articles = [x for node, path in tops or [(tree, "")] for x in articles_of(node, path)]
     for chosen in (articles, tops, [(tree, "")]):
         for top, path in chosen:
             walk(top, path)
@@ -476,19 +501,28 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
         of = layouts(dict(zip(pdf["shape"], pdf["n"])))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "shapes": [list(of)], "numbers": [list(of.values())]})
 
-    shapes = stored(seen.groupBy("host", "shape").agg(F.count("*").alias("n")).groupBy("host").applyInPandas(fit, "host string, shapes array<string>, numbers array<int>"))
-    n_bytes = shapes.agg(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("shapes", "")) + F.size("shapes") * 16 + 32), F.lit(0))).first()[0]
-    placed = _by_host(seen, shapes, n_bytes, salt=("content", "shape")).select("host", F.element_at("numbers", F.array_position("shapes", F.col("shape")).cast("int")).alias("layout"), "content", "whole", "slots", "masses")
-    distinct = stored(placed.groupBy("host", "layout", "content").agg(F.min(F.struct("whole", "slots", "masses")).alias("row")).select("host", "layout", "row.*"))
+    shapes = stored(seen.groupBy("host", "shape").agg(F.count("*").alias("n")).groupBy("host")
+        .applyInPandas(fit, "host string, shapes array<string>, numbers array<int>"))
+    n_bytes = shapes.agg(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("shapes", "")) + F.size("shapes") * 16 + 32),
+        F.lit(0))).first()[0]
+    placed = _by_host(seen, shapes, n_bytes, salt=("content", "shape")).select("host",
+        F.element_at("numbers", F.array_position("shapes", F.col("shape")).cast("int"))
+            .alias("layout"), "content", "whole", "slots", "masses")
+    distinct = stored(placed.groupBy("host", "layout", "content").agg(F.min(F.struct("whole", "slots", "masses")).alias("row"))
+        .select("host", "layout", "row.*"))
     whole = distinct.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.sum("whole").alias("whole"))
-    counted = distinct.select("host", "layout", F.explode("slots").alias("slot")).groupBy("host", "layout", "slot.key", "slot.size").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    counted = distinct.select("host", "layout", F.explode("slots")
+        .alias("slot")).groupBy("host", "layout", "slot.key", "slot.size").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
     taken = counted.join(whole, ["host", "layout"]).filter(F.col("n") >= MIN_SHARE * F.col("pages"))
     slots = F.collect_list(F.struct("key", "size"))
-    layout = taken.groupBy("host", "layout").agg(slots.alias("slots"), (F.sum(F.col("n") * F.col("size")) <= MAX_TEMPLATE_SHARE * F.first("whole")).alias("small"))
+    layout = taken.groupBy("host", "layout").agg(slots.alias("slots"),
+        (F.sum(F.col("n") * F.col("size")) <= MAX_TEMPLATE_SHARE * F.first("whole")).alias("small"))
     keys = layout.select("host", F.explode(F.filter("slots", lambda x: F.col("small") | (x["size"] == 0))).alias("slot"))
     template = keys.groupBy("host").agg(F.sort_array(F.collect_set("slot.key")).alias("template"))
     # The content slot of each layout: summed by slot before anything meets, a few slots a layout.
-    weighed = distinct.select("host", "layout", F.explode("masses").alias("m")).groupBy("host", "layout", "m.slot", "m.depth").agg(F.sum("m.mass").alias("mass"), F.sum("m.titles").alias("titles"))
+    weighed = distinct.select("host", "layout", F.explode("masses")
+        .alias("m")).groupBy("host", "layout", "m.slot", "m.depth").agg(F.sum("m.mass").alias("mass"), F.sum("m.titles")
+            .alias("titles"))
     enough = whole.filter(F.col("pages") >= MIN_PAGES).select("host", "layout")
     most = weighed.groupBy("host", "layout").agg(F.max("mass").alias("most"), F.max("titles").alias("heads"))
     held = (F.col("mass") >= CONTENT_SHARE * F.col("most")) & (F.col("titles") >= CONTENT_SHARE * F.col("heads"))
@@ -496,15 +530,18 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     best = fit.groupBy("host", "layout").agg(F.max(F.struct("depth", "mass", "slot"))["slot"].alias("slot"))
     content = best.groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("content"))
     none = F.array().cast("array<long>")
-    return stored(template.join(content, "host", "full_outer").select("host", F.coalesce("template", none).alias("template"), F.coalesce("content", none).alias("content")))
+    return stored(template.join(content, "host", "full_outer")
+        .select("host", F.coalesce("template", none).alias("template"), F.coalesce("content", none).alias("content")))
 
 
-def _by_host(pages: DataFrame, small: DataFrame, n_bytes: int, how: str = "inner", salt: tuple[str, ...] = ("url", "page_id")) -> DataFrame:
+def _by_host(pages: DataFrame, small: DataFrame, n_bytes: int, how: str = "inner",
+    salt: tuple[str, ...] = ("url", "page_id")) -> DataFrame:
     """Pages joined to a table of one row a host: broadcast within the bound, else over salted hosts."""
     if n_bytes <= BROADCAST_BYTES:
         return pages.join(F.broadcast(small), "host", how)
     dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("__salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).join(dealt, ["host", "__salt"], how).drop("__salt")
+    return pages.withColumn("__salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS))
+        .cast("int")).join(dealt, ["host", "__salt"], how).drop("__salt")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -515,13 +552,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     wrappers = induce_wrappers(rows)
-    n_bytes = wrappers.agg(F.coalesce(F.sum(F.size("template") * 8 + F.size("content") * 8 + F.length("host") + 32), F.lit(0))).first()[0]
+    n_bytes = wrappers.agg(F.coalesce(F.sum(F.size("template") * 8 + F.size("content") * 8 + F.length("host") + 32),
+        F.lit(0))).first()[0]
     joined = _by_host(rows, wrappers, n_bytes, "left").select("page_id", "url", "html", "template", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
             texts = [extract(h, frozenset(t or ()), frozenset(c or ())) for h, t, c in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return map_batches(joined, run, "page_id long, url string, text string, n_chars long")
