@@ -75,7 +75,8 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     least = stored(seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     moved = seen.join(least, "u").filter(F.col("v") != F.col("m"))
     moved = moved if small else moved.filter(F.col("v") > F.col("u"))
-    return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return moved.select(F.col("v").alias("a"), F.col("m")
+        .alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -88,11 +89,13 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         now = stored(_contracted(now))  # files of one task's reading are contracted together
         # Stars only: no node hangs on two others, or both hangs on one and is hung on.
-        ends = now.select(F.col("a").alias("n"), F.lit(1).alias("on"), F.lit(0).alias("of")).unionByName(now.select(F.col("b").alias("n"), F.lit(0).alias("on"), F.lit(1).alias("of")))
+        ends = now.select(F.col("a").alias("n"), F.lit(1).alias("on"), F.lit(0)
+            .alias("of")).unionByName(now.select(F.col("b").alias("n"), F.lit(0).alias("on"), F.lit(1).alias("of")))
         loose = ends.groupBy("n").agg(F.sum("on").alias("on"), F.max("of").alias("of")).filter(F.col("on") + F.col("of") > 1)
         if not loose.limit(1).count():
             break
         now = stored(_contracted(_star(stored(_contracted(_star(now, small=False))), small=True)))
     else:
         raise RuntimeError("components did not settle")
-    return stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    return stored(now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

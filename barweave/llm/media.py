@@ -25,7 +25,8 @@ from .common import map_batches
 ROW_BYTES = 64
 #: Tiles are square and of this side; the last ones of a row or column hold what is left.
 TILE = 64
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string"
+FEATURES = ("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 "
+    "string, feature string, n_tiles long, tiles_sha256 string")
 TILES = "image_id long, tile_row int, tile_col int, height int, width int, npy binary, dhash string"
 
 
@@ -167,7 +168,8 @@ def image_tiles(images: DataFrame, resize_to: tuple[int, int] | None = None, sid
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("image_id", pa.int64()), ("tile_row", pa.int32()), ("tile_col", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("npy", pa.binary()), ("dhash", pa.string())])
+        schema = pa.schema([("image_id", pa.int64()), ("tile_row", pa.int32()), ("tile_col", pa.int32()), ("height", pa.int32()),
+            ("width", pa.int32()), ("npy", pa.binary()), ("dhash", pa.string())])
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 image = decode(data)
@@ -195,7 +197,8 @@ def describe(text: str | None) -> tuple:
     small = np.round(area_resize(image, 4, 4)).astype(np.uint8)
     return (
         len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]),
-        len(media), hashlib.sha256(media).hexdigest(), f"dhash={dhash(image)};mean4x4={small.tobytes().hex()}", packed, tiles.hexdigest(),
+        len(media), hashlib.sha256(media)
+            .hexdigest(), f"dhash={dhash(image)};mean4x4={small.tobytes().hex()}", packed, tiles.hexdigest(),
     )
 
 
@@ -209,7 +212,8 @@ def media_features(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(),
+            pa.string()]
         names = [x.split()[0] for x in FEATURES.split(", ")]
         for batch in batches:
             rows = [(key, *describe(text)) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]

@@ -66,17 +66,20 @@ def _weight(col: str, weights: dict[str, int]) -> Column:
     return out.cast("long")
 
 
-def _fill(nodes: DataFrame, parent: list[str], child: str, budgets: DataFrame | None, total: float, weights: dict[str, int]) -> DataFrame:
+def _fill(nodes: DataFrame, parent: list[str], child: str, budgets: DataFrame | None, total: float,
+    weights: dict[str, int]) -> DataFrame:
     """Budgets of the children: (parent columns, child, budget). ``nodes`` has the leaves' capacities.
 
     Children sorted by capacity per weight fill up one after the other: a child is full if
     giving all from it on the same amount per weight as it can hold stays in the budget.
     """
     caps = nodes.groupBy(*parent, child).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(child, weights)).filter(F.col("w") > 0)
-    caps = caps.withColumn("budget_in", F.lit(total)) if budgets is None else caps.join(budgets.withColumnRenamed("budget", "budget_in"), parent)
+    caps = caps.withColumn("budget_in",
+        F.lit(total)) if budgets is None else caps.join(budgets.withColumnRenamed("budget", "budget_in"), parent)
     order = Window.partitionBy(*parent).orderBy(F.col("cap").cast("double") / F.col("w"), child)
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    full = F.coalesce(F.sum("cap").over(before), F.lit(0)) + F.col("cap").cast("double") / F.col("w") * F.sum("w").over(after) <= F.col("budget_in")
+    full = F.coalesce(F.sum("cap")
+        .over(before), F.lit(0)) + F.col("cap").cast("double") / F.col("w") * F.sum("w").over(after) <= F.col("budget_in")
     held = caps.withColumn("full", full)
     one = Window.partitionBy(*parent)
     spent = F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(one), F.lit(0))
@@ -124,22 +127,28 @@ def leaf_budgets(sized: DataFrame, plan: Plan) -> DataFrame:
 def _cuts(sized: DataFrame, leaves: DataFrame, plan: Plan) -> DataFrame:
     """(leaf, full, cut): of epoch ``full``, documents with order keys up to ``cut`` are in; null: none are."""
     some = leaves.filter((F.col("rest") > 0) & (F.col("full") < plan.max_epochs)).select(*LEAF, "full", "rest")
-    keyed = _with_leaf(sized, some).select(*LEAF, "full", "rest", order_key(plan.seed, F.col("full"), F.col("doc_id")).alias("key"), "tokens")
+    keyed = _with_leaf(sized, some).select(*LEAF, "full", "rest", order_key(plan.seed, F.col("full"), F.col("doc_id"))
+        .alias("key"), "tokens")
     keyed = stored(keyed.groupBy(*LEAF, "full", "key").agg(F.sum("tokens").alias("tokens")))
     cuts, at = some.withColumn("prefix", F.lit("")).withColumn("room", F.col("rest")), 0
     for digits in DIGITS:
         at += digits
-        inside = _with_leaf(keyed.drop("full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key").startswith(F.col("prefix")))
+        inside = _with_leaf(keyed.drop("full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key")
+            .startswith(F.col("prefix")))
         # Written first, so that the window below reads one row a group: at most 16^digits a leaf.
-        sums = stored(inside.groupBy(*LEAF, F.substring("key", 1, at).alias("group")).agg(F.sum("tokens").alias("n"), F.max("room").alias("room")))
+        sums = stored(inside.groupBy(*LEAF, F.substring("key", 1, at).alias("group"))
+            .agg(F.sum("tokens").alias("n"), F.max("room").alias("room")))
         order = Window.partitionBy(*LEAF).orderBy("group")
-        ends = sums.withColumn("upto", F.sum("n").over(order)).filter((F.col("upto") > F.col("room")) & (F.col("upto") - F.col("n") <= F.col("room")) & (F.col("n") > 0))
+        ends = sums.withColumn("upto", F.sum("n")
+            .over(order)).filter((F.col("upto") > F.col("room")) & (F.col("upto") - F.col("n") <= F.col("room")) & (F.col("n") > 0))
         hit = ends.select(*LEAF, F.col("group").alias("prefix"), (F.col("room") - F.col("upto") + F.col("n")).alias("room"))
         cuts = stored(cuts.select(*LEAF, "full", "rest").join(hit, list(LEAF)))
     # What is left lies in groups of one in 16^6 keys: taken one by one.
-    inside = _with_leaf(keyed.drop("full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key").startswith(F.col("prefix")))
+    inside = _with_leaf(keyed.drop("full").withColumn("doc_id", F.col("key")), cuts.drop("rest", "full")).filter(F.col("key")
+        .startswith(F.col("prefix")))
     order = Window.partitionBy(*LEAF).orderBy("key")
-    first_out = inside.withColumn("upto", F.sum("tokens").over(order)).filter(F.col("upto") > F.col("room")).groupBy(*LEAF).agg(F.min("key").alias("out"))
+    first_out = inside.withColumn("upto", F.sum("tokens")
+        .over(order)).filter(F.col("upto") > F.col("room")).groupBy(*LEAF).agg(F.min("key").alias("out"))
     return stored(some.select(*LEAF, "full").join(first_out, list(LEAF)))
 
 

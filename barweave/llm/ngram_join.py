@@ -128,7 +128,8 @@ def _sized(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             marks = [digest(s) if len(s) else (None, None) for s in sets]
             columns = [[len(s) for s in sets], [len(checked(s)) for s in sets], [m[0] for m in marks], [m[1] for m in marks]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n", "c", "d", "e"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)],
+                names=["doc_id", "n", "c", "d", "e"])
 
     return map_batches(docs, run, "doc_id long, n long, c long, d long, e long")
 
@@ -172,7 +173,8 @@ def _packed(sets: dict[int, np.ndarray], n_buckets: int) -> pa.RecordBatch | Non
         who, counts = np.unique(owner[at:to], return_counts=True)
         rows.append((int(b), marks[who].tobytes(), counts.astype(np.uint32).tobytes(), tokens[at:to].tobytes()))
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "marks", "counts", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+        names=["bucket", "marks", "counts", "tokens"])
 
 
 _PACKED = "bucket long, marks binary, counts binary, tokens binary"
@@ -231,7 +233,8 @@ def _shared_counts(packed: DataFrame, n_groups: int) -> DataFrame:
         group = (found.view(np.uint64) % np.uint64(n_groups)).astype(np.int64)
         used = np.unique(group)
         blobs = [(found[group == g].tobytes(), counts[group == g].astype(np.uint32).tobytes()) for g in used]
-        return pa.table({"part": pa.array(used, pa.int64()), "marks": pa.array([b[0] for b in blobs], pa.binary()), "counts": pa.array([b[1] for b in blobs], pa.binary())})
+        return pa.table({"part": pa.array(used, pa.int64()), "marks": pa.array([b[0] for b in blobs], pa.binary()),
+            "counts": pa.array([b[1] for b in blobs], pa.binary())})
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.int64)
@@ -250,7 +253,8 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     mask = (1 << FILTER_BITS) - 1
     slot = F.col("d").bitwiseXOR(F.col("first")).bitwiseAND(F.lit(mask))
-    bits = classes.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
+    bits = classes.select(slot.alias("s")).groupBy(F.shiftright("s", 5)
+        .alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
     table = np.zeros((mask + 1) // 32, np.int64)
     got = bits.toArrow()  # 2^18 numbers at most
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
@@ -266,10 +270,13 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     if table[s >> 5] >> (s & 31) & 1:
                         rows.append((key, d, e, len(tokens), tokens.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["first", "d", "e", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t)
+                    for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                        names=["first", "d", "e", "n", "tokens"])
 
     found = map_batches(docs, run, "first long, d long, e long, n long, tokens binary")
-    return found.join(classes.select("d", "e", "first"), ["d", "e", "first"]).groupBy("d").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return found.join(classes.select("d", "e", "first"), ["d", "e", "first"]).groupBy("d").agg(F.first("n")
+        .alias("n"), F.first("tokens").alias("tokens"))
 
 
 def _only_shared(sets: DataFrame) -> DataFrame:
@@ -282,7 +289,8 @@ def _only_shared(sets: DataFrame) -> DataFrame:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Counts of a set's shingles by hash. Two sets share at most the sum of the smaller counts."""
-    return np.bincount(((tokens >> np.uint64(20)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint16 if len(tokens) < 65536 else np.uint32)
+    return np.bincount(((tokens >> np.uint64(20)) % np.uint64(COUNTERS))
+        .astype(np.int64), minlength=COUNTERS).astype(np.uint16 if len(tokens) < 65536 else np.uint32)
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -295,7 +303,8 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         def counted() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             several = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[several].view(np.int64)), pa.array(counts[several].astype(np.int64))], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens[several].view(np.int64)), pa.array(counts[several].astype(np.int64))],
+                names=["token", "n"])
 
         for batch in batches:
             for blob in batch.column(0).to_pylist():
@@ -307,7 +316,8 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         if held:
             yield counted()
 
-    counts = stored(map_batches(sets.select("tokens"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT))
+    counts = stored(map_batches(sets.select("tokens"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        .filter(F.col("n") > FREQUENT))
     least = FREQUENT
     while counts.filter(F.col("n") > least).count() > MAX_FREQUENT:
         least *= 2
@@ -354,10 +364,12 @@ def _clusters(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
             keys = [prefix_keys(np.frombuffer(blob, np.uint64), rank) for blob in batch.column(1).to_pylist()]
             if keys:
                 owner = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)],
+                    names=["key", "node"])
 
     keyed = map_batches(sets.select("d", "tokens"), run, "key long, node long")
-    least = stored(keyed.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("most")).filter(F.col("m") < F.col("most")).select("key", "m"))
+    least = stored(keyed.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("most")).filter(F.col("m") < F.col("most"))
+        .select("key", "m"))
     return components(keyed.join(least, "key").filter(F.col("node") != F.col("m")).select("node", "m").distinct())
 
 
@@ -402,7 +414,10 @@ def _least_labels(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, linked: np.nd
 
 
 def _split(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Clusters again, the large ones split where sketches show that sets can't link: no link is lost, as sketches never count too little."""
+    """Clusters again, the large ones split where sketches show that sets can't link.
+
+    No link is lost, as sketches never count too little.
+    """
     sizes = stored(clusters.groupBy("root").agg(F.count("*").alias("m")))
     large = sizes.filter(F.col("m") > LARGE)
     if not large.limit(1).count():
@@ -411,12 +426,15 @@ def _split(sets: DataFrame, clusters: DataFrame) -> DataFrame:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(np.frombuffer(t, np.uint64)).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1),
+                pa.array([sketch(np.frombuffer(t, np.uint64)).tobytes() for t in batch.column(2).to_pylist()], pa.binary())],
+                    names=["node", "n", "sketch"])
 
     def check(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         tile, nodes, n = (table.column(c).to_numpy() for c in ("tile", "node", "n"))
-        drawn = np.stack([np.frombuffer(b, np.uint16 if len(b) == 2 * COUNTERS else np.uint32).astype(np.int32) for b in table.column("sketch").to_pylist()], 1)
+        drawn = np.stack([np.frombuffer(b, np.uint16 if len(b) == 2 * COUNTERS else np.uint32)
+            .astype(np.int32) for b in table.column("sketch").to_pylist()], 1)
         a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         if not len(a) or not len(b):
             return pa.table({"node": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
@@ -429,7 +447,8 @@ def _split(sets: DataFrame, clusters: DataFrame) -> DataFrame:
         root = _least_labels(nodes, a, b, linked)
         return pa.table({"node": pa.array(nodes[root < nodes], pa.int64()), "root": pa.array(root[root < nodes], pa.int64())})
 
-    drawn = map_batches(sets.join(inside.select(F.col("node").alias("d")), "d").select("d", "n", "tokens"), draw, "node long, n long, sketch binary")
+    drawn = map_batches(sets.join(inside.select(F.col("node").alias("d")), "d")
+        .select("d", "n", "tokens"), draw, "node long, n long, sketch binary")
     pairs = _tile_pairs(drawn, inside, large)
     # Written first: a task that checks and contracts at once would hold two workers.
     split = components(stored(pairs.groupBy("root", "i", "j").applyInArrow(check, "node long, root long")))
@@ -474,7 +493,8 @@ def join(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = stored(_sized(texts))
     named = sized.filter(F.col("doc_id").isNotNull() & F.col("d").isNotNull())
-    classes = stored(named.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("c").alias("c"), F.count("*").alias("copies")))
+    classes = stored(named.groupBy("d", "e")
+        .agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("c").alias("c"), F.count("*").alias("copies")))
     total, n_classes = classes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     keyed = texts.filter(F.col("doc_id").isNotNull())
     shared = _shared_counts(_packed_texts(keyed, max(1, -(-total // BUCKET))), max(1, -(-n_classes // GROUP)))
@@ -488,6 +508,11 @@ def join(docs: DataFrame) -> DataFrame:
     grouped = roots.join(classes.select(F.col("d").alias("node"), "first"), "node")
     least = stored(grouped.groupBy("root").agg(F.min("first").alias("component")))
     of_class = stored(roots.join(least, "root").select(F.col("node").alias("d"), "component"))
-    known = stored(classes.join(of_class, "d", "left").join(linked, "d", "left").select("d", "e", F.coalesce("component", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    known = stored(classes.join(of_class, "d", "left").join(linked, "d", "left")
+        .select("d", "e", F.coalesce("component", "first")
+            .alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = sized.join(known, ["d", "e"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n")
+        .alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+            .alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
+                .alias("n_links"))

@@ -111,7 +111,8 @@ def load(model_file: str, kind: str | None = None) -> Model:
         raise ValueError("the model has no byte fallback")
     if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p.strip("\n")) for p in table):
         raise ValueError("a piece crosses a chunk's end")
-    by_id = tuple(bytes((byte_ids.index(i),)) if sp.is_byte(i) else b"" if special[i] else pieces[i].replace(SPACE, " ").encode() for i in range(n))
+    by_id = tuple(bytes((byte_ids.index(i),)) if sp.is_byte(i) else b"" if special[i] else pieces[i].replace(SPACE, " ")
+        .encode() for i in range(n))
     return Model(kind or {1: "unigram", 2: "bpe"}[own], table, byte_ids, by_id)
 
 
@@ -132,8 +133,11 @@ def edges_of(chunks: DataFrame, model: Model) -> DataFrame:
     pieces = spark.createDataFrame(rows, "piece string, id int, score double")
     n = F.length("chunk")
     starts = F.sequence(F.lit(0), n - 1)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e")))))
-    cut = chunks.select("chunk", F.explode(spans).alias("x")).select("chunk", "x.s", "x.e", F.substring("chunk", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("piece"))
+    spans = F.flatten(F.transform(starts,
+        lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)),
+            lambda k: F.struct(s.alias("s"), (s + k).alias("e")))))
+    cut = chunks.select("chunk", F.explode(spans)
+        .alias("x")).select("chunk", "x.s", "x.e", F.substring("chunk", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("piece"))
     found = cut.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     edge = F.struct("s", "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
     return found.groupBy("chunk").agg(F.collect_list(edge).cast(_EDGE).alias("edges")).withColumn("n", F.length("chunk"))
@@ -145,7 +149,8 @@ def viterbi(edges: Column, n: Column) -> Column:
 
     def step(best: Column, e: Column) -> Column:
         into = F.filter(edges, lambda x: x["e"] == e)
-        return F.concat(best, F.array(F.array_max(F.transform(into, lambda x: F.struct((F.get(best, x["s"])["sum"] + x["score"]).alias("sum"), (-x["s"]).alias("back"), x["id"].alias("id"))))))
+        return F.concat(best, F.array(F.array_max(F.transform(into,
+            lambda x: F.struct((F.get(best, x["s"])["sum"] + x["score"]).alias("sum"), (-x["s"]).alias("back"), x["id"].alias("id"))))))
 
     best = F.aggregate(F.sequence(F.lit(1), n), begin, step)
     path = F.struct(n.alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("out"), best.alias("best"))
@@ -153,7 +158,9 @@ def viterbi(edges: Column, n: Column) -> Column:
     def back(acc: Column, _: Column) -> Column:
         node = F.get(acc["best"], acc["at"])
         span = F.struct((-node["back"]).alias("s"), acc["at"].alias("e"), node["id"].alias("id"))
-        return F.when(acc["at"] == 0, acc).otherwise(F.struct((-node["back"]).alias("at"), F.concat(F.array(span), acc["out"]).alias("out"), acc["best"].alias("best")))
+        return F.when(acc["at"] == 0,
+            acc).otherwise(F.struct((-node["back"]).alias("at"), F.concat(F.array(span), acc["out"])
+                .alias("out"), acc["best"].alias("best")))
 
     return F.aggregate(F.sequence(F.lit(1), n), path, back, lambda acc: acc["out"])
 
@@ -170,8 +177,10 @@ def merged(edges: Column, n: Column) -> Column:
         # Neighbours' outer bounds are two places apart.
         at = lambda x: F.array_position(bounds, x["s"])
         joins = lambda x: (at(x) > 0) & (F.array_position(bounds, x["e"]) == at(x) + 2)
-        best = F.array_max(F.transform(F.filter(joinable, joins), lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), x["e"].alias("e"))))
-        return _with(best, lambda top: F.when(top.isNull(), bounds).otherwise(F.filter(bounds, lambda b: (b <= -top["left"]) | (b >= top["e"]))))
+        best = F.array_max(F.transform(F.filter(joinable, joins),
+            lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), x["e"].alias("e"))))
+        return _with(best, lambda top: F.when(top.isNull(), bounds)
+            .otherwise(F.filter(bounds, lambda b: (b <= -top["left"]) | (b >= top["e"]))))
 
     several = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
     bounds = _with(several, lambda j: F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), lambda acc, i: step(acc, i, j)))
@@ -180,8 +189,11 @@ def merged(edges: Column, n: Column) -> Column:
 
 def _spans_of(bounds: Column, edges: Column) -> Column:
     """(s, e, id) between neighbouring bounds."""
-    spans = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(F.filter(edges, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])), F.lit(0))["id"].alias("id")))
+    spans = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda s,
+        e: F.struct(s.alias("s"), e.alias("e")))
+    return F.transform(spans,
+        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"),
+            F.get(F.filter(edges, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])), F.lit(0))["id"].alias("id")))
 
 
 def segmented(chunks: DataFrame, model: Model) -> DataFrame:
@@ -209,8 +221,10 @@ def hot_chunks(docs: DataFrame) -> DataFrame:
         other: Counter[str] = Counter()
 
         def counted() -> pa.RecordBatch:
-            rows = [(SPACE + w, n) for w, n in inner.items() if len(w) < HOT_LENGTH] + [(c, n) for c, n in other.items() if len(c) <= HOT_LENGTH]
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["chunk", "n"])
+            rows = [(SPACE + w, n) for w, n in inner.items() if len(w) < HOT_LENGTH] + [(c, n) for c, n in other.items()
+                if len(c) <= HOT_LENGTH]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()),
+                pa.array([n for _, n in rows], pa.int64())], names=["chunk", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -233,7 +247,8 @@ def hot_chunks(docs: DataFrame) -> DataFrame:
         yield counted()
 
     partial = map_batches(docs.select("text"), run, "chunk string, n long")
-    counts = stored(partial.groupBy("chunk").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).withColumn("step", F.floor(F.log(F.col("n").cast("double")) * 32).cast("int")))
+    counts = stored(partial.groupBy("chunk").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
+        .withColumn("step", F.floor(F.log(F.col("n").cast("double")) * 32).cast("int")))
     least, held = None, 0
     for step, n in sorted(((r["step"], r["n"]) for r in counts.groupBy("step").agg(F.count("*").alias("n")).collect()), reverse=True):
         held += n
@@ -247,7 +262,11 @@ class Encoder:
     """The lattice and fold inside a worker, with a dictionary of chunks that are already folded."""
 
     def __init__(self, model: Model, inner: dict[str, bytes] | None = None, other: dict[str, bytes] | None = None):
-        """``inner``: ids of chunks that begin with ``▁``, named without it; ``other``: of all other chunks. Both are taken over, not copied."""
+        """``inner``.
+
+        Ids of chunks that begin with ``▁``, named without it; ``other``: of all other chunks. Both are taken over,
+        not copied.
+        """
         self.model = model
         self.cut = re.compile(CHUNK_PATTERN).findall
         self.bytes_of = np.array(model.by_id, dtype=object)
@@ -427,10 +446,13 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 ids.append(encoder.encode(text))
                 same.append(encoder.decode(ids[-1]) == (text or "").replace(SPACE, " "))
             sizes = np.array([len(x) for x in ids], np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(np.r_[0, sizes.cumsum()].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), flat, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+            flat = pa.ListArray.from_arrays(pa.array(np.r_[0, sizes.cumsum()].astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), flat, pa.array(same, pa.bool_())],
+                names=["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+        "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -440,7 +462,8 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
         encoder = Encoder(model)
         top = len(model.by_id)
         for batch in batches:
-            texts = [None if x is None else encoder.decode(np.array([i for i in x if i is not None and 0 <= i < top], np.int64)) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else encoder.decode(np.array([i for i in x if i is not None and 0 <= i < top], np.int64))
+                for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return map_batches(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")

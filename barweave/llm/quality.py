@@ -43,7 +43,8 @@ _ROW = "doc_id long, held_out boolean, score double, predicted int"
 _CLASS = np.zeros(256, dtype=np.int64)
 for _i in range(256):
     _c = chr(_i)
-    _CLASS[_i] = 0 if _i >= 128 else 1 if _c.isupper() else 2 if _c.islower() else 3 if _c.isdigit() else 4 if _c in " \t\r\v\f" else 5 if _c == "\n" else 6 if _c in ".,;:'\"-()?" else 7
+    _CLASS[_i] = (0 if _i >= 128 else 1 if _c.isupper() else 2 if _c.islower() else 3 if _c.isdigit() else 4 if _c in " \t\r\v\f"
+        else 5 if _c == "\n" else 6 if _c in ".,;:'\"-()?" else 7)
 #: Statistics: 8 byte classes, 12 more, 3 of metadata, each in as many steps as below.
 STEPS = 8
 N_STATS = 23
@@ -153,7 +154,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machin
             v = factors[slots]
             vx = v * x[:, None]
             sums = np.add.reduceat(vx, start)
-            margin = machine.bias + np.add.reduceat(linear[slots] * x, start) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((vx**2).sum(1), start))
+            margin = machine.bias + np.add.reduceat(linear[slots] * x, start) + 0.5 * ((sums**2)
+                .sum(1) - np.add.reduceat((vx**2).sum(1), start))
             pull = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[some]) * weight[some] / len(some)
             used, place = np.unique(slots, return_inverse=True)
             g_l = np.bincount(place, pull[row] * x, len(used)) + DECAY * linear[used]
@@ -182,16 +184,19 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
     driver, so their number is bounded too.
     """
     pool = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = pool.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = pool.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality")
+        .alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", docs["n_chars"].cast("long").alias("n_chars"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", F.col("quality").cast("int").alias("quality"))
+    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", F.col("quality").cast("int")
+        .alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featuriser()
         for batch in batches:
             found = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())],
+                [batch.column(0), batch.column(3), pa.array([s.tobytes() for s, _ in found], pa.binary()),
+                    pa.array([v.tobytes() for _, v in found], pa.binary())],
                 names=["doc_id", "quality", "slots", "x"],
             )
 
@@ -213,10 +218,13 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featuriser()
         for batch in batches:
-            scores = np.array([small.score(*features(t, n)) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            scores = np.array([small.score(*features(t, n))
+                for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(scores),
+                pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", docs["n_chars"].cast("long").alias("n_chars"), held_out(docs["doc_id"]).alias("held_out"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", docs["n_chars"].cast("long")
+        .alias("n_chars"), held_out(docs["doc_id"]).alias("held_out"))
     return map_batches(texts, run, _ROW)
 
 

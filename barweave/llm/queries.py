@@ -40,7 +40,8 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
-    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), token_counts.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"),
+        token_counts.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html, op3_pieces, op4_topk, op5_token_counts, op6_ngram_join, op7_secrets, op8_media, op9_mixing, op10_url_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_html, op3_pieces, op4_topk, op5_token_counts, op6_ngram_join, op7_secrets,
+        op8_media, op9_mixing, op10_url_rules)}
 
 
 #: Integer inner products of every query with every other row.
@@ -103,9 +105,12 @@ def _fill_sql(name: str, parent: list[str], child: str, above: str | None, weigh
     return f"""
 {name}_c AS (SELECT {keys}, CAST(sum(cap) AS BIGINT) AS cap, CAST(any_value({weight}) AS BIGINT) AS w FROM leaves GROUP BY {keys}),
 {name}_b AS (SELECT {name}_c.*, budget AS budget_in FROM {name}_c {source} WHERE w > 0),
-{name}_f AS (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap::DOUBLE / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE
-    + cap::DOUBLE / w * (sum(w) OVER ({by} ORDER BY cap::DOUBLE / w, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE <= budget_in AS is_full FROM {name}_b),
-{name} AS (SELECT {keys}, CASE WHEN is_full THEN cap::DOUBLE ELSE w * (budget_in - coalesce(sum(cap) FILTER (is_full) OVER ({by}), 0)::DOUBLE)
+{name}_f AS (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap::DOUBLE / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1
+PRECEDING), 0)::DOUBLE
+    + cap::DOUBLE / w * (sum(w) OVER ({by} ORDER BY cap::DOUBLE / w, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED
+FOLLOWING))::DOUBLE <= budget_in AS is_full FROM {name}_b),
+{name} AS (SELECT {keys}, CASE WHEN is_full THEN cap::DOUBLE ELSE w * (budget_in - coalesce(sum(cap) FILTER (is_full) OVER ({by}),
+0)::DOUBLE)
     / (sum(w) FILTER (NOT is_full) OVER ({by}))::DOUBLE END AS budget FROM {name}_f)"""
 
 
@@ -116,25 +121,33 @@ def _mix_sql(plan: mixing.Plan) -> str:
         _fill_sql("src", ["domain", "lang"], "source", "lng", plan.sources),
     ])
     return rf"""
-WITH s AS (SELECT doc_id, text, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, lang AS lang_in, source AS source_in FROM documents),
-d AS (SELECT doc_id, lang, source, lang_in, source_in, 'd' || CAST(CAST('0x' || substr(md5(source), 1, 4) AS INTEGER) % 3 AS VARCHAR) AS domain,
+WITH s AS (SELECT doc_id, text, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, lang AS lang_in, source AS
+source_in FROM documents),
+d AS (SELECT doc_id, lang, source, lang_in, source_in, 'd' || CAST(CAST('0x' || substr(md5(source), 1, 4) AS INTEGER) % 3 AS
+VARCHAR) AS domain,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[^	-
  ]+')) AS BIGINT) AS tokens FROM s),
-leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {plan.max_epochs} AS BIGINT) AS cap FROM d GROUP BY ALL),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {plan.max_epochs} AS BIGINT) AS
+cap FROM d GROUP BY ALL),
 total AS (SELECT coalesce(sum(tokens), 0)::DOUBLE * {plan.share}::DOUBLE AS total FROM leaves),{levels},
-b AS (SELECT domain, lang, source, tokens AS n, least(CAST(floor(budget + 1e-6::DOUBLE) AS BIGINT), cap) AS whole FROM src JOIN leaves USING (domain, lang, source)),
+b AS (SELECT domain, lang, source, tokens AS n, least(CAST(floor(budget + 1e-6::DOUBLE) AS BIGINT), cap) AS whole FROM src JOIN
+leaves USING (domain, lang, source)),
 r AS (SELECT *, CASE WHEN n > 0 THEN whole // n ELSE 0 END AS full_epochs FROM b),
 k AS (SELECT d.*, full_epochs, whole - full_epochs * n AS rest,
-  sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{plan.seed}:' || CAST(full_epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) RANGE UNBOUNDED PRECEDING) AS upto
+  sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{plan.seed}:' || CAST(full_epochs AS VARCHAR) || ':' ||
+coalesce(CAST(doc_id AS VARCHAR), '')) RANGE UNBOUNDED PRECEDING) AS upto
   FROM d JOIN r USING (domain, lang, source)),
-e AS (SELECT *, full_epochs + CASE WHEN full_epochs < {plan.max_epochs} AND rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS epochs FROM k)
-SELECT doc_id, lang_in AS lang, source_in AS source, domain, CAST(g.epoch AS INTEGER) AS epoch, tokens FROM e, range({plan.max_epochs}) AS g(epoch) WHERE g.epoch < epochs
+e AS (SELECT *, full_epochs + CASE WHEN full_epochs < {plan.max_epochs} AND rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS epochs
+FROM k)
+SELECT doc_id, lang_in AS lang, source_in AS source, domain, CAST(g.epoch AS INTEGER) AS epoch, tokens FROM e,
+range({plan.max_epochs}) AS g(epoch) WHERE g.epoch < epochs
 """
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query; that of the token counts needs the vocabulary's file."""
-    made = {"op4_topk": OP4_SQL, "op6_ngram_join": oracles.OP6, "op7_secrets": oracles.OP7, "op9_mixing": _mix_sql(MIX), "op10_url_rules": oracles.OP10}
+    made = {"op4_topk": OP4_SQL, "op6_ngram_join": oracles.OP6, "op7_secrets": oracles.OP7, "op8_media": oracles.op8(), "op9_mixing": _mix_sql(MIX),
+        "op10_url_rules": oracles.OP10}
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
     if os.path.exists(model):
         made["op5_token_counts"] = oracles.op5(token_counts.load_pieces(model), token_counts.WORD_START)

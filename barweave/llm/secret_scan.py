@@ -45,14 +45,16 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, p, F.lit(0))
     values = F.regexp_extract_all(text, p, F.lit(value_group if value_group is not None else 0))
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), F.arrays_zip(matches.alias("m"), values.alias("v")), lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v")))
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), F.arrays_zip(matches.alias("m"), values.alias("v")), lambda gap,
+        x: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["m"]).alias("end"))
         keep = x["v"] >= MIN_VALUE if value_group is not None else F.lit(True)
-        return F.struct((begin + x["m"]).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct((begin + x["m"]).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+            .alias("out"))
 
     found = F.aggregate(steps, start, step, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
@@ -77,7 +79,8 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base", spans: s
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(_SPAN)
-    df = docs.withColumn("__assign", _spans(whole, ASSIGN, 0, 2)).withColumn("__access", _spans(whole, ACCESS_LONG, 1)).withColumn("__hex", _spans(whole, HEX_LONG, 2))
+    df = docs.withColumn("__assign", _spans(whole, ASSIGN, 0, 2)).withColumn("__access",
+        _spans(whole, ACCESS_LONG, 1)).withColumn("__hex", _spans(whole, HEX_LONG, 2))
     df = df.withColumn(base, F.array_sort(F.concat("__assign", "__access", "__hex")))
     # No weak part is reported without an identifier near it, so texts without one are not searched further.
     named = whole.rlike(WEAK_ID)
@@ -87,9 +90,11 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base", spans: s
     df = df.withColumn("__secret", F.when(linked, fresh(_spans(whole, WEAK_SECRET, 4))).otherwise(none))
     df = df.withColumn("__end", F.when(linked, fresh(_spans(whole, WEAK_ENDPOINT, 5))).otherwise(none))
     ids = F.concat("__access", "__id")
-    df = df.withColumn("__secret", F.filter("__secret", lambda w: F.exists(ids, lambda i: _near(w, i)) & ~F.exists("__id", lambda i: _overlap(w, i))))
+    df = df.withColumn("__secret",
+        F.filter("__secret", lambda w: F.exists(ids, lambda i: _near(w, i)) & ~F.exists("__id", lambda i: _overlap(w, i))))
     secrets = F.concat("__assign", "__hex", "__secret")
-    df = df.withColumn("__end", F.filter("__end", lambda w: F.exists(ids, lambda i: _near(w, i)) & F.exists(secrets, lambda s: _near(w, s))))
+    df = df.withColumn("__end",
+        F.filter("__end", lambda w: F.exists(ids, lambda i: _near(w, i)) & F.exists(secrets, lambda s: _near(w, s))))
     df = df.withColumn("__id", F.filter("__id", lambda w: F.exists(secrets, lambda s: _near(w, s))))
     df = df.withColumn(spans, F.array_sort(F.concat(base, "__id", "__secret", "__end")))
     return df.drop("__assign", "__access", "__hex", "__id", "__secret", "__end")
@@ -98,7 +103,8 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base", spans: s
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     kinds = F.array(*(F.lit(k) for k in KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans,
+        lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -93,7 +93,8 @@ def load_pieces(model_file: str) -> list[str]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    return [sp.id_to_piece(i) for i in range(sp.get_piece_size())
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
 def token_counts(docs: DataFrame, pieces: list[str]) -> DataFrame:

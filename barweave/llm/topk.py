@@ -39,7 +39,8 @@ def quantise(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     x = F.col("embedding")
     clean = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
     whole = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
-    return embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & clean).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    return embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & clean).select(F.col("vec_id").cast("long")
+        .alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,8 @@ def _histogram(vectors: DataFrame, block: _Block, low: np.ndarray, width: np.nda
         held = held[:, BINS - 1 :: -1]
         keep = (held > 0) & (held.cumsum(1) - held < k)
         q, b = np.nonzero(keep)
-        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array((BINS - 1 - b).astype(np.int32)), pa.array(held[q, b])], names=["q", "bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array((BINS - 1 - b).astype(np.int32)),
+            pa.array(held[q, b])], names=["q", "bin", "n"])
 
     return map_batches(vectors, run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
@@ -115,7 +117,8 @@ def _kth_scores(vectors: DataFrame, block: _Block, top: int, k: int) -> np.ndarr
         counts = _histogram(vectors, block, low, width, k)
         # Counted from above; those above the interval are already in its highest bin.
         order = Window.partitionBy("q").orderBy(F.col("bin").desc())
-        hit = counts.withColumn("sum", F.sum("n").over(order)).filter((F.col("sum") >= k) & (F.col("sum") - F.col("n") < k)).select("q", "bin")
+        hit = counts.withColumn("sum", F.sum("n")
+            .over(order)).filter((F.col("sum") >= k) & (F.col("sum") - F.col("n") < k)).select("q", "bin")
         places = hit.toArrow()  # one row a query of the block at most
         q, b = places.column("q").to_numpy(), places.column("bin").to_numpy().astype(np.int64)
         seen = np.zeros(n, dtype=bool)
@@ -189,11 +192,13 @@ def _select(vectors: DataFrame, block: _Block, kth: np.ndarray, k: int) -> DataF
             kept.append(np.stack([q, ids[c], scores[q, c]], axis=1))
             kept = [_best(np.concatenate(kept), k)]
         rows = _best(np.concatenate(kept), k)
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids[rows[:, 0]]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(block.ids[rows[:, 0]]), pa.array(rows[:, 1]), pa.array(rows[:, 2])],
+            names=["query_id", "vec_id", "score"])
 
     found = map_batches(vectors, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank")
+        .cast("int").alias("rank"), "vec_id", "score")
 
 
 def _best(rows: np.ndarray, k: int) -> np.ndarray:

@@ -92,7 +92,8 @@ def _grown(rows: DataFrame, least: float) -> DataFrame:
     items = rows.select(F.array_union("tokens", F.array(F.when(F.col("hit") == 1, BLOCK).otherwise(ALLOW))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least - 0.5, 0.5) / total), minConfidence=1.0).fit(items).freqItemsets
     sets = sets.filter((F.size("items") <= MAX_TOKENS + 1) & ~F.array_contains("items", ALLOW))
-    hits = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("hits"))
+    hits = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK))
+        .alias("tokens"), F.col("freq").alias("hits"))
     plain = sets.filter(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("tokens"), "freq")
     return hits.join(plain, "tokens").filter(F.col("hits") >= least)
 
@@ -104,16 +105,19 @@ def _levelled(rows: DataFrame, least: float) -> DataFrame:
     found = None
     now = at.select("row", "all", "hit", F.explode("all").alias("t")).select("row", "all", "hit", F.array("t").alias("tokens"))
     for size in range(1, MAX_TOKENS + 1):
-        counted = stored(now.groupBy("tokens").agg(F.count("*").alias("freq"), F.sum("hit").alias("hits")).filter(F.col("hits") >= least))
+        counted = stored(now.groupBy("tokens").agg(F.count("*").alias("freq"), F.sum("hit").alias("hits"))
+            .filter(F.col("hits") >= least))
         found = counted if found is None else found.unionByName(counted)
         if size < MAX_TOKENS:
             kept = stored(now.join(counted.select("tokens"), "tokens", "left_semi"))
             later = F.explode(F.filter("all", lambda t: t > F.element_at("tokens", -1)))
-            now = kept.select("row", "all", "hit", "tokens", later.alias("t")).select("row", "all", "hit", F.concat("tokens", F.array("t")).alias("tokens"))
+            now = kept.select("row", "all", "hit", "tokens", later.alias("t")).select("row", "all", "hit",
+                F.concat("tokens", F.array("t")).alias("tokens"))
     return found
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], float, float]]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT,
+    min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], float, float]]:
     """Rules (tokens, confidence, support) for blocking from rows (tokens, verdict), by Spark's FP-growth.
 
     Rules have up to MAX_TOKENS tokens. One is left out if a shorter one within it is as
@@ -128,16 +132,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     useful = stored(_useful(labelled, least))
     if not useful.limit(1).count():
         return []
-    tokens = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("verdict") == "block").cast("int").alias("hit"))
+    tokens = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("verdict") == "block").cast("int")
+        .alias("hit"))
     told = tokens.select("row", "hit", F.explode("tokens").alias("token")).join(useful, "token")
     single = told.filter("alone").groupBy(F.array("token").alias("tokens")).agg(F.count("*").alias("freq"), F.sum("hit").alias("hits"))
-    rows = stored(told.filter(~F.col("alone")).groupBy("row", "hit").agg(F.collect_set("token").alias("tokens")).select("tokens", "hit"))
+    rows = stored(told.filter(~F.col("alone")).groupBy("row", "hit").agg(F.collect_set("token").alias("tokens"))
+        .select("tokens", "hit"))
     widest = rows.agg(F.max(F.size("tokens"))).first()[0] or 0
     sets = single
     if widest:
         made = _grown(rows, least) if widest <= MAX_GROWN else _levelled(rows, least)
         sets = single.unionByName(made.select("tokens", "freq", "hits"))
-    rules = stored(sets.withColumn("confidence", F.col("hits") / F.col("freq")).filter(F.col("confidence") >= min_confidence).select("tokens", "hits", "confidence"))
+    rules = stored(sets.withColumn("confidence", F.col("hits") / F.col("freq")).filter(F.col("confidence") >= min_confidence)
+        .select("tokens", "hits", "confidence"))
     # A rule's proper subsets, by the bits of a mask over its tokens.
     masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("tokens")) - 2).cast("int"))
     inner = F.transform(masks, lambda m: F.filter(F.col("tokens"), lambda t, i: F.getbit(m, i) == 1))
@@ -163,7 +170,8 @@ class RuleIndex:
     def best(self, tokens: list[str]) -> tuple[float, str] | None:
         """The matching rule of the highest confidence, then support, then smallest text."""
         have = set(tokens)
-        found = [(-confidence, -support, text) for t in have for need, confidence, support, text in self.filed.get(t, ()) if need <= have]
+        found = [(-confidence, -support, text) for t in have for need, confidence, support, text in self.filed.get(t, ())
+            if need <= have]
         if not found:
             return None
         confidence, _, text = min(found)
@@ -180,7 +188,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     name, verdict = _rule(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumn("rule", name).withColumn("said", verdict).withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
+    parsed = parsed.withColumn("rule", name).withColumn("said", verdict).withColumn("tokens",
+        tokens_of(F.col("url"), F.col("host"), F.col("path")))
     mined = mine(parsed.filter(F.col("rule").isNotNull()).select("tokens", F.col("said").alias("verdict")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

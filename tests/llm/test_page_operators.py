@@ -12,18 +12,24 @@ from barweave.llm import media, queries, url_rules, wrapper
 
 
 def page(article, extra="", nav="<a href=/x>One</a>"):
-    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav>{nav}</nav><!-- x --><div class='ad box'>Buy</div>{article}{extra}<footer>&copy; x</footer></body></html>"
+    return (f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var "
+        f"a='</p>';</script></head><body><nav>{nav}</nav><!-- x --><div class='ad box'>Buy</div>{article}{extra}<footer>&copy; "
+        f"x</footer></body></html>")
 
 
 @pytest.mark.parametrize(
     ("html", "text"),
     [
-        (None, ""), ("", ""), ("plain  text\n&amp; more", "plain text & more"), ("<p>a<p>b<br>c", "a b c"), ("<p>on<b>e</b> wo<i>rd", "one word"),
+        (None, ""), ("", ""), ("plain  text\n&amp; more", "plain text & more"), ("<p>a<p>b<br>c", "a b c"),
+            ("<p>on<b>e</b> wo<i>rd", "one word"),
         (page("<article><h1>H</h1><p>a &lt;b&gt;\n c</p><aside>no</aside><p>d</article>"), "H a <b> c d"),
         (page("<article><p>a</p><section id='comments'><p>no</p></section><form><input value=x>no</form></article>"), "a"),
         (page("<div><p>a</p></div>", "<div role=navigation>no</div><div hidden>no</div><div class='cookie-notice'>no</div>"), "a"),
-        ("<article><p>cut off &am", "cut off &am"), ("<article><p>a</p", "a"), ("<ul><li>a<li>b</ul>", "a b"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
-        ("<p>a < b & c</p>", "a < b & c"), ("<textarea>no</textarea><noscript>no</noscript>yes", "yes"), ("<p title='a>b'>x</p>", "x"), ('<p title="broken>x</p> y', "x y"), ('Read <a title="he said>link</a> more.', "Read link more."),
+        ("<article><p>cut off &am", "cut off &am"), ("<article><p>a</p", "a"), ("<ul><li>a<li>b</ul>", "a b"),
+            ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
+        ("<p>a < b & c</p>", "a < b & c"), ("<textarea>no</textarea><noscript>no</noscript>yes", "yes"),
+            ("<p title='a>b'>x</p>", "x"), ('<p title="broken>x</p> y', "x y"),
+                ('Read <a title="he said>link</a> more.', "Read link more."),
         ("<article></article><p>outside</p>", "outside"), ("<main><p>m</p></main><p>o</p>", "m"),
     ],
 )
@@ -34,11 +40,19 @@ def test_extract(html, text):
 @pytest.mark.parametrize(
     ("html", "text"),
     [
-        *((f"<div {x}>a</div><p>b", "a b") for x in ("style='overflow:hidden'", 'title="hidden gems"', 'href="/hidden/x"', "href=/hidden/x", 'data-id="form"', 'href="/page?id=search"', "data-hidden=1", "class=no-sidebar", "class='content has-sidebar'", "class='post share'", "aria-hidden=false")),
-        *((f"<div {x}>a</div><p>b", "b") for x in ("hidden", "title='a' HIDDEN=''", "class='box share'", "class=post-share", 'id = "search"', "role=form", "aria-hidden=true")),
-        ("<div class=sidebar><p>x</p><article>a</article></div><p>b", "a"), ("<div class='page-sidebar'><div id=form><main>a</main></div></div>b", "a"),
-        ("<main><h1>t</h1><div class=widget><article>a</article></div><div class=ad>b</div></main>", "t a"), ("<article>a</article><div class=related><article>b</article></div>", "a"),
-        ("<div class=comments><p>a</p></div>", "a"), ("<div hidden><article>a</article></div>b", "b"), ("<div hidden class=ad>a</div>", ""),
+        *((f"<div {x}>a</div><p>b", "a b")
+            for x in ("style='overflow:hidden'", 'title="hidden gems"', 'href="/hidden/x"', "href=/hidden/x", 'data-id="form"',
+                'href="/page?id=search"', "data-hidden=1", "class=no-sidebar", "class='content has-sidebar'", "class='post share'",
+                "aria-hidden=false")),
+        *((f"<div {x}>a</div><p>b", "b")
+            for x in ("hidden", "title='a' HIDDEN=''", "class='box share'", "class=post-share", 'id = "search"', "role=form",
+                "aria-hidden=true")),
+        ("<div class=sidebar><p>x</p><article>a</article></div><p>b", "a"),
+            ("<div class='page-sidebar'><div id=form><main>a</main></div></div>b", "a"),
+        ("<main><h1>t</h1><div class=widget><article>a</article></div><div class=ad>b</div></main>", "t a"),
+            ("<article>a</article><div class=related><article>b</article></div>", "a"),
+        ("<div class=comments><p>a</p></div>", "a"), ("<div hidden><article>a</article></div>b", "b"),
+            ("<div hidden class=ad>a</div>", ""),
     ],
 )
 def test_attributes_are_parsed_and_names_drop_no_article(html, text):
@@ -55,7 +69,8 @@ def test_end_tags_below_the_depth_match():
     deep, end = "<div>" * 300, "</div>" * 300
     assert wrapper.extract("<div class=ad>" * 5000 + "x") == "x" and wrapper.extract("<nav>" * 5000 + "x") == ""
     assert wrapper.extract(f"<div><article>{deep}{end}<p>rest</p></article></div>") == "rest"
-    assert wrapper.extract(f"<div><article>{deep}<nav><p>no</p></nav><div>a</div>b<i>c</i><div class=ad>no</div>{end}<p>rest</p></article></div>no") == "a bc rest"
+    assert wrapper.extract(f"<div><article>{deep}<nav><p>no</p></nav><div>a</div>b<i>c</i><div "
+        f"class=ad>no</div>{end}<p>rest</p></article></div>no") == "a bc rest"
 
 
 def test_simple_tree_matching():
@@ -67,7 +82,8 @@ def test_simple_tree_matching():
 
 
 def host_pages(n):
-    return [page(f"<article><h1>Title {i}</h1><p>Written by the same desk</p><p>{'word' + str(i)} {'text ' * 40}{i}</p></article>", f"<div><p>Terms of this site</p><p>item {i}</p></div>") for i in range(n)]
+    return [page(f"<article><h1>Title {i}</h1><p>Written by the same desk</p><p>{'word' + str(i)} {'text ' * 40}{i}</p></article>",
+        f"<div><p>Terms of this site</p><p>item {i}</p></div>") for i in range(n)]
 
 
 def test_constant_slots_become_template(spark):
@@ -86,11 +102,13 @@ def test_wrapper_counts_all_pages(spark, monkeypatch, bound):
     """Hosts of two layouts, hosts of copies under many urls, and hosts of three pages each have their template."""
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", bound)
     first = host_pages(12)
-    second = [page(f"<main><section class=list><h2>Name {i}</h2><p>{'entry' + str(i)} {'more ' * 40}{i}</p></section><section class=foot><p>Call us any day</p></section></main>") for i in range(6)]
+    second = [page(f"<main><section class=list><h2>Name {i}</h2><p>{'entry' + str(i)} {'more ' * 40}{i}</p></section><section "
+        f"class=foot><p>Call us any day</p></section></main>") for i in range(6)]
     rows = [(f"http://two.example/{i}", p) for i, p in enumerate(first + second)]
     rows += [(f"http://copies.example/{i}", p) for i, p in enumerate(host_pages(3) + host_pages(1) * 60)]
     rows += [(f"http://h{h}.example/{i}", p) for h in range(20) for i, p in enumerate(host_pages(3))]
-    df = spark.createDataFrame(rows, "url string, html string").select("url", "html", url_rules.host_of(queries.F.col("url")).alias("host"))
+    df = spark.createDataFrame(rows, "url string, html string").select("url", "html", url_rules.host_of(queries.F.col("url"))
+        .alias("host"))
     got = {r.host: (r.template, r.content) for r in wrapper.induce_wrappers(df).collect()}
     assert len(got) == 22
     for host, (template, content) in got.items():
@@ -104,7 +122,8 @@ def plain_page(i):
     """A page without an article or a name that says what an element is: a title, a text, teasers, terms."""
     teasers = "".join(f"<li><a href=/{i}{k}>Teaser {i} {k} of some length to read</a></li>" for k in range(8))
     text = "".join(f"<p>{'word%d' % (i * 7 + k)} {'text ' * 30}{k}</p>" for k in range(2 + i % 3))
-    return f"<body><div class=x1><b>Shop</b></div><div class=x2><h1>Title {i}</h1><div class=x3>{text}</div></div><div class=x4><ul>{teasers}</ul><span>Seen {i * 13} times</span></div><div class=x5>All rights of this site</div></body>"
+    return (f"<body><div class=x1><b>Shop</b></div><div class=x2><h1>Title {i}</h1><div class=x3>{text}</div></div><div "
+        f"class=x4><ul>{teasers}</ul><span>Seen {i * 13} times</span></div><div class=x5>All rights of this site</div></body>")
 
 
 def test_content_slot_is_learnt_without_articles(spark):
@@ -118,8 +137,10 @@ def test_content_slot_is_learnt_without_articles(spark):
         got = wrapper.extract(p, template, content)
         assert got.startswith(f"Title {i} word{i * 7} text") and not any(x in got for x in ("Teaser", "All rights", "Shop", "Seen"))
         assert got.count("word") == 2 + i % 3
-    df = spark.createDataFrame([(i, f"http://plain.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in wrapper.extract_pages(df).collect()} == {i: wrapper.extract(p, template, content) for i, p in enumerate(pages)}
+    df = spark.createDataFrame([(i, f"http://plain.example/{i}", p) for i, p in enumerate(pages)],
+        "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrapper.extract_pages(df)
+        .collect()} == {i: wrapper.extract(p, template, content) for i, p in enumerate(pages)}
     odd = "<body><section><p>another layout</p></section></body>"
     assert wrapper.extract(odd, template, content) == "another layout"
 
@@ -159,7 +180,8 @@ def test_tree_matching_is_the_best_one():
 def test_extract_pages(spark, sf, monkeypatch, bound):
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", bound)
     rows = [(i, f"http://one.example/{i}", p, "x") for i, p in enumerate(host_pages(6))]
-    rows += [(10, None, host_pages(1)[0], "x"), (11, "http://one.example/e", None, "x"), (12, "http://two.example", "", "x"), (None, "no scheme", "<p>a", "x"), rows[0], rows[0]]
+    rows += [(10, None, host_pages(1)[0], "x"), (11, "http://one.example/e", None, "x"), (12, "http://two.example", "", "x"),
+        (None, "no scheme", "<p>a", "x"), rows[0], rows[0]]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = wrapper.extract_pages(df).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
@@ -222,9 +244,11 @@ def test_media_features(spark, sf):
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         stored = media.encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, 64))
-        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored)
+            .hexdigest())
         image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
-        cells = lambda h, w: np.kron(image.astype(float), np.ones((h, w))).reshape(h, len(image), w, 64).mean((1, 3))  # noqa: B023, E731
+        cells = lambda h, w: np.kron(image.astype(float), np.ones((h, w))).reshape(h, len(image), w,
+            64).mean((1, 3))  # noqa: B023, E731
         thumb = np.round(cells(8, 9), 6) if len(payload) < 10_000 else None
         if thumb is not None:
             bits = np.packbits(thumb[:, :-1] < thumb[:, 1:]).tobytes().hex()
@@ -251,14 +275,18 @@ def plain_verdict(url):
 
 
 URLS = [
-    None, "", "no scheme", "http://", "http://COM/x", "https://a.Example.com/en/x?y#z", "http://www.example.com/en/", "http://m.www.example.com/en/1", "http://example.com", "http://x.net/es/?q=1",
-    "http://x.net#/es/", "http://net/fr/a", "a://b://c.com/d", "http://xexample.com/en/", "http://www.example.com/en?x", "ftp://é.org/É",
+    None, "", "no scheme", "http://", "http://COM/x", "https://a.Example.com/en/x?y#z", "http://www.example.com/en/",
+        "http://m.www.example.com/en/1", "http://example.com", "http://x.net/es/?q=1",
+    "http://x.net#/es/", "http://net/fr/a", "a://b://c.com/d", "http://xexample.com/en/", "http://www.example.com/en?x",
+    "ftp://é.org/É",
 ]
 
 
 def test_urls(spark, sf):
-    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)] + [(None, URLS[5], "x", "y")], "page_id long, url string, verdict string, tokens string")
-    every = df.unionByName(spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id + 100 as page_id", "url"), allowMissingColumns=True)
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)] + [(None, URLS[5], "x", "y")],
+        "page_id long, url string, verdict string, tokens string")
+    every = df.unionByName(spark.read.parquet(f"{sf}/pages.parquet")
+        .selectExpr("page_id + 100 as page_id", "url"), allowMissingColumns=True)
     urls = {r.page_id: r.url for r in every.collect()}
     got = url_rules.judge(every).collect()
     assert len(got) == every.count()
@@ -299,7 +327,8 @@ def test_mined_rules_match_counts(spark, monkeypatch, grown):
 
 def test_urls_of_many_tokens(spark):
     """Twenty tokens a row have a million sets; those of up to four are counted."""
-    rows = [([f"t{i:02d}" for i in range(20)], "block")] * 30 + [([f"t{i:02d}" for i in range(20) if i != k], "allow") for k in range(4)]
+    rows = [([f"t{i:02d}" for i in range(20)], "block")] * 30 + [([f"t{i:02d}" for i in range(20) if i != k], "allow")
+        for k in range(4)]
     got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
     want = {(f"t{i:02d}",): 30 / (33 if i < 4 else 34) for i in range(20)}
     want |= {(f"t{i:02d}", f"t{j:02d}"): 30 / 32 for i in range(4) for j in range(i + 1, 4)}

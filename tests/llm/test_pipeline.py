@@ -38,8 +38,10 @@ def test_pipeline(spark, sf):
 
 
 def test_stages_keep_columns(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).selectExpr("*", "1 as epoch", "'x' as spans", "'d' as domain", "'t' as tokens")
-    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (5, "", "en", "q", 0)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).selectExpr("*", "1 as epoch", "'x' as spans", "'d' as domain",
+        "'t' as tokens")
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (5, "", "en", "q", 0)],
+        "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
     assert [s for s, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
     for at in (docs, docs.filter("false"), docs.unionByName(docs)):
         for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -34,10 +34,12 @@ def test_top_k(spark, seed, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
     rows = [(int(i), [float(x) for x in rng.normal(size=3).astype(np.float32)]) for i in range(0, 260, 1 + seed)]
     rows += [(1000 + i, [0.5, 0.5, 0.5]) for i in range(30)]  # ties
-    rows += [(2000, None), (2050, [1.0, None, 2.0]), (2100, [float("nan"), 1.0, 1.0]), (2150, [float("inf"), 1.0, 1.0]), (2200, []), (None, [1.0, 2.0, 3.0]), (2250, [1.0, 2.0])]
+    rows += [(2000, None), (2050, [1.0, None, 2.0]), (2100, [float("nan"), 1.0, 1.0]), (2150, [float("inf"), 1.0, 1.0]), (2200, []),
+        (None, [1.0, 2.0, 3.0]), (2250, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit("x"))
     rows += rows[:7] + [(100, [9.0, 9.0, 9.0])]  # repeated rows, and a query of two vectors
-    df = df.unionByName(df.limit(7)).unionByName(df.sparkSession.createDataFrame(rows[-1:], "vec_id long, embedding array<float>"), allowMissingColumns=True)
+    df = df.unionByName(df.limit(7)).unionByName(df.sparkSession.createDataFrame(rows[-1:], "vec_id long, embedding array<float>"),
+        allowMissingColumns=True)
     got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == brute_top_k(rows, 5)
 
@@ -75,7 +77,8 @@ def brute_join(rows):
     for i, (key, _) in enumerate(rows):
         if key is not None:
             least[find(i)] = min(key, least.get(find(i), key))
-    return sorted(((k, len(s), None if k is None else least[find(i)], n) for i, ((k, _), s, n) in enumerate(zip(rows, sets, links))), key=str)
+    return sorted(((k, len(s), None if k is None else least[find(i)], n) for i, ((k, _), s, n) in enumerate(zip(rows, sets, links))),
+        key=str)
 
 
 def near_copies(rng, base, n, most):
@@ -132,7 +135,8 @@ def test_shingles_are_exact():
     assert len(set(ngram_join.shingles("a b c d e")) & set(ngram_join.shingles("a b c d"))) == 0
 
 
-@pytest.mark.parametrize("links", [[(i, i + 1) for i in range(40)], [(5, 1), (1, 5), (2, 2), (9, 8), (8, 5)], [(0, i) for i in range(1, 50)], []])
+@pytest.mark.parametrize("links",
+    [[(i, i + 1) for i in range(40)], [(5, 1), (1, 5), (2, 2), (9, 8), (8, 5)], [(0, i) for i in range(1, 50)], []])
 def test_components(spark, links):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "x long, y long")).collect()}
     parent = {}
@@ -195,10 +199,13 @@ def brute_mix(rows, plan, domain):
 def test_mixing(spark, seed, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0 if seed % 2 else 20_000)
-    plan = mixing.Plan(domains={"x": 3, "y": 1, "z": 0 if seed == 2 else 1}, langs={"en": 5}, sources={"x1": 4}, share=(0.6, 1.5, 0.3, 0.05)[seed], max_epochs=(2, 3, 1, 2)[seed], seed=seed)
+    plan = mixing.Plan(domains={"x": 3, "y": 1, "z": 0 if seed == 2 else 1}, langs={"en": 5}, sources={"x1": 4},
+        share=(0.6, 1.5, 0.3, 0.05)[seed], max_epochs=(2, 3, 1, 2)[seed], seed=seed)
     sources = [None, "x1", "x2", "y1", "y2", "z1"]
-    rows = [(i, " ".join("w" * 3 for _ in range(rng.randrange(30))), rng.choice(["en", "en", "de", None]), rng.choice(sources + ["x1"] * 6)) for i in range(160)]
-    rows += [(None, "a b c", "en", "x1"), (None, "d e", "en", "x1"), (3, "again a b", rows[3][2], rows[3][3]), (900, None, "en", "x2"), (901, "  ", "fr", "q")]
+    rows = [(i, " ".join("w" * 3 for _ in range(rng.randrange(30))), rng.choice(["en", "en", "de", None]),
+        rng.choice(sources + ["x1"] * 6)) for i in range(160)]
+    rows += [(None, "a b c", "en", "x1"), (None, "d e", "en", "x1"), (3, "again a b", rows[3][2], rows[3][3]),
+        (900, None, "en", "x2"), (901, "  ", "fr", "q")]
     domain = lambda s: "(none)" if s is None else s[0]
     named = "doc_id long, text string, lang string, source string, domain string, epoch int, __epoch int, _id string, __salt int"
     df = spark.createDataFrame([(*r, "old", 5, 6, "i", 7) for r in rows], named)

@@ -32,7 +32,8 @@ def test_machine_matches_all_pairs():
     machine = quality.Machine(0.3, rng.normal(size=quality.SLOTS), rng.normal(size=(quality.SLOTS, quality.RANK)) * 0.1)
     slots, values = quality.Featuriser()("Some words, some WORDS!! and | 12 numbers\nand lines", 40)
     plain = machine.bias + sum(machine.linear[i] * x for i, x in zip(slots, values))
-    plain += sum(machine.factors[i] @ machine.factors[j] * x * y for (i, x), (j, y) in itertools.combinations(list(zip(slots, values)), 2))
+    plain += sum(machine.factors[i] @ machine.factors[j] * x * y
+        for (i, x), (j, y) in itertools.combinations(list(zip(slots, values)), 2))
     assert machine.margin(slots, values) == pytest.approx(plain, rel=1e-5)
 
 
@@ -68,7 +69,8 @@ def test_quality_edges(spark):
     got = quality.score(docs, quality.train(docs, labels)).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert [r.held_out for r in got if r.doc_id is None] == [True]
-    many = spark.createDataFrame([(i, t) for t in ("one", "two") for i in (1, 2) for _ in range(500)], "doc_id long, text string").withColumn("n_chars", F.lit(3))
+    many = spark.createDataFrame([(i, t) for t in ("one", "two") for i in (1, 2) for _ in range(500)],
+        "doc_id long, text string").withColumn("n_chars", F.lit(3))
     trained = []
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(quality, "fit", lambda rows, labels: trained.append((len(rows), len(labels))))
@@ -130,8 +132,10 @@ def listed(spans):
 
 SECRETS = [
     None, "", "é token = 'abcdef' x", 'PASSWORD:"a.b/c+d=" token:short', "secret:token=ab Api_Key=abcdefg", "token:token:abcdefg",
-    "AKIA" + "Z" * 16, "xAKIAAKIA" + "1" * 15, "AKIAsmall", "0" * 24 + " " + "f" * 23, "token=" + "ab12" * 10 + "\n" + "AKIA" + "Q" * 17,
-    "id AKIA" + "B" * 16 + " with aB3" + "xY9/" * 8 + " at https://store.example.com/a?b", "aB3" + "xY9/" * 8 + " alone https://store.example.com",
+    "AKIA" + "Z" * 16, "xAKIAAKIA" + "1" * 15, "AKIAsmall", "0" * 24 + " " + "f" * 23,
+    "token=" + "ab12" * 10 + "\n" + "AKIA" + "Q" * 17,
+    "id AKIA" + "B" * 16 + " with aB3" + "xY9/" * 8 + " at https://store.example.com/a?b",
+    "aB3" + "xY9/" * 8 + " alone https://store.example.com",
     "client_id = app-17, see postgres://db.example.com:5432/x and secret: hunter2hunter2", "client_id = app-17 and nothing else",
 ]
 
@@ -191,7 +195,8 @@ def test_folds_match_the_library(spark, sf, kind):
         for w in {w for t in texts for w in t.split() if pieces.SPACE not in w}:
             assert score(encoder.encode(w)) == score(sp.nbest_encode_as_ids(w, 2)[0]) and sp.decode(encoder.encode(w).tolist()) == w
     chunks = sorted({c for t in texts for c in encoder.cut(pieces.marked(t)) if len(c) <= pieces.HOT_LENGTH})[:800]
-    got = {r.chunk: [tuple(x) for x in r.path] for r in pieces.segmented(spark.createDataFrame([(c,) for c in chunks], "chunk string"), model).collect()}
+    got = {r.chunk: [tuple(x) for x in r.path]
+        for r in pieces.segmented(spark.createDataFrame([(c,) for c in chunks], "chunk string"), model).collect()}
     assert got == {c: encoder.path(c) for c in chunks}
 
 
@@ -217,7 +222,8 @@ def interval_brute(text):
     near = lambda a, b: a[0] < b[2] + secret_scan.SCOPE and b[0] < a[2] + secret_scan.SCOPE
     fresh = lambda xs: [x for x in xs if not any(over(x, b) for b in base)]
     of = lambda k: [b for b in base if b[1] == k]
-    ids, secrets, ends = (fresh(find(p, k)) for p, k in ((secret_scan.WEAK_ID, 3), (secret_scan.WEAK_SECRET, 4), (secret_scan.WEAK_ENDPOINT, 5)))
+    ids, secrets, ends = (fresh(find(p, k))
+        for p, k in ((secret_scan.WEAK_ID, 3), (secret_scan.WEAK_SECRET, 4), (secret_scan.WEAK_ENDPOINT, 5)))
     secrets = [w for w in secrets if any(near(w, i) for i in of(1) + ids) and not any(over(w, i) for i in ids)]
     told = of(0) + of(2) + secrets
     ends = [w for w in ends if any(near(w, i) for i in of(1) + ids) and any(near(w, x) for x in told)]
@@ -229,8 +235,11 @@ def test_linked_spans_match_brute_force(spark):
     import random
 
     rng = random.Random(12)
-    parts = ["AKIA" + "Q" * 16, "client_id=app-17", "user-id: 'bob@x'", "aB3" + "xY9/" * 8, "Zz9" * 9 + "==", "https://a.example/b?c", "postgres://h:1/d", "token = abcdefgh", "secret:xy", "0123456789abcdef" * 2, "é" * 30, "plain words here"]
-    texts = ["".join(rng.choice(parts) + " " * rng.choice((1, 2, 40, 150, 260)) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    parts = ["AKIA" + "Q" * 16, "client_id=app-17", "user-id: 'bob@x'", "aB3" + "xY9/" * 8, "Zz9" * 9 + "==",
+        "https://a.example/b?c", "postgres://h:1/d", "token = abcdefgh", "secret:xy", "0123456789abcdef" * 2, "é" * 30,
+        "plain words here"]
+    texts = ["".join(rng.choice(parts) + " " * rng.choice((1, 2, 40, 150, 260)) for _ in range(rng.randrange(1, 14)))
+        for _ in range(300)]
     texts.append("AKIA" + "Z" * 16 + " " + "aB3xY9/aB3xY9/aB3xY9/aB3x https://h/x " * 400)  # very many matches in one text
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     n = 0
@@ -258,7 +267,10 @@ def test_pieces_round_trip(spark, sf, monkeypatch):
         got = pieces.encode(docs, model)
         rows = got.collect()
         assert len(rows) == sum(texts.values()) and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
-        assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == Counter({k: n for k, n in Counter((i, tuple(sp.encode(t or ""))) for (i, t), c in texts.items() for _ in range(c)).items()})
+        assert Counter((r.doc_id, tuple(r.ids))
+            for r in rows) == Counter({k: n
+                for k, n in Counter((i, tuple(sp.encode(t or ""))) for (i, t), c in texts.items() for _ in range(c)).items()})
     back = Counter((r.doc_id, r.text) for r in pieces.decode(got, model).collect())
-    assert back == Counter({(i, t): n for (i, t), n in Counter((i, (t or "").replace("▁", " ")) for (i, t), c in texts.items() for _ in range(c)).items()})
+    assert back == Counter({(i, t): n
+        for (i, t), n in Counter((i, (t or "").replace("▁", " ")) for (i, t), c in texts.items() for _ in range(c)).items()})
     assert pieces.encode(docs.filter("false"), model).count() == 0
