@@ -27,6 +27,8 @@ from .features import add_adjusted
 
 O, H, L, C, V = "adjusted_open", "adjusted_high", "adjusted_low", "adjusted_close", "volume"
 BASE = ["security_id", "date", O, H, L, C, V]
+#: Outputs that one plan holds at most.
+PLAN_OUTPUTS = 240
 Columns = dict[str, Column]
 Fold = Callable[[K.Series], tuple[np.ndarray, ...]]
 
@@ -836,14 +838,21 @@ def compute(prices: DataFrame, groups: list[str] | None = None, ids: list[str] |
     end: str | None = None) -> DataFrame:
     """Base columns and the outputs of the families of ``groups`` and ``ids`` (all unless given), of bars from ``start`` to ``end``.
 
-    Categories are computed one by one over the same bars and joined by bar, so that no plan
-    holds hundreds of windows at once.
+    Families share one plan, up to PLAN_OUTPUTS columns: one shuffle and one sort for all their
+    windows. More are computed in several plans over the same bars, joined by bar.
     """
     base = add_adjusted(prices).select(*BASE)
     wanted = [s for s in _registry.values() if (ids is None or s.id in ids) and (groups is None or s.category in groups)]
+    parts: list[list[Indicator]] = []
+    size = 0
+    for s in wanted:
+        if not parts or size + len(s.outputs) > PLAN_OUTPUTS:
+            parts.append([])
+            size = 0
+        parts[-1].append(s)
+        size += len(s.outputs)
     out = None
-    for category in dict.fromkeys(s.category for s in wanted):
-        mine = [s for s in wanted if s.category == category]
+    for mine in parts:
         made = _added(base, merged(mine))
         types = dict(made.dtypes)
         names = [c for c in dict.fromkeys(c for s in mine for c in s.outputs) if out is None or c not in out.columns]
