@@ -75,9 +75,10 @@ def invalid_dates(df: DataFrame, today: str, first: str = "1990-01-01") -> DataF
 
 
 def high_null_ratio(prices: DataFrame, limit: float = 0.05) -> DataFrame:
+    """Securities with a larger share of missing closes; the share is shown by its exact binary value, halves to even as C does."""
     share = prices.groupBy("security_id").agg(F.avg(F.col("close").isNull().cast("double")).alias("share"))
     return _issues(share.filter(F.col("share") > limit)
-        .withColumn("date", F.lit(None).cast("date")), "HIGH_NULL_RATIO", WARNING, F.format_string("%.4f", "share"))
+        .withColumn("date", F.lit(None).cast("date")), "HIGH_NULL_RATIO", WARNING, F.expr("format_number(share, '0.0000')"))
 
 
 def sudden_changes(prices: DataFrame, sudden: float = 0.8, split: float = 0.45) -> DataFrame:

@@ -266,3 +266,10 @@ def test_queries_match_sql(spark, sf, name):
     plain = lambda rows: sorted(tuple(str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
         for v in r) for r in rows)
     assert plain(got) == plain(want)
+
+
+def test_null_ratio_shows_exact_halves_to_even(spark):
+    rows = [("A", None if i < 1 else 1.0) for i in range(32)] + [("B", None if i < 3 else 1.0) for i in range(32)]
+    rows += [("C", None if i < 667 else 1.0) for i in range(20000)]  # 0.03335 in binary is a little less
+    got = quality.high_null_ratio(spark.createDataFrame(rows, "security_id string, close double"), 0.03)
+    assert {r.security_id: r.details for r in got.collect()} == {"A": "%.4f" % (1 / 32), "B": "%.4f" % (3 / 32), "C": "%.4f" % 0.03335}
