@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, div, nearest_quantiles, pearson, quintile, top_rows
+from ..functions.windows import average_rank, div, medians, middle, nearest_quantiles, pearson, quintile, top_rows
 
 SUBSETS = ("all", "ge_1", "ge_5", "ge_20", "lt_1", "1_to_5", "5_to_20", "ge_20_bucket")
 PROFILE = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -64,6 +64,9 @@ def long(df: DataFrame, columns: list[str], name: str, value: str, keep: list[st
         .alias(value)).filter(F.col(value).isNotNull())
 
 
+_MEDIAN = 2  # its place in ``summary``
+
+
 def summary(value: str = "value") -> list[Column]:
     """Count, mean, median, deviation, share above zero and plain t of a column."""
     x = F.col(value)
@@ -73,6 +76,16 @@ def summary(value: str = "value") -> list[Column]:
             .alias("positive_ratio"), F.try_divide(F.avg(x), std / F.sqrt(F.count(x))).alias("t_stat")]
 
 
+def summarised(rows: DataFrame, by: list[str], value: str = "value", *extra: Column) -> DataFrame:
+    """``summary`` and further aggregates of few large groups; their medians come without a task that holds a group's values."""
+    stats = rows.groupBy(*by).agg(*(c for i, c in enumerate(summary(value)) if i != _MEDIAN), *extra, middle(value).alias("__q"))
+    found = medians(rows, value, by, stats).withColumnsRenamed({c: f"__by_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))
+    out = stats.join(F.broadcast(found), same, "left")
+    others = [c for c in stats.columns if c not in (*by, "n", "mean", "__q")]
+    return out.select(*by, "n", "mean", "median", *others)
+
+
 def sample_status(n: Column, dates: Column, rows_needed: int = 1000, dates_needed: int = 100) -> Column:
     return F.when((n >= rows_needed) | (dates >= dates_needed), "ok").otherwise("insufficient")
 
@@ -256,7 +269,7 @@ def price_bucket_floor(c: str = "raw_close") -> Column:
 
 def price_sensitivity(df: DataFrame, target: str) -> DataFrame:
     rows = df.filter(F.col(target).isNotNull()).withColumn("bucket", price_bucket()).filter(F.col("bucket").isNotNull())
-    return rows.groupBy("bucket").agg(*summary(target), F.avg((F.abs(F.col(target)) > 0.5).cast("double")).alias("extreme_share"))
+    return summarised(rows, ["bucket"], target, F.avg((F.abs(F.col(target)) > 0.5).cast("double")).alias("extreme_share"))
 
 
 def with_subsets(df: DataFrame) -> DataFrame:

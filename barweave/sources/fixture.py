@@ -49,7 +49,8 @@ def adjusted(df: DataFrame) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(security_id, date) bars with open, high, low, close, volume, adj_close, dividend, stock_split, ticker_at_time."""
-    return adjusted(_bars(trades(spark, sf_dir), "security_id", "date"))
+    # Trades are dealt by security once: bars and all windows over them need no other shuffle, and only one sort.
+    return adjusted(_bars(trades(spark, sf_dir).repartition("security_id"), "security_id", "date"))
 
 
 def benchmark(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:

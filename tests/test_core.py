@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barweave import queries
 from barweave.functions import kernels
-from barweave.functions.windows import nearest_quantiles, pearson
+from barweave.functions.windows import medians, nearest_quantiles, pearson
 from barweave.operators import features, indicators, labels, mining, quality, research
 from barweave.sources import catalog, lake, providers
 
@@ -288,3 +288,12 @@ def test_symbols_that_several_securities_share(spark, tmp_path):
     got = queries.queries()["resolve_symbols"](spark, str(tmp_path)).select("ticker", "security_id", "how").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert ("NAB-PD", "S000133", "history") in want
+
+
+def test_medians_of_large_groups_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = {"a": rng.normal(size=30001), "b": np.r_[np.zeros(20000), rng.normal(size=12000)], "c": np.array([1.0, 4.0])}
+    rows = [(k, float(v)) for k, values in x.items() for v in values] + [("a", None), ("d", None), (None, 7.0)]
+    got = medians(spark.createDataFrame(rows, "k string, v double"), "v", ["k"])
+    assert {r.k: r.median for r in got.collect()} == {k: pytest.approx(float(np.median(v))) for k, v in x.items()} | {None: 7.0}
+    assert "median(" not in got._jdf.queryExecution().optimizedPlan().toString()
