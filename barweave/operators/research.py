@@ -252,7 +252,7 @@ def regime_stats(df: DataFrame, targets: list[str]) -> DataFrame:
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("regime")) for k in ("spy_regime", "vix_regime"))))
     rows = long(df.withColumn("__r", kinds), targets, "target", "value", ["__r"]).select("__r.kind", "__r.regime", "target",
         "value").filter(F.col("regime").isNotNull())
-    return rows.groupBy("kind", "regime", "target").agg(*summary())
+    return summarised(rows, ["kind", "regime", "target"])
 
 
 def price_bucket(c: str = "raw_close") -> Column:
