@@ -284,7 +284,7 @@ def overlay(df: DataFrame, features: list[str], target: str) -> dict[str, DataFr
     rows = with_subsets(df)
     sizes = rows.groupBy("price_subset").agg(F.count("*").alias("n"), F.countDistinct("security_id")
         .alias("n_securities"), F.countDistinct("date").alias("n_dates"))
-    base = rows.filter(F.col(target).isNotNull()).groupBy("price_subset").agg(*summary(target))
+    base = summarised(rows.filter(F.col(target).isNotNull()), ["price_subset"], target)
     ranks = rows.filter(F.col(target).isNotNull())
     spread = long(rows, features, "feature", "value", ["price_subset", "date", "security_id", target]).withColumn("quintile",
         quintile("value", ["price_subset", "date", "feature"])).filter(F.col(target).isNotNull())
