@@ -91,10 +91,10 @@ def sample_status(n: Column, dates: Column, rows_needed: int = 1000, dates_neede
 
 
 def baseline(df: DataFrame, targets: list[str]) -> DataFrame:
-    """Statistics of each target over all rows and by year, in one pass by grouping sets; year null: all."""
-    rows = long(df, targets, "target", "value", ["date", "security_id"]).withColumn("year", F.year("date"))
-    out = rows.groupingSets([["target"], ["target", "year"]], "target", "year").agg(*summary(), F.countDistinct("date")
-        .alias("n_dates"))
+    """Statistics of each target over all rows and by year; year null: all."""
+    rows = long(df, targets, "target", "value", ["date"])
+    rows = rows.withColumn("year", F.explode(F.array(F.lit(None).cast("int"), F.year("date"))))
+    out = summarised(rows, ["target", "year"], "value", F.countDistinct("date").alias("n_dates"))
     return out.withColumn("status", sample_status(F.col("n"), F.col("n_dates")))
 
 
