@@ -11,6 +11,7 @@ there is no sink for them.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -817,6 +818,17 @@ def merged(families: list[Indicator]) -> Needs:
     return out
 
 
+def pruned(needs: Needs, outputs: set[str]) -> Needs:
+    """What of ``needs`` the outputs read, by the names in the text of the columns."""
+    read, stages = set(outputs), []
+    for stage in reversed(needs.stages):
+        kept = {n: c for n, c in stage.items() if n in read}
+        read |= {word for c in kept.values() for word in re.findall(r"\w+", str(c))}
+        stages.insert(0, kept)
+    folds = {names: fold for names, fold in needs.folds.items() if read & set(names)}
+    return Needs(needs.before if folds else {}, folds, stages)
+
+
 def _added(df: DataFrame, needs: Needs) -> DataFrame:
     if needs.before:
         df = df.withColumns(needs.before)
@@ -835,29 +847,33 @@ def _added(df: DataFrame, needs: Needs) -> DataFrame:
 
 
 def compute(prices: DataFrame, groups: list[str] | None = None, ids: list[str] | None = None, start: str | None = None,
-    end: str | None = None) -> DataFrame:
+    end: str | None = None, outputs: set[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Base columns and the outputs of the families of ``groups`` and ``ids`` (all unless given), of bars from ``start`` to ``end``.
 
+    ``outputs``: only these of the families' outputs; ``keep``: columns of ``prices`` that go along.
+
     Families share one plan, up to PLAN_OUTPUTS columns: one shuffle and one sort for all their
     windows. More are computed in several plans over the same bars, joined by bar.
     """
-    base = add_adjusted(prices).select(*BASE)
+    base = add_adjusted(prices).select(*BASE, *keep)
+    shown = lambda s: [c for c in s.outputs if outputs is None or c in outputs]
     wanted = [s for s in _registry.values() if (ids is None or s.id in ids) and (groups is None or s.category in groups)]
     parts: list[list[Indicator]] = []
     size = 0
     for s in wanted:
-        if not parts or size + len(s.outputs) > PLAN_OUTPUTS:
+        if not parts or size + len(shown(s)) > PLAN_OUTPUTS:
             parts.append([])
             size = 0
         parts[-1].append(s)
-        size += len(s.outputs)
+        size += len(shown(s))
     out = None
     for mine in parts:
-        made = _added(base, merged(mine))
+        needs = merged(mine)
+        made = _added(base, needs if outputs is None else pruned(needs, {c for s in mine for c in shown(s)}))
         types = dict(made.dtypes)
-        names = [c for c in dict.fromkeys(c for s in mine for c in s.outputs) if out is None or c not in out.columns]
-        part = made.select(*BASE, *((finite(c).alias(c) if types[c] == "double" else F.col(c)) for c in names))
-        out = part if out is None else out.join(part.drop(*BASE[2:]), ["security_id", "date"])
+        names = [c for c in dict.fromkeys(c for s in mine for c in shown(s)) if out is None or c not in out.columns]
+        part = made.select(*BASE, *keep, *((finite(c).alias(c) if types[c] == "double" else F.col(c)) for c in names))
+        out = part if out is None else out.join(part.drop(*BASE[2:], *keep), ["security_id", "date"])
     out = base if out is None else out
     if start:
         out = out.filter(F.col("date") >= F.lit(start).cast("date"))

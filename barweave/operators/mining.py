@@ -380,11 +380,13 @@ STATS = (
 )
 
 
-def pattern_stats(found: DataFrame, base: DataFrame, lag: int, winsor: Column, by: tuple[str, ...] = ()) -> DataFrame:
+def pattern_stats(found: DataFrame, base: DataFrame, lag: int, winsor: Column, by: tuple[str, ...] = (),
+    same: bool = False) -> DataFrame:
     """(by..., pattern, STATS...): statistics of each pattern's rows, and of its daily means against the baseline's.
 
     What is shuffled for the daily series are sums by pattern and date. ``winsor``: the outcome
     y clipped.
+    ``same``: the excess x is the outcome y itself, so its statistics are the outcome's.
     """
     keys = [*by, "pattern"]
     known = F.col("y").isNotNull()
@@ -393,9 +395,11 @@ def pattern_stats(found: DataFrame, base: DataFrame, lag: int, winsor: Column, b
         F.count("*").alias("kept"), F.count("y").alias("n"), F.countDistinct(on("date"))
             .alias("n_dates"), F.countDistinct(on("security_id")).alias("n_securities"),
         F.avg("y").alias("mean"), F.median("y").alias("median"), F.avg(F.when(known, winsor)).alias("winsor_mean"),
-        F.avg((F.col("y") > 0).cast("double")).alias("positive_ratio"), F.avg(on("x")).alias("excess_mean"), F.median(on("x"))
-            .alias("excess_median"),
+        F.avg((F.col("y") > 0).cast("double")).alias("positive_ratio"),
+        *([] if same else [F.avg(on("x")).alias("excess_mean"), F.median(on("x")).alias("excess_median")]),
     )
+    if same:
+        flat = flat.withColumns({"excess_mean": F.col("mean"), "excess_median": F.col("median")})
     daily = found.filter(known).groupBy(*keys, "date").agg(F.avg("y").alias("day"))
     daily = daily.join(F.broadcast(base), [*by, "date"], "left").withColumn("diff", F.col("day") - F.col("base"))
     days = daily.groupBy(*keys).agg(F.median("day").alias("daily_median"), F.avg((F.col("day") > 0).cast("double"))
@@ -414,7 +418,8 @@ def score(
 ) -> DataFrame:
     """(pattern, STATS...) of the states and, unless told otherwise, their pairs, in one aggregation."""
     found = hits(df, states, target, excess, wanted, pairs, mode, wait)
-    return pattern_stats(found, daily_baseline(df, target), horizon_of(target) if lag is None else lag, clipped("y", bounds))
+    return pattern_stats(found, daily_baseline(df, target), horizon_of(target) if lag is None else lag, clipped("y", bounds),
+        same=excess in (None, target) or excess not in df.columns)
 
 
 def supported(stats: DataFrame, support: Support) -> DataFrame:
@@ -689,7 +694,7 @@ def walk_forward(df: DataFrame, target: str, parts: list[dict[str, str]], tracke
     found = found.withColumn("security_id", F.col("__sid")).drop("__sid")
     low, high = (_by_fold({n: v[i] for n, v in limits.items()}) for i in (0, 1))
     winsor = F.least(F.greatest(F.col("y"), F.coalesce(low, F.col("y"))), F.coalesce(high, F.col("y")))
-    stats = pattern_stats(found, daily_baseline(rows, target, ("fold", "role")), horizon_of(target), winsor, ("fold", "role"))
+    stats = pattern_stats(found, daily_baseline(rows, target, ("fold", "role")), horizon_of(target), winsor, ("fold", "role"), True)
     effect = F.coalesce("excess_median", "median")
     return stats.withColumns({"effect": effect, "direction": F.coalesce(F.signum(effect), F.lit(0.0)).cast("int")})
 

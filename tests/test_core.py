@@ -297,3 +297,12 @@ def test_medians_of_large_groups_are_exact(spark):
     got = medians(spark.createDataFrame(rows, "k string, v double"), "v", ["k"])
     assert {r.k: r.median for r in got.collect()} == {k: pytest.approx(float(np.median(v))) for k, v in x.items()} | {None: 7.0}
     assert "median(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_family_is_all_that_a_state_needs(spark, sf):
+    from barweave import mining_queries
+
+    plan = mining_queries._stated(spark, sf, ["bb_above_upper"], False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan
+    kept = indicators.pruned(indicators.merged([indicators.get("rsi"), indicators.get("sma")]), {"rsi14_le_30", "sma20_above_sma50"})
+    assert list(kept.folds) == [("rsi_14",)] and set(kept.stages[0]) == {"rsi14_le_30", "sma_20", "sma_50"}
