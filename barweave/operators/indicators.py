@@ -14,6 +14,8 @@ import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -299,30 +301,48 @@ def _psar() -> Needs:
 _LINES = (20, 60, 120)
 
 
+def _joined(n: int, parts: int) -> Columns:
+    """Mean, spread and co-variation with time of n * parts closes from those of n closes, at lags of n.
+
+    Neighbouring runs are put together as such (no difference of running sums), so a level doesn't blur the spread. A close
+    that isn't there leaves no mean of its runs.
+    """
+    at = lambda c: [col(f"__{c}_line{n}") if i == 0 else lag(f"__{c}_line{n}", n * i) for i in range(parts)]
+    means, spreads, slopes = at("m"), at("q"), at("s")
+    mean = reduce(add, means) / parts
+    # Runs in time order have centres that lie as far from the middle on either side.
+    pulls = [(means[i] - means[-1 - i]) * (n * n * (parts - 1 - 2 * i) / 2.0) for i in range(parts // 2)]
+    size = n * parts
+    return {f"__m_line{size}": mean, f"__q_line{size}": reduce(add, [*spreads, *((m - mean) * (m - mean) * n for m in means)]),
+        f"__s_line{size}": reduce(add, [*slopes, *pulls])}
+
+
 @register(
     "linreg", "trend",
     [f"{x}_{n}" for n in _LINES
         for x in ("linreg_slope", "linreg_slope_norm", "linreg_r2", "linreg_zscore", "dist_from_linreg", "corr_time")],
 )
 def _linreg() -> Needs:
-    """The line through the last n closes: slope and spread from sums over the frame, as the index's own variance is known."""
+    """The line through the last n closes, put together of runs of 5, 20 and 60 closes by lags: a bar costs the same for any n."""
+    closes = [col(C) if i == 0 else lag(C, i) for i in range(5)]
+    level = reduce(add, closes) / 5
+    five = {"__m_line5": level, "__q_line5": reduce(add, [(c - level) * (c - level) for c in closes]),
+        "__s_line5": (closes[0] - closes[4]) * 2.0 + (closes[1] - closes[3])}
     made: Columns = {}
     for n in _LINES:
-        full = F.count(C).over(trailing(n)) == n
         sxx = n * (n * n - 1) / 12.0
-        level, spread = F.avg(C).over(trailing(n)), F.var_pop(C).over(trailing(n)) * n
-        # Weights 1 to n by frame sums, against their mean.
-        sxy = F.sum(col("__i") * col(C)).over(trailing(n)) - (col("__i") - (n - 1) / 2.0) * F.sum(C).over(trailing(n))
+        spread, sxy = col(f"__q_line{n}"), col(f"__s_line{n}")
         slope = sxy / sxx
-        off = col(C) - (level + slope * (n - 1) / 2.0)
+        off = col(C) - (col(f"__m_line{n}") + slope * (n - 1) / 2.0)
         left = F.greatest(spread - slope * sxy, F.lit(0.0))
+        full = col(f"__m_line{n}").isNotNull()
         varied = full & (spread > 1e-12)
         made |= {f"linreg_slope_{n}": F.when(full, slope), f"linreg_slope_norm_{n}": F.when(full, div(slope, C))}
         made |= {f"linreg_r2_{n}": F.when(varied, div(slope * sxy, spread)),
             f"corr_time_{n}": F.when(varied, div(sxy, F.sqrt(spread * sxx)))}
         made |= {f"linreg_zscore_{n}": F.when(full & (left > 1e-12), div(off, F.sqrt(left / (n - 1)))),
             f"dist_from_linreg_{n}": F.when(full, div(off, C))}
-    return Needs(stages=[{"__i": place()}, made])
+    return Needs(stages=[five, _joined(5, 4), _joined(20, 3), _joined(60, 2), made])
 
 
 # ---- momentum

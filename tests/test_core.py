@@ -189,6 +189,24 @@ def test_families_without_recursion_have_no_python(spark):
         assert ("FlatMapGroupsInArrow" in plan) == recursive, id
 
 
+def test_lines_cost_the_same_for_any_length_and_keep_small_moves(spark):
+    x = 1e8 + np.random.default_rng(5).normal(size=150)
+    gap = {c: F.when(F.col("date") != DAY + dt.timedelta(days=10), F.col(c)) for c in ("close", "adj_close")}
+    got = indicators.compute(prices(spark, x, **gap), ids=["linreg"])
+    x[10] = np.nan
+    assert "RowFrame, -119" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.orderBy("date").toPandas()
+    for n in (20, 60, 120):
+        for at in range(150):
+            if at < n - 1 or np.isnan(x[at - n + 1 : at + 1]).any():
+                assert pd.isna(rows[f"linreg_slope_{n}"][at]) and pd.isna(rows[f"corr_time_{n}"][at])
+            else:
+                t, y = np.arange(n) - (n - 1) / 2, x[at - n + 1 : at + 1] - 1e8
+                slope, r = (t @ y) / (t @ t), np.corrcoef(t, y)[0, 1]
+                assert rows[f"linreg_slope_{n}"][at] == pytest.approx(slope, rel=1e-6, abs=1e-7)
+                assert rows[f"corr_time_{n}"][at] == pytest.approx(r, rel=1e-6, abs=1e-7)
+
+
 def test_catalogue(spark, tmp_path):
     c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
     schema = "security_id string, prices boolean, features boolean, reason string"
