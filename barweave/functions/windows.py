@@ -6,6 +6,7 @@ Every division is ``try_divide``: a zero denominator gives null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -132,6 +133,41 @@ def nearest_quantiles(df: DataFrame, value: str, quantiles: list[float], by: lis
     return placed.groupBy(*by).agg(*(F.max(F.when(hit(q), F.col(value))).alias(f"q{i}") for i, q in enumerate(quantiles)))
 
 
+def column_quantiles(df: DataFrame, columns: list[str], quantiles: list[float]) -> dict[str, tuple[int, list[float | None]]]:
+    """Exact nearest-rank quantiles of columns, nulls and NaN left out: each one's count and values.
+
+    A sketch brackets each quantile, well beyond its own error; a second pass counts what lies below a bracket and the values
+    in it, so few of the values are shuffled. Short columns are counted whole. A bracket that missed would be an error.
+    """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    around = sorted({min(1.0, max(0.0, q + m)) for q in quantiles for m in (-0.0005, 0.0005)})
+    drawn = [F.percentile_approx(value[c], F.array(*map(F.lit, around)), F.lit(10000)).alias(f"q{i}") for i, c in enumerate(columns)]
+    row = df.agg(*(F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)), *drawn).first()
+    marks, below, rank = [], [], {}
+    for i, c in enumerate(columns):
+        for j, q in enumerate(quantiles):
+            lo, hi = float("-inf"), float("inf")
+            if row[f"n{i}"] > 10000:
+                lo, hi = (row[f"q{i}"][around.index(min(1.0, max(0.0, q + m)))] for m in (-0.0005, 0.0005))
+            rank[i, j] = math.floor((row[f"n{i}"] - 1) * q + 0.5)
+            inside = (value[c] >= lo) & (value[c] <= hi)
+            marks.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), value[c].alias("v"))))
+            below.append(F.count_if(value[c] < lo).alias(f"b{i}_{j}"))
+    less = df.agg(*below).first()
+    near = df.select(F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    asked = df.sparkSession.createDataFrame([(i, j, r - less[f"b{i}_{j}"]) for (i, j), r in rank.items()], "i int, j int, r long")
+    upto = F.sum("n").over(Window.partitionBy("i", "j").orderBy("v"))
+    placed = near.select("x.*", "n").withColumn("upto", upto).join(F.broadcast(asked), ["i", "j"])
+    hit = placed.filter((F.col("upto") > F.col("r")) & (F.col("upto") - F.col("n") <= F.col("r")))
+    found = {(r["i"], r["j"]): r["v"] for r in hit.select("i", "j", "v").collect()}  # a row a column and quantile
+    out = {}
+    for i, c in enumerate(columns):
+        if row[f"n{i}"] and any((i, j) not in found for j in range(len(quantiles))):
+            raise RuntimeError("a quantile lies outside of its bracket")
+        out[c] = (row[f"n{i}"], [found.get((i, j)) for j in range(len(quantiles))])
+    return out
+
+
 def middle(value: str) -> Column:
     """A sketch of a column's middle as an aggregate, for ``medians``: ranks of 49.9 and 50.1 %, each within 0.01 %."""
     return F.percentile_approx(F.col(value), F.array(F.lit(0.499), F.lit(0.501)), F.lit(10000))

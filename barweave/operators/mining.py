@@ -1,23 +1,24 @@
 """Rule mining: boolean states, their activations, outcome statistics of states and pairs, and frozen evaluation.
 
 A state is a named boolean expression; a pattern is one state or two joined by " AND ". All
-patterns of a window are scored in one aggregation: each row becomes the list of its true
-states, from which the patterns that hold are made, exploded and grouped by pattern and date,
-then by pattern. Cutoffs, winsor bounds and the choice of patterns are frozen on the window
+patterns of a window are scored at once, by state from rows packed to bits (``pattern_counts``);
+by entry each row becomes the list of its true states, from which the patterns that hold are
+made, exploded and grouped by pattern and date, then by pattern. Cutoffs, winsor bounds and the choice of patterns are frozen on the window
 they are learnt from; what reaches the driver is a row a pattern.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.windows import average_rank, div, nearest_quantiles, series
+from ..functions.windows import average_rank, column_quantiles, div, finite, nearest_quantiles, series
+from . import pattern_counts
 from .research import clipped, long, newey_west, price_bucket_floor, vix_terciles, with_regimes
 
 AND = " AND "
@@ -191,8 +192,8 @@ def latest_mature(df: DataFrame, target: str) -> str | None:
 
 
 def base_states(columns: set[str]) -> list[State]:
-    """States whose columns are there, and aliases of those that aren't."""
-    out = [s for s in STATES if s.column in columns]
+    """States whose columns are there, or whose own flags are by name, and aliases of those that aren't."""
+    out = [s if s.column in columns else replace(s, column=s.name, op="true") for s in STATES if {s.column, s.name} & columns]
     have = {s.name for s in out}
     return out + [s for s, preferred in ALIASES if preferred not in have and s.column in columns]
 
@@ -202,11 +203,8 @@ def freeze(df: DataFrame) -> Frozen:
     there = [c for c, _, _ in QUANTILE_SOURCES if c in df.columns]
     if not there:
         return {}
-    values = long(df, there, "source", "value", []).filter(~F.isnan("value"))
-    counts = values.groupBy("source").agg(F.count("*").alias("n"))
-    found = nearest_quantiles(values, "value", list(QUANTILES), ["source"]).join(counts,
-        "source").filter(F.col("n") >= MIN_QUANTILE_ROWS)
-    rows = {r["source"]: {f"q{round(q * 100)}": r[f"q{i}"] for i, q in enumerate(QUANTILES)} for r in found.collect()}  # a row a source
+    found = column_quantiles(df, there, list(QUANTILES))
+    rows = {c: {f"q{round(q * 100)}": v for q, v in zip(QUANTILES, values)} for c, (n, values) in found.items() if n >= MIN_QUANTILE_ROWS}
     out: Frozen = {}
     for c, _, preferred in QUANTILE_SOURCES:
         if c in rows and preferred not in out:
@@ -230,8 +228,8 @@ def states_of(columns: list[str], frozen: Frozen) -> list[State]:
 
 def bounds_of(df: DataFrame, target: str) -> Bounds:
     """1 and 99 % of a target."""
-    found = nearest_quantiles(df, target, [0.01, 0.99]).first()
-    return None if found is None or found["q0"] is None else (found["q0"], found["q1"])
+    n, found = column_quantiles(df, [target], [0.01, 0.99])[target]
+    return (found[0], found[1]) if n else None
 
 
 def daily_quantile_flags(df: DataFrame, c: str) -> DataFrame:
@@ -416,12 +414,44 @@ def score(
     df: DataFrame, states: list[State], target: str, excess: str | None = None, bounds: Bounds = None, lag: int | None = None,
     wanted: list[str] | None = None, pairs: bool = True, mode: str = "state", wait: int = 0,
 ) -> DataFrame:
-    """(pattern, STATS...) of the states and, unless told otherwise, their pairs, in one aggregation."""
+    """(pattern, STATS...) of the states and, unless told otherwise, their pairs, all of them at once.
+
+    By state, rows are packed and read several times, so ``df`` should be held; what comes back are a row a pattern.
+    """
+    if mode == "state":
+        return _scored(df, states, target, excess, bounds, horizon_of(target) if lag is None else lag, wanted, pairs)
     found = hits(df, states, target, excess, wanted, pairs, mode, wait)
     return pattern_stats(found, daily_baseline(df, target), horizon_of(target) if lag is None else lag, clipped("y", bounds),
         same=excess in (None, target) or excess not in df.columns)
 
 
+def _scored(df: DataFrame, states: list[State], target: str, excess: str | None, bounds: Bounds, lag: int, wanted: list[str] | None,
+    pairs: bool) -> DataFrame:
+    place = {s.name: i for i, s in enumerate(states)}
+    patterns = [(n, i, i) for n, i in place.items()]
+    patterns += [(a + AND + b, place[a], place[b]) for a, b in pairs_of(states)] if pairs else []
+    asked = None if wanted is None else set(wanted)
+    patterns = [p for p in patterns if asked is None or p[0] in asked]
+    schema = ", ".join(["pattern string", *(f"{c} {'long' if c in _LONGS else 'double'}" for c in STATS)])
+    if not patterns:
+        return df.sparkSession.createDataFrame([], schema)
+    other = excess is not None and excess != target and excess in df.columns
+    columns = set(df.columns)
+    rows = pattern_counts.packed(df, [s.expression(columns) for s in states], finite(F.col(target).cast("double")),
+        finite(F.col(excess).cast("double")) if other else None)
+    products = pattern_counts.Products(patterns, len(states))
+    met = {r["p"]: r["n_securities"] for r in pattern_counts.securities(rows, products).collect()}  # a row a pattern each
+    found = [r.asDict() for r in pattern_counts.about(pattern_counts.daily(rows, products, bounds), lag).collect()]
+    median = pattern_counts.medians(rows, products, "y")
+    of_excess = pattern_counts.medians(rows, products, "x") if other else median
+    out = []
+    for r in found:
+        p = r["p"]
+        r |= {"n_securities": met.get(p, 0), "median": median.get(p), "excess_median": of_excess.get(p)}
+        out.append((patterns[p][0], *(r[c] for c in STATS)))
+    return df.sparkSession.createDataFrame(out, schema)
+
+
 def supported(stats: DataFrame, support: Support) -> DataFrame:
     return (stats.filter((F.col("kept") >= support.rows) & (F.col("n_dates") >= support.dates) & (F.col("n_securities") >= support.securities)))
 
