@@ -38,11 +38,15 @@ Fold = Callable[[K.Series], tuple[np.ndarray, ...]]
 
 @dataclass
 class Needs:
-    """What a family is made of: ``before`` the folds, folds by their outputs, then stages that read what came earlier."""
+    """What a family is made of: ``before`` the folds, folds by their outputs, then stages that read what came earlier.
+
+    ``read``: the names that are read at all, where that is known; of a fold's outputs only those go on.
+    """
 
     before: Columns = field(default_factory=dict)
     folds: dict[tuple[str, ...], Fold] = field(default_factory=dict)
     stages: list[Columns] = field(default_factory=list)
+    read: set[str] | None = None
 
 
 @dataclass(frozen=True)
@@ -846,7 +850,7 @@ def pruned(needs: Needs, outputs: set[str]) -> Needs:
         read |= {word for c in kept.values() for word in re.findall(r"\w+", str(c))}
         stages.insert(0, kept)
     folds = {names: fold for names, fold in needs.folds.items() if read & set(names)}
-    return Needs(needs.before if folds else {}, folds, stages)
+    return Needs(needs.before if folds else {}, folds, stages, read)
 
 
 def _added(df: DataFrame, needs: Needs) -> DataFrame:
@@ -854,10 +858,10 @@ def _added(df: DataFrame, needs: Needs) -> DataFrame:
         df = df.withColumns(needs.before)
     if needs.folds:
         folds = dict(needs.folds)  # what the workers get; columns stay with the driver
-        names = [n for outputs in folds for n in outputs]
+        names = [n for outputs in folds for n in outputs if needs.read is None or n in needs.read]
 
         def kernel(s: K.Series) -> K.Series:
-            return {n: x for outputs, fold in folds.items() for n, x in zip(outputs, fold(s))}
+            return {n: x for outputs, fold in folds.items() for n, x in zip(outputs, fold(s)) if n in names}
 
         df = K.per_security(df, kernel, [O, H, L, C, V, *needs.before], names).drop(*needs.before)
     for stage in needs.stages:
