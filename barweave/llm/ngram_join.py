@@ -10,9 +10,11 @@
    one; if it is rare, it is a key of both. If it is frequent, so are all common ones, and
    within prefixes extended to 2p there are two common ones that are at most ``GAP``
    places apart in both: pairs of frequent shingles that close are keys.
-4. Sets that share keys, directly or through others, form clusters; large ones are split by
-   sketches that never count too few common shingles. Clusters are verified in tiles of
-   bounded size, by products of incidence matrices; the links' components follow.
+4. Pairs of sets that share a key of few sets are tried by their sizes and by parity bits that
+   never show too many differences; a key of many sets joins all of them. Sets joined so,
+   directly or through others, form clusters; large ones are split by sketches that never
+   count too few common shingles. Clusters are verified in tiles of bounded size, by products
+   of incidence matrices; the links' components follow.
 
 Why GAP is 5: with p(n) = n - ceil(0.8 n) + 1, linked sets share at least K of their first
 p + K - 1 shingles. Take K = 1 + min(p, q) for prefixes p and q, p <= 2q. The K - 1 steps
@@ -52,29 +54,22 @@ CHUNK = 2_000_000
 FILTER_BITS = 23
 #: Sets of a tile: a 32nd of its cluster, within these.
 TILE = (128, 4096)
-#: Clusters of more sets than this are split by sketches first, which have so many counters.
+#: Clusters of more sets than this are split by sketches first, which have so many counters; keys of more aren't tried by pairs.
 LARGE = 64
 COUNTERS = 256
 #: Cells of an incidence matrix held at once.
 CELLS = 1 << 23
 
+#: Bytes of texts whose shingles are made at once, so that all arrays of it stay in a core's cache.
+PIECE = 1 << 16
+#: Longer words, in bytes, are hashed one by one.
+LONG_WORD = 64
+
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = int(_RNG.integers(1, 2**62)) * 8 + 5
-_R_INVERSE = pow(_R, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the multiplier and of its inverse modulo 2^64; kept for the next text."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_R, _R_INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[i] = np.multiply.accumulate(row)
-    return _powers[0][:n], _powers[1][:n]
+_IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+#: By the number of a word's bytes in a chunk of eight: those bytes.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -83,30 +78,82 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64 bit hashes of a text's shingles.
+def _words(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bit hashes of the words between ``begin`` and ``end``, eight bytes at a time."""
+    size = end - begin
+    chunks = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))  # at every byte, the eight from there
+    out = _mixed(size.astype(np.uint64) * _STEP[0])
+    some = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        some = some[size[some] > at]
+        if not len(some):
+            break
+        part = chunks[begin[some] + at] & _KEPT[np.minimum(size[some] - at, 8)]
+        out[some] = _mixed((out[some] ^ part) * _STEP[1])
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[begin[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def _piece(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, counts): the shingles of the texts that begin at ``starts``, text by text, each text's sorted and distinct."""
+    n = len(starts)
+    word = np.zeros(len(raw) + 2, bool)
+    word[1:-1] = _IN_WORD[np.frombuffer(raw, np.uint8)]
+    inner = starts[(starts > 0) & (starts < len(raw))]
+    first, last = word[1:] & ~word[:-1], word[:-1] & ~word[1:]
+    first[inner], last[inner] = word[inner + 1], word[inner]  # a word ends where its text does
+    begin, end = np.flatnonzero(first), np.flatnonzero(last)
+    of = np.searchsorted(starts, begin, "right") - 1
+    words, sizes = _words(raw, begin, end), np.bincount(of, minlength=n)
+    at = np.cumsum(sizes) - sizes
+    counts = np.where(sizes < WIDTH, np.minimum(sizes, 1), sizes - WIDTH + 1)
+    place = np.cumsum(counts) - counts
+    tokens = np.zeros(counts.sum(), np.uint64)
+    if len(words) >= WIDTH:
+        m = len(words) - WIDTH + 1
+        total = words[:m] * _STEP[0]
+        for j in range(1, WIDTH):
+            total += words[j : m + j] * _STEP[j]
+        tokens[np.repeat(sizes >= WIDTH, counts)] = _mixed(total[of[:m] == of[WIDTH - 1 :]] + np.uint64(WIDTH))
+    for width in range(1, WIDTH):
+        few = np.flatnonzero(sizes == width)
+        if len(few):
+            tokens[place[few]] = _mixed((words[at[few][:, None] + np.arange(width)] * _STEP[:width]).sum(1) + np.uint64(width))
+    for i, to in zip(place.tolist(), (place + counts).tolist()):
+        tokens[i:to].sort()
+    owner = np.repeat(np.arange(n), counts)
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+    return tokens[new], np.bincount(owner[new], minlength=n)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Each text's sorted distinct 64 bit hashes of shingles; those of many short texts are made together.
 
     A-Z are lower-cased and words end at ASCII white space. With fewer words than a shingle
     has, the whole sequence is one; without words there is none.
     """
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    space = np.empty(len(raw) + 2, bool)
-    space[0] = space[-1] = True
-    space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    turns = np.flatnonzero(space[1:] != space[:-1])
-    begin, end = turns[::2], turns[1::2]
-    n = len(begin)
-    if not n:
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(raw) + 1)
-    upto = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[:-1], out=upto[1:])
-    words = _mixed((upto[end] - upto[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-    width = min(n, WIDTH)
-    out = np.zeros(n - width + 1, np.uint64)
-    for j in range(width):
-        out += _mixed(words[j : n - width + 1 + j] ^ _STEP[j]) * _STEP[j]
-    return np.unique(_mixed(out + np.uint64(width)))
+    column = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(column):
+        return []
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2] or pa.py_buffer(b"")
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+        raw = data[int(ends[at]) : int(ends[to])].to_pybytes().lower()
+        tokens, counts = _piece(raw, ends[at:to] - ends[at])
+        upto = np.cumsum(counts).tolist()
+        out += [tokens[i:j] for i, j in zip([0, *upto], upto)]
+        at = to
+    return out
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of one text."""
+    return shingle_sets(pa.array([(text or "").encode("utf-8", "surrogatepass")], pa.binary()))[0]
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -125,7 +172,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1))
             marks = [digest(s) if len(s) else (None, None) for s in sets]
             columns = [[len(s) for s in sets], [len(checked(s)) for s in sets], [m[0] for m in marks], [m[1] for m in marks]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)],
@@ -164,14 +211,17 @@ def _packed(sets: dict[int, np.ndarray], n_buckets: int) -> pa.RecordBatch | Non
         return None
     owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(t) for t in sets.values()])
     bucket = (_mixed(tokens) >> np.uint64(32)).astype(np.int64) * n_buckets >> 32
+    bucket = bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket  # short numbers are sorted by digits
     order = np.argsort(bucket, kind="stable")
     tokens, owner, bucket = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order], bucket[order]
     marks = np.array(list(sets), np.int64)
-    used, start = np.unique(bucket, return_index=True)
+    run = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])])  # a class in a bucket
+    who, counts = marks[owner[run]], np.diff(np.r_[run, len(tokens)]).astype(np.uint32)
+    used, first = np.unique(bucket[run], return_index=True)
     rows = []
-    for b, at, to in zip(used, start, np.r_[start[1:], len(bucket)]):
-        who, counts = np.unique(owner[at:to], return_counts=True)
-        rows.append((int(b), marks[who].tobytes(), counts.astype(np.uint32).tobytes(), tokens[at:to].tobytes()))
+    for b, at, to in zip(used, first, np.r_[first[1:], len(run)]):
+        upto = run[to] if to < len(run) else len(tokens)
+        rows.append((int(b), who[at:to].tobytes(), counts[at:to].tobytes(), tokens[run[at] : upto].tobytes()))
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
         names=["bucket", "marks", "counts", "tokens"])
@@ -186,8 +236,7 @@ def _packed_texts(docs: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, np.ndarray] = {}
-            for text in batch.column(1).to_pylist():
-                tokens = shingles(text)
+            for tokens in shingle_sets(batch.column(1)):
                 if len(tokens):
                     seen[digest(tokens)[0]] = checked(tokens)
             made = _packed(seen, n_buckets)
@@ -223,7 +272,8 @@ def _shared_counts(packed: DataFrame, n_groups: int) -> DataFrame:
         tokens = joined("tokens", np.uint32)
         sizes = [len(t) // 4 for t in table.column("tokens").to_pylist()]
         rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        order = np.argsort(tokens, kind="stable")
+        order = np.sort(tokens.astype(np.uint64) << np.uint64(32) | np.arange(len(tokens), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+        order = order.astype(np.int64)  # as a stable argsort has it, at a part of its time
         tokens, marks, rows = tokens[order], marks[order], rows[order]
         start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         low, high = np.minimum.reduceat(marks, start), np.maximum.reduceat(marks, start)
@@ -262,8 +312,7 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = shingles(text)
+            for key, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 if key is not None and len(tokens):
                     d, e = digest(tokens)
                     s = (d ^ key) & mask
@@ -355,22 +404,75 @@ class Ranks:
         return np.where(self.tokens[at] == tokens, self.places[at], -1)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """As many bits as a set has shingles, rounded up to a power of two: each tells whether an odd number of them fall on it.
+
+    Every shingle that only one of two sets has turns one bit, so sets differ in at least as many shingles as in bits.
+    """
+    size = 1 << max(6, (len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens >> np.uint64(16)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that may link by their sets' parities: no link is lost."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1),
+                pa.array([parities(np.frombuffer(t, np.uint64)).tobytes() for t in batch.column(2).to_pylist()], pa.binary())],
+                    names=["node", "n", "bits"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            bits = [batch.column(c).to_pylist() for c in (4, 5)]
+            long = np.array([[len(x) // 8 for x in side] for side in bits], np.int64).reshape(2, -1)
+            apart = np.zeros(len(total), np.int64)
+            for x, y in np.unique(long.T, axis=0):
+                at = np.flatnonzero((long[0] == x) & (long[1] == y))
+                least = min(x, y)
+                one, other = (np.bitwise_xor.reduce(np.frombuffer(b"".join([side[i] for i in at]), np.uint64)
+                    .reshape(len(at), -1, least), axis=1) for side in bits)  # longer ones are folded
+                apart[at] = np.bitwise_count(one ^ other).sum(1)
+            # Sets of which at most c are common and total - 2c differ link if 100 c >= 80 (total - c).
+            common = (total - apart) // 2
+            keep = pa.array(100 * common >= PERCENT * (total - common))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    drawn = stored(map_batches(sets.select("d", "n", "tokens"), draw, "node long, n long, bits binary"))
+    of = lambda x: drawn.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), check,
+        "a long, b long")
+
+
 def _clusters(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(node, root): classes that share a key, directly or through others."""
+    """(node, root): classes that share a key and may link, directly or through others.
+
+    Sets of a key of few sets are tried pair by pair, so that keys that sets share by chance don't chain them; a key of
+    more than LARGE sets joins all of its sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = Ranks(frequent)
         for batch in batches:
-            keys = [prefix_keys(np.frombuffer(blob, np.uint64), rank) for blob in batch.column(1).to_pylist()]
+            keys = [prefix_keys(np.frombuffer(blob, np.uint64), rank) for blob in batch.column(2).to_pylist()]
             if keys:
-                owner = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)],
-                    names=["key", "node"])
-
-    keyed = map_batches(sets.select("d", "tokens"), run, "key long, node long")
-    least = stored(keyed.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("most")).filter(F.col("m") < F.col("most"))
-        .select("key", "m"))
-    return components(keyed.join(least, "key").filter(F.col("node") != F.col("m")).select("node", "m").distinct())
+                times = [len(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)),
+                    *(pa.array(np.repeat(batch.column(i).to_numpy(), times)) for i in (0, 1))], names=["key", "node", "n"])
+
+    keyed = map_batches(sets.select("d", "n", "tokens"), run, "key long, node long, n long")
+    least = stored(keyed.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("most"), F.count("*").alias("size"))
+        .filter(F.col("m") < F.col("most")).select("key", "m", "size"))
+    shared = stored(keyed.join(least, "key"))
+    few = shared.filter(F.col("size") <= LARGE).select("key", "node", "n")
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    fits = (F.col("n") * PERCENT <= F.col("n_b") * 100) & (F.col("n_b") * PERCENT <= F.col("n") * 100)
+    pairs = few.join(other, "key").filter((F.col("node") < F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct()
+    stars = shared.filter((F.col("size") > LARGE) & (F.col("node") != F.col("m"))).select(F.col("m").alias("a"), F.col("node")
+        .alias("b")).distinct()
+    return components(_likely(stored(pairs), sets).unionByName(stars))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

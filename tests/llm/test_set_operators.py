@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,26 @@ def test_join_loses_no_link(spark, seed, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_keys_shared_by_chance_chain_no_sets(spark):
+    """Each set has a passage in common with the next, and none links; the two copies at the end do."""
+    rng = np.random.default_rng(5)
+    part = [rng.integers(0, 2**64, 40, dtype=np.uint64) for _ in range(41)]
+    sets = [np.unique(np.r_[part[i], part[i + 1], rng.integers(0, 2**64, 100, dtype=np.uint64)]) for i in range(40)]
+    sets.append(np.r_[sets[-1][1:], sets[-1][-1:] + np.uint64(1)])
+    df = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "d long, n long, tokens binary")
+    assert sorted(tuple(r) for r in ngram_join._clusters(df, np.zeros(0, np.uint64)).collect()) == [(39, 39), (40, 39)]
+
+
+def test_parities_never_show_too_many_differences():
+    rng = np.random.default_rng(6)
+    for n in (1, 60, 64, 65, 700, 3000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[: n * 5 // 6], rng.integers(0, 2**64, n // 3 + 1, dtype=np.uint64)])
+        x, y = ngram_join.parities(a), ngram_join.parities(b)
+        x, y = (np.bitwise_xor.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_multiplicities_never_count_too_little():
     """Classes with several shingles on one place, met in several rows."""
     rng = np.random.default_rng(4)
@@ -128,6 +149,18 @@ def test_join_of_nothing(spark):
     assert ngram_join.join(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 20, 1 << 16])
+def test_texts_hashed_together_are_hashed_alone(piece, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
+    texts = ["left out", "", None, "a b c", "d e f g h i", " ", "Ab  cd\x0bef gh ij kl", "\ta b c d", "x" * 64 + " " + "y" * 65 + " a b c",
+        "a b c d e a b c d e", "É", "a b c d e"]
+    got = ngram_join.shingle_sets(pa.array(texts)[1:])
+    assert [len(x) for x in got] == [len(shingle_set(t)) for t in texts[1:]]
+    assert all((x == ngram_join.shingles(t)).all() for x, t in zip(got, texts[1:]))
+    for (x, s), (y, t) in itertools.combinations(list(zip(got, texts[1:])), 2):
+        assert len(np.intersect1d(x, y)) == len(shingle_set(s) & shingle_set(t))
+
+
 def test_shingles_are_exact():
     for text in ["Ab  cd\x0bef gh ij kl", "É é a b c d", "a\xa0b c d e f", "x" * 1000 + " y z w v u"]:
         assert len(ngram_join.shingles(text)) == len(shingle_set(text))
