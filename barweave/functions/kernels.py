@@ -2,11 +2,13 @@
 
 Each kernel reads float arrays of one security, in date order, gaps as NaN, and returns
 arrays of the same length with NaN for "not available". ``per_security`` runs kernels over
-Arrow tables; one security's history is what a task holds.
+Arrow tables; one security's history is what a task holds. Recursions run over lists, as a
+number of an array costs several times one of a list.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -36,14 +38,16 @@ def per_security(df: DataFrame, kernel: Callable[[Series], Series], inputs: list
 
 def ewm(x: np.ndarray, span: int) -> np.ndarray:
     """Exponential mean seeded with the first value, shown from the span-th value on; a gap carries the state."""
-    out, a, e, n = np.full(len(x), np.nan), 2.0 / (span + 1), np.nan, 0
-    for i, v in enumerate(x.tolist()):
+    a, e, n = 2.0 / (span + 1), math.nan, 0
+    b, out = 1 - a, []
+    for v in x.tolist():
         if v == v:
-            e = v if n == 0 else a * v + (1 - a) * e
+            e = a * v + b * e if n else v
             n += 1
-            if n >= span:
-                out[i] = e
-    return out
+            out.append(e if n >= span else math.nan)
+        else:
+            out.append(math.nan)
+    return np.array(out, np.float64)
 
 
 def ema_seeded(x: np.ndarray, n: int) -> np.ndarray:
@@ -70,11 +74,14 @@ def wilder(x: np.ndarray, n: int, start: int) -> np.ndarray:
     if len(seed) < n or not np.isfinite(seed).all():
         return out
     a = float(seed.mean())
-    out[start + n - 1] = a
-    for i in range(start + n, len(x)):
-        if x[i] == x[i]:
-            a = (a * (n - 1) + x[i]) / n
-            out[i] = a
+    found = [a]
+    for v in x[start + n :].tolist():
+        if v == v:
+            a = (a * (n - 1) + v) / n
+            found.append(a)
+        else:
+            found.append(math.nan)
+    out[start + n - 1 :] = found
     return out
 
 
@@ -126,30 +133,40 @@ def directional(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int) -> tuple[np
     up, down = np.r_[0.0, np.diff(h)], np.r_[0.0, -np.diff(l)]
     plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
     tr = true_range(h, l, c)
-    p, m, t = plus[1:n].sum(), minus[1:n].sum(), tr[1:n].mean() if n > 1 else tr[0]
+    p, m, t = (float(x) for x in (plus[1:n].sum(), minus[1:n].sum(), tr[1:n].mean() if n > 1 else tr[0]))
+    rise, fall, run = plus.tolist(), minus.tolist(), tr.tolist()
+    ups, downs, spreads = [], [], []
     for i in range(n - 1, size):
         if i >= n:
-            p, m, t = p - p / n + plus[i], m - m / n + minus[i], (t * (n - 1) + tr[i]) / n
+            p, m, t = p - p / n + rise[i], m - m / n + fall[i], (t * (n - 1) + run[i]) / n
+        a = b = d = math.nan
         if t > 0:
-            out[0][i], out[1][i] = 100 * p / t, 100 * m / t
-            both = out[0][i] + out[1][i]
-            out[2][i] = 100 * abs(out[0][i] - out[1][i]) / both if both > 0 else np.nan
+            a, b = 100 * p / t, 100 * m / t
+            both = a + b
+            d = 100 * abs(a - b) / both if both > 0 else math.nan
+        ups.append(a)
+        downs.append(b)
+        spreads.append(d)
+    for values, found in zip(out, (ups, downs, spreads)):
+        values[n - 1 :] = found
     if size >= 2 * n:
         known = out[2][n - 1 : 2 * n]
         a = float(np.nanmean(known)) if np.isfinite(known).any() else np.nan
-        out[3][2 * n - 1] = a
-        for i in range(2 * n, size):
-            a = (a * (n - 1) + out[2][i]) / n
-            out[3][i] = a
+        means = [a]
+        for x in out[2][2 * n :].tolist():
+            a = (a * (n - 1) + x) / n
+            means.append(a)
+        out[3][2 * n - 1 :] = means
     return tuple(out)
 
 
 def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int, k: float) -> tuple[np.ndarray, np.ndarray]:
     """(line, direction): starts long on the lower band; flips when the close passes the previous basic band."""
     size = len(c)
-    line, way = np.full(size, np.nan), np.full(size, np.nan)
+    line, way = [math.nan] * size, [math.nan] * size
     r = atr(h, l, c, n)
-    upper, lower = (h + l) / 2 + k * r, (h + l) / 2 - k * r
+    upper, lower = ((h + l) / 2 + k * r).tolist(), ((h + l) / 2 - k * r).tolist()
+    r, c = r.tolist(), c.tolist()
     begun = False
     for i in range(size):
         if r[i] != r[i]:
@@ -169,7 +186,7 @@ def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int, k: float) ->
             d = 1.0
         at = lo if d > 0 else hi
         line[i], way[i], before = at, d, i
-    return line, way
+    return np.array(line), np.array(way)
 
 
 def parabolic(h: np.ndarray, l: np.ndarray, step: float = 0.02, top: float = 0.2) -> tuple[np.ndarray, np.ndarray]:

@@ -84,6 +84,22 @@ def test_breakout_on_a_ramp(spark):
     assert not got.donchian_20_breakout_up.head(20).any() and got.donchian_20_lower.tail(1).item() == 109
 
 
+def test_recursive_kernels_take_no_number_of_an_array_at_a_time():
+    """That costs several times what a list's numbers do."""
+
+    class Whole(np.ndarray):
+        def __getitem__(self, at):
+            assert not isinstance(at, (int, np.integer))
+            return super().__getitem__(at)
+
+    x = np.abs(np.random.default_rng(3).normal(0, 1, 80).cumsum()) + 50
+    x[30] = np.nan
+    whole = x.view(Whole)
+    assert np.array_equal(kernels.wilder(whole, 5, 1), kernels.wilder(x, 5, 1), equal_nan=True)
+    for kernel in (lambda c: kernels.supertrend(x + 1, x - 1, c, 10, 3), lambda c: [kernels.ewm(c, 12)]):
+        assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(kernel(whole), kernel(x)))
+
+
 def test_kernels():
     x = np.arange(1.0, 9)
     assert kernels.ewm(x, 3)[2] == 2.25 and np.isnan(kernels.ewm(x, 3)[:2]).all()
