@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.windows import average_rank, column_quantiles, div, finite, nearest_quantiles, series
-from . import pattern_counts
+from . import fold_counts, pattern_counts
 from .research import clipped, long, newey_west, price_bucket_floor, vix_terciles, with_regimes
 
 AND = " AND "
@@ -204,7 +204,12 @@ def freeze(df: DataFrame) -> Frozen:
     if not there:
         return {}
     found = column_quantiles(df, there, list(QUANTILES))
-    rows = {c: {f"q{round(q * 100)}": v for q, v in zip(QUANTILES, values)} for c, (n, values) in found.items() if n >= MIN_QUANTILE_ROWS}
+    return _preferred({c: {f"q{round(q * 100)}": v for q, v in zip(QUANTILES, values)} for c, (n, values) in found.items()
+        if n >= MIN_QUANTILE_ROWS})
+
+
+def _preferred(rows: Frozen) -> Frozen:
+    """Without stand-ins of columns that are there."""
     out: Frozen = {}
     for c, _, preferred in QUANTILE_SOURCES:
         if c in rows and preferred not in out:
@@ -212,6 +217,18 @@ def freeze(df: DataFrame) -> Frozen:
     return out
 
 
+def freeze_folds(df: DataFrame, parts: list[dict[str, str]]) -> list[Frozen]:
+    """``freeze`` on each fold's discover window, all in one pass; only the cutoffs that states have."""
+    there = [c for c, _, _ in QUANTILE_SOURCES if c in df.columns]
+    if not there or not parts:
+        return [{} for _ in parts]
+    inside = [F.col("date").between(F.lit(f["start"]).cast("date"), F.lit(f["end"]).cast("date")) for f in parts]
+    learnt = df.select(*(F.when(on, F.col(c)).alias(f"{c}__{i}") for i, on in enumerate(inside) for c in there))
+    found = column_quantiles(learnt, learnt.columns, [0.2, 0.8])
+    every = [{c: found[f"{c}__{i}"] for c in there} for i in range(len(parts))]
+    return [_preferred({c: dict(zip(("q20", "q80"), values)) for c, (n, values) in of.items() if n >= MIN_QUANTILE_ROWS}) for of in every]
+
+
 def quantile_states(frozen: Frozen) -> list[State]:
     """analysis_q_{column}_le_q20 and _ge_q80 of the frozen columns."""
     family = {c: f for c, f, _ in QUANTILE_SOURCES}
@@ -539,8 +556,7 @@ def discover(
     states = states_of(df.columns, frozen) if states is None else states
     bounds, excess = bounds_of(dev, target), excess_of(target)
     single = {r["pattern"]: r.asDict() for r in score(dev, states, target, excess, bounds, pairs=False, mode=mode, wait=wait).collect()}
-    fits = lambda r: r["kept"] >= support.rows and r["n_dates"] >= support.dates and r["n_securities"] >= support.securities
-    passed = [s for s in states if s.name in single and fits(single[s.name])]
+    passed = [s for s in states if s.name in single and _fits(single[s.name], support)]
     tried = [AND.join(p) for p in pairs_of(passed)] if size > 1 else []
     pair: dict[str, dict] = {}
     if tried:
@@ -553,10 +569,17 @@ def discover(
         if p in pair:
             a, b = p.split(AND)
             rows.append(pair[p] | {"rule_size": 2, "overlap_flag": _overlap_flag(counts.get(p, 0), counts.get(a, 0), counts.get(b, 0))})
-    ps = {}
     for r in rows:
-        r["family"], r["direction"] = family_of(r["pattern"], states), direction(r)
-        r["sample_status"] = "ok" if fits(r) else "INSUFFICIENT_SAMPLE"
+        r["direction"] = direction(r)
+    return _judged(Discovery(states, frozen, bounds, rows, [s.name for s in states], [s.name for s in passed], tried), support)
+
+
+def _judged(found: Discovery, support: Support) -> Discovery:
+    """Its rows with p, q and whether each is selected."""
+    rows, states, ps = found.rows, found.states, {}
+    for r in rows:
+        r["family"] = family_of(r["pattern"], states)
+        r["sample_status"] = "ok" if _fits(r, support) else "INSUFFICIENT_SAMPLE"
         against = r["vs_baseline_nw_t"] is not None
         t, n = (r["vs_baseline_nw_t"], r["vs_baseline_n"]) if against else (r["newey_west_t"], r["n_dates"])
         r["p"] = normal_p(t, max(n - 1, 1))
@@ -569,7 +592,11 @@ def discover(
         r["selected"] = r["q"] is not None and r["q"] <= support.fdr
         doubled = NEAR_DUPLICATE if twice & set(r["pattern"].split(AND)) else None
         r["duplicate_warning"] = r["overlap_flag"] or doubled
-    return Discovery(states, frozen, bounds, rows, [s.name for s in states], [s.name for s in passed], tried)
+    return found
+
+
+def _fits(row: dict, support: Support) -> bool:
+    return row["kept"] >= support.rows and row["n_dates"] >= support.dates and row["n_securities"] >= support.securities
 
 
 def _flag_counts(df: DataFrame, states: list[State], pairs: list[str]) -> dict[str, int]:
@@ -750,15 +777,15 @@ def walk_forward_full(df: DataFrame, target: str, parts: list[dict[str, str]], s
     tracked: tuple[str, ...] = TRACKED) -> DataFrame:
     """(fold, n_generated_singles, ..., n_selected, n_same_direction, reasons): discovery on each fold, evaluated in its next year.
 
-    Folds are a handful, each a discovery of its own: its choice of pairs depends on its supported states.
+    All folds come from one pass over packed rows, which are read twice, so ``df`` should be held. Of medians only the sign is
+    read, which counts of positive and negative outcomes tell.
     """
     rows = []
-    for f in parts:
-        found = discover(df, target, f["start"], f["end"], support)
-        later = evaluate(df, found, target, f["eval_start"], f["eval_end"]).filter("same_direction").count() if found.selected else 0
-        why = reasons(found, list(tracked))
-        rows.append({"fold": f["fold"], "n_selected": len(found.selected), "n_same_direction": later,
-            "reasons": why} | selection_summary(found, support))
+    for f, found, later in _walked(df, target, parts, support):
+        chosen = [r for r in found.rows if r["selected"]]
+        same = sum(r["direction"] != 0 and later.get(r["pattern"]) == r["direction"] for r in chosen)
+        rows.append({"fold": f["fold"], "n_selected": len(chosen), "n_same_direction": same,
+            "reasons": reasons(found, list(tracked))} | selection_summary(found, support))
     whole = ("n_generated_singles n_support_passed_singles n_generated_pairs n_support_passed_pairs n_statistical_tests n_selected "
         "n_same_direction".split())
     schema = "fold string, " + ", ".join(f"{c} long"
@@ -767,6 +794,78 @@ def walk_forward_full(df: DataFrame, target: str, parts: list[dict[str, str]], s
     return df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
 
 
+def _walked(df: DataFrame, target: str, parts: list[dict[str, str]], support: Support) -> list[tuple[dict, Discovery, dict[str, int]]]:
+    """Each fold, what it discovered, and the signs of its supported patterns in its later window. Bounds aren't frozen: no mean is read."""
+    if not parts:
+        return []
+    cuts, columns = freeze_folds(df, parts), set(df.columns)
+    base = base_states(columns)
+    states = [[*base, *quantile_states(c)] for c in cuts]
+    # A place a base state, and one a fold and quantile state.
+    place = [{s.name: i for i, s in enumerate(base)} for _ in parts]
+    tests = [s.expression(columns) for s in base]
+    for own, known in zip(states, place):
+        for s in own[len(base):]:
+            known[s.name] = len(tests)
+            tests.append(s.expression(columns))
+    at: dict[tuple[int, int], int] = {}
+    names: list[dict[str, int]] = []
+    for own, known in zip(states, place):
+        pairs = [(s.name, s.name) for s in own] + pairs_of(own)
+        names.append({a if a == b else a + AND + b: at.setdefault((known[a], known[b]), len(at)) for a, b in pairs})
+    excess = excess_of(target)
+    other = excess != target and excess in columns
+    products = pattern_counts.Products([("", *p) for p in at], len(tests))
+    spans = []
+    for f, own in zip(parts, names):
+        for a, b in ((f["start"], f["end"]), (f["eval_start"], before_holdout(f["eval_end"]))):
+            spans.append(fold_counts.Span(_day(a), _day(b), tuple(own.values())))
+    rows = pattern_counts.packed(fold_counts.within(df, spans), tests, finite(F.col(target).cast("double")),
+        finite(F.col(excess).cast("double")) if other else None)
+    met = fold_counts.securities(rows, products, spans) if at else {}
+    stated = fold_counts.about(rows, products, spans, horizon_of(target)).collect() if at else []  # a row a window and pattern
+    found = {(r["w"], r["p"]): r.asDict() for r in stated}
+    out, empty = [], dict.fromkeys(STATS) | dict.fromkeys(_LONGS, 0)
+    for i, (f, own, known) in enumerate(zip(parts, states, names)):
+        stats = {n: empty | found[2 * i, p] | {"pattern": n, "n_securities": met.get((2 * i, p), 0), "vs_baseline_n": found[2 * i, p]["n_dates"]}
+            for n, p in known.items() if (2 * i, p) in found}
+        passed = [s for s in own if s.name in stats and _fits(stats[s.name], support)]
+        tried = [AND.join(p) for p in pairs_of(passed)]
+        made = [empty | {"pattern": s.name} | stats.get(s.name, {}) | {"rule_size": 1, "overlap_flag": None} for s in own]
+        for p in tried:
+            if p in stats and _fits(stats[p], support):
+                flag = _overlap_flag(*(stats[n]["kept"] for n in (p, *p.split(AND))))
+                made.append(stats[p] | {"rule_size": 2, "overlap_flag": flag})
+        out.append((f, _judged(Discovery(own, cuts[i], None, made, [s.name for s in own], [s.name for s in passed], tried), support)))
+    asked = [(w, known[r["pattern"]]) for i, ((_, d), known) in enumerate(zip(out, names)) for r in d.rows if r["selected"]
+        for w in (2 * i, 2 * i + 1)]
+    signs = _signs_of_medians(rows, products, spans, {k: found[k] for k in asked if k in found})
+    for i, ((_, d), known) in enumerate(zip(out, names)):
+        for r in d.rows:
+            r["direction"] = signs.get((2 * i, known[r["pattern"]]), 0)
+    return [(f, d, {n: signs[2 * i + 1, p] for n, p in known.items() if (2 * i + 1, p) in signs})
+        for i, ((f, d), known) in enumerate(zip(out, names))]
+
+
+def _signs_of_medians(rows: DataFrame, products: pattern_counts.Products, spans: list[fold_counts.Span],
+    found: dict[tuple[int, int], dict]) -> dict[tuple[int, int], int]:
+    """By window and pattern, the sign of the median excess, or of the median outcome where no excess is known."""
+    out, between = {}, {"y": [], "x": []}
+    for k, r in found.items():
+        value = "x" if r["xn"] else "y"
+        n, up, down = (r["xn"], r["xup"], r["xdown"]) if r["xn"] else (r["n"], r["up"], r["down"])
+        if n and up == down == n / 2:
+            between[value].append(k)
+        else:
+            # The middle values' signs: of an even number of values one of the two may be zero.
+            out[k] = 0 if not n else (2 * up >= n) - (2 * down >= n)
+    for value, asked in between.items():
+        if asked:
+            found_middle = fold_counts.middle_pairs(rows, value, products, spans, asked)
+            out |= {k: (v > 0) - (v < 0) for k, v in found_middle.items()}
+    return out
+
+
 # ---- one pattern, or two states, in detail
 
 
