@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pattern_counts import _chunks, _numbers, _outcome, _states, Products, robust
+from .pattern_counts import _chunks, _numbers, _outcome, _states, Products, RANGES, robust
 
 #: Patterns whose days are put together at once.
 CHUNK = 64
@@ -28,7 +28,7 @@ class Span:
 
     first: date
     last: date
-    patterns: tuple[int, ...]
+    patterns: tuple[int, ...] = ()
 
     @property
     def days(self) -> tuple[int, int]:
@@ -52,6 +52,85 @@ def _signs(x: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
     return [known, known * (x > 0), known * (x < 0)]
 
 
+def _parts(spans: list[Span]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First days of the parts that windows are made of, and a mask of those parts for each window."""
+    edges = np.unique([d for s in spans for d in s.days])
+    return edges, [(edges >= s.days[0]) & (edges < s.days[1]) for s in spans]
+
+
+def quantiles(df: DataFrame, columns: list[str], spans: list[Span], at: list[float]) -> list[dict[str, tuple[int, list[float | None]]]]:
+    """By window and column: count and exact nearest-rank quantiles, nulls and NaN left out.
+
+    A column's values are counted by range and part of the windows; only those in the ranges that hold a quantile are shuffled.
+    """
+    value = [F.col(c).cast("double") for c in columns]
+    known = within(df, spans).select("date", *(F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(value)))
+    cuts = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    got = known.agg(*(F.percentile_approx(f"v{i}", cuts, F.lit(2000)).alias(f"q{i}") for i in range(len(columns)))).first()
+    ranges = [np.unique(np.array(got[f"q{i}"] or [], np.float64)) for i in range(len(columns))]
+    edges, inside = _parts(spans)
+
+    def placed(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = _numbers(batch, f"v{i}")
+        there = ~np.isnan(v)
+        return v[there], np.searchsorted(ranges[i], v[there], "right"), np.searchsorted(edges, _days(batch)[there], "right") - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(columns), len(edges) * RANGES), np.int64)
+        for batch in batches:
+            for i in range(len(columns)):
+                _, place, part = placed(batch, i)
+                n[i] += np.bincount(part * RANGES + place, minlength=n.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(columns)), pa.int32()), pa.array([c.tobytes() for c in n], pa.binary())],
+            names=["i", "counts"])
+
+    counted = known.mapInArrow(count, "i int, counts binary").groupBy("i").applyInArrow(_added("i"), "i int, counts binary")
+    counts = {r["i"]: np.frombuffer(r["counts"], np.int64).reshape(len(edges), RANGES) for r in counted.collect()}  # a row a column
+    out: list[dict[str, tuple[int, list[float | None]]]] = [{c: (0, [None] * len(at)) for c in columns} for _ in spans]
+    asked: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for i, by_part in counts.items():
+        for w in range(len(spans)):
+            upto = np.cumsum(by_part[inside[w]].sum(0))
+            n = int(upto[-1])
+            out[w][columns[i]] = (n, [None] * len(at))
+            for j, q in enumerate(at if n else []):
+                rank = int(np.floor((n - 1) * q + 0.5))
+                place = int(np.searchsorted(upto, rank, "right"))
+                asked.setdefault((i, place), []).append((w, j, rank - (int(upto[place - 1]) if place else 0)))
+    wanted = [np.isin(np.arange(RANGES), [p for c, p in asked if c == i]) for i in range(len(columns))]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(columns)):
+                v, place, part = placed(batch, i)
+                on = wanted[i][place]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), i, np.int32)), pa.array(place[on].astype(np.int32)),
+                    pa.array(part[on].astype(np.int32)), pa.array(v[on])], names=["i", "place", "part", "v"])
+
+    def pick(table: pa.Table) -> pa.Table:
+        table = table.sort_by("v")
+        i, place = table.column("i")[0].as_py(), table.column("place")[0].as_py()
+        v, part, n = _numbers(table, "v"), _numbers(table, "part", np.int64), _numbers(table, "n", np.int64)
+        found = [(w, j, i, v[np.searchsorted(np.cumsum(n * inside[w][part]), r, "right")]) for w, j, r in asked[i, place]]
+        return pa.table({c: pa.array([f[k] for f in found], t) for k, (c, t) in enumerate(
+            (("w", pa.int32()), ("j", pa.int32()), ("i", pa.int32()), ("v", pa.float64())))})
+
+    few = known.mapInArrow(near, "i int, place int, part int, v double").groupBy("i", "place", "part", "v").agg(F.count("*").alias("n"))
+    for r in few.groupBy("i", "place").applyInArrow(pick, "w int, j int, i int, v double").collect():  # a row a quantile
+        out[r["w"]][columns[r["i"]]][1][r["j"]] = r["v"]
+    return out
+
+
+def _added(key: str):
+    """Sums of whole numbers by key."""
+
+    def add(table: pa.Table) -> pa.Table:
+        n = np.sum([np.frombuffer(b.as_py(), np.int64) for b in table.column("counts")], axis=0)
+        return pa.table({key: table.column(key).slice(0, 1), "counts": pa.array([n.tobytes()], pa.binary())})
+
+    return add
+
+
 def about(rows: DataFrame, products: Products, spans: list[Span], lag: int) -> DataFrame:
     """(w, p, kept, n, ...): a row a window and pattern that holds in it; all but securities.
 
@@ -110,8 +189,7 @@ _KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 def securities(rows: DataFrame, products: Products, spans: list[Span]) -> dict[tuple[int, int], int]:
     """By window and pattern: securities with a known outcome, from a bit a pattern for every security and window."""
-    edges = np.unique([d for s in spans for d in s.days])
-    inside = [(edges >= s.days[0]) & (edges < s.days[1]) for s in spans]  # of the parts that begin at each edge
+    edges, inside = _parts(spans)
     size = max(-(-len(s.patterns) // 64) for s in spans)
     names = [f"b{i}" for i in range(size)]
     mine = [np.array(s.patterns, np.int64) for s in spans]
@@ -151,15 +229,11 @@ def securities(rows: DataFrame, products: Products, spans: list[Span]) -> dict[t
         yield pa.RecordBatch.from_arrays([pa.array(range(len(spans)), pa.int32()), pa.array([c.tobytes() for c in n], pa.binary())],
             names=["w", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        n = np.sum([np.frombuffer(b.as_py(), np.int64) for b in table.column("counts")], axis=0)
-        return pa.table({"w": table.column("w").slice(0, 1), "counts": pa.array([n.tobytes()], pa.binary())})
-
     marked = rows.select("security_id", "date", "y", *(c for c in rows.columns if c.startswith("w")))
     marked = marked.mapInArrow(mark, "security_id string, w int, " + ", ".join(f"{c} long" for c in names))
     # A security counts once a window however many runs it has; one without a name doesn't.
     once = marked.filter(F.col("security_id").isNotNull()).groupBy("security_id", "w").agg(*(F.bit_or(c).alias(c) for c in names))
-    counted = once.drop("security_id").mapInArrow(count, "w int, counts binary").groupBy("w").applyInArrow(add, "w int, counts binary")
+    counted = once.drop("security_id").mapInArrow(count, "w int, counts binary").groupBy("w").applyInArrow(_added("w"), "w int, counts binary")
     found = {r["w"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}  # a row a window
     return {(w, int(p)): int(n) for w, c in found.items() for p, n in zip(mine[w], c)}
 

@@ -222,11 +222,9 @@ def freeze_folds(df: DataFrame, parts: list[dict[str, str]]) -> list[Frozen]:
     there = [c for c, _, _ in QUANTILE_SOURCES if c in df.columns]
     if not there or not parts:
         return [{} for _ in parts]
-    inside = [F.col("date").between(F.lit(f["start"]).cast("date"), F.lit(f["end"]).cast("date")) for f in parts]
-    learnt = df.select(*(F.when(on, F.col(c)).alias(f"{c}__{i}") for i, on in enumerate(inside) for c in there))
-    found = column_quantiles(learnt, learnt.columns, [0.2, 0.8])
-    every = [{c: found[f"{c}__{i}"] for c in there} for i in range(len(parts))]
-    return [_preferred({c: dict(zip(("q20", "q80"), values)) for c, (n, values) in of.items() if n >= MIN_QUANTILE_ROWS}) for of in every]
+    spans = [fold_counts.Span(_day(f["start"]), _day(f["end"])) for f in parts]
+    found = fold_counts.quantiles(df, there, spans, [0.2, 0.8])
+    return [_preferred({c: dict(zip(("q20", "q80"), values)) for c, (n, values) in of.items() if n >= MIN_QUANTILE_ROWS}) for of in found]
 
 
 def quantile_states(frozen: Frozen) -> list[State]:
